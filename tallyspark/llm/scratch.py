@@ -1,0 +1,38 @@
+"""Stage tables between jobs in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_OWN: dict[str, str] = {}
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared scratch folder: ``spark.checkpoint.dir``, or a temporary one in local mode (tests).
+
+    Without the setting a cluster session is an error, since a driver-local folder would not be seen by executors.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="tallyspark-")
+    return _OWN[context.applicationId]
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path under the scratch folder that nothing has used."""
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet and read it back: it is computed once, and lost executors cost no recomputation."""
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
