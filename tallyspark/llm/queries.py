@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, scratch, tokencount, topk, urlfilter, warc
+from tallyspark.llm import chat, quality, scratch, tokencount, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +31,18 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch.fresh(spark, "packages")
     manifest = warc.write_packages(_table(spark, sf_dir, "pages"), folder)
@@ -54,7 +62,9 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_topk_search": op1_topk_search,
+    "op2_toxicity": op2_toxicity,
     "op3_url_filter": op3_url_filter,
+    "op4_quality": op4_quality,
     "op7_warc_packages": op7_warc_packages,
     "op8_token_counts": op8_token_counts,
     "op10_chat_windows": op10_chat_windows,
