@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, quality, scratch, tokencount, topk, toxicity, urlfilter, warc
+from tallyspark.llm import chat, ngram_join, quality, scratch, tokencount, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(docs, scratch.fresh(spark, "token-counts"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.sql(f"select id, turn, role, text from values (-1L, 0L, 'user', '{HOSTILE}'), (-1L, 1L, 'assistant', '{HOSTILE}') t(id, turn, role, text)")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": op4_quality,
     "op7_warc_packages": op7_warc_packages,
     "op8_token_counts": op8_token_counts,
+    "op9_ngram_join": op9_ngram_join,
     "op10_chat_windows": op10_chat_windows,
 }
 
