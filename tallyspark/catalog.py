@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tallyspark.plans import cache_queries, check_queries, context_queries, routing_queries, traffic_queries
+
+_AREAS = (cache_queries, context_queries, routing_queries, traffic_queries, check_queries)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for area in _AREAS for name, sql in area.ORACLE_SQL.items()}
