@@ -17,14 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm import scratch
+from tallyspark import scratch
 from tallyspark.llm.shingles import MinHash, WordHashes, shingle_set
 
 SIZE = 5
 #: The threshold as a fraction, so that it is compared in whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
-#: A pair at the threshold shares no band with probability (1 - 0.8**5)**30 = 7e-6.
-BANDS, ROWS = 30, 5
+#: A pair at the threshold shares no band with probability (1 - 0.8**5)**40 = 1.3e-7.
+BANDS, ROWS = 40, 5
 #: Hash values compared at a time, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 10, 1e-6
 #: Buckets up to so many sets are joined pair by pair; larger ones go into chunks of so many sets.
