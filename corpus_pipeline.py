@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontam, ngram_join, packing, quality, scratch, toxicity
+from tallyspark import scratch
+from tallyspark.llm import decontam, ngram_join, packing, quality, toxicity
 
 #: Ids of rejected documents that a task may be sent; beyond it documents are shuffled to meet them.
 MAX_BROADCAST_ROWS = 2_000_000

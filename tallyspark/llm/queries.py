@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat, decontam, ngram_join, packing, quality, scratch, tokencount, topk, toxicity, urlfilter, warc
+from tallyspark import scratch
+from tallyspark.llm import chat, decontam, ngram_join, packing, quality, tokencount, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
