@@ -15,7 +15,7 @@ class WordHashes(dict):
     """The hash of a word, kept for the next time, up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = found = xxhash.xxh3_64_intdigest(word)
         return found

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
+from tallyspark.llm.batches import sliced
 from tallyspark.llm.textstats import DIGIT, LOWER, PUNCT, UPPER, WORD, counts
 
 #: Labelled rows to learn from, at most; those with the lowest hashes of their ids.
@@ -45,7 +46,7 @@ class Lexicon(dict):
         self.terms = terms
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         found = self.terms.get(word, 0.0)
         for k in reversed(PREFIXES):
@@ -88,7 +89,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         seen = Counter(t for text in batch["text"].to_pylist() for t in terms_of(text))
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n"])
 
@@ -104,7 +105,7 @@ def learn_terms(texts: DataFrame, least: int = LEAST_TEXTS, ratio: float = LEAST
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch["text"].to_pylist():
                 seen.update(terms_of(text) & picked.keys())
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["term", "n"])
@@ -122,7 +123,7 @@ def _featured(docs: DataFrame, lexicons: list[dict[str, float]], kept: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Lexicon({w: 5.0 for w in INSULTS} | x) for x in lexicons]
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [features(t or "", known[p]) for t, p in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(rows, pa.list_(pa.float64()))], [*names, "x"])
 
