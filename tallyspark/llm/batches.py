@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 ROWS = 256
 
@@ -25,3 +26,11 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass  # another C library: nothing to hand back
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold the session to so many rows an Arrow batch: with whole texts the default fills large buffers outside the
+    executor's heap, once in the JVM and once in the worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced
+from tallyspark.llm.batches import sliced, small_batches
 from tallyspark.llm.shingles import WordHashes, hashed_words, rolled
 
 #: Words in a seed; the share of an item's score at which a document counts as contaminated.
@@ -143,6 +143,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
     repeat a doc_id or item_id count as one, the best score standing; other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates(["item_id"])
     total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))

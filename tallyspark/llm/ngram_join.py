@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced
+from tallyspark.llm.batches import sliced, small_batches
 from tallyspark.llm.shingles import MinHash, WordHashes, shingle_set
 
 SIZE = 5
@@ -216,6 +216,7 @@ def classes(docs: DataFrame) -> DataFrame:
     linked with, ``class_id`` is the least doc_id among all that links connect (null if none has an id). Other
     columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     rows = scratch.stage(docs.select("doc_id", "text").mapInArrow(_sets, "doc_id long, key binary, n int, sig binary"), "signatures")
     ids = F.coalesce("doc_id", F.lit(_NO_ID))
     reps = scratch.stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(ids).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced
+from tallyspark.llm.batches import sliced, small_batches
 
 WINDOW, END_ID = 4096, 2
 #: Fragments in a shard's index, and terms of a seed that query it (those with the highest weights).
@@ -240,6 +240,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = SHA
     the same sequences.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = scratch.stage(docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer, window), _KINDS), "token-ids")
     fragments = rows.where("kind = 'fragment'")
     n, mean_length = fragments.agg(F.count("*"), F.avg("length")).first()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced
+from tallyspark.llm.batches import sliced, small_batches
 from tallyspark.llm.textstats import text_stats
 from tallyspark.llm.toxicity import held_out
 
@@ -135,5 +135,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null texts and metadata count as empty, null lengths as 0; repeated rows get equal scores; columns other than
     doc_id, text, lang, source and n_chars are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     scored = fit(docs, labels).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text_score", "meta_score", "score", "keep")

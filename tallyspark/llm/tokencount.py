@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.batches import sliced
+from tallyspark.llm.batches import sliced, small_batches
 
 #: Digests that one task remembers while it drops repeats ahead of the shuffle.
 REMEMBERED = 200_000
@@ -87,6 +87,7 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 4096,
     new one are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     table = f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}"
     new = ("n_bytes", "n_tokens", "over_limit", "digest")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]

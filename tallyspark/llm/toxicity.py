@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced
+from tallyspark.llm.batches import sliced, small_batches
 from tallyspark.llm.textstats import DIGIT, LOWER, PUNCT, UPPER, WORD, counts
 
 #: Labelled rows to learn from, at most; those with the lowest hashes of their ids.
@@ -181,5 +181,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     Null texts are scored as empty ones. Columns other than doc_id and text are never read; an empty table gives an
     empty result.
     """
+    small_batches(docs.sparkSession)
     scored = fit(docs, labels, max_labelled).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
