@@ -98,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 
     A quarter of the labelled sample only calibrates. In each round both views are fitted, and each view's confident
     guesses over the unlabelled sample become labels for the other. Null labels and ids are left out; a document with
-    several labels has quality 1 if one says so. With a single class every score is that class's rate.
+    several labels has quality 1 if one says so. With a single class, in the labels or in those that meet a document,
+    every score is that class's rate. If labels meet no document it is the labels' rate, and 0 with no label at all.
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
     draw = F.xxhash64("doc_id")
@@ -110,6 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     ids = F.broadcast(marked.unionByName(free.withColumn("y", F.lit(None).cast("double"))))
     rows = docs.select("doc_id", *_inputs(docs)).join(ids, "doc_id").dropDuplicates(["doc_id"])
     rows = scratch.stage(_described(rows, ["doc_id", "y", "lang", "source", "declared"], "doc_id long, y double, lang string, source string, declared double"), "quality-sample")
+    met = rows.agg(F.avg("y"), F.countDistinct("y")).first()
+    if met[1] < 2:
+        return Model([], float(base[0] if met[0] is None else met[0]))
     late = F.pmod(F.hash("doc_id"), F.lit(4)) == 0
     train, check, pool = rows.where(F.col("y").isNotNull() & ~late), rows.where(F.col("y").isNotNull() & late), rows.where("y is null").drop("y")
     if check.agg(F.countDistinct("y")).first()[0] < 2 or train.agg(F.countDistinct("y")).first()[0] < 2:
