@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: passages with enough word pairs of a test item are scored by Smith-Waterman alignment."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,13 +13,12 @@ from tallyspark import scratch
 from tallyspark.llm.batches import sliced, small_batches
 from tallyspark.llm.shingles import WordHashes, hashed_words, rolled
 
-#: Words in a seed; the share of an item's score at which a document counts as contaminated.
-SEED, LEAST_SCORE = 3, 0.45
+#: The fewest words of an item; the share of an item's score at which a document counts as contaminated.
+LEAST_WORDS, LEAST_SCORE = 3, 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
-#: Of an item's n-grams, the share that serves as seeds, rarest in the corpus first.
-RAREST = 0.5
-#: Words around a hit, as a multiple of the item's words: an alignment with that many gaps scores below the threshold.
-REACH = 1.6
+#: The most words of an alignment at the threshold, as a multiple of the item's words. With m matches, x mismatches and
+#: g words of the document in gaps, m + x <= n and m - x / 2 - g / 2 >= 0.45 n, so m + x + g <= 3 m - 0.9 n <= 2.1 n.
+REACH = 1 + (1 - LEAST_SCORE) / GAP
 #: Words of test items that a task holds at once; a larger benchmark is searched for in blocks.
 BLOCK_WORDS = 4_000_000
 
@@ -47,88 +45,95 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[float, int, int]:
     return best / (MATCH * len(item)), last - back, last - 1
 
 
+def pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash for each pair of words."""
+    return rolled(np.stack([first, second], axis=1).reshape(-1), 2)[::2]
+
+
+def least_pairs(n: int) -> int:
+    """How many pairs of neighbours of an item of ``n`` words stand in an alignment at the threshold, side by side or
+    with one word between them.
+
+    Take the matches of an alignment in turn. From one to the next, h steps are such pairs; p go to the next word of
+    the item over two or more words of the document and cost 1 or more; q skip words of the item and cost 1/2 or more.
+    n >= 1 + h + p + 2 q, so the score is at most 1 + h + q / 2 <= 3/4 (1 + h) + n / 4.
+    """
+    return max(1, int(np.ceil(((LEAST_SCORE - 0.25) * n - 0.75) / 0.75 - 1e-9)))
+
+
 class Items:
-    """Test items as hashed words, and the n-grams that occur in them."""
+    """Test items as hashed words, and the pairs of neighbours in them."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         known = WordHashes()
         hashed = [(i, hashed_words(t, known)) for i, t in rows]
-        self.items = [(i, w) for i, w in hashed if len(w) >= SEED]
-        grams = [rolled(w, SEED) for _, w in self.items]
+        self.items = [(i, w) for i, w in hashed if len(w) >= LEAST_WORDS]
         self.distinct = [np.unique(w) for _, w in self.items]
-        every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        # Of three words the outer two reach the threshold, too.
+        own = [np.unique(np.concatenate([pairs(w[:-1], w[1:]), pairs(w[:1], w[2:]) if len(w) == 3 else w[:0]])) for _, w in self.items]
+        every = np.concatenate(own) if own else np.zeros(0, dtype=np.uint64)
+        owner = np.repeat(np.arange(len(own)), [len(g) for g in own])
         order = np.lexsort((owner, every))
         self.grams, first = np.unique(every[order], return_index=True)
         self.owners = owner[order]
         self.bounds = np.append(first, len(every))
-
-    def owners_of(self, gram: int) -> np.ndarray:
-        return np.unique(self.owners[self.bounds[gram] : self.bounds[gram + 1]])
-
-    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the item n-grams in a document, and which they are."""
-        if len(words) < SEED or not len(self.grams):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        found = rolled(words, SEED)
-        at = np.searchsorted(self.grams, found)
-        at[at == len(self.grams)] = 0
-        where = np.nonzero(self.grams[at] == found)[0]
-        return where, at[where]
-
-
-_SCHEMA = "gram long, docs long, doc_id long, item_id long, grams array<long>, first long, words binary"
-_COLUMNS = [("gram", pa.int64()), ("docs", pa.int64()), ("doc_id", pa.int64()), ("item_id", pa.int64()), ("grams", pa.list_(pa.int64())), ("first", pa.int64()), ("words", pa.binary())]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_COLUMNS)], [c for c, _ in _COLUMNS])
-
-
-def _scan(sent):
-    """Per document and item the passages around n-gram hits that share enough words with the item to reach the
-    threshold at all; and, at a task's end, in how many of its documents each n-gram occurs."""
-
+        self.sizes = np.array([len(w) for _, w in self.items], dtype=np.int64)
+        self.reach = (REACH * self.sizes + 1e-9).astype(np.int64)
+        self.least = np.array([least_pairs(n) for n in self.sizes.tolist()], dtype=np.int64)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the positions at which a pair of them begins, each once, in order."""
+        owners, places = [], []
+        for step in (1, 2):
+            found = pairs(words[:-step], words[step:])
+            at = np.searchsorted(self.grams, found)
+            at[at == len(self.grams)] = 0
+            where = np.nonzero(self.grams[at] == found)[0]
+            begin, n = self.bounds[at[where]], self.bounds[at[where] + 1] - self.bounds[at[where]]
+            owners.append(self.owners[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())])
+            places.append(np.repeat(where, n))
+        every = np.unique(np.concatenate(owners) * len(words) + np.concatenate(places))
+        return every // len(words), every % len(words)
+
+    def passages(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Item, begin and end of the passages that hold every alignment at the threshold."""
+        if len(words) < 2 or not len(self.grams):
+            return
+        owners, places = self.hits(words)
+        last = np.arange(len(owners)) + self.least[owners] - 1
+        whole = np.minimum(last, len(owners) - 1)
+        dense = np.nonzero((last < len(owners)) & (owners[whole] == owners) & (places[whole] - places < self.reach[owners]))[0]
+        at, n = 0, len(dense)
+        while at < n:
+            k = int(owners[dense[at]])
+            reach = int(self.reach[k])
+            begin, end = max(0, int(places[last[dense[at]]]) + 2 - reach), int(places[dense[at]]) + reach
+            at += 1
+            while at < n and owners[dense[at]] == k and places[last[dense[at]]] + 2 - reach <= end:
+                end = int(places[dense[at]]) + reach
+                at += 1
+            end = min(end, len(words))
+            # No alignment scores more than the words in common.
+            if np.isin(words[begin:end], self.distinct[k]).sum() >= LEAST_SCORE * self.sizes[k]:
+                yield k, begin, end
+
+
+_LEAKS = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
+
+
+def _leaks(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, known, docs = Items(sent.value), WordHashes(), Counter()
+        items, known = Items(sent.value), WordHashes()
         for batch in sliced(batches):
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 words = hashed_words(text.as_py() or "", known)
-                places, grams = items.find(words)
-                if not len(places):
-                    continue
-                docs.update(np.unique(grams).tolist())
-                by_item: dict[int, list[tuple[int, int]]] = {}
-                for place, gram in zip(places.tolist(), grams.tolist(), strict=True):
-                    for k in items.owners_of(gram).tolist():
-                        by_item.setdefault(k, []).append((place, gram))
-                for k, hits in by_item.items():
+                for k, first, end in items.passages(words):
                     item_id, item = items.items[k]
-                    reach = int(REACH * len(item)) + SEED
-                    # Hits whose surroundings overlap are one passage.
-                    cuts = [0, *(i for i in range(1, len(hits)) if hits[i][0] - hits[i - 1][0] > 2 * reach), len(hits)]
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        begin, end = max(0, hits[a][0] - reach), min(len(words), hits[b - 1][0] + SEED + reach)
-                        passage = words[begin:end]
-                        if np.isin(passage, items.distinct[k]).sum() >= LEAST_SCORE * len(item):
-                            rows.append((None, None, doc_id, item_id, sorted({int(items.grams[g].astype(np.int64)) for _, g in hits[a:b]}), begin, passage.tobytes()))
-            yield _batch(rows)
-        yield _batch([(int(items.grams[g].astype(np.int64)), n, None, None, None, None, None) for g, n in docs.items()])
-
-    return run
-
-
-def _aligned(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(Items(sent.value).items)
-        for batch in batches:
-            rows = []
-            for doc_id, item_id, first, words in zip(*(batch[c].to_pylist() for c in ("doc_id", "item_id", "first", "words")), strict=True):
-                score, begin, end = align(known[item_id], np.frombuffer(words, dtype=np.uint64))
-                if score >= LEAST_SCORE:
-                    rows.append((doc_id, item_id, score, first + begin, first + end))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "first_word", "last_word"])
+                    score, begin, last = align(item, words[first:end])
+                    if score >= LEAST_SCORE:
+                        rows.append((doc_id, item_id, score, first + begin, first + last))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_LEAKS)], [c for c, _ in _LEAKS])
 
     return run
 
@@ -136,11 +141,11 @@ def _aligned(sent):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, score, first_word, last_word: the best alignment of each document and test item above LEAST_SCORE.
 
-    Each item's n-grams are ranked by the number of documents that hold them (over the whole corpus), and the rarer
-    half seeds; a document joins an item through any of its seeds. Passages that share too few words with the item to
-    reach the threshold are left out beforehand, which can't lose a result. Words are runs of letters, digits and
-    underscores in lower case. Null and empty texts match nothing, nor do items of fewer than three words; rows that
-    repeat a doc_id or item_id count as one, the best score standing; other columns are ignored.
+    Passages that hold too few of an item's word pairs, or share too few words with it, to reach the threshold are left
+    out before alignment, which can't lose a result: every alignment at the threshold is found, however rare or frequent
+    its words are. Words are runs of letters, digits and underscores in lower case. Null and empty texts match nothing,
+    nor do items of fewer than three words; rows that repeat a doc_id or item_id count as one, the best score standing;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -150,20 +155,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_W
     found = None
     for b in range(blocks):
         rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").collect()]
-        part = _search(docs, spark.sparkContext.broadcast(rows), Items(rows))
+        sent = spark.sparkContext.broadcast(rows)
+        part = scratch.stage(docs.select("doc_id", "text").mapInArrow(_leaks(sent), "doc_id long, item_id long, score double, first_word long, last_word long"), "leaks")
         found = part if found is None else found.union(part)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "first_word")
     return found.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
-
-
-def _search(docs: DataFrame, sent, items: Items) -> DataFrame:
-    spark = docs.sparkSession
-    seen = scratch.stage(docs.select("doc_id", "text").mapInArrow(_scan(sent), _SCHEMA), "passages")
-    owned = [(items.items[k][0], int(g.astype(np.int64))) for i, g in enumerate(items.grams) for k in items.owners_of(i).tolist()]
-    known = spark.createDataFrame(owned, "item_id long, gram long")
-    counts = seen.where("gram is not null").groupBy("gram").agg(F.sum("docs").alias("docs"))
-    rarest = Window.partitionBy("item_id").orderBy("docs", "gram")
-    ranked = known.join(counts, "gram", "left").fillna(0, ["docs"]).withColumn("k", F.row_number().over(rarest)).withColumn("n", F.count("*").over(Window.partitionBy("item_id")))
-    seeds = F.broadcast(ranked.where(F.col("k") <= F.ceil(F.col("n") * RAREST)).groupBy("item_id").agg(F.collect_list("gram").alias("seeds")))
-    passages = seen.where("item_id is not null").join(seeds, "item_id").where(F.arrays_overlap("grams", "seeds"))
-    return scratch.stage(passages.select("doc_id", "item_id", "first", "words").mapInArrow(_aligned(sent), "doc_id long, item_id long, score double, first_word long, last_word long"), "leaks")

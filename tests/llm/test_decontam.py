@@ -86,3 +86,34 @@ def test_query_over_the_table(spark, sf_dir):
     assert exact <= got.keys()
     for (d, i), score in list(got.items())[:20]:
         assert abs(slow_score(words(dict(items)[i]), words(dict(docs)[d])) - score) < 1e-9
+
+
+def test_edited_and_partial_copies_that_stand_alone(spark):
+    """Each copy is the only one of its item; scores are from 0.45 up, some without three words in a row."""
+    draw = np.random.default_rng(11)
+    fresh = iter(range(10**6))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(n))) for i, n in enumerate([40, 38, 25, 12, 40, 40, 40, 40, 3, 40, 20])]
+    cut = lambda w, step: " ".join(f"new{next(fresh)}" if k % step == step - 1 else x for k, x in enumerate(w))
+    w = [x.split() for _, x in items]
+    copies = [cut(w[0], 5), cut(w[1], 4), cut(w[2], 3), cut(w[3], 3), " ".join(w[4][:20]), " ".join(w[5][20:]), cut(w[6], 6)]
+    copies.append(" ".join(f"{x} new{next(fresh)}" for x in w[7]))  # a word between any two: more than twice as long
+    copies.append(f"{w[8][0]} other {w[8][2]}")
+    copies.append(" ".join(x for k, x in enumerate(w[9]) if k % 3))  # a third left out
+    copies.append(" ".join(f"new{next(fresh)}" if draw.random() < 0.25 else x for x in w[10]))
+    docs = [(i, " ".join(f"d{i}n{k}" for k in range(60)) + f" {c} " + " ".join(f"d{i}m{k}" for k in range(60))) for i, c in enumerate(copies)]
+    expected = {i: slow_score(w[i], words(t)) for i, t in docs}
+    assert min(expected.values()) >= LEAST_SCORE
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.score, 9) for r in got} == {(i, i): round(x, 9) for i, x in expected.items()}
+
+
+def test_passages_hold_every_alignment_at_the_threshold():
+    draw = np.random.default_rng(3)
+    for _ in range(400):
+        n, vocab = int(draw.integers(3, 14)), int(draw.integers(3, 12))
+        item, doc = [" ".join(f"w{x}" for x in draw.integers(0, vocab, m)) for m in (n, int(draw.integers(2, 40)))]
+        found = decontam.Items([(1, item)])
+        hashed = decontam.hashed_words(doc, decontam.WordHashes())
+        score = max((align(found.items[0][1], hashed[a:b])[0] for _, a, b in found.passages(hashed)), default=0)
+        true = slow_score(words(item), words(doc))
+        assert abs(score - true) < 1e-9 if true >= LEAST_SCORE else score < LEAST_SCORE
