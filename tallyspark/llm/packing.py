@@ -1,8 +1,9 @@
 """Packing by lexical retrieval: a sharded BM25 index returns unused neighbours that fill each seed's window.
 
 Documents become token ids once. Whole windows of long documents stand as they are; what is left of each document is
-a fragment. Fragments are ranged by a MinHash of their bigrams, so that near texts meet in a shard, and every shard
-of bounded size has an inverted index with corpus-wide document frequencies. A seed's best unused neighbours fill its
+a fragment. Fragments are ranged by a MinHash of their documents' bigrams, so that near texts meet in a shard, and every
+shard of bounded size has an inverted index of the fragments' whole documents with corpus-wide document frequencies. A
+seed asks for all its document's terms, within its shard. Its best unused neighbours fill its
 window to the last token, the last of them cut where the window ends. What a partition has left at its end, less than
 a window, is cut into powers of two, which need no padding.
 """
@@ -22,8 +23,8 @@ from tallyspark import scratch
 from tallyspark.llm.batches import sliced, small_batches
 
 WINDOW, END_ID = 4096, 2
-#: Fragments in a shard's index, and terms of a seed that query it (those with the highest weights).
-SHARD, QUERY_TERMS = 2048, 32
+#: Fragments in a shard's index.
+SHARD = 2048
 K1, B = 1.2, 0.75
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _KINDS = f"kind string, {_PIECES}, near long, ids binary, terms array<int>, counts array<long>"
@@ -100,11 +101,14 @@ def _tokenised(path: str, window: int):
                 ids = np.append(chunks.ids(text.as_py() or ""), np.array([END_ID], dtype=chunks.kind))
                 whole = len(ids) // window * window
                 rows += [("window", doc_id, at, window, crc(ids[at : at + window]), len(ids), None, None, None, None) for at in range(0, whole, window)]
+                terms, counts = np.unique(ids, return_counts=True)
+                seen[terms] += 1
                 if whole < len(ids):
                     rest = ids[whole:]
-                    seen[np.unique(rest)] += 1
-                    rows.append(("fragment", doc_id, whole, len(rest), None, len(ids), near_key(rest), rest.tobytes(), None, None))
-                    size += rest.nbytes
+                    # A shorter document's terms are those of its fragment.
+                    told = (terms.tolist(), counts.tolist()) if whole else (None, None)
+                    rows.append(("fragment", doc_id, whole, len(rest), None, len(ids), near_key(ids), rest.tobytes(), *told))
+                    size += rest.nbytes + whole // 4
                 if size > 8 << 20:
                     yield batch_of(rows)
                     rows, size = [], 0
@@ -116,21 +120,22 @@ def _tokenised(path: str, window: int):
 
 
 class Shard:
-    """Fragments with an inverted index; ``take`` removes tokens of one for a window."""
+    """Fragments with an inverted index; ``take`` removes tokens of one for a window.
+
+    A fragment is (doc_id, start, ids, doc_tokens), and what its document holds beyond ``ids`` counts if its terms and
+    their counts follow as a fifth.
+    """
 
     def __init__(self, fragments: list[tuple], idf: np.ndarray, mean_length: float):
         self.fragments = fragments
         self.taken = np.zeros(len(fragments), dtype=np.int64)
         self.lengths = np.array([len(f[2]) for f in fragments], dtype=np.int64)
-        terms, weights = [], []
-        for _, _, ids, _ in fragments:
-            t, n = np.unique(ids, return_counts=True)
-            terms.append(t.astype(np.int64))
-            weights.append(idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(ids) / mean_length)))
-        self.queries = [t[np.lexsort((t, -w))[:QUERY_TERMS]] for t, w in zip(terms, weights, strict=True)]
-        every = np.concatenate(terms)
+        self.documents = [f[4] if len(f) > 4 and f[4] else np.unique(f[2], return_counts=True) for f in fragments]
+        self.queries = [t.astype(np.int64) for t, _ in self.documents]
+        weights = [idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * n.sum() / mean_length)) for t, n in self.documents]
+        every = np.concatenate(self.queries)
         order = np.argsort(every, kind="stable")
-        self.owners = np.repeat(np.arange(len(fragments)), [len(t) for t in terms])[order]
+        self.owners = np.repeat(np.arange(len(fragments)), [len(t) for t in self.queries])[order]
         self.weights = np.concatenate(weights)[order]
         self.terms, first = np.unique(every[order], return_index=True)
         self.bounds = np.append(first, len(every))
@@ -139,7 +144,7 @@ class Shard:
         return self.lengths - self.taken
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Unused fragments that share a query term with the seed, best first, ties in order."""
+        """Unused fragments that share a term with the seed, best first, ties in order."""
         at = np.searchsorted(self.terms, self.queries[seed])
         spans = [slice(self.bounds[i], self.bounds[i + 1]) for i in at]
         scores = np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.fragments))
@@ -150,7 +155,7 @@ class Shard:
 
     def take(self, i: int, most: int) -> tuple:
         """A piece of up to ``most`` tokens: doc_id, start, ids, doc_tokens."""
-        doc_id, start, ids, doc_tokens = self.fragments[i]
+        doc_id, start, ids, doc_tokens = self.fragments[i][:4]
         at = int(self.taken[i])
         part = ids[at : at + most]
         self.taken[i] += len(part)
@@ -177,13 +182,13 @@ class Shard:
 
     def rest(self) -> list[tuple]:
         """Fragments that still have tokens, as they then are."""
-        return [(doc_id, start + int(t), ids[t:], doc_tokens) for (doc_id, start, ids, doc_tokens), t in zip(self.fragments, self.taken, strict=True) if t < len(ids)]
+        return [(f[0], f[1] + int(t), f[2][t:], f[3], d) for f, t, d in zip(self.fragments, self.taken, self.documents, strict=True) if t < len(f[2])]
 
 
 def powers(fragments: list[tuple]) -> Iterator[list[tuple]]:
     """Fewer tokens than a window, cut into sequences whose lengths are powers of two."""
     left, at = sum(len(f[2]) for f in fragments), 0
-    queue = [list(f) for f in fragments]
+    queue = [list(f[:4]) for f in fragments]
     while left:
         room, pieces = 1 << (left.bit_length() - 1), []
         left -= room
@@ -217,8 +222,9 @@ def _packed(sent, window: int, shard: int):
 
         waiting: list[tuple] = []
         for batch in batches:
-            for doc_id, start, ids, doc_tokens in zip(batch["doc_id"].to_pylist(), batch["start"].to_pylist(), batch["ids"], batch["doc_tokens"].to_pylist(), strict=True):
-                waiting.append((doc_id, start, np.frombuffer(ids.as_py(), dtype=kind), doc_tokens))
+            for doc_id, start, ids, doc_tokens, terms, counts in zip(batch["doc_id"].to_pylist(), batch["start"].to_pylist(), batch["ids"], batch["doc_tokens"].to_pylist(), batch["terms"], batch["counts"], strict=True):
+                document = (terms.values.to_numpy(), counts.values.to_numpy()) if terms.is_valid else None
+                waiting.append((doc_id, start, np.frombuffer(ids.as_py(), dtype=kind), doc_tokens, document))
                 if len(waiting) >= shard:
                     index = Shard(waiting, idf, mean_length)
                     yield rows_of(index.windows(window))
@@ -243,16 +249,18 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = SHA
     small_batches(spark)
     rows = scratch.stage(docs.select("doc_id", "text").mapInArrow(_tokenised(tokenizer, window), _KINDS), "token-ids")
     fragments = rows.where("kind = 'fragment'")
-    n, mean_length = fragments.agg(F.count("*"), F.avg("length")).first()
+    n = fragments.count()
+    # Each document once, by its last piece.
+    n_docs, mean_length = rows.where("start + length = doc_tokens").agg(F.count("*"), F.avg("doc_tokens")).first()
     # One count per term of the vocabulary.
     counts = rows.where("kind = 'terms'").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("df"))
     chunks = ChunkIds(tokenizer)
     df = np.zeros(max(chunks.tokenizer.get_vocab_size(), END_ID + 1))
     for term, found in counts.collect():
         df[term] = found
-    sent = spark.sparkContext.broadcast((np.log1p((n - df + 0.5) / (df + 0.5)), mean_length or 1.0, chunks.kind))
+    sent = spark.sparkContext.broadcast((np.log1p((n_docs - df + 0.5) / (df + 0.5)), mean_length or 1.0, chunks.kind))
     whole = rows.where("kind = 'window'").select(*[c.split()[0] for c in _PIECES.split(", ")], (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     salt = F.xxhash64("doc_id", "start")
-    ranged = fragments.select("near", salt.alias("salt"), "doc_id", "start", "ids", "doc_tokens").repartitionByRange(max(1, -(-n // (2 * shard))), "near", "salt")
+    ranged = fragments.select("near", salt.alias("salt"), "doc_id", "start", "ids", "doc_tokens", "terms", "counts").repartitionByRange(max(1, -(-n // (2 * shard))), "near", "salt")
     packed = ranged.sortWithinPartitions("near", "salt", "doc_id", "start").mapInArrow(_packed(sent, window, shard), f"{_PIECES}, sequence_id long, offset long")
     return whole.union(packed)

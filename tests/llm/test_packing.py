@@ -82,3 +82,30 @@ def test_scores_equal_plain_bm25():
 def test_query_over_the_table(spark, sf_dir, encode):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     check(rows, queries.op5_packing(spark, sf_dir).collect(), encode, 4096)
+
+
+def test_a_fragment_is_found_by_its_whole_document_and_any_term():
+    """Fragment 0's last tokens say nothing of its topic; fragment 1 shares only its 40th and lightest term with 2."""
+    n = lambda terms: np.array(terms, dtype=np.uint16)
+    topic = np.arange(100, 140)
+    fragments = [(0, 64, n([1]), 65, (np.append(1, topic), np.append(1, np.full(40, 2)))), (1, 0, n([*range(200, 239), 50]), 40), (2, 0, n([50, *range(300, 320)]), 21), (3, 0, n(topic), 40)]
+    idf = np.ones(400)
+    idf[50] = 0.01
+    shard = packing.Shard(fragments, idf, 40.0)
+    assert shard.neighbours(3).tolist() == [0] and shard.neighbours(0).tolist() == [3]
+    assert shard.neighbours(1).tolist() == [2]
+    shard.take(3, 10)
+    assert packing.Shard(shard.rest(), idf, 40.0).neighbours(3).tolist() == [0]
+
+
+def test_documents_count_whole(spark, encode, monkeypatch):
+    rows = [(1, "river " * 70 + "stone"), (2, "stone"), (3, "river")]
+    told, made = [], packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda sent, *a: told.append(sent.value) or made(sent, *a))
+    check(rows, packing.pack(spark.createDataFrame([(*r, "clash", 1) for r in rows], DOCS), PATH, window=64).collect(), encode, 64)
+    idf, mean_length, _ = told[0]
+    ids = [encode(t) for _, t in rows]
+    assert mean_length == np.mean([len(x) for x in ids])
+    for term in set(np.concatenate(ids).tolist()):
+        df = sum(term in x for x in ids)
+        assert abs(idf[term] - np.log1p((3 - df + 0.5) / (df + 0.5))) < 1e-12
