@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
 from tallyspark.functions import text
 from tallyspark.operators import routing
 from tallyspark.plans.tables import table
@@ -83,11 +84,22 @@ def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(train), "source", "left_semi").withColumn("split", F.lit("train")).unionByName(docs.join(F.broadcast(train), "source", "left_anti").withColumn("split", F.lit("test"))).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
 
 
+def _router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents with the router's features over their whole text, and the vector at the place of their id,
+    modulo the number of vectors, in the order of vectors' ids."""
+    vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    places = vecs.select("vec_id").distinct().orderBy("vec_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("vec_id long, place long")
+    docs = table(spark, sf_dir, "documents").withColumn("docs", F.lit(1))
+    # Features before the join, so that no text is shuffled.
+    told = routing.route_table(docs, "text", "docs", "n_chars").select("doc_id", "lang", "source", *routing.FEATURES).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    rows = told.withColumn("place", F.pmod("doc_id", F.lit(places.count()))).join(vecs.join(places, "vec_id"), "place")
+    # The fit reads them many times.
+    return scratch.stage(rows.drop("place", "vec_id").withColumn("needs_large", (F.col("quality") == 0).cast("double")), "router-rows")
+
+
 def router_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A router fitted on even documents, applied to odd ones: mean probability per language."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("vec_id", F.pmod("doc_id", F.lit(500)))
-    rows = docs.join(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    rows = routing.route_table(rows.withColumn("query", F.substring("text", 1, 400)).withColumn("docs", F.lit(1)), "query", "docs", "n_chars").withColumn("needs_large", (F.col("quality") == 0).cast("double"))
+    rows = _router_rows(spark, sf_dir)
     score = routing.fit_router(rows.where("doc_id % 2 = 0"), "embedding", "needs_large")
     return score(rows.where("doc_id % 2 = 1")).groupBy("lang", "quality").agg(F.count("*").alias("n"), F.bround(F.avg("p_large"), 3).alias("mean_p"))
 
