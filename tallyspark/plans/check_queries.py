@@ -23,6 +23,11 @@ def dq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.violations(docs, "doc_id", rules).union(orphans)
 
 
+def label_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label against every document; dq_violations, as its SQL has it, looks at a part of both."""
+    return checks.missing(table(spark, sf_dir, "labels"), "doc_id", "doc_id", table(spark, sf_dir, "documents"), "doc_id", "label without document")
+
+
 def missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders whose customer is not among those in credit."""
     known = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
@@ -89,7 +94,7 @@ def merged_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages, allowMissingColumns=True)
 
 
-QUERIES = {f.__name__: f for f in (dq_violations, missing_parents, cluster_expansion, local_references, source_identity, served_answers, metric_gates, merged_modes)}
+QUERIES = {f.__name__: f for f in (dq_violations, label_references, missing_parents, cluster_expansion, local_references, source_identity, served_answers, metric_gates, merged_modes)}
 
 _CLUSTER = """o as (select *, row_number() over (partition by o_custkey order by o_orderkey) - 1 as li from orders),
   c as (select o_custkey as cluster_id, li::int as local_index, case li % 4 when 3 then 'exact' when 2 then 'semantic' when 1 then 'tricky' else 'cold' end as variant, case when li % 4 = 3 then li - 1 end as copy, o_orderstatus as answer_id,
@@ -97,6 +102,7 @@ _CLUSTER = """o as (select *, row_number() over (partition by o_custkey order by
 _SUMMARY = cache_queries.ORACLE_SQL["exact_cache_summary"]
 
 ORACLE_SQL = {
+    "label_references": "select doc_id as id, 'label without document' as rule from labels l where doc_id is not null and not exists (select 1 from documents d where d.doc_id = l.doc_id)",
     "dq_violations": r"""select doc_id as id, 'length agrees' as rule from documents where length(text) <> n_chars union all select doc_id, 'long enough' from documents where n_chars < 100
         union all select doc_id, 'ends a sentence' from documents where not regexp_matches(text, '[.!?]\s*$') union all select doc_id, 'known source' from documents where not regexp_matches(source, '^src[0-9]+$')
         union all select doc_id, 'label without document' from labels where doc_id % 5 = 0 and doc_id not in (select doc_id from documents where lang <> 'de')""",
