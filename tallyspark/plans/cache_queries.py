@@ -47,15 +47,23 @@ def cache_key_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderpriority", "o_orderstatus", F.array_join("docs", ",")), 256).alias("key"), F.size("docs").alias("n_docs"))
 
 
-def numbers_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each English document's text against the one of the document before, in the numbers that both hold."""
+def _numbers_guard(docs: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("before", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id")))
-    found = docs.where("before is not null")
+    found = docs.withColumn("before", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))).where("before is not null")
     return found.select("doc_id", F.size(text.numbers(F.col("text"))).alias("n_numbers"), text.numbers_match(F.col("text"), F.col("before")).alias("same"))
 
 
+def numbers_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each English document's text against the one of the document before, in the numbers that both hold."""
+    return _numbers_guard(table(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+def numbers_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents of all languages."""
+    return _numbers_guard(table(spark, sf_dir, "documents"))
+
+
 def negation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = turns(spark, sf_dir).where("before is not null")
     # Every third text gains a negation, so that both outcomes occur.
@@ -148,7 +156,7 @@ def latest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tenant", "layer", "event_id", "tokens", (F.col("at") + cache.TTL_SECONDS).alias("expires"))
 
 
-QUERIES = {f.__name__: f for f in (exact_cache_replay, exact_cache_summary, cache_key_orders, numbers_guard, negation_guard, query_jaccard, similar_pairs, knn_by_tenant, threshold_sweep, semantic_modes, ttl_cache, live_cache, latest_entries)} | {"semantic_replay": semantic_replay}
+QUERIES = {f.__name__: f for f in (exact_cache_replay, exact_cache_summary, cache_key_orders, numbers_guard, numbers_guard_all, negation_guard, query_jaccard, similar_pairs, knn_by_tenant, threshold_sweep, semantic_modes, ttl_cache, live_cache, latest_entries)} | {"semantic_replay": semantic_replay}
 
 _EXACT = f"""out as (
   select doc_id, row_number() over w > 1 as hit, case when row_number() over w > 1 then first_value(doc_id) over w end as served_from, {sql_tokens('text')} as tokens
@@ -202,6 +210,8 @@ ORACLE_SQL = {
         select o_orderkey, sha256(concat_ws('|', o_orderpriority, o_orderstatus, array_to_string(docs, ','))) as key, len(docs)::int as n_docs from orders join p on l_orderkey = o_orderkey""",
     "numbers_guard": f"""with d as (select *, lag(text) over (partition by source order by doc_id) as before from documents where lang = 'en')
         select doc_id, len({_NUMBERS.format('text')})::int as n_numbers, {_NUMBERS.format('text')} = {_NUMBERS.format('before')} as same from d where before is not null""",
+    "numbers_guard_all": f"""with d as (select *, lag(text) over (partition by source order by doc_id) as before from documents)
+        select doc_id, len({_NUMBERS.format('text')})::int as n_numbers, {_NUMBERS.format('text')} = {_NUMBERS.format('before')} as same from d where before is not null""",
     "negation_guard": f"""with {SQL_TURNS}, t as (select conv_id, turn, case when conv_id % 3 = 0 then text || ' is not and isn''t' else text end as new, before from said where before is not null),
         n as (select conv_id, turn, {_NEGATIONS.format('new')} as x, {_NEGATIONS.format('before')} as y from t)
         select conv_id, turn, len(x)::int as n_negations, {_SURPLUS.format('x', 'y')} = {_SURPLUS.format('y', 'x')} as same from n""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.operators import context
-from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_SCORED, SQL_STRIPPED, chunks, joined, scored, sections, sql_sentences, sql_tokens, table
+from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_SCORED, SQL_STRIPPED, chunks, joined, numbered, scored, sections, sql_sentences, sql_tokens, table
 
 BUDGETS = (200, 400, 800, 1200)
 
@@ -79,10 +79,11 @@ def sentence_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three facts per document, two of its own words and one of a test item, and how many its text keeps."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("foreign"))
+    items, n = numbered(table(spark, sf_dir, "benchmark"), "item_id")
+    items = items.select("place", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("foreign"))
     words = F.split("text", " ")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(F.slice(words, 2, 3), " ").alias("near"), F.concat_ws(" ", F.get(words, 1), F.get(words, 5)).alias("apart"), (F.col("doc_id") % 40).alias("item_id"))
-    rows = docs.join(F.broadcast(items.where("item_id < 40")), "item_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(F.slice(words, 2, 3), " ").alias("near"), F.concat_ws(" ", F.get(words, 1), F.get(words, 5)).alias("apart"), F.pmod("doc_id", F.lit(n)).alias("place"))
+    rows = docs.join(F.broadcast(items), "place")
     facts = F.array("near", "apart", "foreign")
     return rows.select("doc_id", F.size(text.facts_in(facts, F.col("text"))).alias("n_exact"), *(text.fact_kept_loose(F.col(c), F.col("text")).alias(f"{c}_loose") for c in ("near", "apart", "foreign")))
 

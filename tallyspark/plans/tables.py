@@ -28,11 +28,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.chunks(attachments(spark, sf_dir), sections(spark, sf_dir).select("doc_id", "title", "section_pos", "section", "body")).withColumn("req_id", F.col("req_id").cast("long"))
 
 
+def numbered(rows: DataFrame, ident: str) -> tuple[DataFrame, int]:
+    """Rows with the place of their id among all ids, from 0, and the number of ids."""
+    places = rows.select(ident).where(F.col(ident).isNotNull()).distinct().orderBy(ident).rdd.map(lambda r: r[0]).zipWithIndex().toDF(f"{ident} long, place long")
+    return rows.join(places, ident), max(1, places.count())
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks with the cosine of a section's vector and the request's, both picked by id from ``embeddings``."""
-    rows = chunks(spark, sf_dir).withColumn("sv", F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17, F.lit(500))).withColumn("qv", F.pmod("req_id", F.lit(500)))
-    vecs = table(spark, sf_dir, "embeddings").where("vec_id < 500")
-    pairs = rows.join(vecs.select(F.col("vec_id").alias("sv"), F.col("embedding").alias("se")), "sv").join(vecs.select(F.col("vec_id").alias("qv"), F.col("embedding").alias("qe")), "qv")
+    """Chunks with the cosine of a section's vector and the request's, both picked from all ``embeddings`` by id."""
+    vecs, n = numbered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
+    rows = chunks(spark, sf_dir).withColumn("sv", F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17, F.lit(n))).withColumn("qv", F.pmod("req_id", F.lit(n)))
+    pairs = rows.join(vecs.select(F.col("place").alias("sv"), F.col("embedding").alias("se")), "sv").join(vecs.select(F.col("place").alias("qv"), F.col("embedding").alias("qe")), "qv")
     return pairs.withColumn("score", F.bround(vectors.dot(F.col("se"), F.col("qe")), 6)).drop("se", "qe", "sv", "qv")
 
 
