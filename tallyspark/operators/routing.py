@@ -1,4 +1,4 @@
-"""Model routing: rules, a logistic router with out-of-fold thresholds, and choices among configurations."""
+"""Model routing: rules, a logistic router, thresholds from given probabilities, and choices among configurations."""
 
 from __future__ import annotations
 

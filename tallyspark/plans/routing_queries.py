@@ -28,7 +28,7 @@ def rules_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probabilities stand in as a hash of the id; low quality is complex."""
+    """Made-up probabilities, a hash of the id shifted by the label, stand in for out-of-fold ones; low quality is complex."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     p = F.pmod(F.col("doc_id") * 7919, F.lit(997)) / 997
     complex_ = F.col("quality") == 0
