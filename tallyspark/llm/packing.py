@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import scratch
 from tallyspark.llm.batches import sliced, small_batches
+from tallyspark.llm.wordids import WordIds, vocabulary
 
 WINDOW, END_ID = 4096, 2
 #: Fragments in a shard's index.
@@ -30,59 +32,21 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _KINDS = f"kind string, {_PIECES}, near long, ids binary, terms array<int>, counts array<long>"
 
 
-class ChunkIds(dict):
-    """Token ids, as bytes, of what stands between blanks and line feeds; kept, in two generations of bounded size.
-
-    The tokenizer drops white space before it splits words, and no word, normalisation or special token crosses it:
-    a text's ids are those of its chunks in turn. A chunk of ASCII letters is one word, and a full stop or comma after
-    it another, so the library's model gets such words without the detour through its text splitter.
-    """
-
-    def __init__(self, path: str):
-        super().__init__()
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.older: dict[str, bytes] = {}
-        # Only where the library splits like this may words go to its model directly.
-        self.plain = self._encoded("Word,") == self._word("word") + self._encoded(",")
-
-    def _encoded(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        return np.array([t.id for t in self.tokenizer.model.tokenize(word)], dtype=self.kind).tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > 200_000:
-            self.older = dict(self)
-            self.clear()
-        found = self.older.get(chunk)
-        if found is None:
-            body, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
-            if self.plain and body.isascii() and body.isalpha():
-                found = self._word(body.lower()) + (self[tail] if tail else b"")
-            else:
-                found = self._encoded(chunk)
-        self[chunk] = found
-        return found
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), dtype=self.kind)
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and how often each stands there."""
+    ids = np.sort(ids, kind="stable")
+    first = np.concatenate(([0], (ids[1:] != ids[:-1]).nonzero()[0] + 1))
+    return ids[first], np.diff(first, append=len(ids))
+
+
 def near_key(ids: np.ndarray) -> int:
     """The least hash of two neighbouring ids."""
     x = ids.astype(np.uint64)
-    pairs = (x[:-1] << np.uint64(32) | x[1:]) if len(x) > 1 else x
-    return int(((pairs * np.uint64(0x9E3779B97F4A7C15)) ^ (pairs * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(31))).min() >> np.uint64(1))
+    return int(((x[:-1] * np.uint64(0xD6E8FEB86659FD93) ^ (x[1:] if len(x) > 1 else x)) * np.uint64(0x9E3779B97F4A7C15)).min(initial=np.uint64(2**64 - 1)) >> np.uint64(1))
 
 
 def _tokenised(path: str, window: int):
@@ -93,16 +57,18 @@ def _tokenised(path: str, window: int):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = ChunkIds(path)
-        seen = np.zeros(max(chunks.tokenizer.get_vocab_size(), END_ID + 1), dtype=np.int64)
+        words = WordIds(path)
+        seen = np.zeros(max(words.size, END_ID + 1), dtype=np.int64)
+        end = np.array([END_ID], dtype=words.dtype)
         for batch in sliced(batches):
             rows, size = [], 0
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.append(chunks.ids(text.as_py() or ""), np.array([END_ID], dtype=chunks.kind))
+            texts = words.texts([t or "" for t in batch["text"].to_pylist()])
+            for doc_id, ids in zip(batch["doc_id"].to_pylist(), texts, strict=True):
+                ids = np.concatenate((ids, end))
+                terms, counts = terms_of(ids)
+                seen[terms] += 1
                 whole = len(ids) // window * window
                 rows += [("window", doc_id, at, window, crc(ids[at : at + window]), len(ids), None, None, None, None) for at in range(0, whole, window)]
-                terms, counts = np.unique(ids, return_counts=True)
-                seen[terms] += 1
                 if whole < len(ids):
                     rest = ids[whole:]
                     # A shorter document's terms are those of its fragment.
@@ -128,30 +94,67 @@ class Shard:
 
     def __init__(self, fragments: list[tuple], idf: np.ndarray, mean_length: float):
         self.fragments = fragments
-        self.taken = np.zeros(len(fragments), dtype=np.int64)
+        n = len(fragments)
+        self.taken = np.zeros(n, dtype=np.int64)
         self.lengths = np.array([len(f[2]) for f in fragments], dtype=np.int64)
-        self.documents = [f[4] if len(f) > 4 and f[4] else np.unique(f[2], return_counts=True) for f in fragments]
-        self.queries = [t.astype(np.int64) for t, _ in self.documents]
-        weights = [idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * n.sum() / mean_length)) for t, n in self.documents]
-        every = np.concatenate(self.queries)
-        order = np.argsort(every, kind="stable")
-        self.owners = np.repeat(np.arange(len(fragments)), [len(t) for t in self.queries])[order]
-        self.weights = np.concatenate(weights)[order]
-        self.terms, first = np.unique(every[order], return_index=True)
+        # What a document holds beyond its fragment is told with it; else the fragment is the document.
+        self.documents = [f[4] if len(f) > 4 else None for f in fragments]
+        own = np.array([d is None for d in self.documents])
+        postings = np.concatenate([f[2] for f, d in zip(fragments, self.documents, strict=True) if d is None] or [self.taken[:0]]).astype(np.int64)
+        postings *= n
+        postings += np.repeat(np.flatnonzero(own), self.lengths[own])
+        postings.sort()
+        first = np.concatenate(([0], np.flatnonzero(np.diff(postings)) + 1))[: len(postings)]
+        postings, counts = postings[first], np.diff(first, append=len(postings))
+        if told := [(i, *d) for i, d in enumerate(self.documents) if d is not None]:
+            more = np.concatenate([np.asarray(t, dtype=np.int64) * n + i for i, t, _ in told])
+            order = np.argsort(more)
+            at = np.searchsorted(postings, more[order])
+            postings, counts = np.insert(postings, at, more[order]), np.insert(counts, at, np.concatenate([c for _, _, c in told])[order])
+        sizes = self.lengths.astype(float)
+        sizes[~own] = [c.sum() for _, _, c in told]
+        every, self.owners = np.divmod(postings, n)
+        self.weights = idf[every] * counts * (K1 + 1) / (counts + (K1 * (1 - B) + K1 * B / mean_length * sizes)[self.owners])
+        self.terms, first = np.unique(every, return_index=True)
         self.bounds = np.append(first, len(every))
+        # Terms of many fragments have a row of weights, so that a query adds rows instead of postings.
+        often = np.flatnonzero(np.diff(self.bounds) * 8 > n)
+        self.row = np.full(len(self.terms), -1, dtype=np.int64)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), n))
+        for k, i in enumerate(often):
+            part = slice(self.bounds[i], self.bounds[i + 1])
+            self.rows[k, self.owners[part]] = self.weights[part]
 
     def left(self) -> np.ndarray:
         return self.lengths - self.taken
 
+    def query(self, i: int) -> np.ndarray:
+        document = self.documents[i]
+        return terms_of(self.fragments[i][2])[0] if document is None else document[0]
+
+    @property
+    def queries(self) -> list[np.ndarray]:
+        """The terms of each fragment's document."""
+        return [self.query(i) for i in range(len(self.fragments))]
+
     def neighbours(self, seed: int) -> np.ndarray:
         """Unused fragments that share a term with the seed, best first, ties in order."""
-        at = np.searchsorted(self.terms, self.queries[seed])
-        spans = [slice(self.bounds[i], self.bounds[i + 1]) for i in at]
-        scores = np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(self.fragments))
-        scores[self.left() == 0] = 0
+        return np.array(list(self.best(seed)), dtype=np.int64)
+
+    def best(self, seed: int) -> Iterator[int]:
+        at = np.searchsorted(self.terms, self.query(seed))
+        rows, scores = self.row[at], np.zeros(len(self.fragments))
+        for i in rows[rows >= 0].tolist():
+            scores += self.rows[i]
+        if spans := [slice(self.bounds[i], self.bounds[i + 1]) for i in at[rows < 0].tolist()]:
+            scores += np.bincount(np.concatenate([self.owners[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), len(scores))
+        scores[self.taken == self.lengths] = 0
         scores[seed] = 0
-        found = np.nonzero(scores)[0]
-        return found[np.lexsort((found, -scores[found]))]
+        # A window seldom takes more than the best few: the others are sorted only when asked for.
+        least = np.partition(scores, -64)[-64] if len(scores) > 64 else 0.0
+        for found in (np.flatnonzero((scores >= least) & (scores > 0)), np.flatnonzero((scores < least) & (scores > 0))):
+            yield from found[np.lexsort((found, -scores[found]))].tolist()
 
     def take(self, i: int, most: int) -> tuple:
         """A piece of up to ``most`` tokens: doc_id, start, ids, doc_tokens."""
@@ -170,19 +173,23 @@ class Shard:
             room = window
             pieces = [self.take(seed, room)]
             room -= len(pieces[0][2])
-            if room:
-                # Beyond the fragments with any word in common come the others in order.
-                for group in (self.neighbours(seed), range(seed, len(self.fragments))):
-                    for i in group:
-                        if room and self.taken[i] < self.lengths[i]:
-                            pieces.append(self.take(int(i), room))
-                            room -= len(pieces[-1][2])
+            # Beyond the fragments with any word in common come the others in order.
+            for i in chain(self.best(seed), range(seed, len(self.fragments))) if room else ():
+                if self.taken[i] < self.lengths[i]:
+                    pieces.append(self.take(i, room))
+                    room -= len(pieces[-1][2])
+                    if not room:
+                        break
             total -= window
             yield pieces
 
     def rest(self) -> list[tuple]:
         """Fragments that still have tokens, as they then are."""
-        return [(f[0], f[1] + int(t), f[2][t:], f[3], d) for f, t, d in zip(self.fragments, self.taken, self.documents, strict=True) if t < len(f[2])]
+        found = []
+        for f, t, d in zip(self.fragments, self.taken.tolist(), self.documents, strict=True):
+            if t < len(f[2]):
+                found.append((f[0], f[1] + t, f[2][t:], f[3], terms_of(f[2]) if d is None and t else d))
+        return found
 
 
 def powers(fragments: list[tuple]) -> Iterator[list[tuple]]:
@@ -254,11 +261,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, shard: int = SHA
     n_docs, mean_length = rows.where("start + length = doc_tokens").agg(F.count("*"), F.avg("doc_tokens")).first()
     # One count per term of the vocabulary.
     counts = rows.where("kind = 'terms'").select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy("x.terms").agg(F.sum("x.counts").alias("df"))
-    chunks = ChunkIds(tokenizer)
-    df = np.zeros(max(chunks.tokenizer.get_vocab_size(), END_ID + 1))
+    size, kind = vocabulary(tokenizer)
+    df = np.zeros(max(size, END_ID + 1))
     for term, found in counts.collect():
         df[term] = found
-    sent = spark.sparkContext.broadcast((np.log1p((n_docs - df + 0.5) / (df + 0.5)), mean_length or 1.0, chunks.kind))
+    sent = spark.sparkContext.broadcast((np.log1p((n_docs - df + 0.5) / (df + 0.5)), mean_length or 1.0, kind))
     whole = rows.where("kind = 'window'").select(*[c.split()[0] for c in _PIECES.split(", ")], (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     salt = F.xxhash64("doc_id", "start")
     ranged = fragments.select("near", salt.alias("salt"), "doc_id", "start", "ids", "doc_tokens", "terms", "counts").repartitionByRange(max(1, -(-n // (2 * shard))), "near", "salt")
