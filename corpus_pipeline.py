@@ -7,49 +7,43 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark import scratch
 from tallyspark.llm import decontam, ngram_join, packing, quality, toxicity
 
-#: Ids of rejected documents that a task may be sent; beyond it documents are shuffled to meet them.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose id is not among the rejected; ones without an id stay."""
-    rejected = scratch.stage(rejected.select("doc_id").where("doc_id is not null").distinct(), "rejected")
-    rejected = F.broadcast(rejected) if rejected.count() <= MAX_BROADCAST_ROWS else rejected
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxicity.score_documents(docs, _table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Rows whose text scores below 0.5 stay; null and empty texts are scored as empty ones.
+
+    Here as in the next stages each row is judged by its own values: null and repeated ids change nothing, repeated
+    rows share one fate, other columns are passed on, and an empty table stays empty.
+    """
+    return toxicity.judge_documents(docs, _table(spark, sf_dir, "labels")).where("predicted = 0").select("row.*")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.score_documents(docs, _table(spark, sf_dir, "labels")).where("not keep"))
+    """Rows that score 0.5 or more stay; at exactly 0.5 a row is kept."""
+    return quality.judge_documents(docs, _table(spark, sf_dir, "labels")).where("keep").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class stays; rows that repeat its id go."""
-    found = scratch.stage(ngram_join.classes(docs), "classes")
-    kept = _without(docs, found.where("doc_id <> class_id"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if not repeated:
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """One row of each class stays, with the least id of its class; texts without any word are one class.
+
+    Two texts under one id are judged each for itself. A row without an id stays only where no copy of it has one.
+    """
+    return ngram_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, decontam.find_leaks(docs, _table(spark, sf_dir, "benchmark")))
+    """Rows that no test item aligns with at the threshold stay; null and empty texts align with none."""
+    return decontam.without_leaks(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a sequence; null texts are packed as empty ones, repeated rows each for itself."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

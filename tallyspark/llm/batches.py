@@ -6,7 +6,8 @@ import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS = 256
 
@@ -20,6 +21,16 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
     give_back()
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one, ``row``, so that no name of theirs can clash with a new one."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
+def texts_of(batch: pa.RecordBatch) -> list[str | None]:
+    """The column ``text``, or that field of ``row``."""
+    return (batch["text"] if "text" in batch.schema.names else batch["row"].field("text")).to_pylist()
+
+
 def give_back() -> None:
     pa.default_memory_pool().release_unused()
     try:

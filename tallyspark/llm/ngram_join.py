@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced, small_batches
-from tallyspark.llm.shingles import MinHash, WordHashes, shingle_set
+from tallyspark.llm.batches import sliced, small_batches, whole_row
+from tallyspark.llm.shingles import MinHash, WordHashes, shingle_sets
 
 SIZE = 5
 #: The threshold as a fraction, so that it is compared in whole numbers.
@@ -79,12 +79,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, sign = WordHashes(), MinHash(BANDS * ROWS)
     for batch in sliced(batches):
         keys, sizes, signs = [], [], []
-        for text in batch["text"]:
-            found = shingle_set(text.as_py() or "", SIZE, known)
+        for found in shingle_sets([t or "" for t in batch["text"].to_pylist()], SIZE, known):
             keys.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
             signs.append(sign(found).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "key", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "content", "key", "n", "sig"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +97,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in sliced(batches):
-        sets = [shingle_set(text.as_py() or "", SIZE, known).tobytes() for text in batch["text"]]
+        sets = [found.tobytes() for found in shingle_sets([t or "" for t in batch["text"].to_pylist()], SIZE, known)]
         yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "hashes"])
 
 
@@ -207,17 +206,12 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text), repeated rows included.
-
-    Two rows are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8 (words are runs
-    of letters, digits and underscores in lower case); copies are linked too, and so are texts without any word, null
-    among them. A text of fewer than five words is one shingle. ``n_links`` counts the other rows that a row is
-    linked with, ``class_id`` is the least doc_id among all that links connect (null if none has an id). Other
-    columns are ignored; an empty table gives an empty result.
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, content, key) of each row, and (key, root, least, copies, links) of each distinct set: the key of its
+    component, the least id among its copies, how many there are and how many rows of other sets they are linked with.
     """
     small_batches(docs.sparkSession)
-    rows = scratch.stage(docs.select("doc_id", "text").mapInArrow(_sets, "doc_id long, key binary, n int, sig binary"), "signatures")
+    rows = scratch.stage(docs.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(_sets, "doc_id long, content long, key binary, n int, sig binary"), "signatures")
     ids = F.coalesce("doc_id", F.lit(_NO_ID))
     reps = scratch.stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(ids).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     members = reps.where("n > 0").select("key", "sig").mapInArrow(_banded, "key binary, band long")
@@ -257,7 +251,39 @@ def classes(docs: DataFrame) -> DataFrame:
     links = scratch.stage(links.union(duos.mapInArrow(_compared, "key binary, links long, other binary")), "links")
 
     joined = reps.select("key", "least", "copies").join(_components(links), "key", "left").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
-    joined = joined.withColumn("root", F.coalesce("root", "key"))
+    return rows.select("doc_id", "content", "key"), joined.withColumn("root", F.coalesce("root", "key"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links of every row of ``docs`` (doc_id, text), repeated rows included.
+
+    Two rows are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8 (words are runs
+    of letters, digits and underscores in lower case); copies are linked too, and so are texts without any word, null
+    among them. A text of fewer than five words is one shingle. ``n_links`` counts the other rows that a row is
+    linked with, ``class_id`` is the least doc_id among all that links connect (null if none has an id). Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    rows, joined = _grouped(docs)
     named = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     told = joined.join(named, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return rows.select("doc_id", "key").join(told, "key").select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each class one row of ``docs``, with all its columns: one with the least doc_id (rows without an id come last).
+
+    Rows are told apart by id and text, so two different texts under one id, or without one, are judged each for
+    itself; of rows equal in both one stays. An empty table gives an empty result.
+    """
+    rows, joined = _grouped(docs)
+    each = rows.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content", "key").agg(F.count("*").alias("n"))
+    each = each.join(joined.select("key", "root"), "key").withColumn("rank", F.struct((F.col("id") == _NO_ID).alias("last"), "id", "content"))
+    first = each.groupBy("root").agg(F.min("rank").alias("first"))
+    told = each.join(first, "root").withColumn("stays", F.col("rank") == F.col("first"))
+    # Rows that this doesn't name are the only ones of their classes.
+    told = scratch.stage(told.where("not stays or n > 1").select("id", "content", "stays"), "told")
+    sent = F.broadcast(told) if told.count() <= MAX_BROADCAST_ROWS else told
+    keyed = docs.select(whole_row(docs)).withColumn("id", F.coalesce("row.doc_id", F.lit(_NO_ID))).withColumn("content", F.xxhash64("row.text"))
+    alone = keyed.join(sent, ["id", "content"], "left_anti")
+    repeated = keyed.join(sent.where("stays"), ["id", "content"], "left_semi").dropDuplicates(["id", "content"])
+    return alone.union(repeated).select("row.*")

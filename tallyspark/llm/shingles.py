@@ -3,27 +3,76 @@
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
-import xxhash
+
+from tallyspark.llm.runs import BLOCK, RunHashes, cut, units
 
 WORD = re.compile(r"\w+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
 
+@cache
+def _in_words() -> np.ndarray:
+    """Which code units stand in words; those of pairs don't by themselves."""
+    found = np.zeros(1 << 16, dtype=bool)
+    for m in WORD.finditer("".join(map(chr, range(1 << 16)))):
+        found[m.start() : m.end()] = True
+    return found
 
-class WordHashes(dict):
-    """The hash of a word, kept for the next time, up to a bound."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
-        return found
+class WordHashes:
+    """Hashes of the words of texts: runs of letters, digits and underscores, in lower case."""
+
+    def __init__(self) -> None:
+        self.hashes, self.inside = RunHashes(), _in_words()
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        group, owners, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in cut(text.lower()):
+                group.append(part)
+                owners.append(i)
+                size += len(part)
+                if size > BLOCK:
+                    self._add(group, owners, found)
+                    group, owners, size = [], [], 0
+        self._add(group, owners, found)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in found]
+
+    def _add(self, parts: list[str], owners: list[int], found: list[list[np.ndarray]]) -> None:
+        if not parts:
+            return
+        raw = [units(p + "\n") for p in parts]
+        first = np.cumsum([0, *(len(r) // 2 for r in raw)])
+        codes = np.frombuffer(b"".join(raw), dtype="<u2")
+        inside = self.inside[codes]
+        for i, part in enumerate(parts):
+            if first[i + 1] - first[i] > len(part) + 1:
+                inside[first[i] : first[i + 1]] = _marked(part)
+        steps = np.diff(inside.view(np.int8), prepend=np.int8(0))
+        begins, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
+        hashes = self.hashes(codes, begins, ends)
+        edges = np.searchsorted(begins, first)
+        for k, i in enumerate(owners):
+            found[i].append(hashes[edges[k] : edges[k + 1]])
+
+
+def _marked(part: str) -> np.ndarray:
+    """Which code units stand in words, where some characters have two."""
+    found = np.zeros(len(units(part)) // 2 + 1, dtype=bool)
+    at = last = 0
+    for m in WORD.finditer(part):
+        begin = at + len(units(part[last : m.start()])) // 2
+        last, at = m.end(), begin + len(units(m[0])) // 2
+        found[begin:at] = True
+    return found
 
 
 def hashed_words(text: str, known: WordHashes) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    return known.texts([text])[0]
 
 
 def rolled(words: np.ndarray, size: int) -> np.ndarray:
@@ -33,14 +82,18 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
     n = max(1, len(words) - size + 1)
     found = np.full(n, len(words) if len(words) < size else size, dtype=np.uint64)
     for k in range(min(size, len(words))):
-        found = (found ^ words[k : k + n]) * _MIX
+        found = (found ^ words[k : k + n]) * MIX
         found ^= found >> np.uint64(29)
     return found
 
 
 def shingle_set(text: str, size: int, known: WordHashes) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text."""
-    return np.unique(rolled(hashed_words(text, known), size))
+    return shingle_sets([text], size, known)[0]
+
+
+def shingle_sets(texts: list[str], size: int, known: WordHashes) -> list[np.ndarray]:
+    return [np.unique(rolled(words, size)) for words in known.texts(texts)]
 
 
 class MinHash:

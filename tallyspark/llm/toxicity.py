@@ -18,9 +18,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from tallyspark import scratch
-from tallyspark.llm.batches import sliced, small_batches
+from tallyspark.llm.batches import sliced, small_batches, texts_of, whole_row
 from tallyspark.llm.textstats import DIGIT, LOWER, PUNCT, UPPER, WORD, counts
 
 #: Labelled rows to learn from, at most; those with the lowest hashes of their ids.
@@ -117,17 +118,19 @@ def learn_terms(texts: DataFrame, least: int = LEAST_TEXTS, ratio: float = LEAST
     return dict(sorted(sure.items(), key=lambda x: (-x[1] * picked[x[0]], x[0]))[:most])
 
 
-def _featured(docs: DataFrame, lexicons: list[dict[str, float]], kept: str) -> DataFrame:
-    """Features by the lexicon that ``part`` names; other columns than text pass through."""
-    names = [c for c in docs.columns if c not in ("text", "part")]
+def _featured(docs: DataFrame, lexicons: list[dict[str, float]]) -> DataFrame:
+    """Features by the lexicon that ``part`` names; other columns than text pass through. Without a column text it is
+    the field of that name of ``row``."""
+    kept = [f for f in docs.schema if f.name not in ("text", "part")]
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Lexicon({w: 5.0 for w in INSULTS} | x) for x in lexicons]
         for batch in sliced(batches):
-            rows = [features(t or "", known[p]) for t, p in zip(batch["text"].to_pylist(), batch["part"].to_pylist(), strict=True)]
+            rows = [features(t or "", known[p]) for t, p in zip(texts_of(batch), batch["part"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(rows, pa.list_(pa.float64()))], [*names, "x"])
 
-    return docs.mapInArrow(run, f"{kept}, x array<double>").withColumn("x", array_to_vector("x"))
+    return docs.mapInArrow(run, StructType([*kept, StructField("x", ArrayType(DoubleType()))])).withColumn("x", array_to_vector("x"))
 
 
 class Model:
@@ -137,12 +140,19 @@ class Model:
         self.lexicon, self.trees, self.curve, self.base = lexicon, trees, curve, base
 
     def score(self, docs: DataFrame) -> DataFrame:
-        rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("part"))
+        """doc_id, score, predicted."""
+        return self._scored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("part")), "doc_id")
+
+    def judge(self, docs: DataFrame) -> DataFrame:
+        """row (all columns of a row as it is), score, predicted."""
+        return self._scored(docs.select(whole_row(docs), F.lit(0).alias("part")), "row")
+
+    def _scored(self, rows: DataFrame, kept: str) -> DataFrame:
         if self.trees is None:
-            return rows.select("doc_id", F.lit(self.base).alias("score"), (F.lit(self.base) >= 0.5).cast("int").alias("predicted"))
-        raw = _raw(self.trees, _featured(rows, [self.lexicon], "doc_id long"))
+            return rows.select(kept, F.lit(self.base).alias("score"), (F.lit(self.base) >= 0.5).cast("int").alias("predicted"))
+        raw = _raw(self.trees, _featured(rows, [self.lexicon]))
         score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-        return self.curve.transform(raw).select("doc_id", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return self.curve.transform(raw).select(kept, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def _raw(trees, rows: DataFrame) -> DataFrame:
@@ -166,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     if len(classes) < 2:
         return Model({}, None, None, float(next(iter(classes), 0)))
     halves = [learn_terms(rows.where(F.col("part") != p)) for p in (0, 1)]
-    table = scratch.stage(_featured(rows.select("doc_id", "toxic", "late", "part", "text"), halves, "doc_id long, toxic int, late boolean"), "toxic-features")
+    table = scratch.stage(_featured(rows.select("doc_id", "toxic", "late", "part", "text"), halves), "toxic-features")
     early, late = table.where("not late"), table.where("late")
     if min(early.groupBy().agg(F.countDistinct("toxic")).first()[0], late.groupBy().agg(F.countDistinct("toxic")).first()[0]) < 2:
         early = late = table
@@ -184,3 +194,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_
     small_batches(docs.sparkSession)
     scored = fit(docs, labels, max_labelled).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def judge_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """row, score, predicted of every row: each by its own text, whatever its id, with all its columns in ``row``."""
+    small_batches(docs.sparkSession)
+    return fit(docs, labels, max_labelled).judge(docs)

@@ -8,15 +8,13 @@ the table doesn't hold go to the library's model.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 
+from tallyspark.llm.runs import BLOCK, RunHashes, cut, units
+
 BLANK, LETTER, DIGIT, SIGN, OTHER = range(5)
-#: Code units looked at together.
-BLOCK = 1 << 18
-_MULTIPLIER = 0xD6E8FEB86659FD93
 #: Endings that the splitter keeps with their apostrophe.
 _ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 _PROBES = ("Word,", "Éa1b22!!", "x|y-Z", "3.14", "don't", "L'HOMME'", "''re", "'Llama", "a's't", "ΣΑΣ «Ђя»…")
@@ -43,12 +41,6 @@ def alphabet() -> tuple[np.ndarray, np.ndarray]:
     return kinds, lower
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    found = np.ones(n, dtype=np.uint64)
-    found[1:] = np.uint64(base)
-    return np.cumprod(found, dtype=np.uint64)
-
-
 def vocabulary(path: str) -> tuple[int, np.dtype]:
     """The number of ids, and the type that holds them."""
     from tokenizers import Tokenizer
@@ -74,9 +66,7 @@ class WordIds:
         self.tokenize = self.tokenizer.model.tokenize
         self.spelt = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.kinds, self.lower = alphabet()
-        draw = np.random.default_rng(5)
-        self.values = draw.integers(1, 2**63, 1 << 16, dtype=np.uint64)
-        self.up, self.down = _powers(2 * BLOCK + 2, _MULTIPLIER), _powers(2 * BLOCK + 2, pow(_MULTIPLIER, -1, 1 << 64))
+        self.hashes = RunHashes()
         self.shift = np.uint64(64 - slots_log2)
         self.keys = np.zeros(1 << slots_log2, dtype=np.uint64)
         self.begins, self.counts = np.zeros(1 << slots_log2, dtype=np.int32), np.zeros(1 << slots_log2, dtype=np.int32)
@@ -97,7 +87,7 @@ class WordIds:
         found: list[list[np.ndarray]] = [[] for _ in texts]
         group, owners, size = [], [], 0
         for i, text in enumerate(texts):
-            for part in _cut(text):
+            for part in cut(text):
                 if len(part) > BLOCK or "<|" in part:  # special tokens begin like this
                     part = self._encoded(part)
                     if owners and owners[-1] == i:
@@ -123,17 +113,13 @@ class WordIds:
     def _looked_up(self, parts: list[str]) -> list[np.ndarray]:
         if not parts:
             return []
-        raw = [(p + "\n").encode("utf-16-le", "surrogatepass") for p in parts]
-        units = np.frombuffer(b"".join(raw), dtype="<u2")
+        raw = [units(p + "\n") for p in parts]
+        every = np.frombuffer(b"".join(raw), dtype="<u2")
         first = np.cumsum([0, *(len(r) // 2 for r in raw)])
-        kinds, codes = self.kinds[units], self.lower[units]
+        kinds, codes = self.kinds[every], self.lower[every]
         other = set(np.unique(np.searchsorted(first, np.flatnonzero(kinds == OTHER), "right") - 1).tolist())
-        begins, ends = _words(units, codes, kinds)
-        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-        np.cumsum(self.values[codes] * self.up[: len(codes)], out=sums[1:])
-        hashes = (sums[ends] - sums[begins]) * self.down[begins]
-        hashes ^= hashes >> np.uint64(31)
-        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        begins, ends = _words(every, codes, kinds)
+        hashes = self.hashes(codes, begins, ends)
         at, counts = self._entries(hashes, codes, begins, ends)
         last = np.concatenate(([0], np.cumsum(counts)))
         ids = self.flat[np.repeat(at - last[:-1], counts) + np.arange(last[-1])]
@@ -167,25 +153,13 @@ class WordIds:
         return at, counts
 
 
-def _cut(text: str) -> Iterator[str]:
-    """The text in parts of at most BLOCK characters that end at blanks; without one, a part is longer."""
-    at = 0
-    while len(text) - at > BLOCK:
-        end = text.rfind(" ", at, at + BLOCK)
-        if end <= at:
-            break
-        yield text[at:end]
-        at = end
-    yield text[at:] if at else text
-
-
-def _words(units: np.ndarray, codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(raw: np.ndarray, codes: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where words begin and end: runs of letters or signs, single digits, endings with their apostrophe."""
     edge = np.empty(len(kinds), dtype=bool)
     edge[0] = True
     np.not_equal(kinds[1:], kinds[:-1], out=edge[1:])
     edge |= (kinds == DIGIT) | (kinds == BLANK)
-    for i in np.flatnonzero(units == ord("'")).tolist():
+    for i in np.flatnonzero(raw == ord("'")).tolist():
         if edge[i] and kinds[i + 1] == LETTER:
             after = "".join(map(chr, codes[i + 1 : i + 3].tolist()))
             n = next((len(x) for x in _ENDINGS if after.startswith(x)), 0)

@@ -66,3 +66,26 @@ def test_odd_rows_and_empty_tables(spark):
     assert {r.score for r in quality.score_documents(docs, none).collect()} == {0.0}
     assert {r.score for r in quality.score_documents(docs, labels.where("quality = 1")).collect()} == {1.0}
     assert toxicity.score_documents(docs.limit(0), none).count() == quality.score_documents(docs.limit(0), none).count() == 0
+
+
+def test_each_view_teaches_the_other_both_classes_in_each_round(spark, corpus):
+    docs, labels = (spark.read.parquet(f"{corpus}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality._described(docs, ["doc_id", "lang", "source", "n_chars"])
+    model = quality.fit(rows, labels)
+    free = docs.join(labels.where("quality is not null"), "doc_id", "left_anti").count()
+    assert len(model.exchanged) == quality.ROUNDS - 1
+    for turn in model.exchanged:
+        assert turn.keys() == {"meta", "text"}
+        for passed in turn.values():
+            assert passed.keys() == {0, 1} and abs(sum(passed.values()) - quality.SHARE * free) <= 0.02 * free
+
+
+def test_a_lesson_is_the_surest_share_of_each_class(spark):
+    said = spark.createDataFrame([(i, i / 1000, 0.8) for i in range(1000)], "doc_id long, says_text double, says_meta double")
+    told = {r.doc_id: r for r in quality.lesson(said, "text", 0.1, 0.7).collect()}
+    assert set(told) <= set(range(31)) | set(range(929, 1000)) and set(told) >= set(range(29)) | set(range(931, 1000))
+    assert all(r.y == (i > 500) and 0 < r.weight <= 1 for i, r in told.items()) and told[0].weight == told[999].weight == 1
+    # One value for all: still only the share, told apart by a hash, and with little weight.
+    told = quality.lesson(said, "meta", 0.1, 0.7).collect()
+    assert 90 <= len(told) <= 110 and {r.y for r in told} == {0.0, 1.0} and all(r.weight < 0.2 for r in told)
+    assert quality.lesson(said.limit(0), "meta", 0.1, 0.7).count() == 0
