@@ -39,9 +39,11 @@ def give_back() -> None:
         pass  # another C library: nothing to hand back
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hold the session to so many rows an Arrow batch: with whole texts the default fills large buffers outside the
-    executor's heap, once in the JVM and once in the worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16) -> None:
+    """Hold the session to so many rows and bytes an Arrow batch: with whole texts the defaults fill large buffers outside
+    the executor's heap, once in the JVM and once in the worker. Smaller settings of the session's own stay."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", megabytes << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is not None and not 0 < (int(now) if now.lstrip("-").isdigit() else 1 << 60) <= most:
+            spark.conf.set(key, str(most))

@@ -6,7 +6,7 @@ their first character, one more than they have already, so that reading them bac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", "</s>"
@@ -36,28 +36,30 @@ def format_windows(conversations: DataFrame, budget: int = 2048, history: int =
     Null roles and texts are empty, rows with a null conv_id form one conversation, null turns come first, and
     repeated rows are repeated turns. Other columns are ignored; an empty table gives no window.
     """
-    rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    sized = whole.select(
-        "conv_id",
-        F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"), turn_tokens(t.text).alias("n"))).alias("ts"),
-        F.when(F.col("ts")[0].role == "system", 1).otherwise(0).alias("lead"),
-    )
-    # ends[i]: tokens of the first i turns.
-    summed = sized.withColumn("ends", F.expr("aggregate(ts, array(0L), (a, t) -> array_append(a, element_at(a, -1) + t.n))"))
-    room = summed.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("lead") == 1, F.col("ends")[1]).otherwise(0)))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    told = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # before: the tokens of all earlier turns, a prefix sum; it grows from turn to turn, as every turn has some.
+    rows = rows.withColumn("n", turn_tokens(F.col("text")).cast("long")).withColumn("i", F.row_number().over(told) - 1)
+    rows = rows.withColumn("before", F.sum("n").over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.coalesce("before", F.lit(0)))
+    # past: how many turns right before a turn fit the history together, the leading system turn left out.
+    near = Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)
+    led = (F.col("i") == 0) & (F.col("role") == "system")
+    rows = rows.withColumn("past", F.count_if(~led).over(near) - F.when(led, 0).otherwise(1))
+    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "role", "text", "n", "before", "past"))).alias("ts"))
+    summed = whole.withColumn("lead", F.when(F.col("ts")[0].role == "system", 1).otherwise(0))
+    room = summed.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history) - F.when(F.col("lead") == 1, F.col("ts")[0].n).otherwise(0)))
     # starts: positions (from 0) of the first turn of each span, the leading system turn counting to the first.
     spans = room.withColumn(
         "starts",
-        F.expr("aggregate(sequence(lead, size(ts)), array(lead), (a, i) -> if(i < size(ts) and i > element_at(a, -1) and ends[i + 1] - ends[element_at(a, -1)] > room, array_append(a, i), a))"),
+        F.expr("""aggregate(slice(ts, lead + 1, size(ts)), named_struct('from', if(lead = 1, ts[0].n, 0L), 'starts', array(lead)), (a, t) ->
+            if(t.i > lead and t.before + t.n - a.from > room, named_struct('from', t.before, 'starts', array_append(a.starts, t.i)), a)).starts"""),
     )
     windows = spans.select(
         "conv_id",
-        F.expr(f"""inline(transform(starts, (s, k) -> named_struct(
+        F.expr("""inline(transform(starts, (s, k) -> named_struct(
             'window', k,
             'system', slice(ts, 1, lead),
-            'past', slice(ts, s - size(filter(slice(ends, lead + 1, s - lead), e -> ends[s] - e <= {history})) + 1,
-                          size(filter(slice(ends, lead + 1, s - lead), e -> ends[s] - e <= {history}))),
+            'past', if(s > lead, slice(ts, cast(s - ts[s].past + 1 as int), cast(ts[s].past as int)), slice(ts, 1, 0)),
             'own', slice(ts, s + 1, coalesce(try_element_at(starts, k + 2), size(ts)) - s))))"""),
     )
     laid = windows.select(

@@ -28,8 +28,10 @@ NUMERATOR, DENOMINATOR = 4, 5
 BANDS, ROWS = 40, 5
 #: Hash values compared at a time, and the posterior below which a pair is dropped.
 STEP, TOLERANCE = 10, 1e-6
-#: Buckets up to so many sets are joined pair by pair; larger ones go into chunks of so many sets.
-BIG, CHUNK = 24, 256
+#: Buckets up to so many sets are joined pair by pair; larger ones go into chunks of so many sets or shingles.
+BIG, CHUNK, CHUNK_SHINGLES = 24, 2048, 400_000
+#: Sets of a chunk that are compared with sets of another at a time.
+BLOCK = 256
 #: Ids that a task may be sent: beyond it texts are shuffled to meet them.
 MAX_BROADCAST_ROWS = 1_000_000
 _NO_ID = -(2**63)
@@ -78,12 +80,12 @@ def _similar(both: int, a: int, b: int) -> bool:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, sign = WordHashes(), MinHash(BANDS * ROWS)
     for batch in sliced(batches):
-        keys, sizes, signs = [], [], []
+        digests, sizes, signs = [], [], []
         for found in shingle_sets([t or "" for t in batch["text"].to_pylist()], SIZE, known):
-            keys.append(xxhash.xxh3_128_digest(found.tobytes()))
+            digests.append(xxhash.xxh3_128_digest(found.tobytes()))
             sizes.append(len(found))
             signs.append(sign(found).tobytes())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "content", "key", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["content"], pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "content", "digest", "n", "sig"])
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +100,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = WordHashes()
     for batch in sliced(batches):
         sets = [found.tobytes() for found in shingle_sets([t or "" for t in batch["text"].to_pylist()], SIZE, known)]
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["key", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["digest", "hashes"])
 
 
 def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +122,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys += [a, b]
                 links += [copies_b, copies_a]
                 others += [b, a]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(links, pa.int64()), pa.array(others, pa.binary())], ["key", "links", "other"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(links, pa.int64()), pa.array(others, pa.int64())], ["key", "links", "other"])
 
 
 class _Chunk:
@@ -133,62 +135,67 @@ class _Chunk:
         self.sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
 
 
-def _common(x: _Chunk, y: _Chunk, ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
+def _common(x: list[np.ndarray], y: list[np.ndarray], ii: np.ndarray, jj: np.ndarray) -> np.ndarray:
     """Shared shingles of the pairs: one by one where they are few, else by products of incidence slabs."""
     if len(ii) < 400:
-        return np.array([len(np.intersect1d(x.sets[i], y.sets[j], assume_unique=True)) for i, j in zip(ii, jj, strict=True)], dtype=np.int64)
+        return np.array([len(np.intersect1d(x[i], y[j], assume_unique=True)) for i, j in zip(ii, jj, strict=True)], dtype=np.int64)
     rows, cols = np.unique(ii), np.unique(jj)
-    shared = np.intersect1d(np.unique(np.concatenate([x.sets[i] for i in rows])), np.unique(np.concatenate([y.sets[j] for j in cols])), assume_unique=True)
-    counts = np.zeros((len(x.keys), len(y.keys)), dtype=np.float32)
+    shared = np.intersect1d(np.unique(np.concatenate([x[i] for i in rows])), np.unique(np.concatenate([y[j] for j in cols])), assume_unique=True)
+    counts = np.zeros((len(x), len(y)), dtype=np.float32)
     for at in range(0, len(shared), 4096):
         slab = shared[at : at + 4096]
-        left, right = (np.zeros((len(c.keys), len(slab)), dtype=np.float32) for c in (x, y))
-        for side, chunk, used in ((left, x, rows), (right, y, cols)):
+        left, right = (np.zeros((len(c), len(slab)), dtype=np.float32) for c in (x, y))
+        for side, sets, used in ((left, x, rows), (right, y, cols)):
             for i in used:
-                where = np.searchsorted(slab, chunk.sets[i])
+                where = np.searchsorted(slab, sets[i])
                 inside = where < len(slab)
-                inside[inside] = slab[where[inside]] == chunk.sets[i][inside]
+                inside[inside] = slab[where[inside]] == sets[i][inside]
                 side[i, where[inside]] = 1
         counts += left @ right.T
     return counts[ii, jj].astype(np.int64)
 
 
+def _linked(x: _Chunk, y: _Chunk, p: slice, q: slice, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of two blocks of members, by their places in the chunks."""
+    candidates = np.zeros((len(x.sizes[p]), len(y.sizes[q])), dtype=bool)
+    for k in range(BANDS):
+        candidates |= x.bands[p, k][:, None] == y.bands[q, k][None, :]
+    ii, jj = np.nonzero(np.triu(candidates, 1) if same else candidates)
+    kept = survivors(x.sigs[p][ii], y.sigs[q][jj]) if len(ii) else ii
+    ii, jj = ii[kept], jj[kept]
+    if not len(ii):
+        return ii, jj
+    both = _common(x.sets[p], y.sets[q], ii, jj)
+    linked = DENOMINATOR * both >= NUMERATOR * (x.sizes[p][ii] + y.sizes[q][jj] - both)
+    return ii[linked] + p.start, jj[linked] + q.start
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two chunks at a time: per member the links it gains and a member that it is connected with."""
     for batch in batches:
         for left, right, same in zip(batch["left"], batch["right"], batch["same"].to_pylist(), strict=True):
             x = _Chunk(left.as_py())
             y = x if same else _Chunk(right.as_py())
-            candidates = np.zeros((len(x.keys), len(y.keys)), dtype=bool)
-            for k in range(BANDS):
-                candidates |= x.bands[:, k][:, None] == y.bands[:, k][None, :]
-            if same:
-                candidates = np.triu(candidates, 1)
-            ii, jj = np.nonzero(candidates)
-            kept = survivors(x.sigs[ii], y.sigs[jj]) if len(ii) else ii
-            ii, jj = ii[kept], jj[kept]
-            if not len(ii):
-                continue
-            both = _common(x, y, ii, jj)
-            linked = DENOMINATOR * both >= NUMERATOR * (x.sizes[ii] + y.sizes[jj] - both)
-            ii, jj = ii[linked], jj[linked]
             shift = 0 if same else len(x.keys)
-            links = np.zeros(len(x.keys) if same else len(x.keys) + len(y.keys), dtype=np.int64)
-            np.add.at(links, ii, y.copies[jj])
-            np.add.at(links, jj + shift, x.copies[ii])
-            root = list(range(len(links)))
+            keys = x.keys if same else x.keys + y.keys
+            links, root = np.zeros(len(keys), dtype=np.int64), list(range(len(keys)))
 
             def find(i: int, root: list[int] = root) -> int:
                 while root[i] != i:
                     root[i] = i = root[root[i]]
                 return i
 
-            for i, j in zip(ii.tolist(), (jj + shift).tolist(), strict=True):
-                if (p := find(i)) != (q := find(j)):
-                    root[max(p, q)] = min(p, q)
-            keys = x.keys if same else x.keys + y.keys
+            for i in range(0, len(x.keys), BLOCK):
+                for j in range(i if same else 0, len(y.keys), BLOCK):
+                    ii, jj = _linked(x, y, slice(i, i + BLOCK), slice(j, j + BLOCK), same and i == j)
+                    np.add.at(links, ii, y.copies[jj])
+                    np.add.at(links, jj + shift, x.copies[ii])
+                    for a, b in zip(ii.tolist(), (jj + shift).tolist(), strict=True):
+                        if (p := find(a)) != (q := find(b)):
+                            root[max(p, q)] = min(p, q)
             hit = np.nonzero(links)[0].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array(links[hit], pa.int64()), pa.array([keys[find(i)] for i in hit], pa.binary())], ["key", "links", "other"])
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array([keys[find(i)] for i in hit], pa.int64())], ["key", "links", "other"])
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -196,51 +203,58 @@ def _components(edges: DataFrame) -> DataFrame:
     both = scratch.stage(edges.select("key", "other").where("key <> other").union(edges.select("other", "key").where("key <> other")).distinct(), "edges")
     labels = scratch.stage(both.groupBy("key").agg(F.least(F.min("other"), F.first("key")).alias("root")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("key", "other"), "other").groupBy("key").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "key").select("key", F.least("root", "near").alias("root"), F.col("root").alias("was"))
-        lower = scratch.stage(lower, "labels")
+        near = both.join(labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("near"))
+        lower = scratch.stage(labels.join(near, "key").select("key", F.least("root", "near").alias("root"), F.col("root").alias("was")), "labels")
         up = lower.select(F.col("key").alias("root"), F.col("root").alias("up"))
         following = scratch.stage(lower.join(up, "root", "left").select("key", F.least("root", F.coalesce("up", "root")).alias("root"), (F.least("root", F.coalesce("up", "root")) < F.col("was")).alias("moved")), "labels")
-        labels = following.select("key", "root")
+        scratch.drop(labels, lower)
+        labels = following
         if not following.where("moved").limit(1).count():
+            scratch.drop(both)
             return labels
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, content, key) of each row, and (key, root, least, copies, links) of each distinct set: the key of its
-    component, the least id among its copies, how many there are and how many rows of other sets they are linked with.
+    """(doc_id, content, digest) of each row, and (key, digest, root, least, copies, links) of each distinct set: the key of
+    its component, the least id among its copies, how many there are and how many rows of other sets they are linked with.
     """
     small_batches(docs.sparkSession)
-    rows = scratch.stage(docs.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(_sets, "doc_id long, content long, key binary, n int, sig binary"), "signatures")
+    rows = scratch.stage(docs.select("doc_id", F.xxhash64("text").alias("content"), "text").mapInArrow(_sets, "doc_id long, content long, digest binary, n int, sig binary"), "signatures")
     ids = F.coalesce("doc_id", F.lit(_NO_ID))
-    reps = scratch.stage(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min(ids).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
-    members = reps.where("n > 0").select("key", "sig").mapInArrow(_banded, "key binary, band long")
+    reps = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.min(ids).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # Sets get numbers: half as many bytes in what is shuffled from here on.
+    reps = scratch.stage(reps.withColumn("key", F.monotonically_increasing_id()), "sets")
+    members = reps.where("n > 0").select("key", "sig").mapInArrow(_banded, "key long, band long")
     buckets = members.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     shared = scratch.stage(members.join(buckets, "band"), "buckets")
-    homes = shared.where(F.col("m") > BIG).groupBy("key").agg(F.max(F.struct("m", "band")).alias("top"))
-    homes = homes.select("key", F.col("top.band").alias("home"), F.pmod(F.xxhash64("key"), F.ceil(F.col("top.m") / CHUNK)).alias("slot"))
-    homes = scratch.stage(homes, "homes")
+    # A set in large buckets is at home in its largest, and there in one of as many chunks as the bucket's sets fill.
+    at_home = shared.where(F.col("m") > BIG).groupBy("key").agg(F.max(F.struct("m", "band")).alias("top")).select("key", F.col("top.band").alias("home"))
+    at_home = scratch.stage(at_home.join(reps.select("key", "n"), "key"), "at-home")
+    slots = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES))
+    slots = at_home.groupBy("home").agg(slots.alias("slots"))
+    homes = scratch.stage(at_home.join(slots, "home").select("key", "home", F.pmod(F.xxhash64("key"), "slots").alias("slot")), "homes")
     placed = scratch.stage(shared.join(homes, "key", "left"), "placed")
+    scratch.drop(shared, at_home)
 
     few = placed.where(F.col("m") <= BIG).select("key", "band", F.col("home").isNotNull().alias("homed"))
     left, right = few.select("band", F.col("key").alias("a"), F.col("homed").alias("h")), few.select("band", F.col("key").alias("b"), F.col("homed").alias("g"))
     pairs = left.join(right, (left.band == right.band) & (left.a < right.b) & ~(left.h & right.g)).select("a", "b").distinct()
     signed = reps.select(F.col("key").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), reps.select(F.col("key").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b"))
     sized = pairs.join(signed[0], "a").join(signed[1], "b").where(f"{DENOMINATOR} * least(n_a, n_b) >= {NUMERATOR} * greatest(n_a, n_b)")
-    likely = scratch.stage(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned, "a binary, b binary"), "likely")
+    likely = scratch.stage(sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruned, "a long, b long"), "likely")
 
     # Only the texts of sets that a comparison needs are read again.
     keys = homes.select("key").union(likely.select("a")).union(likely.select("b")).distinct()
-    need = scratch.stage(reps.join(keys, "key").select("key", "rep", "copies", "sig"), "needed")
+    need = scratch.stage(reps.join(keys, "key").select("key", "digest", "rep", "copies", "sig"), "needed")
     wanted = need.select(F.col("rep").alias("wanted")).distinct()
     wanted = F.broadcast(wanted) if need.count() <= MAX_BROADCAST_ROWS else wanted
-    again = docs.select("doc_id", "text").join(wanted, ids == F.col("wanted"), "left_semi").select("text").mapInArrow(_hashes, "key binary, hashes binary")
-    sets = scratch.stage(need.join(again, "key").groupBy("key").agg(F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.first("hashes").alias("hashes")), "shingles")
+    again = docs.select("doc_id", "text").join(wanted, ids == F.col("wanted"), "left_semi").select("text").mapInArrow(_hashes, "digest binary, hashes binary")
+    sets = scratch.stage(need.join(again, "digest").groupBy("key").agg(F.first("copies").alias("copies"), F.first("sig").alias("sig"), F.first("hashes").alias("hashes")), "shingles")
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("key").alias(name), F.col("hashes").alias(f"hashes_{name}"), F.col("copies").alias(f"copies_{name}"))
 
-    links = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "key binary, links long, other binary")
+    links = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "key long, links long, other long")
 
     chunk = F.struct("home", "slot").alias("chunk")
     blocks = scratch.stage(sets.join(homes, "key").groupBy(chunk).agg(F.collect_list(F.struct("key", "copies", "sig", "hashes")).alias("members")), "chunks")
@@ -248,10 +262,15 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     duos = met.select("band", F.col("chunk").alias("p")).join(met.select("band", F.col("chunk").alias("q")), "band").where("p <= q").select("p", "q").distinct()
     duos = duos.join(blocks.select(F.col("chunk").alias("p"), F.col("members").alias("left")), "p").join(blocks.select(F.col("chunk").alias("q"), F.col("members").alias("right")), "q")
     duos = duos.select("left", F.when(F.expr("p < q"), F.col("right")).alias("right"), F.expr("p = q").alias("same"))
-    links = scratch.stage(links.union(duos.mapInArrow(_compared, "key binary, links long, other binary")), "links")
+    links = scratch.stage(links.union(duos.mapInArrow(_compared, "key long, links long, other long")), "links")
 
-    joined = reps.select("key", "least", "copies").join(_components(links), "key", "left").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
-    return rows.select("doc_id", "content", "key"), joined.withColumn("root", F.coalesce("root", "key"))
+    scratch.drop(homes, placed, likely, need, sets, blocks)
+    # What is left to be told needs no signatures.
+    told = scratch.stage(rows.select("doc_id", "content", "digest"), "rows")
+    joined = reps.select("key", "digest", "least", "copies").join(_components(links), "key", "left").join(links.groupBy("key").agg(F.sum("links").alias("links")), "key", "left")
+    joined = scratch.stage(joined.withColumn("root", F.coalesce("root", "key")), "components")
+    scratch.drop(rows, reps, links)
+    return told, joined
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -265,8 +284,8 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     rows, joined = _grouped(docs)
     named = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    told = joined.join(named, "root").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "key").join(told, "key").select("doc_id", "class_id", "n_links")
+    told = joined.join(named, "root").select("digest", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return rows.select("doc_id", "digest").join(told, "digest").select("doc_id", "class_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -276,8 +295,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     itself; of rows equal in both one stays. An empty table gives an empty result.
     """
     rows, joined = _grouped(docs)
-    each = rows.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content", "key").agg(F.count("*").alias("n"))
-    each = each.join(joined.select("key", "root"), "key").withColumn("rank", F.struct((F.col("id") == _NO_ID).alias("last"), "id", "content"))
+    each = rows.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content", "digest").agg(F.count("*").alias("n"))
+    each = each.join(joined.select("digest", "root"), "digest").withColumn("rank", F.struct((F.col("id") == _NO_ID).alias("last"), "id", "content"))
     first = each.groupBy("root").agg(F.min("rank").alias("first"))
     told = each.join(first, "root").withColumn("stays", F.col("rank") == F.col("first"))
     # Rows that this doesn't name are the only ones of their classes.

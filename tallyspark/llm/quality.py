@@ -151,8 +151,11 @@ def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
             said = scratch.stage(model.views[1].says(model.views[0].says(pool)), "co-training")
             lessons = [scratch.stage(lesson(said, teacher, share, model.prior), "lesson") for teacher in ("meta", "text")]
             model.exchanged.append({teacher: {int(r["y"]): r["count"] for r in told.groupBy("y").count().collect()} for teacher, told in zip(("meta", "text"), lessons, strict=True)})
+        if turn + 1 < rounds:
+            scratch.drop(said)
     for view in model.views:
         view.calibrate(check)
+    scratch.drop(marked, taught, *(x for x in lessons if x is not None))
     return model
 
 
@@ -174,6 +177,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """row, score, keep of every row: each by its own text and metadata, whatever its id, with all its columns in ``row``."""
     small_batches(docs.sparkSession)
-    rows = scratch.stage(_described(docs.select(whole_row(docs)), ["row"]), "quality-described")
-    rows = rows.select("row", "x_text", *(F.col("row").getField(c).alias(c) for c in ("doc_id", *_META)))
-    return fit(rows.drop("row"), labels).score(rows, "row").select("row", "score", "keep")
+    rows = scratch.stage(_described(docs.select("doc_id", "text", *_META), ["doc_id", *_META]), "quality-described")
+    model = fit(rows, labels)
+    scratch.drop(rows)
+    # Described once more with the whole row beside: texts needn't be written another time.
+    whole = _described(docs.select(whole_row(docs)), ["row"])
+    return model.score(whole.select("row", "x_text", *(F.col("row").getField(c).alias(c) for c in _META)), "row").select("row", "score", "keep")

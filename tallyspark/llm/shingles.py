@@ -97,16 +97,19 @@ def shingle_sets(texts: list[str], size: int, known: WordHashes) -> list[np.ndar
 
 
 class MinHash:
-    """``n`` minimum hash values of a set; the signature of the empty set is all ones."""
+    """``n`` minimum hash values of a set; the signature of the empty set is all ones.
+
+    A shingle's 32 high bits are permuted by odd factors: multiplying 32 bits is several times as fast as 64.
+    """
 
     def __init__(self, n: int, seed: int = 1):
         draw = np.random.default_rng(seed)
-        self.a = (draw.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
-        self.b = draw.integers(0, 2**63, n, dtype=np.uint64)[:, None]
+        self.a = (draw.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
+        self.b = draw.integers(0, 2**32, n, dtype=np.uint32)[:, None]
 
     def __call__(self, hashes: np.ndarray) -> np.ndarray:
         least = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
-        for at in range(0, len(hashes), 1024):
-            part = ((self.a * hashes[None, at : at + 1024] + self.b) >> np.uint64(32)).min(1)
-            least = np.minimum(least, part.astype(np.uint32))
+        high = (hashes >> np.uint64(32)).astype(np.uint32)
+        for at in range(0, len(high), 2048):
+            np.minimum(least, (self.a * high[None, at : at + 2048] + self.b).min(1), out=least)
         return least

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
 from tallyspark.llm.batches import sliced, small_batches
 
 #: Digests that one task remembers while it drops repeats ahead of the shuffle.
@@ -46,7 +48,7 @@ def normalised(text: Column) -> Column:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compress texts and drop repeats that this task has seen, so that copies don't cross the network."""
-    seen: set[str] = set()
+    seen: set[bytes] = set()
     press = zstandard.ZstdCompressor(level=1)
     for batch in sliced(batches):
         digests, blobs = [], []
@@ -57,7 +59,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(d)
                 digests.append(d)
                 blobs.append(press.compress(text.as_py().encode()))
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(blobs, pa.binary())], ["digest", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(blobs, pa.binary())], ["digest", "packed"])
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -74,11 +76,21 @@ def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                         digests.append(last)
                         texts.append(open_up.decompress(batch["packed"][i].as_py()).decode())
                 counts += count(texts) if texts else []
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return encode
 
 
+def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+    """The cache's rows; None as long as the table doesn't exist."""
+    try:
+        return spark.read.schema("digest binary, n_tokens long").parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 4096, text: str = "text") -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) to every row; counts of new texts join the cache.
 
@@ -86,22 +98,30 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: str, limit: int = 4096,
     empty, repeated rows get equal counts, an empty table changes nothing. Columns of the input that are named like a
     new one are replaced.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    table = f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}"
+    content, digest = _keyed(text)
+    table = add_misses(docs, cache, tokenizer, text)
     new = ("n_bytes", "n_tokens", "over_limit", "digest")
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
-    content = normalised(F.col(f"`{text}`"))
-    digest = F.sha2(content, 256).alias("digest")
-    misses = docs.select(digest, content.alias("text")).mapInArrow(_packed, "digest string, packed binary")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        stored = spark.read.schema("digest string, n_tokens long").parquet(table)
-        misses = misses.join(stored.hint("merge"), "digest", "left_anti")
-    else:
-        misses = misses.repartition("digest")
-    misses.sortWithinPartitions("digest").mapInArrow(_encoder(tokenizer), "digest string, n_tokens long").write.mode("append").parquet(table)
-    # Two writers at once may store a digest twice, with the same count.
-    counts = spark.read.schema("digest string, n_tokens long").parquet(table).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Two writers at once may store a digest twice, with the same count. Written, so that the join has shuffles of its
+    # own and a digest that very many rows share can be split.
+    counts = scratch.stage(_stored(docs.sparkSession, table).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     keyed = docs.select(*kept, F.octet_length(content).cast("long").alias("n_bytes"), digest)
     return keyed.join(counts, "digest", "left").drop("digest").withColumn("over_limit", F.col("n_tokens") > limit)
+
+
+def _keyed(text: str) -> tuple[Column, Column]:
+    content = normalised(F.col(f"`{text}`"))
+    return content, F.unhex(F.sha2(content, 256)).alias("digest")
+
+
+def add_misses(docs: DataFrame, cache: str, tokenizer: str, text: str = "text") -> str:
+    """Encode the distinct texts that the cache lacks and append their counts; returns the version's table."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    table = f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}"
+    content, digest = _keyed(text)
+    misses = docs.select(digest, content.alias("text")).mapInArrow(_packed, "digest binary, packed binary")
+    stored = _stored(spark, table)
+    misses = misses.repartition("digest") if stored is None else misses.join(stored.hint("merge"), "digest", "left_anti")
+    misses.sortWithinPartitions("digest").mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long").write.mode("append").parquet(table)
+    return table

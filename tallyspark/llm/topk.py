@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
+from tallyspark.llm.batches import small_batches
 
 #: Vectors in one tree, and in one leaf.
 BLOCK, LEAF = 4096, 48
+#: Pivots, and the blocks of data that a block of queries meets before any other is judged.
+PIVOTS, FIRST = 64, 2
 #: The covering radius shrinks by this factor from level to level.
 BASE = 2.0
 
@@ -25,6 +28,9 @@ def quantised(vector: Column, scale: int = 1024) -> Column:
     return F.when(sound, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
+_NONE = np.iinfo(np.int64).min
+
+
 class CoverTree:
     """A cover tree over rows of an integer matrix, laid out so that a node's points are contiguous.
 
@@ -38,7 +44,7 @@ class CoverTree:
         self._points = points.astype(np.float64)
         self._build(np.arange(len(ids)))
         order = np.array(self.order, dtype=np.int64)
-        self.ids, self.points = ids[order], points[order]
+        self.ids, self.points = ids[order], _narrow(points[order])
         self.centres = np.array([n[2] for n in self.nodes])
         self.radii = np.array([n[3] for n in self.nodes])
         self.norms = np.sqrt((self.centres**2).sum(1))
@@ -77,8 +83,15 @@ class CoverTree:
         return at
 
 
+def _narrow(points: np.ndarray) -> np.ndarray:
+    """The same whole numbers in as few bytes as hold them."""
+    most = int(np.abs(points).max(initial=0))
+    return points.astype(np.int16 if 0 <= most < 1 << 15 else np.int32 if 0 <= most < 1 << 31 else np.int64)
+
+
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products: by floating point where every sum stays below 2**53."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
     if a.size and b.size and float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[1] < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return a @ b.T
@@ -87,10 +100,13 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Search:
     """The k best candidates so far for each query of a tree, over any number of data trees."""
 
-    def __init__(self, queries: CoverTree, k: int):
+    def __init__(self, queries: CoverTree, k: int, floors: dict[int, int] | None = None):
+        """``floors`` has scores that k candidates of a query reach elsewhere: lower ones are of no use."""
         self.q, self.k = queries, k
         n = len(queries.ids)
-        self.scores = np.full((n, k), np.iinfo(np.int64).min)
+        # One below, so that a candidate that equals the floor takes a place: its id may be smaller.
+        self.least = np.array([(floors or {}).get(i, _NONE + 1) - 1 for i in queries.ids.tolist()], dtype=np.int64)
+        self.scores = np.repeat(self.least[:, None], k, axis=1)
         self.found = np.full((n, k), np.iinfo(np.int64).max)
 
     def worst(self, node: int) -> float:
@@ -131,27 +147,55 @@ class Search:
         self.scores[qa:qb], self.found[qa:qb] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        real = self.scores > np.iinfo(np.int64).min
+        real = self.scores > self.least[:, None]
         return np.repeat(self.q.ids, self.k)[real.ravel()], self.found[real], self.scores[real]
 
 
+def pair_bound(a: tuple, b: tuple) -> float:
+    """No vectors within radius of two centres have a larger inner product, rounding included. Each side is
+    (centre, radius)."""
+    (x, r), (y, s) = (np.asarray(a[0]), a[1]), (np.asarray(b[0]), b[1])
+    p, q = float(np.sqrt(x @ x)), float(np.sqrt(y @ y))
+    most = float(x @ y) + r * q + s * p + r * s
+    return most + 1e-9 * (abs(most) + (p + r) * (q + s)) + 1e-6
+
+
+def _placed(sent):
+    """The nearest pivot of each vector of the pivots' dimension, and how far it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = {d: np.array(p, dtype=np.float64) for d, p in sent.value.items()}
+        for batch in batches:
+            cells, away = [], []
+            for v in batch["v"].to_pylist():
+                near = np.sqrt(((pivots[len(v)] - np.array(v, dtype=np.float64)) ** 2).sum(1)) if len(v) in pivots else np.zeros(1)
+                cells.append(int(near.argmin()))
+                away.append(float(near.min()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(away, pa.float64())], [*batch.schema.names, "cell", "away"])
+
+    return run
+
+
 def _trees(block: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by dimension: a tree for each block of vectors of one dimension."""
+        """Rows come sorted by dimension and place: a tree for each block of vectors of one dimension and pivot."""
         ids: list[int] = []
         rows: list[list[int]] = []
+        now = None
 
         def out() -> pa.RecordBatch:
             tree = CoverTree(np.array(ids, dtype=np.int64), np.array(rows, dtype=np.int64).reshape(len(rows), -1))
             dim = len(rows[0])
             ids.clear()
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([pickle.dumps(tree)], pa.binary())], ["dim", "tree"])
+            columns = [pa.array([dim], pa.int32()), pa.array([tree.centres[0].tolist()], pa.list_(pa.float64())), pa.array([float(tree.radii[0])], pa.float64()), pa.array([pickle.dumps(tree)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["dim", "centre", "radius", "tree"])
 
         for batch in batches:
-            for i, v in zip(batch["vec_id"].to_pylist(), batch["v"].to_pylist(), strict=True):
-                if rows and (len(rows) >= block or len(v) != len(rows[0])):
+            for i, v, cell in zip(batch["vec_id"].to_pylist(), batch["v"].to_pylist(), batch["cell"].to_pylist(), strict=True):
+                if rows and (len(rows) >= block or (len(v), cell) != now):
                     yield out()
+                now = (len(v), cell)
                 ids.append(i)
                 rows.append(v)
         if rows:
@@ -160,17 +204,25 @@ def _trees(block: int):
     return build
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        bounds = [pair_bound((a, r), (b, s)) for a, r, b, s in zip(*(batch[c].to_pylist() for c in ("centre", "radius", "centre_b", "radius_b")), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch["query_block"], batch["data_block"], pa.array(bounds, pa.float64())], ["query_block", "data_block", "bound"])
+
+
 def _search(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by query block: its bounds carry on from one data tree to the next."""
-        now, state = None, None
+        """Rows come sorted: a block of queries with its floors, then the data blocks that it meets, the most promising
+        first, so that the scores found in one prune the next."""
+        state = None
         for batch in batches:
-            for name, queries, data in zip(batch["query_block"].to_pylist(), batch["queries"], batch["tree"], strict=True):
-                if name != now:
-                    if state:
-                        yield _found(state)
-                    now, state = name, Search(pickle.loads(queries.as_py()), k)
-                state.run(pickle.loads(data.as_py()))
+            for is_data, tree, ids, floors in zip(batch["is_data"].to_pylist(), batch["tree"], batch["ids"].to_pylist(), batch["floors"].to_pylist(), strict=True):
+                if is_data:
+                    state.run(pickle.loads(tree.as_py()))
+                    continue
+                if state:
+                    yield _found(state)
+                state = Search(pickle.loads(tree.as_py()), k, dict(zip(ids or [], floors or [], strict=True)))
         if state:
             yield _found(state)
 
@@ -181,30 +233,79 @@ def _found(state: Search) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in state.rows()], ["query_id", "vec_id", "score"])
 
 
+def _blocks(rows: DataFrame, block: int, name: str) -> DataFrame:
+    """(block, dim, centre, radius, tree) of vectors (vec_id, v, dim), near ones in a block.
+
+    Vectors go to the nearest of up to PIVOTS vectors, those of their dimension, then by distance: a block is a part of a
+    ring around a pivot.
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    picked = rows.select("dim", "v", F.xxhash64("vec_id").alias("h")).orderBy("h", "v").limit(min(PIVOTS, blocks))
+    pivots: dict[int, list] = {}
+    for r in picked.collect():
+        pivots.setdefault(r["dim"], []).append(r["v"])
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    placed = rows.select("vec_id", "v", "dim").mapInArrow(_placed(sent), "vec_id long, v array<long>, dim int, cell int, away double")
+    order = ["dim", "cell", "away", "vec_id"]
+    dealt = placed.repartitionByRange(blocks, *order).sortWithinPartitions(*order).select("vec_id", "v", "cell")
+    trees = dealt.mapInArrow(_trees(block), "dim int, centre array<double>, radius double, tree binary")
+    return scratch.stage(trees.select(F.monotonically_increasing_id().alias("block"), "*"), name)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block: int = BLOCK) -> DataFrame:
     """The k largest integer inner products of each query row with every other row: query_id, rank, vec_id, score.
 
     ``vectors`` has vec_id and embedding. Ties go to the smaller vec_id. Rows with a null id, or with a null vector
-    or one that holds null or non-finite components, take no part. Of rows that repeat a vec_id the one with the
-    smallest vector counts. Vectors are compared with those of equal dimension; fewer than k candidates are all
-    returned, and an empty table returns nothing. Other columns are ignored.
+    or one that is empty or holds null or non-finite components, take no part. Of rows that repeat a vec_id the one
+    with the smallest vector counts. Vectors are compared with those of equal dimension; fewer than k candidates are
+    all returned, and an empty table returns nothing. Inner products must stay below 2**63. Other columns are ignored.
 
-    Trees of bounded blocks are built once, in parallel. Each block of queries meets every block of data; a task keeps
-    bounds of one query block over its share of the data and sends k rows a query to the final ranking.
+    Trees of bounded blocks are built once, in parallel. Pairs of blocks are first judged by centres and radii alone:
+    each block of queries meets its FIRST most promising blocks of data, and then those whose bound reaches the worst
+    kth score found so far. Only these pairs' trees are sent.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     rows = vectors.select("vec_id", quantised(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("vec_id is not null and v is not null and size(v) > 0")
     rows = scratch.stage(rows.groupBy("vec_id").agg(F.min(F.struct("v", "q")).alias("x")).select("vec_id", "x.v", "x.q", F.size("x.v").alias("dim")), "vectors")
-    n = rows.count()
-    dealt = rows.repartition(max(1, -(-n // block)), "vec_id").sortWithinPartitions("dim", "vec_id")
-    data = scratch.stage(dealt.select("vec_id", "v").mapInArrow(_trees(block), "dim int, tree binary"), "trees")
-    asked = rows.where("q")
-    m = asked.count()
-    queries = asked.repartition(max(1, -(-m // block)), "vec_id").sortWithinPartitions("dim", "vec_id").select("vec_id", "v").mapInArrow(_trees(block), "dim int, tree binary")
-    queries = scratch.stage(queries.withColumn("query_block", F.monotonically_increasing_id()).withColumnRenamed("tree", "queries"), "queries")
-    # Some data blocks for each task, so that the bounds found in one prune the next.
-    shares = max(1, min(-(-n // block), 2 * spark.sparkContext.defaultParallelism))
-    pairs = data.withColumn("share", F.expr(f"pmod(xxhash64(tree), {shares})")).join(queries, "dim").repartition(max(1, shares), "query_block", "share").sortWithinPartitions("query_block")
-    found = pairs.select("query_block", "queries", "tree").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    data, queries = _blocks(rows, block, "data-trees"), _blocks(rows.where("q"), block, "query-trees")
+
+    # Blocks without their trees are small rows; shares spread the pairs of one dimension over tasks.
+    shares = max(2, 2 * spark.sparkContext.defaultParallelism)
+    told = data.select(F.col("block").alias("data_block"), "dim", F.col("centre").alias("centre_b"), F.col("radius").alias("radius_b"), F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share"))
+    asked = queries.select(F.col("block").alias("query_block"), "dim", "centre", "radius", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    pairs = scratch.stage(asked.withColumn("share", F.col("share").cast("long")).join(told, ["dim", "share"]).mapInArrow(_bounded, "query_block long, data_block long, bound double"), "pairs")
+
+    def met(chosen: DataFrame, floors: DataFrame) -> DataFrame:
+        """The candidates of chosen pairs (query_block, data_block, bound, share)."""
+        trees = chosen.join(data.select(F.col("block").alias("data_block"), "tree"), "data_block").select("query_block", "share", F.lit(True).alias("is_data"), "bound", "tree", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<long>").alias("floors"))
+        each = chosen.select("query_block", "share").distinct().join(queries.select(F.col("block").alias("query_block"), "tree"), "query_block").join(floors, "query_block", "left")
+        each = each.select("query_block", "share", F.lit(False).alias("is_data"), F.lit(None).cast("double").alias("bound"), "tree", "ids", "floors")
+        both = each.union(trees).repartition(shares, "query_block", "share").sortWithinPartitions("query_block", "share", "is_data", F.desc("bound"))
+        return both.select("is_data", "tree", "ids", "floors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+
+    order = Window.partitionBy("query_block").orderBy(F.desc("bound"), "data_block")
+    ranked = scratch.stage(pairs.withColumn("place", F.row_number().over(order)), "ranked-pairs")
+    none = spark.createDataFrame([], "query_block long, ids array<long>, floors array<long>")
+    early = scratch.stage(met(ranked.where(F.col("place") <= FIRST).withColumn("share", F.lit(0)), none), "early")
+    kth = early.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") == k)
+    floors = queries.select(F.col("block").alias("query_block"), "tree").mapInArrow(_members, "query_block long, query_id long").join(kth, "query_id", "left")
+    floors = floors.groupBy("query_block").agg(
+        F.min(F.coalesce("floor", F.lit(int(_NONE)))).alias("worst"),
+        F.collect_list(F.when(F.col("floor").isNotNull(), F.col("query_id"))).alias("ids"),
+        F.collect_list("floor").alias("floors"),
+    )
+    floors = scratch.stage(floors, "floors")
+    late = ranked.where(F.col("place") > FIRST).join(floors.select("query_block", "worst"), "query_block").where("bound >= worst")
+    late = scratch.stage(late.withColumn("share", F.pmod(F.xxhash64("data_block"), F.lit(shares)).cast("int")), "late-pairs")
+    found = early.union(met(late.drop("worst"), floors.select("query_block", "ids", "floors")))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name, tree in zip(batch["query_block"].to_pylist(), batch["tree"], strict=True):
+            ids = pickle.loads(tree.as_py()).ids
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name), pa.int64()), pa.array(ids, pa.int64())], ["query_block", "query_id"])

@@ -182,7 +182,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
         early = late = table
     trees = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=20, maxDepth=3, maxBins=64, stepSize=0.2, seed=seed).fit(early.repartition(4, "doc_id"))
     curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="score").fit(_raw(trees, late).withColumn("toxic", F.col("toxic").cast("double")))
-    return Model(learn_terms(rows), trees, curve, 0.0)
+    model = Model(learn_terms(rows), trees, curve, 0.0)
+    scratch.drop(rows, table)
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

@@ -54,6 +54,7 @@ class Trie:
             for segment in whole:
                 node = node.setdefault(segment, {})
             kept = node.setdefault(("ends",), {})
+            node.setdefault(("lengths",), set()).add(len(rest))
             # The same entry twice: block stands before allow, whatever their order.
             kept[rest] = max(kept.get(rest, rule), rule, key=lambda r: r.verdict)
 
@@ -68,8 +69,11 @@ class Trie:
             for i, segment in enumerate(segments):
                 if below is None:
                     break
-                for rest, rule in below.get(("ends",), {}).items():
-                    if segment.startswith(rest) and (best is None or _order(rule) > _order(best)):
+                # One probe for each length that the unfinished segments here have, however many there are.
+                ends = below.get(("ends",))
+                for n in below.get(("lengths",), ()):
+                    rule = ends.get(segment[:n]) if n <= len(segment) else None
+                    if rule and (best is None or _order(rule) > _order(best)):
                         best = rule
                 below = below.get(segment) if i + 1 < len(segments) else None
         return best
@@ -79,41 +83,50 @@ def _order(rule: Rule) -> tuple[int, int]:
     return len(rule.entry), len(rule.host)
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", default: str = "allow", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` to every row.
 
-    Null urls and urls without ``://`` have an empty host and path, which no rule fits: they get ``default``.
+    ``rules`` is a list of rules, or a table (entry, verdict) of any size: where it is larger than max_broadcast_bytes
+    pages and rules are joined. Null urls and urls without ``://`` have an empty host and path, which no rule fits: they get ``default``.
     Repeated rows are judged each for itself, an empty table gives an empty one, and columns of the input that are
     named like one of the four new ones are replaced.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
-    rules = [Rule(*r) for r in rules]
-    if sum(len(r.entry) + len(r.verdict) for r in rules) > max_broadcast_bytes:
-        found = _joined(parts, rules)
+    if isinstance(rules, DataFrame):
+        rules = rules.select("entry", "verdict").where("entry is not null and verdict is not null")
+        size = rules.agg(F.sum(F.length("entry") + F.length("verdict"))).first()[0] or 0
+        listed = rules if size > max_broadcast_bytes else [Rule(*r) for r in rules.collect()]
     else:
-        found = parts.withColumn("found", _lookup(pages.sparkSession, rules)("host", "path"))
+        listed = [Rule(*r) for r in rules]
+        if sum(len(r.entry) + len(r.verdict) for r in listed) > max_broadcast_bytes:
+            listed = pages.sparkSession.createDataFrame(listed, "entry string, verdict string")
+    if isinstance(listed, DataFrame):
+        found = _joined(parts, listed)
+    else:
+        found = parts.withColumn("found", _lookup(pages.sparkSession, listed)("host", "path"))
     return found.select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(default)).alias("verdict"))
 
 
 def _lookup(spark: SparkSession, rules: list[Rule]):
-    sent = spark.sparkContext.broadcast([tuple(r) for r in rules])
-    tries: list[Trie] = []
+    # The trie itself is sent, so that a worker reads it once and builds none.
+    sent = spark.sparkContext.broadcast(Trie(rules))
 
     @F.pandas_udf("rule string, verdict string")
     def lookup(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        if not tries:
-            tries.append(Trie(Rule(*r) for r in sent.value))
-        found = [tries[0].find(h, p) or (None, None) for h, p in zip(hosts, paths, strict=True)]
+        find = sent.value.find
+        found = [find(h, p) or (None, None) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
     return lookup
 
 
-def _joined(parts: DataFrame, rules: list[Rule]) -> DataFrame:
+def _joined(parts: DataFrame, rules: DataFrame) -> DataFrame:
     """The same answer without a broadcast: each distinct host and path meets the rules of its own suffixes and folders."""
-    spark = parts.sparkSession
-    known = spark.createDataFrame([(r.host, r.path[: r.path.rfind("/") + 1], r.path[r.path.rfind("/") + 1 :], r.entry, r.verdict) for r in rules], "suffix string, folder string, rest string, rule string, verdict string")
+    path = F.expr("substring(entry, length(substring_index(entry, '/', 1)) + 1)")
+    rest = F.substring_index("path", "/", -1)
+    known = rules.select(F.substring_index("entry", "/", 1).alias("suffix"), path.alias("path"), F.col("entry").alias("rule"), "verdict")
+    known = known.withColumn("rest", rest).withColumn("folder", F.expr("left(path, length(path) - length(rest))")).drop("path")
     places = parts.select("host", "path").distinct()
     keys = (
         places.withColumn("labels", F.split("host", r"\."))

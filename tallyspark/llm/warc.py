@@ -22,11 +22,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
+from tallyspark.llm.batches import sliced
 
 #: Bytes of compressed records in a package before the next one is begun.
 PACKAGE_BYTES = 64 << 20
-#: Revisits go to every task only up to so many rows (16 bytes each); beyond it pages are joined with them.
-MAX_BROADCAST_ROWS = 2_000_000
+#: Revisits go to every task only up to so many rows (some 100 bytes each); beyond it pages are joined with them.
+MAX_BROADCAST_ROWS = 500_000
+#: Records in a range of the index, and bytes of neighbouring records that are read at once.
+RANGE, READ_BYTES = 1000, 1 << 20
 _END, _END64, _LOCATOR64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 _NEW_LINES = b"\r\n\r\n"
 
@@ -181,18 +184,15 @@ def parse(raw: bytes) -> dict[str, Any]:
 # ---------------------------------------------------------------- Spark
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(x.as_py() or "").encode() for x in batch["html"]]
-        yield pa.RecordBatch.from_arrays([batch["page_id"], pa.array([len(p) for p in payloads], pa.int64()), pa.array([digest(p) for p in payloads], pa.string())], ["page_id", "payload_bytes", "payload_digest"])
-
-
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id and refers_to of each page whose payload another page with a larger id has, if it has least_bytes."""
-    found = pages.select("page_id", "html").mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string")
-    found = scratch.stage(found.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()), "digests")
-    owners = found.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least").drop("least")
-    return found.join(owners, "payload_digest").where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    """page_id, sha1 (hex, of the payload) and refers_to of pages whose payload another page with a larger id has, if
+    it has least_bytes."""
+    payload = F.coalesce("html", F.lit(""))
+    found = pages.where("page_id is not null").select("page_id", F.sha1(payload.cast("binary")).alias("sha1"), F.octet_length(payload).alias("n"))
+    found = scratch.stage(found.where(F.col("n") >= least_bytes).select("page_id", "sha1").distinct(), "digests")
+    owners = found.groupBy("sha1").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("refers_to > least").drop("least")
+    # Written, so that the join has shuffles of its own and a hot payload can be split.
+    return found.join(scratch.stage(owners, "owners"), "sha1").where("page_id < refers_to").select("page_id", "sha1", "refers_to")
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -200,19 +200,21 @@ def _store(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES, max_broadcast_rows: int = MAX_BROADCAST_ROWS, zip64: bool = False) -> DataFrame:
-    """Write every page (page_id, url, html) as a record; returns the manifest (package, members, records).
+    """Write every page (page_id, url, html) as a record; returns the manifest: package, and a row for each range of its
+    index with the range's first byte and length.
 
     ``folder`` must be shared. A task's packages carry its attempt in their names and are renamed when complete; the
     manifest names those of attempts that succeeded, so retries and speculative tasks leave nothing that is read.
     Null html is an empty payload, a null url is left out, pages without id are responses of their own, and repeated
-    rows are repeated records. The page with the largest id among equal payloads is the response.
+    rows are repeated records. The page with the largest id among equal payloads is the response; a page_id that
+    repeats with another html is judged by each payload for itself.
     """
     spark = pages.sparkSession
     again = scratch.stage(revisits(pages, least_bytes), "revisits")
-    rows = pages.select("page_id", "url", "html")
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1"))
     if (n := again.count()) <= max_broadcast_rows:
         again = F.broadcast(again) if n else again
-    rows = rows.join(again, "page_id", "left")
+    rows = rows.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -226,29 +228,33 @@ def write_packages(pages: DataFrame, folder: str, least_bytes: int = 0, package_
             with store.open_output_stream(f"{base}/.{name}.tmp") as out:
                 package = PackageWriter(out, zip64)
                 package.add(f"archive/{name}.warc.gz", b"".join(records))
-                package.add(f"indexes/{name}.cdxj", "".join(index).encode())
+                package.add(f"indexes/{name}.cdxj", b"".join(index))
                 package.close()
             store.move(f"{base}/.{name}.tmp", f"{base}/{name}.wacz")
-            made.append((f"{name}.wacz", len(index)))
+            first = 0
+            for at in range(0, len(index), RANGE):
+                length = sum(map(len, index[at : at + RANGE]))
+                made.append((f"{name}.wacz", first, length))
+                first += length
             records.clear()
             index.clear()
             size = 0
 
-        for batch in batches:
+        for batch in sliced(batches, 64):
             for page_id, url, html, refers_to in zip(*(batch[c] for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 page_id, url, payload, refers_to = page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py()
                 press = zlib.compressobj(1, zlib.DEFLATED, 31)
                 packed = press.compress(record(page_id, url, payload, digest(payload), refers_to)) + press.flush()
-                index.append(json.dumps({"page_id": page_id, "offset": size, "length": len(packed)}) + "\n")
+                index.append((json.dumps({"page_id": page_id, "offset": size, "length": len(packed)}) + "\n").encode())
                 records.append(packed)
                 size += len(packed)
                 if size >= package_bytes:
                     flush()
         if records:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["package", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], ["package", "first", "length"])
 
-    return scratch.stage(rows.mapInArrow(write, "package string, records long"), "manifest")
+    return scratch.stage(rows.mapInArrow(write, "package string, first long, length long"), "manifest")
 
 
 def read_packages(manifest: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
@@ -260,20 +266,29 @@ def read_packages(manifest: DataFrame, folder: str, payloads: bool = False) -> D
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
         for batch in batches:
-            for name, first, last in zip(*(batch[c].to_pylist() for c in ("package", "first", "last")), strict=True):
+            for name, first, length in zip(*(batch[c].to_pylist() for c in ("package", "first", "length")), strict=True):
                 with store.open_input_file(f"{base}/{name}") as file:
                     package = PackageReader(file)
                     archive = package.data_at(next(m for n, m in package.members.items() if n.startswith("archive/")))
-                    index = next(m for n, m in package.members.items() if n.startswith("indexes/"))
-                    lines = package.read(package.data_at(index), index.size).decode().splitlines()[first:last]
-                    rows = []
-                    for line in map(json.loads, lines):
-                        raw = package.read(archive + line["offset"], line["length"])
-                        rows.append(parse(zlib.decompress(raw, 31)))
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types, strict=True)], names)
-
-    # A package is read in ranges of records, so one large package is not one task.
-    step = 1000 if payloads else 4000
-    ranges = manifest.select("package", F.explode(F.expr(f"sequence(0L, greatest(records - 1, 0L), {step}L)")).alias("first")).withColumn("last", F.col("first") + step)
+                    index = package.data_at(next(m for n, m in package.members.items() if n.startswith("indexes/")))
+                    lines = [json.loads(x) for x in package.read(index + first, length).decode().splitlines()]
+                    for raws in _neighbours(package, archive, lines):
+                        rows = [parse(zlib.decompress(raw, 31)) for raw in raws]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types, strict=True)], names)
+
+    # A package is read in ranges of its index, so one large package is not one task.
     spark: SparkSession = manifest.sparkSession
-    return ranges.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "package", "first").mapInArrow(read, schema)
+    return manifest.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), "package", "first").mapInArrow(read, schema)
+
+
+def _neighbours(package: PackageReader, archive: int, lines: list[dict[str, Any]]) -> Iterator[list[bytes]]:
+    """The packed records that index lines name; those that stand side by side come by one read of READ_BYTES or so."""
+    at = 0
+    while at < len(lines):
+        begin, end, n = lines[at]["offset"], lines[at]["offset"] + lines[at]["length"], at + 1
+        while n < len(lines) and lines[n]["offset"] == end and end - begin < READ_BYTES:
+            end += lines[n]["length"]
+            n += 1
+        raw = package.read(archive + begin, end - begin)
+        yield [raw[x["offset"] - begin : x["offset"] - begin + x["length"]] for x in lines[at:n]]
+        at = n

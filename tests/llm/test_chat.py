@@ -67,3 +67,34 @@ def test_query_over_the_table(spark, sf_dir):
     rows += [(-1, 0, "user", queries.HOSTILE), (-1, 1, "assistant", queries.HOSTILE)]
     found = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op10_chat_windows(spark, sf_dir).collect()}
     assert found == expected(rows)
+
+
+def test_a_conversation_of_many_turns_and_a_very_long_one(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " * (i % 5)) for i in range(3000)] + [(2, 0, "system", "s " * 3000), (2, 1, "user", "u"), (2, 2, "assistant", "</s>" * 40_000)]
+    assert got(spark, rows) == expected(rows)
+    assert got(spark, rows, budget=64, history=30) == expected(rows)
+
+
+def test_windows_equal_a_plain_cut(spark):
+    """Spans and repeated turns by the definition, turn by turn."""
+    draw = __import__("random").Random(6)
+    for lead in (True, False):
+        rows = [(1, 0, "system", "be kind")] * lead + [(1, i, "user", "w " * draw.randint(0, 12)) for i in range(1, 60)]
+        n = [len(t.split()) + 4 for _, _, _, t in rows]
+        budget, history = 60, 25
+        first = int(lead)
+        room = max(1, budget - history - (n[0] if lead else 0))
+        starts = [first]
+        for i in range(first, len(rows)):
+            if i > starts[-1] and sum(n[starts[-1] : i + 1]) > room:
+                starts.append(i)
+        repeated = [0]
+        for s in starts[1:]:
+            past = 0
+            while s - past - 1 >= first and sum(n[s - past - 1 : s]) <= history:
+                past += 1
+            repeated.append(past + first)
+        windows = chat.format_windows(spark.createDataFrame([(*r, None) for r in rows], SCHEMA), budget=budget, history=history).orderBy("window").collect()
+        assert [w.n_repeated for w in windows] == repeated
+        ends = [*starts[1:], len(rows)]
+        assert [w.formatted.count("[INST]") for w in windows] == [e - s + r + (first if k == 0 else 0) for k, (s, e, r) in enumerate(zip(starts, ends, repeated, strict=True))]

@@ -117,3 +117,30 @@ def test_passages_hold_every_alignment_at_the_threshold():
         score = max((align(found.items[0][1], hashed[a:b])[0] for _, a, b in found.passages(hashed)), default=0)
         true = slow_score(words(item), words(doc))
         assert abs(score - true) < 1e-9 if true >= LEAST_SCORE else score < LEAST_SCORE
+
+
+def test_seeds_leave_out_no_more_than_an_alignment_can_miss():
+    draw = np.random.default_rng(12)
+    for _ in range(100):
+        texts = [" ".join(f"w{x}" for x in draw.integers(0, 9, int(draw.integers(3, 40)))) for _ in range(6)]
+        items = decontam.Items(list(enumerate(texts)))
+        for k, (_, w) in enumerate(items.items):
+            own = np.unique(decontam.pairs(w[:-1], w[1:]))
+            seeds = items.seeds[np.searchsorted(items.grams.known, own)].sum()
+            repeats = len(w) - 1 - len(own)
+            assert seeds >= 1 and len(own) - seeds <= max(0, int(items.least[k]) - 1 - repeats)
+
+
+def test_a_very_long_text_and_tied_scores(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    noise = " ".join(f"n{k % 5000}" for k in range(120_000))
+    docs = [(1, f"{noise} {item} {noise} {item}"), (2, noise)]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, item), (6, item)], "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score, r.first_word) for r in got) == [(1, 5, 1.0, 120_000), (1, 6, 1.0, 120_000)]
+
+
+def test_clean_rows_are_those_without_leaks(spark, sf_dir):
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    gone = {r.doc_id for r in decontam.find_leaks(docs, items).collect()}
+    kept = decontam.without_leaks(docs, items)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - gone

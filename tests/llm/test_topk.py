@@ -55,6 +55,26 @@ def test_pruning_skips_pairs_and_loses_none():
     assert sorted(search.scores[:, 0].tolist()) == sorted(scores.max(1).tolist())
 
 
+def test_bounds_keep_far_blocks_from_being_sent(spark, monkeypatch):
+    """Clusters far apart: most pairs of blocks are never searched, and the result is still exact."""
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (20 * np.eye(12)[i % 12] + 0.1 * draw.normal(size=12))]) for i in range(1500)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    staged, stage = {}, topk.scratch.stage
+    monkeypatch.setattr(topk.scratch, "stage", lambda d, name: staged.setdefault(name, stage(d, name)))
+    got = topk.search(df, F.col("vec_id") % 2 == 0, k=5, block=64)
+    assert found(got) == brute(rows, lambda i: i % 2 == 0, 5)
+    assert 0 < staged["late-pairs"].count() < 0.8 * staged["pairs"].count()
+
+
+def test_block_bounds_hold():
+    draw = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = (draw.integers(-50, 50, 5) + draw.normal(size=(20, 5)) * draw.integers(1, 30) for _ in range(2))
+        sides = [(x[0], float(np.sqrt(((x - x[0]) ** 2).sum(1)).max())) for x in (a, b)]
+        assert (a @ b.T).max() <= topk.pair_bound(*sides)
+
+
 def test_query_over_the_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert found(queries.op1_topk_search(spark, sf_dir)) == brute(rows, lambda i: i % 100 == 0, 10)

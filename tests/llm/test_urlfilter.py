@@ -35,3 +35,20 @@ def test_part_of_a_segment_and_longest_wins(spark, limit):
     df = spark.createDataFrame([("http://a.b/x",), ("http://a.b/xyz",), ("http://c.a.b/x/y/zz",), ("http://b/q",), ("http://a.b/y",)], "url string")
     got = {r.url: r.rule for r in judge(df, rules, max_broadcast_bytes=limit).collect()}
     assert got == {"http://a.b/x": "a.b/x", "http://a.b/xyz": "a.b/xy", "http://c.a.b/x/y/zz": "a.b/x/y/z", "http://b/q": "b/", "http://a.b/y": "b/"}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["trie", "join"])
+def test_rule_tables_many_rules_of_a_host_and_long_urls(spark, limit):
+    rules = [(f"big.org/p{i:05d}", "block") for i in range(3000)] + [("org/", "allow"), ("big.org/p", "allow"), (None, "block"), ("x.org/", None)]
+    deep = "http://a." * 1 + "big.org/" + "seg/" * 300 + "?q"
+    urls = ["http://big.org/p01234/x", "http://www.big.org/p0123", deep, "http://big.org/" + "y" * 20_000, "http://q.net/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = {r.url: (r.rule, r.verdict) for r in judge(df, spark.createDataFrame(rules, "entry string, verdict string"), max_broadcast_bytes=limit).collect()}
+    assert [got[u] for u in urls] == [("big.org/p01234", "block"), ("big.org/p", "allow"), ("org/", "allow"), ("org/", "allow"), (None, "allow")]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["trie", "join"])
+def test_equal_entries_block(spark, limit):
+    df = spark.createDataFrame([("http://a.b/",)], "url string")
+    for rules in ([Rule("a.b/", "allow"), Rule("a.b/", "block")], [Rule("a.b/", "block"), Rule("a.b/", "allow")]):
+        assert judge(df, rules, max_broadcast_bytes=limit).first().verdict == "block"

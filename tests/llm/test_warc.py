@@ -78,6 +78,24 @@ def test_null_ids_repeats_and_empty_tables(spark):
     assert warc.read_packages(warc.write_packages(df.limit(0), folder), folder).count() == 0
 
 
+def test_a_page_id_with_several_payloads_is_judged_by_each(spark):
+    folder = scratch.fresh(spark, "packages")
+    df = spark.createDataFrame([(1, "u", "a", None), (1, "u", "b", None), (2, "u", "a", None), (3, "u", "b", None), (3, "u", "a", None)], SCHEMA)
+    got = warc.read_packages(warc.write_packages(df, folder), folder).collect()
+    payload = {warc.digest(x.encode()): x for x in "ab"}
+    assert sorted((r.page_id, payload[r.payload_digest], r.refers_to or 0) for r in got) == [(1, "a", 3), (1, "b", 3), (2, "a", 3), (3, "a", 0), (3, "b", 0)]
+
+
+def test_many_records_are_read_in_ranges(spark):
+    folder = scratch.fresh(spark, "packages")
+    rows = [(i, f"http://h/{i}", f"page {i % 1700} é " * (1 + i % 40), None) for i in range(2500)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    manifest = warc.write_packages(df, folder)
+    assert manifest.count() == 3
+    got = warc.read_packages(manifest, folder, payloads=True).collect()
+    assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got} == expected([r[:3] for r in rows])
+
+
 def test_query_over_the_table(spark, sf_dir):
     rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert {(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in queries.op7_warc_packages(spark, sf_dir).collect()} == expected(rows)
