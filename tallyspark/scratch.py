@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Where staged tables are, as long as someone holds them.
+_PLACES: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,4 +38,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: it is computed once, and lost executors cost no recomputation."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PLACES[staged] = path
+    return staged
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete staged tables that no result is still to be read from; without Spark's own file system calls they stay."""
+    for table in tables:
+        path = _PLACES.pop(table, None)
+        jvm = getattr(table.sparkSession, "_jvm", None)
+        if path and jvm:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
