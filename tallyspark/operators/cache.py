@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from tallyspark import scratch
-from tallyspark.functions import text
+from tallyspark.functions import text, vectors
+from tallyspark.operators import traffic
 
 #: A guard compares a new query with a cached one; the first that fails names the reason.
 Guard = tuple[str, Callable[[Column, Column], Column]]
@@ -70,22 +72,21 @@ def reject_reason(new: Column, cached: Column, covered: Column, guards: Sequence
 def greedy_replay(rows: DataFrame, edges: DataFrame, seq: str = "seq") -> DataFrame:
     """(seq, hit): a row is a hit iff an earlier row that became an entry, a miss, would be served to it.
 
-    ``edges`` holds (src, dst), src < dst. Misses are the first maximal independent set in row order. Each round
-    decides every row whose sources are decided enough, and is written out, so lineage stays short; rounds follow the
-    longest chain of dependent rows, not the number of rows.
+    ``edges`` holds (src, dst), src < dst. Misses are the first maximal independent set in row order. Each round decides
+    the rows whose sources are decided enough, and writes them and the edges that are still open, so lineage stays short
+    and rounds shrink; there are as many as the longest chain of dependent rows has.
     """
-    undecided = scratch.stage(edges.select("src", "dst"), "replay-edges")
-    targets = undecided.select(F.col("dst").alias(seq)).distinct()
-    decided = scratch.stage(rows.select(seq).join(targets, seq, "left_anti").select(seq, F.lit(False).alias("hit")), "replay-decided")
-    done = decided
-    left = scratch.stage(targets, "replay-left")
-    while left.limit(1).count():
-        known = undecided.join(done.select(F.col(seq).alias("src"), F.col("hit").alias("src_hit")), "src", "left")
-        state = known.groupBy("dst").agg(F.bool_or(~F.col("src_hit")).alias("served"), F.bool_and(F.coalesce("src_hit", F.lit(False))).alias("free"))
-        fresh = scratch.stage(state.join(left.select(F.col(seq).alias("dst")), "dst", "left_semi").where("served or free").select(F.col("dst").alias(seq), F.coalesce("served", F.lit(False)).alias("hit")), "replay-fresh")
-        done = scratch.stage(done.union(fresh), "replay-decided")
-        left = scratch.stage(left.join(fresh, seq, "left_anti"), "replay-left")
-    return done
+    open_ = scratch.stage(edges.select("src", "dst"), "replay-edges")
+    fresh = scratch.stage(rows.select(seq).join(open_.select(F.col("dst").alias(seq)), seq, "left_anti").select(seq, F.lit(False).alias("hit")), "replay-decided")
+    decided = fresh
+    while open_.limit(1).count():
+        known = open_.join(fresh.select(F.col(seq).alias("src"), F.col("hit").alias("src_hit")), "src", "left")
+        # A row with an entry among its sources is a hit; one whose sources are all hits is a miss.
+        state = known.groupBy("dst").agg(F.coalesce(F.bool_or(~F.col("src_hit")), F.lit(False)).alias("hit"), F.count_if(F.col("src_hit").isNull()).alias("left"))
+        fresh = scratch.stage(state.where("hit or left = 0").select(F.col("dst").alias(seq), "hit"), "replay-decided")
+        decided = decided.union(fresh)
+        open_ = scratch.stage(known.where("src_hit is null").select("src", "dst").join(fresh.select(F.col(seq).alias("dst")), "dst", "left_anti"), "replay-edges")
+    return decided
 
 
 def semantic_replay(rows: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -112,66 +113,101 @@ def semantic_replay(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def consulted(candidates: DataFrame, replayed: DataFrame) -> DataFrame:
+    """The candidates (src, dst, cos, passes) that a lazy last check looks at: a row's entries, nearest first, up to and
+    with the first that passes."""
+    entries = replayed.where("not hit").select(F.col("seq").alias("src"))
+    order = Window.partitionBy("dst").orderBy(F.desc("cos"), "src")
+    seen = candidates.join(entries, "src").withColumn("before", F.count_if("passes").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    return seen.where(F.coalesce("before", F.lit(0)) == 0).drop("before")
+
+
 def ttl_replay(rows: DataFrame, key: list[str], ts: str, order: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Adds hit and written_at: an entry lives ttl_seconds from its write, and reads don't refresh it.
 
-    Rows are sorted by key and time within partitions and folded with one entry of state, so a hot key streams through
-    a task and is never held in memory.
+    A pause of ttl_seconds ends a run of rows: runs of a key don't depend on each other and go to different tasks. In a
+    run a task leaps from write to write; it holds one entry, whatever the run's length.
     """
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, hit boolean, written_at timestamp"
+    told = traffic.previous(rows, key, [ts, order], ts, "_prior")
+    pause = F.col("_prior").isNull() | (F.col(ts).cast("double") - F.col("_prior").cast("double") >= ttl_seconds)
+    runs = traffic.running_total(told, key, [ts, order], F.when(pause, 1).otherwise(0)).withColumnRenamed("total", "_run").drop("_prior")
+    schema = StructType([*rows.schema, StructField("hit", BooleanType()), StructField("written_at", TimestampType())])
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, written = None, None
         for frame in frames:
-            hits, writes = [], []
-            for name, at in zip(frame[key].itertuples(index=False, name=None), frame[ts], strict=True):
-                hit = name == now and (at - written).total_seconds() < ttl_seconds
-                if not hit:
-                    now, written = name, at
-                hits.append(hit)
-                writes.append(written)
-            yield frame.assign(hit=hits, written_at=pd.Series(writes, index=frame.index, dtype="datetime64[ns]"))
-
-    return rows.repartition(*key).sortWithinPartitions(*key, ts, order).mapInPandas(fold, schema)
+            at = frame[ts].to_numpy()
+            names = list(zip(*(frame[c] for c in (*key, "_run")), strict=True))
+            hits, writes = np.ones(len(frame), dtype=bool), np.empty(len(frame), dtype=at.dtype)
+            begins = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]]
+            for begin, end in zip(begins, [*begins[1:], len(names)], strict=True):
+                if names[begin] != now:
+                    now, written = names[begin], None
+                i = begin
+                while i < end:
+                    if written is None or at[i] - written >= np.timedelta64(ttl_seconds, "s"):
+                        written, hits[i] = at[i], False
+                    following = i + max(1, int(np.searchsorted(at[i:end], written + np.timedelta64(ttl_seconds, "s"))))
+                    writes[i:following] = written
+                    i = following
+            yield frame.drop(columns="_run").assign(hit=hits, written_at=pd.Series(writes, index=frame.index))
+
+    return runs.repartition(*key, "_run").sortWithinPartitions(*key, "_run", ts, order).select(*rows.columns, "_run").mapInPandas(fold, schema)
 
 
 def live_replay(requests: DataFrame, threshold: float = THRESHOLD, k: int = KNN) -> DataFrame:
     """(seq, tenant, hit, served_from, cosine) of requests (tenant, seq, vec, numbers, negations) in order.
 
     The k nearest entries of the tenant are taken before the checks, so a passing entry beyond them stays unreachable.
-    What is found depends on the entries of the moment: tenants are folded one row at a time, in numpy.
+    A hit reports its entry's cosine, a miss the nearest entry's, or null if none is within the threshold.
     """
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tenant, entries, matrix, n = None, [], np.zeros((0, 0)), 0
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                vec = np.asarray(row.vec, dtype=np.float64)
-                if row.tenant != tenant:
-                    tenant, entries, matrix, n = row.tenant, [], np.zeros((256, len(vec))), 0
-                served, score = None, None
-                if n:
-                    cos = matrix[:n] @ vec
-                    for i in np.lexsort((np.arange(n), -cos))[:k]:
-                        score = float(cos[i]) if score is None else score
-                        if cos[i] < threshold:
-                            break
-                        seq, numbers, negations = entries[i]
-                        if numbers == list(row.numbers) and negations == list(row.negations):
-                            served, score = seq, float(cos[i])
-                            break
-                if served is None:
-                    if n == len(matrix):
-                        matrix = np.concatenate([matrix, np.zeros_like(matrix)])
-                    matrix[n] = vec
-                    entries.append((row.seq, list(row.numbers), list(row.negations)))
-                    n += 1
-                out.append((row.seq, row.tenant, served is not None, served, score))
-            yield pd.DataFrame(out, columns=["seq", "tenant", "hit", "served_from", "cosine"]).astype({"served_from": "Int64"})
-
-    rows = requests.repartition("tenant").sortWithinPartitions("tenant", "seq")
-    return rows.mapInPandas(fold, "seq long, tenant int, hit boolean, served_from long, cosine double")
+    order = requests.repartitionByRange("tenant", "seq").sortWithinPartitions("tenant", "seq")
+    rows = scratch.stage(order.withColumn("no", F.monotonically_increasing_id()), "live-requests")
+    pairs = vectors.similar_pairs(rows, "no", "vec", "tenant", threshold)
+    told = rows.select("no", "numbers", "negations")
+    both = pairs.join(told.toDF("a", "n", "g"), "a").join(told.toDF("b", "m", "h"), "b")
+    passes = F.col("n").eqNullSafe(F.col("m")) & F.col("g").eqNullSafe(F.col("h"))
+    found = nearest_replay(rows.select(F.col("no").alias("seq")), both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.bround("cos", 6).alias("cos"), passes.alias("passes")), k)
+    names = rows.select(F.col("no").alias("served_from"), F.col("seq").alias("source"))
+    named = found.withColumnRenamed("seq", "no").join(rows.select("no", "seq", "tenant"), "no").join(names, "served_from", "left")
+    return named.select("seq", "tenant", "hit", F.col("source").alias("served_from"), "cosine")
+
+
+def nearest_replay(rows: DataFrame, candidates: DataFrame, k: int = KNN) -> DataFrame:
+    """(seq, hit, served_from, cosine) for rows (seq) and candidates (src, dst, cos, passes), src an earlier row within
+    the threshold of dst: each row sees its k nearest entries of the moment, ties to the earlier one.
+
+    Which rows are entries depends on all before. In rounds, a row is decided as soon as its nearest candidates are
+    known to be entries or not, as far as it takes to fix the k nearest; the rest, ever fewer, is written for the next.
+    """
+    order = Window.partitionBy("dst").orderBy("r")
+    open_ = candidates.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("cos"), "src"))).withColumn("entry", F.lit(None).cast("boolean"))
+    open_ = scratch.stage(open_, "live-open")
+    waiting = scratch.stage(open_.select("dst").distinct(), "live-waiting")
+    fresh = rows.join(waiting.select(F.col("dst").alias("seq")), "seq", "left_anti")
+    fresh = scratch.stage(fresh.select("seq", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("served_from"), F.lit(None).cast("double").alias("cosine")), "live-decided")
+    decided = fresh
+    while waiting.limit(1).count():
+        known = open_.join(fresh.select(F.col("seq").alias("src"), (~F.col("hit")).alias("now")), "src", "left")
+        known = known.withColumn("entry", F.coalesce("entry", "now")).drop("now").where("entry is null or entry")
+        known = scratch.stage(known, "live-known")
+        counted = known.withColumn("e", F.count_if("entry").over(order))
+        state = counted.groupBy("dst").agg(
+            F.min(F.when(F.col("entry").isNull(), F.col("r"))).alias("unknown"),
+            F.min(F.when(F.col("entry") & F.col("passes") & (F.col("e") <= k), F.struct("r", "src", "cos"))).alias("served"),
+            F.min(F.when(F.col("entry") & (F.col("e") >= k), F.col("r"))).alias("full"),
+            F.min(F.when(F.col("entry"), F.struct("r", "cos"))).alias("near"),
+        )
+        state = waiting.join(state, "dst", "left")
+        hit = F.col("served").isNotNull() & (F.col("unknown").isNull() | (F.col("served.r") < F.col("unknown")))
+        miss = F.col("unknown").isNull() | (F.col("full") < F.col("unknown"))
+        told = state.withColumn("hit", hit).where(F.col("hit") | F.coalesce(miss, F.lit(False)))
+        fresh = scratch.stage(told.select(F.col("dst").alias("seq"), "hit", F.when(F.col("hit"), F.col("served.src")).alias("served_from"), F.when(F.col("hit"), F.col("served.cos")).otherwise(F.col("near.cos")).alias("cosine")), "live-decided")
+        decided = decided.union(fresh)
+        gone = fresh.select(F.col("seq").alias("dst"))
+        waiting = scratch.stage(waiting.join(gone, "dst", "left_anti"), "live-waiting")
+        open_ = known.join(gone, "dst", "left_anti")
+    return decided
 
 
 def latest_per_key(writes: DataFrame, keys: list[str], order: Column) -> DataFrame:

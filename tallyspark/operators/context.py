@@ -39,6 +39,13 @@ def prompt(query: Column, context: Column) -> Column:
     return F.concat(context, F.lit("\n\n## Question\n"), query)
 
 
+def optimised(case: Column, kept: Column) -> Column:
+    """What is sent in place of the whole context: the case block and the kept sections, an ordered array of (header,
+    body), blank lines between."""
+    shown = F.transform(kept, lambda s: F.concat(F.lit("## "), s["header"], F.lit("\n"), s["body"]))
+    return F.array_join(F.concat(F.when(case.isNotNull(), F.array(F.concat(F.lit("## Case\n"), case))).otherwise(F.array().cast("array<string>")), shown), "\n\n")
+
+
 def chunks(attachments: DataFrame, sections: DataFrame) -> DataFrame:
     """(req_id, doc_id, pos, section, header, body, tokens): the attached sections in document order.
 
@@ -57,9 +64,13 @@ def chunks(attachments: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def eligible(sections: DataFrame) -> DataFrame:
-    """Requests that are worth a window: enough tokens and more than one section."""
-    return sections.groupBy("req_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).where((F.col("tokens") >= LEAST_TOKENS) & (F.col("n") > 1))
+def eligible(sections: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Requests that are worth a window: enough tokens, those of a case (req_id, case_tokens) among them, and more than
+    one section."""
+    found = sections.groupBy("req_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    if cases is not None:
+        found = found.join(cases, "req_id", "left").withColumn("tokens", F.col("tokens") + F.coalesce("case_tokens", F.lit(0))).drop("case_tokens")
+    return found.where((F.col("tokens") >= LEAST_TOKENS) & (F.col("n") > 1))
 
 
 def boilerplate(sections: DataFrame, least_docs: int = 3) -> DataFrame:
@@ -69,19 +80,21 @@ def boilerplate(sections: DataFrame, least_docs: int = 3) -> DataFrame:
     return each.distinct().groupBy("sentence").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
 
 
-def strip_boilerplate(sections: DataFrame, repeated: DataFrame, drop_ratio: float = 0.3) -> DataFrame:
-    """Sections (doc_id, pos, body) without repeated sentences; ones that mostly consisted of them are dropped.
+def strip_boilerplate(sections: DataFrame, repeated: DataFrame, drop_ratio: float = 0.3, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
+    """Sections (``keys`` and body) without repeated sentences; ones that mostly consisted of them are dropped.
 
     A section without any keeps its body as it is; others get their sentences joined by a blank.
     """
-    each = sections.select("doc_id", "pos", F.posexplode(text.sentences(F.col("body"))).alias("i", "sentence"))
-    marked = each.join(repeated.select("sentence", F.lit(True).alias("repeated")), "sentence", "left")
-    kept = marked.groupBy("doc_id", "pos").agg(
+    # Sentences meet by hash, so that no text is compared with a key that is frequent by definition.
+    each = sections.select(*keys, F.posexplode(text.sentences(F.col("body"))).alias("i", "sentence"))
+    known = repeated.select(F.xxhash64("sentence").alias("h")).distinct().withColumn("repeated", F.lit(True))
+    marked = each.withColumn("h", F.xxhash64("sentence")).join(known, "h", "left")
+    kept = marked.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count("repeated").alias("n_repeated"),
         F.array_sort(F.collect_list(F.when(F.col("repeated").isNull(), F.struct("i", "sentence")))).alias("rest"),
     )
-    found = sections.join(kept, ["doc_id", "pos"], "left").withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0)))
+    found = sections.join(kept, list(keys), "left").withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0)))
     found = found.where((F.col("n_repeated") == 0) | (F.col("n_repeated") / F.col("n") < drop_ratio))
     body = F.when(F.col("n_repeated") == 0, F.col("body")).otherwise(F.array_join("rest.sentence", " "))
     return found.withColumn("body", body).drop("rest", "n").withColumn("tokens", text.approx_tokens(F.col("body")))
@@ -130,21 +143,24 @@ def near_documents(scores: DataFrame, gap: float = 0.05, max_docs: int = 3) -> D
 
 
 def hybrid(scored: DataFrame, stripped: DataFrame, method: str = "max", budget: int = BUDGET) -> DataFrame:
-    """(req_id, top, used, kept): the top document whole, over budget even, then the best sections of others that fit.
+    """(req_id, top, used, kept, n_docs): the top document whole, over budget even, then the best sections of others that
+    fit.
 
     ``scored`` holds all sections with the scores of their full text, ``stripped`` (req_id, pos, tokens) those that
     boilerplate left over.
     """
     top = doc_scores(scored, method).groupBy("req_id").agg(F.max(F.struct("doc_score", (-F.col("first")).alias("minus"), "doc_id")).alias("t")).select("req_id", F.col("t.doc_id").alias("top"))
     rows = scored.drop("tokens").join(stripped.select("req_id", "pos", "tokens"), ["req_id", "pos"]).join(top, "req_id")
-    mine, other = F.col("doc_id") == F.col("top"), F.struct((-F.col("score")).alias("minus"), "pos", "tokens")
+    mine, other = F.col("doc_id") == F.col("top"), F.struct((-F.col("score")).alias("minus"), "pos", "tokens", "doc_id")
     grouped = rows.groupBy("req_id", "top").agg(
         F.coalesce(F.sum(F.when(mine, F.col("tokens"))), F.lit(0)).alias("whole"),
         F.collect_list(F.when(mine, F.col("pos"))).alias("own"),
         F.array_sort(F.collect_list(F.when(~mine, other))).alias("ordered"),
     )
-    packed = grouped.select("req_id", "top", "own", fill_sections(F.col("ordered"), F.col("whole"), budget).alias("p"))
-    return packed.select("req_id", "top", F.col("p.used").alias("used"), F.array_sort(F.concat("own", "p.kept")).alias("kept"))
+    packed = grouped.select("req_id", "top", "own", "ordered", fill_sections(F.col("ordered"), F.col("whole"), budget).alias("p"))
+    others = F.array_distinct(F.transform(F.filter("ordered", lambda x: F.array_contains("p.kept", x.pos)), lambda x: x.doc_id))
+    n_docs = F.size(others) + F.when(F.size("own") > 0, 1).otherwise(0)
+    return packed.select("req_id", "top", F.col("p.used").alias("used"), F.array_sort(F.concat("own", "p.kept")).alias("kept"), n_docs.alias("n_docs"))
 
 
 def prune_sentences(scored: DataFrame, keep_ratio: float = 0.7, neighbours: int = 0) -> DataFrame:

@@ -1,16 +1,19 @@
-"""Model routing: rules, a logistic router, thresholds from given probabilities, and choices among configurations."""
+"""Model routing: rules, a logistic router with out-of-fold probabilities, thresholds, and choices among configurations."""
 
 from __future__ import annotations
 
 import random
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
 from tallyspark.functions import text
+from tallyspark.operators import traffic
 
 SMALL, LARGE = "small", "large"
 FEATURES = ["n_words", "n_sentences", "n_questions", "n_numbers", "n_connectives", "ends_right", "docs_kept", "log_tokens"]
@@ -50,26 +53,102 @@ def shuffled(names: list[str], seed: int) -> list[tuple[int, str]]:
     return list(enumerate(names))
 
 
-def fit_router(rows: DataFrame, embedding: str, label: str):
+class Router:
+    """A fitted router: adds ``p_large``, the probability that a query needs the large model."""
+
+    def __init__(self, scaler: StandardScalerModel, model: LogisticRegressionModel, stretch: float, embedding: str):
+        self.scaler, self.model, self.stretch, self.embedding = scaler, model, stretch, embedding
+
+    def prepare(self, table: DataFrame) -> DataFrame:
+        ready = self.scaler.transform(VectorAssembler(inputCols=FEATURES, outputCol="raw_features").transform(table))
+        widened = F.transform(vector_to_array("scaled"), lambda v: v * F.lit(self.stretch))
+        return ready.withColumn("x", array_to_vector(F.concat(F.col(self.embedding).cast("array<double>"), widened))).drop("raw_features", "scaled")
+
+    def __call__(self, table: DataFrame) -> DataFrame:
+        return self.model.transform(self.prepare(table)).withColumn("p_large", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.scaler.write().overwrite().save(f"{path}/scaler")
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(self.stretch, self.embedding)], "stretch double, embedding string").write.mode("overwrite").parquet(f"{path}/told")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Router:
+        told = spark.read.parquet(f"{path}/told").first()
+        return Router(StandardScalerModel.load(f"{path}/scaler"), LogisticRegressionModel.load(f"{path}/model"), told["stretch"], told["embedding"])
+
+
+def load_or_fit(spark: SparkSession, path: str, rows: DataFrame, embedding: str, label: str) -> Router:
+    """The router that was saved under ``path``; without one, a fitted one that is saved there."""
+    try:
+        return Router.load(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    router = fit_router(rows, embedding, label)
+    router.save(spark, path)
+    return router
+
+
+def fit_router(rows: DataFrame, embedding: str, label: str) -> Router:
     """A balanced logistic regression (C = 1) over the embedding and the standardised features.
 
     Features are scaled by the deviation over all rows (not over n - 1), classes weigh the same, and the penalty is
     1 / n per row, none on standardised scale.
     """
     stats = rows.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("ones")).first()
-    n, ones = stats["n"], stats["ones"]
+    n, ones = stats["n"], stats["ones"] or 0
+    if not 0 < ones < n:
+        raise ValueError("a router needs rows of both classes")
     weight = F.when(F.col(label) == 1, F.lit(n / (2 * ones))).otherwise(F.lit(n / (2 * (n - ones))))
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="raw_features").transform(rows)
     scaler = StandardScaler(inputCol="raw_features", outputCol="scaled", withMean=True, withStd=True).fit(assembled)
-    model = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", maxIter=200, regParam=1.0 / n, standardization=False)
+    learner = LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", maxIter=200, regParam=1.0 / n, standardization=False)
+    router = Router(scaler, None, (n / (n - 1)) ** 0.5, embedding)
+    router.model = learner.fit(router.prepare(rows).withColumn("weight", weight))
+    return router
+
+
+def out_of_fold(rows: DataFrame, group: str, embedding: str, label: str, folds: int = 5) -> DataFrame:
+    """Rows with ``fold`` and ``p_large`` by a router that was fitted on the other folds; groups are never cut.
+
+    One row per group comes to the driver, which deals them to folds.
+    """
+    sizes = [(r[0], r[1]) for r in rows.groupBy(F.col(group).cast("string")).count().collect()]
+    dealt = fold_of_groups(sizes, max(2, min(folds, len(sizes))))
+    spark = rows.sparkSession
+    places = spark.createDataFrame(list(dealt.items()), "_group string, fold int")
+    rows = scratch.stage(rows.withColumn("_group", F.col(group).cast("string")).join(F.broadcast(places), "_group").drop("_group"), "folds")
+    found = None
+    for fold in sorted(set(dealt.values())):
+        part = fit_router(rows.where(F.col("fold") != fold), embedding, label)(rows.where(F.col("fold") == fold))
+        found = part if found is None else found.unionByName(part)
+    return found
 
-    def prepare(table: DataFrame) -> DataFrame:
-        ready = scaler.transform(VectorAssembler(inputCols=FEATURES, outputCol="raw_features").transform(table))
-        widened = F.transform(vector_to_array("scaled"), lambda v: v * F.lit((n / (n - 1)) ** 0.5))
-        return ready.withColumn("x", array_to_vector(F.concat(F.col(embedding).cast("array<double>"), widened))).drop("raw_features", "scaled")
 
-    fitted = model.fit(prepare(rows).withColumn("weight", weight))
-    return lambda table: fitted.transform(prepare(table)).withColumn("p_large", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
+def compare_strategies(train: DataFrame, test: DataFrame, group: str, embedding: str, label: str, target: float = 0.05) -> DataFrame:
+    """Five strategies on the test rows: the router at a threshold that out-of-fold probabilities of the training rows
+    call safe, the rules, the large or small model for all, and the labels themselves.
+
+    Rows have the router's features, its embedding and label, ``text`` features of FEATURES and ``log_tokens``.
+    """
+    told = out_of_fold(train, group, embedding, label).select((F.col(label) == 1).alias("complex"), "p_large", F.lit(0).alias("all"))
+    threshold = safe_threshold(told, ["all"], target).first()["threshold"]
+    rows = fit_router(train, embedding, label)(test).withColumn("complex", F.col(label) == 1)
+    small, large = F.lit(SMALL), F.lit(LARGE)
+    hard = (F.col("n_questions") > 1) | (F.col("ends_right") == 1) | (F.col("docs_kept") > 1)
+    each = {
+        "router": F.when(F.col("p_large") >= threshold, large).otherwise(small),
+        "rules": F.when(hard, large).otherwise(small),
+        "always_large": large,
+        "always_small": small,
+        "labels": F.when(F.col("complex"), large).otherwise(small),
+    }
+    tokens = F.rint(F.expm1("log_tokens") / 4).cast("long")
+    routed = rows.select("complex", tokens.alias("tokens"), F.inline(F.array(*(F.struct(F.lit(n).alias("strategy"), c.alias("route")) for n, c in each.items()))))
+    routed = routed.withColumn("cost_usd", traffic.billed(F.col("route"), F.col("tokens"), F.lit(120)))
+    cost = routed.groupBy("strategy").agg((F.sum(traffic.micros(F.col("cost_usd"))) / (F.count("*") * F.lit(1000.0))).alias("per_1k"))
+    return score_routes(routed, ["strategy"]).join(cost, "strategy").withColumn("threshold", F.when(F.col("strategy") == "router", F.lit(threshold)))
 
 
 def safe_threshold(predictions: DataFrame, group: list[str], target: float = 0.0) -> DataFrame:

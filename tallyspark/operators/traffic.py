@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
+
 # Dollars per million input and output tokens, and histogram bounds in seconds.
 PRICES = {"small": (0.10, 0.50), "large": (2.00, 10.00), "judge": (1.00, 5.00)}
 STAGE_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 40.0, 80.0)
@@ -22,6 +24,21 @@ def cost(model: Column, input_tokens: Column, output_tokens: Column) -> Column:
     return (input_tokens * price(model, 0) + output_tokens * price(model, 1)) / 1e6
 
 
+def billed(model: Column, input_tokens: Column, output_tokens: Column) -> Column:
+    """The cost to the millionth of a dollar, half to even: prices are in millionths a token."""
+    return F.rint(input_tokens * price(model, 0) + output_tokens * price(model, 1)) / F.lit(1e6)
+
+
+def micros(dollars: Column) -> Column:
+    """Whole millionths: their sums don't depend on the order of rows."""
+    return F.rint(dollars * 1e6).cast("long")
+
+
+def dollars(amount: Column) -> Column:
+    """The sum of dollar amounts, added up in whole millionths."""
+    return F.sum(micros(amount)) / F.lit(1e6)
+
+
 def savings(total: Column, base: Column) -> Column:
     """(savings_usd, savings_pct): the share is 0 without a baseline."""
     return F.struct(F.bround(base - total, 6).alias("savings_usd"), F.when(base == 0, F.lit(0.0)).otherwise(F.bround(1 - total / base, 4)).alias("savings_pct"))
@@ -52,23 +69,28 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.get(ordered, at)
 
 
-def nearest_ranks(rows: DataFrame, labels: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
-    """Nearest-rank percentiles without collecting a group: ranks by a sorted count of distinct values.
+def _counted(rows: DataFrame, labels: list[str], value: str) -> DataFrame:
+    """(labels, value, upto, n): how many values of a label there are up to each one, and in all.
 
-    Values are counted first, so a hot label with repeated values is small before it is ranked.
+    Equal values are counted first; a label's distinct ones are then dealt to ranges, so a hot label is spread over
+    tasks.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*labels).orderBy(value)
-    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*labels)))
+    summed = running_total(counted, labels, [value], F.col("c")).withColumnRenamed("total", "upto")
+    sizes = summed.groupBy(*labels).agg(F.max("upto").alias("n"))
+    return summed.join(F.broadcast(sizes), labels)
+
+
+def nearest_ranks(rows: DataFrame, labels: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
+    """(labels, n, percentiles) by nearest rank, without collecting or sorting a label in one task."""
+    ranked = _counted(rows, labels, value)
     picks = [F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.rint(F.lit(p / 100) * (F.col("n") - 1)).cast("long")), F.col(value))).alias(f"p{p:g}") for p in ps]
     return ranked.groupBy(*labels).agg(F.max("n").alias("n"), *picks)
 
 
 def upper_median(rows: DataFrame, labels: list[str], value: str) -> DataFrame:
     """(labels, n, least, most, median): the element at position n // 2 of the sorted values."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*labels).orderBy(value)
-    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*labels)))
+    ranked = _counted(rows, labels, value)
     return ranked.groupBy(*labels).agg(F.max("n").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value))).alias("median"))
 
 
@@ -78,22 +100,42 @@ def per_window(rows: DataFrame, ts: str, labels: list[str], length: str, slide:
     return rows.groupBy(window.alias("w"), *labels).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *labels, "n")
 
 
-def running_total(rows: DataFrame, labels: list[str], order: list[str], value: Column, parts: int = 256) -> DataFrame:
+def _ranged(rows: DataFrame, order: list[str], parts: int) -> DataFrame:
+    """Rows with ``_part``, the number of the range of ``order`` that they are in; ranges hold about as many rows each,
+    whatever the values. Written, so that every reader sees the same ranges."""
+    return scratch.stage(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _parts(rows: DataFrame) -> int:
+    return max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def running_total(rows: DataFrame, labels: list[str], order: list[str], value: Column, parts: int | None = None) -> DataFrame:
     """Adds ``total``: the sum up to and including each row, per label.
 
-    Rows of a label are cut into ranges of their first order column, summed by range, and each range starts from the
-    sum of those before: a hot label is spread over tasks.
+    Rows are cut into ranges of their order columns, summed by label and range, and each range starts from the sum of
+    those before: a hot label is spread over tasks.
     """
-    edges = rows.agg(F.min(F.col(order[0]).cast("double")), F.max(F.col(order[0]).cast("double"))).first()
-    low, high = edges[0] or 0.0, edges[1] or 0.0
-    step = (high - low) / parts or 1.0
-    cut = rows.withColumn("_part", F.floor((F.col(order[0]).cast("double") - low) / step)).withColumn("_value", value)
+    cut = _ranged(rows.withColumn("_value", value), order, parts or _parts(rows))
     sums = cut.groupBy(*labels, "_part").agg(F.sum("_value").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*labels).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
     inside = F.sum("_value").over(Window.partitionBy(*labels, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return cut.withColumn("_inside", inside).join(before, [*labels, "_part"]).withColumn("total", F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_part", "_value", "_inside", "_before")
 
 
+def previous(rows: DataFrame, labels: list[str], order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """Adds ``name``: the value of the row before, per label; null for the first.
+
+    Within ranges as in ``running_total``; a range's first row takes the last value of the ranges before it.
+    """
+    cut = _ranged(rows, order, parts or _parts(rows))
+    last = cut.groupBy(*labels, "_part").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    earlier = last.withColumn("_earlier", F.lag("_last").over(Window.partitionBy(*labels).orderBy("_part"))).drop("_last")
+    inside = F.lag(F.struct(value)).over(Window.partitionBy(*labels, "_part").orderBy(*order))
+    found = cut.withColumn("_inside", inside).join(earlier, [*labels, "_part"])
+    return found.withColumn("_inside", F.coalesce("_inside", "_earlier")).drop("_part", "_earlier").withColumn(name, F.col("_inside")[value]).drop("_inside")
+
+
 def spend_cap(calls: DataFrame, labels: list[str], order: list[str], spend: str, cap: float) -> DataFrame:
     """Adds ``allowed``: a call is refused once what was spent before it has reached the cap."""
     summed = running_total(calls, labels, order, F.col(spend))
@@ -119,3 +161,32 @@ def gauges(table: DataFrame, ident: str, fields: list[str]) -> DataFrame:
 def matching(labels: Column, pattern: str) -> Column:
     """Label patterns match whole values."""
     return labels.rlike(f"^(?:{pattern})$")
+
+
+def counters(results: DataFrame) -> DataFrame:
+    """(counter, tenant, label, other, value): all counter families of result records, in one pass.
+
+    ``results`` has (tenant, layer, model, verdict, cost_micros, baseline_micros, input_tokens, output_tokens, rejections,
+    failed_stage); rejections is an array of reasons. A batch or a stream in complete mode gives the same.
+    """
+    text = lambda name, label, value, other=None: F.struct(F.lit(name).alias("counter"), label.cast("string").alias("label"), F.coalesce(other, F.lit("")).cast("string").alias("other") if other is not None else F.lit("").alias("other"), value.cast("long").alias("value"))
+    one = F.lit(1)
+    fixed = F.array(
+        text("requests", F.col("layer"), one, F.col("model")),
+        text("cost", F.lit("spent"), F.col("cost_micros")),
+        text("cost", F.lit("baseline"), F.col("baseline_micros")),
+        text("overhead", F.lit("saved"), F.col("baseline_micros") - F.col("cost_micros")),
+        text("tokens", F.lit("input"), F.col("input_tokens")),
+        text("tokens", F.lit("output"), F.col("output_tokens")),
+        F.when(F.col("verdict").isNotNull(), text("quality", F.col("verdict"), one, F.col("layer"))),
+        F.when(F.col("failed_stage").isNotNull(), text("errors", F.col("failed_stage"), one)),
+    )
+    rejected = F.transform(F.coalesce("rejections", F.array().cast("array<string>")), lambda r: text("rejects", r, F.lit(1)))
+    each = results.select("tenant", F.explode(F.concat(F.array_compact(fixed), rejected)).alias("c"))
+    return each.groupBy("tenant", F.col("c.counter").alias("counter"), F.col("c.label").alias("label"), F.col("c.other").alias("other")).agg(F.sum("c.value").alias("value"))
+
+
+def preserved(verdicts: DataFrame) -> DataFrame:
+    """(tenant, preserved): the share of judged answers that are equivalent or better."""
+    kept = matching(F.col("verdict"), "equivalent|better")
+    return verdicts.where("verdict is not null").groupBy("tenant").agg(F.bround(F.count_if(kept) / F.count("*"), 4).alias("preserved"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import scratch
 from tallyspark.functions import text, vectors
-from tallyspark.operators import cache
+from tallyspark.operators import cache, traffic
 from tallyspark.plans.tables import SQL_EVENTS, SQL_TURNS, events, sql_tokens, table, turns
 
 #: The embeddings of the tables are nearly orthogonal: the library's 0.90 would find nothing.
@@ -47,21 +47,21 @@ def cache_key_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderpriority", "o_orderstatus", F.array_join("docs", ",")), 256).alias("key"), F.size("docs").alias("n_docs"))
 
 
-def _numbers_guard(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    found = docs.withColumn("before", F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))).where("before is not null")
-    return found.select("doc_id", F.size(text.numbers(F.col("text"))).alias("n_numbers"), text.numbers_match(F.col("text"), F.col("before")).alias("same"))
+def _numbers_guard(docs: DataFrame, labels: list[str]) -> DataFrame:
+    # Only the numbers go through the shuffle, not the texts.
+    rows = docs.select("doc_id", *labels, text.numbers(F.col("text")).alias("numbers"))
+    found = traffic.previous(rows, labels, ["doc_id"], "numbers", "before").where("before is not null")
+    return found.select("doc_id", F.size("numbers").alias("n_numbers"), (F.col("numbers") == F.col("before")).alias("same"))
 
 
 def numbers_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each English document's text against the one of the document before, in the numbers that both hold."""
-    return _numbers_guard(table(spark, sf_dir, "documents").where("lang = 'en'"))
+    """The numbers of each document against those of the one before in its source and language."""
+    return _numbers_guard(table(spark, sf_dir, "documents"), ["source", "lang"])
 
 
 def numbers_guard_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over documents of all languages."""
-    return _numbers_guard(table(spark, sf_dir, "documents"))
+    """The same against the one before in its source, whatever the language."""
+    return _numbers_guard(table(spark, sf_dir, "documents"), ["source"])
 
 
 def negation_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,23 +93,28 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("threshold").agg(F.count("*").alias("n_pairs"), F.countDistinct("b").alias("n_rows"), F.bround(F.avg("cos"), 4).alias("mean_cos"))
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
     return table(spark, sf_dir, "embeddings").join(docs, "vec_id").select(F.col("vec_id").alias("seq"), "label", "embedding", F.col("text").alias("query"), "lang")
 
 
-def _candidates(rows: DataFrame, mode: str) -> DataFrame:
+def compared(rows: DataFrame) -> DataFrame:
+    """Earlier rows within the threshold, with what stops them in each guard mode; pairs are scored once for all."""
     pairs = vectors.similar_pairs(rows, "seq", "embedding", "label", THETA)
     told = rows.select("seq", "query", "lang")
     both = pairs.join(told.toDF("a", "cached", "cached_lang"), "a").join(told.toDF("b", "new", "new_lang"), "b")
-    covered = cache.context_covers(F.array("cached_lang"), F.array("new_lang")) if mode != "cosine" else F.lit(True)
-    reason = cache.reject_reason(F.col("new"), F.col("cached"), covered, cache.GUARDS if mode == "guards" else [])
-    return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.bround("cos", 6).alias("cos"), reason.alias("reason"))
+    covered = cache.context_covers(F.array("cached_lang"), F.array("new_lang"))
+    reasons = [cache.reject_reason(F.col("new"), F.col("cached"), c, g).alias(m) for m, c, g in (("cosine", F.lit(True), []), ("context", covered, []), ("guards", covered, cache.GUARDS))]
+    return scratch.stage(both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.bround("cos", 6).alias("cos"), *reasons), "compared")
+
+
+def _candidates(rows: DataFrame, mode: str) -> DataFrame:
+    return compared(rows).select("src", "dst", "cos", F.col(mode).alias("reason"))
 
 
 def _replay(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = scratch.stage(_requests(spark, sf_dir), "requests")
+        rows = scratch.stage(requests(spark, sf_dir), "requests")
         return cache.semantic_replay(rows, _candidates(rows, mode))
 
     return run
@@ -120,11 +125,11 @@ semantic_replay = _replay("guards")
 
 def semantic_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary per guard mode: outcomes, and what stopped the rest. A row expects a hit if its language had one before."""
-    rows = scratch.stage(_requests(spark, sf_dir), "requests")
+    rows = scratch.stage(requests(spark, sf_dir), "requests")
     answers = rows.select("seq", (F.col("seq") % 7).alias("answer"), text.approx_tokens(F.col("query")).alias("tokens"))
-    found = None
+    found, pairs = None, compared(rows)
     for mode in ("cosine", "context", "guards"):
-        part = cache.semantic_replay(rows, _candidates(rows, mode)).withColumn("mode", F.lit(mode))
+        part = cache.semantic_replay(rows, pairs.select("src", "dst", "cos", F.col(mode).alias("reason"))).withColumn("mode", F.lit(mode))
         found = part if found is None else found.unionByName(part)
     cached = answers.select(F.col("seq").alias("served_from"), F.col("answer").alias("cached_answer"))
     told = found.join(answers, "seq").join(cached, "served_from", "left")
@@ -145,7 +150,7 @@ def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _requests(spark, sf_dir).select(F.col("label").cast("int").alias("tenant"), "seq", F.col("embedding").alias("vec"), text.numbers(F.col("query")).alias("numbers"), text.negations(F.col("query")).alias("negations"))
+    rows = requests(spark, sf_dir).select(F.col("label").cast("int").alias("tenant"), "seq", F.col("embedding").alias("vec"), text.numbers(F.col("query")).alias("numbers"), text.negations(F.col("query")).alias("negations"))
     return cache.live_replay(rows, THETA).select("seq", "tenant", "hit", "served_from", F.bround("cosine", 6).alias("cosine"))
 
 
@@ -177,6 +182,12 @@ def _replay_sql(mode: str, name: str) -> str:
     }[mode]
     return f"""
   cand_{name} as (select a as src, b as dst, round_even(cos, 6) as cos, {reason} as reason from pairs join documents x on x.doc_id = a join documents y on y.doc_id = b),
+  {_fold_sql(name)}"""
+
+
+def _fold_sql(name: str) -> str:
+    """Which of the requests are hits, over the candidates cand_<name>."""
+    return f"""
   req_{name} as (select vec_id as seq, row_number() over (order by vec_id) as n from embeddings join documents on doc_id = vec_id),
   src_{name} as (select r.n, r.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js from req_{name} r left join (select * from cand_{name} where reason is null) c on c.dst = r.seq group by 1, 2),
   fold_{name} as (select 0::bigint as n, []::bigint[] as m union all
@@ -208,7 +219,7 @@ ORACLE_SQL = {
         sum(case when hit then tokens else 0 end)::bigint as context_tokens_saved, round_even(sum(case when hit then tokens else 0 end) / sum(tokens), 4) as tokens_saved_pct from out""",
     "cache_key_orders": """with p as (select l_orderkey, list_sort(list(sha256(l_partkey::varchar))) as docs from lineitem group by 1)
         select o_orderkey, sha256(concat_ws('|', o_orderpriority, o_orderstatus, array_to_string(docs, ','))) as key, len(docs)::int as n_docs from orders join p on l_orderkey = o_orderkey""",
-    "numbers_guard": f"""with d as (select *, lag(text) over (partition by source order by doc_id) as before from documents where lang = 'en')
+    "numbers_guard": f"""with d as (select *, lag(text) over (partition by source, lang order by doc_id) as before from documents)
         select doc_id, len({_NUMBERS.format('text')})::int as n_numbers, {_NUMBERS.format('text')} = {_NUMBERS.format('before')} as same from d where before is not null""",
     "numbers_guard_all": f"""with d as (select *, lag(text) over (partition by source order by doc_id) as before from documents)
         select doc_id, len({_NUMBERS.format('text')})::int as n_numbers, {_NUMBERS.format('text')} = {_NUMBERS.format('before')} as same from d where before is not null""",
@@ -224,6 +235,16 @@ ORACLE_SQL = {
         select threshold, count(*) as n_pairs, count(distinct b) as n_rows, round_even(avg(round_even(cos, 6)), 4) as mean_cos from pairs join g on round_even(cos, 6) >= threshold group by 1""",
     "semantic_replay": f"with recursive {_PAIRS}, {_replay_sql('guards', 'guards')} select * from out_guards",
     "semantic_modes": f"with recursive {_PAIRS}, {_replay_sql('cosine', 'cosine')}, {_replay_sql('context', 'context')}, {_replay_sql('guards', 'guards')} {' union all '.join(_MODE.format(m) for m in ('cosine', 'context', 'guards'))}",
+    "live_cache": f"""with recursive {_PAIRS},
+        cd as (select b as dst, a as src, round_even(cos, 6) as cos, {_NUMBERS.format('x.text')} = {_NUMBERS.format('y.text')} and {_NEGATIONS.format('x.text')} = {_NEGATIONS.format('y.text')} as passes from pairs join documents x on x.doc_id = a join documents y on y.doc_id = b),
+        rq as (select vec_id as seq, label::int as tenant, row_number() over (order by vec_id) as n from embeddings join documents on doc_id = vec_id),
+        sr as (select r.n, r.seq, coalesce(list({{'src': c.src, 'cos': c.cos, 'passes': c.passes}} order by c.cos desc, c.src) filter (c.src is not null), []) as cs from rq r left join cd c on c.dst = r.seq group by 1, 2),
+        fo as (select 0::bigint as n, []::bigint[] as m union all
+          select f.n + 1, case when len(list_filter(list_filter(s.cs, lambda c: list_contains(f.m, c.src))[1:{cache.KNN}], lambda c: c.passes)) > 0 then f.m else list_append(f.m, s.seq) end from fo f join sr s on s.n = f.n + 1),
+        mi as (select m from fo order by n desc limit 1),
+        near as (select s.seq, list_filter(s.cs, lambda c: list_contains(mi.m, c.src)) as es, list_contains(mi.m, s.seq) as miss from sr s, mi),
+        best as (select seq, not miss as hit, list_filter(es[1:{cache.KNN}], lambda c: c.passes)[1] as served, es[1] as close from near)
+        select b.seq, tenant, hit, case when hit then served.src end as served_from, case when hit then served.cos else close.cos end as cosine from best b join rq using (seq)""",
     "ttl_cache": f"""with recursive {SQL_EVENTS}, o as (select event_id, moment, tenant, layer, row_number() over (partition by tenant, layer order by moment, event_id) as n from ev),
         f as (select event_id, tenant, layer, n, moment, false as hit, moment as written from o where n = 1 union all
           select o.event_id, o.tenant, o.layer, o.n, o.moment, o.moment - f.written < interval 3600 second, case when o.moment - f.written < interval 3600 second then f.written else o.moment end

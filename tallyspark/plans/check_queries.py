@@ -19,20 +19,24 @@ def dq_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ends a sentence": F.col("text").rlike(r"[.!?]\s*$"),
         "known source": F.col("source").rlike("^src[0-9]+$"),
     }
-    orphans = checks.missing(table(spark, sf_dir, "labels").where("doc_id % 5 = 0"), "doc_id", "doc_id", docs.where("lang <> 'de'"), "doc_id", "label without document")
+    orphans = checks.missing(table(spark, sf_dir, "labels"), "doc_id", "doc_id", docs, "doc_id", "label without document")
     return checks.violations(docs, "doc_id", rules).union(orphans)
 
 
 def label_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every label against every document; dq_violations, as its SQL has it, looks at a part of both."""
+    """Every label against every document: the last rule of dq_violations by itself."""
     return checks.missing(table(spark, sf_dir, "labels"), "doc_id", "doc_id", table(spark, sf_dir, "documents"), "doc_id", "label without document")
 
 
 def missing_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose customer is not among those in credit."""
-    known = table(spark, sf_dir, "customer").where("c_acctbal >= 0")
-    found = checks.missing(table(spark, sf_dir, "orders"), "o_orderkey", "o_custkey", known, "c_custkey", "customer unknown")
-    return found.groupBy("rule").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    """Orders without a customer, and customers without an order."""
+    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    found = {
+        "customer unknown": checks.missing(orders, "o_orderkey", "o_custkey", customers, "c_custkey", ""),
+        "no order": checks.missing(customers, "c_custkey", "c_custkey", orders, "o_custkey", ""),
+    }
+    told = [rows.agg(F.count("*").alias("n"), F.min("id").alias("first")).select(F.lit(rule).alias("rule"), "n", "first") for rule, rows in found.items()]
+    return told[0].union(told[1])
 
 
 def _cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +109,9 @@ ORACLE_SQL = {
     "label_references": "select doc_id as id, 'label without document' as rule from labels l where doc_id is not null and not exists (select 1 from documents d where d.doc_id = l.doc_id)",
     "dq_violations": r"""select doc_id as id, 'length agrees' as rule from documents where length(text) <> n_chars union all select doc_id, 'long enough' from documents where n_chars < 100
         union all select doc_id, 'ends a sentence' from documents where not regexp_matches(text, '[.!?]\s*$') union all select doc_id, 'known source' from documents where not regexp_matches(source, '^src[0-9]+$')
-        union all select doc_id, 'label without document' from labels where doc_id % 5 = 0 and doc_id not in (select doc_id from documents where lang <> 'de')""",
-    "missing_parents": "select 'customer unknown' as rule, count(*) as n, min(o_orderkey) as first from orders where o_custkey not in (select c_custkey from customer where c_acctbal >= 0)",
+        union all select doc_id, 'label without document' from labels where doc_id not in (select doc_id from documents where doc_id is not null)""",
+    "missing_parents": """select 'customer unknown' as rule, count(*) as n, min(o_orderkey) as first from orders where o_custkey not in (select c_custkey from customer)
+        union all select 'no order', count(*), min(c_custkey) from customer where c_custkey not in (select o_custkey from orders)""",
     "cluster_expansion": f"""with {_CLUSTER}, f as (select cluster_id, answer_id, arg_min(reference, local_index) as reference, arg_min(case_id, local_index) as case_id, arg_min(difficulty, local_index) as difficulty, min(local_index) as first from c group by 1, 2)
         select c.cluster_id, c.local_index, c.variant, case when c.variant = 'exact' then s.query else c.query end as query,
           case c.variant when 'exact' then s.reference when 'semantic' then f.reference else c.reference end as reference, case c.variant when 'exact' then s.case_id when 'semantic' then f.case_id else c.case_id end as case_id,

@@ -29,12 +29,12 @@ def boilerplate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.boilerplate(sections(spark, sf_dir))
 
 
-def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stripped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.strip_boilerplate(chunks(spark, sf_dir).select("req_id", "doc_id", "pos", "body"), context.boilerplate(sections(spark, sf_dir)))
 
 
 def strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stripped(spark, sf_dir).select("req_id", "doc_id", "pos", "n_repeated", "tokens", F.sha2("body", 256).alias("body_sha"))
+    return stripped_chunks(spark, sf_dir).select("req_id", "doc_id", "pos", "n_repeated", "tokens", F.sha2("body", 256).alias("body_sha"))
 
 
 def window_section_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def budget_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = context.hybrid(scored(spark, sf_dir), _stripped(spark, sf_dir).select("req_id", "pos", "tokens"))
+    packed = context.hybrid(scored(spark, sf_dir), stripped_chunks(spark, sf_dir).select("req_id", "pos", "tokens"))
     return packed.select("req_id", "top", "used", joined(F.col("kept")).alias("kept"))
 
 
@@ -153,7 +153,7 @@ ORACLE_SQL = {
         n as (select *, bool_or(k1) over (partition by req_id, pos order by i rows between 1 preceding and 1 following) as k from q)
         select req_id, pos, count(*) as n_kept, string_agg(i, ',' order by i) as kept from n where k group by 1, 2""",
     "fact_coverage": f"""with f as (select d.doc_id, d.text, array_to_string(string_split(d.text, ' ')[2:4], ' ') as near, concat_ws(' ', string_split(d.text, ' ')[2], string_split(d.text, ' ')[6]) as apart, array_to_string(string_split(b.text, ' ')[1:3], ' ') as foreign_
-        from documents d join benchmark b on b.item_id = d.doc_id % 40)
+        from documents d join (select *, row_number() over (order by item_id) - 1 as place from benchmark) b on b.place = d.doc_id % (select count(*) from benchmark))
         select doc_id, (contains(lower(text), lower(near))::int + contains(lower(text), lower(apart))::int + contains(lower(text), lower(foreign_))::int) as n_exact,
           {_loose('near', 'text')} as near_loose, {_loose('apart', 'text')} as apart_loose, {_loose('foreign_', 'text')} as foreign_loose from f""",
     "case_render": """select c_custkey, 'Order ' || c_custkey || ' for ' || coalesce(case when c_custkey % 4 <> 0 then c_name end, 'the signed-in customer') || '.' || chr(10) || '- segment: ' || c_mktsegment || chr(10) || '- nation: ' || n_name || chr(10) || '- in_debt: ' || case when c_acctbal < 0 then 'True' else 'False' end as rendered

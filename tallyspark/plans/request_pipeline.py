@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.functions import text, vectors
+from tallyspark.functions import vectors
 from tallyspark.operators import cache, context, models, routing, traffic
 from tallyspark.plans import tables
-
+from tallyspark.plans.traffic_queries import sql_dollars
 
 THETA = 0.30
 
@@ -33,28 +33,46 @@ def decide(requests: DataFrame, threshold: float) -> DataFrame:
     return joined.select("seq", layer.alias("layer"), F.coalesce("served_from", "near_from").alias("served_from"))
 
 
+def windows(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
+    """(seq, context_tokens, n_attached, kept_tokens, docs_kept, sent_sha) of requests with scored sections (req_id, ...).
+
+    Contexts that are large enough are cut to the best document and what else fits; others are sent whole.
+    """
+    rows = scratch.stage(scored, "request-sections")
+    totals = rows.groupBy("req_id").agg(F.sum("tokens").alias("context_tokens"), F.countDistinct("doc_id").cast("int").alias("n_attached"))
+    large = rows.join(context.eligible(rows).select("req_id"), "req_id", "left_semi")
+    repeated = context.boilerplate(tables.sections(spark, sf_dir))
+    bare = scratch.stage(context.strip_boilerplate(large.select("req_id", "doc_id", "pos", "header", "body"), repeated, keys=("req_id", "doc_id", "pos")), "bare-sections")
+    packed = scratch.stage(context.hybrid(large, bare), "windows")
+    kept = packed.select("req_id", F.explode("kept").alias("pos")).join(bare.select("req_id", "pos", "header", "body"), ["req_id", "pos"])
+    shown = kept.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("pos", "header", "body"))).alias("s"))
+    sent = shown.select("req_id", F.sha2(context.optimised(F.lit(None).cast("string"), F.col("s")), 256).alias("sent_sha"))
+    found = totals.join(packed.select("req_id", F.col("used").alias("kept_tokens"), "n_docs"), "req_id", "left").join(sent, "req_id", "left")
+    return found.select(F.col("req_id").alias("seq"), F.col("context_tokens").cast("long").alias("context_tokens"), F.col("kept_tokens").cast("long").alias("kept_tokens"), F.coalesce("n_docs", "n_attached").alias("docs_kept"), "sent_sha")
+
+
 def account(decided: DataFrame, requests: DataFrame) -> DataFrame:
     """Adds window, route, cost, baseline and savings to each decided request.
 
-    ``requests`` has (seq, tenant, query, context_tokens, kept_tokens, docs_kept). Cache hits cost nothing.
+    ``requests`` has (seq, tenant, query, context_tokens, kept_tokens, docs_kept): kept_tokens is null where no window
+    was cut. Cache hits cost nothing.
     """
     rows = decided.join(requests, "seq")
     route = routing.rules_route(F.col("query"), F.col("docs_kept"))
     model = F.when(F.col("layer") == "llm", route)
-    rows = rows.withColumn("model", model).withColumn("windowed", (F.col("layer") == "llm") & (F.col("context_tokens") >= context.LEAST_TOKENS))
+    rows = rows.withColumn("model", model).withColumn("windowed", (F.col("layer") == "llm") & F.col("kept_tokens").isNotNull())
     sent = F.when(F.col("layer") != "llm", 0).when(F.col("windowed"), F.col("kept_tokens")).otherwise(F.col("context_tokens"))
     rows = rows.withColumn("input_tokens", sent.cast("long"))
-    used = F.coalesce(traffic.cost(F.col("model"), F.col("input_tokens"), F.lit(models.MOCK_OUTPUT_TOKENS)), F.lit(0.0))
-    base = traffic.cost(F.lit("large"), F.col("context_tokens"), F.lit(models.MOCK_OUTPUT_TOKENS))
-    rows = rows.withColumn("cost_usd", F.bround(used, 6)).withColumn("baseline_usd", F.bround(base, 6))
+    used = F.coalesce(traffic.billed(F.col("model"), F.col("input_tokens"), F.lit(models.MOCK_OUTPUT_TOKENS)), F.lit(0.0))
+    base = traffic.billed(F.lit("large"), F.col("context_tokens"), F.lit(models.MOCK_OUTPUT_TOKENS))
+    rows = rows.withColumn("cost_usd", used).withColumn("baseline_usd", base)
     return rows.withColumn("saved", traffic.savings(F.col("cost_usd"), F.col("baseline_usd")))
 
 
 def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector as requests: the text is query and context, its first 800 tokens are what a window keeps."""
+    """Documents with a vector as requests: the text is the query, it and the next document are attached."""
     docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("query"), "lang")
     vecs = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("label").cast("int").alias("tenant"), F.col("embedding").alias("vec"))
-    tokens = text.approx_tokens(F.col("query"))
     rows = docs.join(vecs, "seq").select(
         "seq",
         "tenant",
@@ -62,19 +80,20 @@ def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query",
         F.array("lang").alias("context"),
         cache.cache_key(F.col("query"), F.lit(None).cast("string"), F.array("lang")).alias("key"),
-        tokens.alias("context_tokens"),
-        F.least(tokens, F.lit(context.BUDGET)).alias("kept_tokens"),
-        F.lit(1).alias("docs_kept"),
     )
     rows = scratch.stage(rows, "requests")
-    told = account(decide(rows, THETA), rows.drop("vec", "context", "key"))
-    return told.select("seq", "tenant", "layer", "served_from", "model", "windowed", "input_tokens", "cost_usd", "baseline_usd", F.col("saved.savings_usd").alias("savings_usd"), F.col("saved.savings_pct").alias("savings_pct"))
+    asked = tables.pair_chunks(spark, sf_dir).join(rows.select(F.col("seq").alias("req_id")), "req_id", "left_semi")
+    cut = windows(spark, sf_dir, tables.scored(spark, sf_dir, asked))
+    told = rows.select("seq", "tenant", "query").join(cut, "seq", "left").withColumn("context_tokens", F.coalesce("context_tokens", F.lit(0))).withColumn("docs_kept", F.coalesce("docs_kept", F.lit(0)))
+    told = account(decide(rows, THETA), told)
+    sent = F.when(F.col("windowed"), F.col("sent_sha"))
+    return told.select("seq", "tenant", "layer", "served_from", "model", "windowed", "input_tokens", "cost_usd", "baseline_usd", F.col("saved.savings_usd").alias("savings_usd"), F.col("saved.savings_pct").alias("savings_pct"), sent.alias("sent_sha"))
 
 
 def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the pipeline costs and saves per tenant and layer."""
     rows = request_pipeline(spark, sf_dir)
-    return rows.groupBy("tenant", "layer").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), F.bround(F.sum("cost_usd"), 4).alias("cost_usd"), F.bround(F.sum("baseline_usd"), 4).alias("baseline_usd"))
+    return rows.groupBy("tenant", "layer").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"), traffic.dollars(F.col("cost_usd")).alias("cost_usd"), traffic.dollars(F.col("baseline_usd")).alias("baseline_usd"))
 
 
 QUERIES = {"request_pipeline": request_pipeline, "request_pipeline_summary": pipeline_summary}
@@ -82,11 +101,22 @@ QUERIES = {"request_pipeline": request_pipeline, "request_pipeline_summary": pip
 
 def _sql() -> str:
     from tallyspark.plans.cache_queries import _NEGATIONS, _NUMBERS, _SURPLUS
-    from tallyspark.plans.tables import sql_tokens
+    from tallyspark.plans.tables import SQL_PAIR_SCORED, SQL_STRIPPED, sql_tokens
 
     reason = f"case when x.lang <> y.lang then 'c' when {_NUMBERS.format('x.query')} <> {_NUMBERS.format('y.query')} then 'n' when {_SURPLUS.format(_NEGATIONS.format('x.query'), _NEGATIONS.format('y.query'))} <> {_SURPLUS.format(_NEGATIONS.format('y.query'), _NEGATIONS.format('x.query'))} then 'g' end"
     right = r"regexp_replace(lower(query), '\s+$', '') like '%right?'"
-    return rf"""with recursive req as (select doc_id as seq, label::int as tenant, text as query, lang, embedding::double[] as e, {sql_tokens('text')} as ct, min(doc_id) over (partition by text, lang) as first from documents join embeddings on vec_id = doc_id),
+    return rf"""with recursive {SQL_PAIR_SCORED}, {SQL_STRIPPED},
+      ds as (select req_id, doc_id, max(score) as s, min(pos) as first from scored group by 1, 2),
+      tops as (select req_id, arg_max(doc_id, (s, -first)) as top from ds group by 1),
+      tot as (select req_id, sum(tokens)::bigint as ct, count(*) as n, count(distinct doc_id)::int as nd from scored group by 1),
+      parts as (select c.req_id, t.top, c.doc_id, c.pos, c.score, c.header, s.body, {sql_tokens('s.body')} as tokens from scored c join stripped s using (req_id, pos) join tops t using (req_id) join tot on tot.req_id = c.req_id and tot.ct >= 1500 and tot.n > 1),
+      grp as (select req_id, coalesce(sum(tokens) filter (doc_id = top), 0)::bigint as whole, coalesce(list(pos) filter (doc_id = top), []) as own,
+        coalesce(list({{'used': tokens::bigint, 'kept': [pos], 'docs': [doc_id]}} order by score desc, pos) filter (doc_id <> top), []) as l from parts group by 1),
+      fit as (select req_id, own, list_reduce(l, lambda a, c: case when a.used + c.used > 800 then a else {{'used': a.used + c.used, 'kept': list_concat(a.kept, c.kept), 'docs': list_concat(a.docs, c.docs)}} end, {{'used': whole, 'kept': []::int[], 'docs': []::bigint[]}}) as r from grp),
+      win as (select req_id, r.used as kt, list_concat(own, r.kept) as kept, (len(list_distinct(r.docs)) + case when len(own) > 0 then 1 else 0 end)::int as nk from fit),
+      shown as (select w.req_id, sha256(string_agg('## ' || p.header || chr(10) || p.body, chr(10) || chr(10) order by p.pos)) as sent_sha from win w join parts p on p.req_id = w.req_id and list_contains(w.kept, p.pos) group by 1),
+      req as (select doc_id as seq, label::int as tenant, text as query, lang, embedding::double[] as e, coalesce(tot.ct, 0) as ct, win.kt, coalesce(win.nk, tot.nd, 0) as dk, shown.sent_sha, min(doc_id) over (partition by text, lang) as first
+        from documents join embeddings on vec_id = doc_id left join tot on tot.req_id = doc_id left join win on win.req_id = doc_id left join shown on shown.req_id = doc_id),
       asked as (select *, row_number() over (order by seq) as n from req where seq = first),
       cand as (select x.seq as src, y.seq as dst, round_even(list_dot_product(x.e, y.e), 6) as cos from asked x join asked y on x.tenant = y.tenant and x.seq < y.seq where list_dot_product(x.e, y.e) >= {THETA} and ({reason}) is null),
       s as (select a.n, a.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js from asked a left join cand c on c.dst = a.seq group by 1, 2),
@@ -95,13 +125,13 @@ def _sql() -> str:
       best as (select dst, arg_max(src, (cos, -src)) as src from cand where src in (select seq from miss) group by 1),
       d as (select r.*, case when r.seq > r.first then 'exact_cache' when m.seq is null then 'semantic_cache' else 'llm' end as layer, case when r.seq > r.first then r.first when m.seq is null then b.src end as served_from
         from req r left join miss m on m.seq = r.seq left join best b on b.dst = r.seq),
-      o as (select *, case when layer = 'llm' then case when len(regexp_extract_all(query, '\?')) > 1 or lower(query) like '% instead%' or lower(query) like '% or %' or {right} then 'large' else 'small' end end as model, layer = 'llm' and ct >= 1500 as windowed from d),
-      t as (select *, case when layer <> 'llm' then 0 when windowed then least(ct, 800) else ct end::bigint as input_tokens from o),
-      c as (select *, round_even(coalesce(case model when 'small' then (input_tokens * 0.10::double + 120 * 0.50::double) / 1e6 when 'large' then (input_tokens * 2.00::double + 120 * 10.00::double) / 1e6 end, 0), 6) as cost_usd, round_even((ct * 2.00::double + 120 * 10.00::double) / 1e6, 6) as baseline_usd from t),
-      z as (select seq, tenant, layer, served_from, model, windowed, input_tokens, cost_usd, baseline_usd, round_even(baseline_usd - cost_usd, 6) as savings_usd, case when baseline_usd = 0 then 0 else round_even(1 - cost_usd / baseline_usd, 4) end as savings_pct from c)"""
+      o as (select *, case when layer = 'llm' then case when len(regexp_extract_all(query, '\?')) > 1 or lower(query) like '% instead%' or lower(query) like '% or %' or {right} or dk > 1 then 'large' else 'small' end end as model, layer = 'llm' and kt is not null as windowed from d),
+      t as (select *, case when layer <> 'llm' then 0 when windowed then kt else ct end::bigint as input_tokens from o),
+      c as (select *, coalesce(round_even(case model when 'small' then input_tokens * 0.10::double + 120 * 0.50::double when 'large' then input_tokens * 2.00::double + 120 * 10.00::double end, 0) / 1e6::double, 0) as cost_usd, round_even(ct * 2.00::double + 120 * 10.00::double, 0) / 1e6::double as baseline_usd from t),
+      z as (select seq, tenant, layer, served_from, model, windowed, input_tokens, cost_usd, baseline_usd, round_even(baseline_usd - cost_usd, 6) as savings_usd, case when baseline_usd = 0 then 0 else round_even(1 - cost_usd / baseline_usd, 4) end as savings_pct, case when windowed then sent_sha end as sent_sha from c)"""
 
 
 ORACLE_SQL = {
     "request_pipeline": f"{_sql()} select * from z",
-    "request_pipeline_summary": f"{_sql()} select tenant, layer, count(*) as n, sum(input_tokens)::bigint as input_tokens, round_even(sum(cost_usd), 4) as cost_usd, round_even(sum(baseline_usd), 4) as baseline_usd from z group by 1, 2",
+    "request_pipeline_summary": f"{_sql()} select tenant, layer, count(*) as n, sum(input_tokens)::bigint as input_tokens, {sql_dollars('cost_usd')} as cost_usd, {sql_dollars('baseline_usd')} as baseline_usd from z group by 1, 2",
 }

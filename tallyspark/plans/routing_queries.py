@@ -84,7 +84,7 @@ def split_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(F.broadcast(train), "source", "left_semi").withColumn("split", F.lit("train")).unionByName(docs.join(F.broadcast(train), "source", "left_anti").withColumn("split", F.lit("test"))).groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"))
 
 
-def _router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with the router's features over their whole text, and the vector at the place of their id,
     modulo the number of vectors, in the order of vectors' ids."""
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -99,7 +99,7 @@ def _router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def router_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A router fitted on even documents, applied to odd ones: mean probability per language."""
-    rows = _router_rows(spark, sf_dir)
+    rows = router_rows(spark, sf_dir)
     score = routing.fit_router(rows.where("doc_id % 2 = 0"), "embedding", "needs_large")
     return score(rows.where("doc_id % 2 = 1")).groupBy("lang", "quality").agg(F.count("*").alias("n"), F.bround(F.avg("p_large"), 3).alias("mean_p"))
 

@@ -34,10 +34,16 @@ def numbered(rows: DataFrame, ident: str) -> tuple[DataFrame, int]:
     return rows.join(places, ident), max(1, places.count())
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pair_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and the one with the next id as a request's attachments."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("req_id"), F.posexplode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("att_pos", "doc_id"))
+    return context.chunks(docs.withColumn("wanted", F.lit(None).cast("array<string>")), sections(spark, sf_dir).select("doc_id", "title", "section_pos", "section", "body"))
+
+
+def scored(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
     """Chunks with the cosine of a section's vector and the request's, both picked from all ``embeddings`` by id."""
     vecs, n = numbered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
-    rows = chunks(spark, sf_dir).withColumn("sv", F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17, F.lit(n))).withColumn("qv", F.pmod("req_id", F.lit(n)))
+    rows = (chunks(spark, sf_dir) if rows is None else rows).withColumn("sv", F.pmod(F.col("doc_id") * 31 + F.col("pos") * 17, F.lit(n))).withColumn("qv", F.pmod("req_id", F.lit(n)))
     pairs = rows.join(vecs.select(F.col("place").alias("sv"), F.col("embedding").alias("se")), "sv").join(vecs.select(F.col("place").alias("qv"), F.col("embedding").alias("qe")), "qv")
     return pairs.withColumn("score", F.bround(vectors.dot(F.col("se"), F.col("qe")), 6)).drop("se", "qe", "sv", "qv")
 
@@ -80,23 +86,30 @@ def sql_sentences(body: str) -> str:
     return rf"list_filter(list_transform(string_split(regexp_replace({body}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
-SQL_CHUNKS = f"""
+_SQL_SECTIONS = """
   lines as (select doc_id, source as title, unnest(range(len(l)))::int as section_pos, unnest(l) as body from (select doc_id, source, string_split(text, chr(10)) as l from documents)),
-  sections as (select *, case when section_pos % 7 = 6 then 'repeated_reminders' else 's' || section_pos end as section from lines where body <> ''),
+  sections as (select *, case when section_pos % 7 = 6 then 'repeated_reminders' else 's' || section_pos end as section from lines where body <> '')"""
+SQL_CHUNKS = f"""{_SQL_SECTIONS},
   chunks as (select doc_id // 10 as req_id, doc_id, (row_number() over (partition by doc_id // 10 order by doc_id, section_pos) - 1)::int as pos, section, title || ' - ' || section as header, body, {sql_tokens('body')} as tokens from sections)"""
-SQL_SCORED = SQL_CHUNKS + """,
+SQL_PAIR_CHUNKS = f"""{_SQL_SECTIONS},
+  chunks as (select a.req_id, s.doc_id, (row_number() over (partition by a.req_id order by s.doc_id, section_pos) - 1)::int as pos, section, title || ' - ' || section as header, body, {sql_tokens('body')} as tokens
+    from (select doc_id as req_id, unnest([doc_id, doc_id + 1]) as doc_id from documents) a join sections s using (doc_id))"""
+_SQL_SCORES = """
+  vecs as (select *, row_number() over (order by vec_id) - 1 as place from embeddings),
   scored as (select c.*, round_even(list_dot_product(s.embedding::double[], q.embedding::double[]), 6) as score
-    from chunks c join embeddings s on s.vec_id = (c.doc_id * 31 + c.pos * 17) % 500 join embeddings q on q.vec_id = c.req_id % 500)"""
+    from (select *, (doc_id * 31 + pos * 17) % (select count(*) from embeddings) as sv, req_id % (select count(*) from embeddings) as qv from chunks) c join vecs s on s.place = c.sv join vecs q on q.place = c.qv)"""
+SQL_SCORED = f"{SQL_CHUNKS}, {_SQL_SCORES}"
+SQL_PAIR_SCORED = f"{SQL_PAIR_CHUNKS}, {_SQL_SCORES}"
 SQL_BOILERPLATE = f"""
   each as (select distinct doc_id, unnest({sql_sentences('body')}) as sentence from sections),
   repeated as (select sentence, count(*) as n_docs from each group by 1 having count(*) >= 3)"""
 SQL_STRIPPED = SQL_BOILERPLATE + f""",
   told as (select req_id, doc_id, pos, body, tokens, {sql_sentences('body')} as ss from chunks),
   marked as (select req_id, doc_id, pos, unnest(ss) as sentence, unnest(range(len(ss))) as i from told),
-  kept as (select m.doc_id, m.pos, count(*) as n, count(r.sentence) as n_repeated, string_agg(case when r.sentence is null then m.sentence end, ' ' order by i) as rest
-    from marked m left join repeated r using (sentence) group by 1, 2),
+  kept_sentences as (select m.req_id, m.doc_id, m.pos, count(*) as n, count(r.sentence) as n_repeated, string_agg(case when r.sentence is null then m.sentence end, ' ' order by i) as rest
+    from marked m left join repeated r using (sentence) group by 1, 2, 3),
   stripped as (select t.req_id, t.doc_id, t.pos, case when coalesce(n_repeated, 0) = 0 then t.body else coalesce(rest, '') end as body, coalesce(n_repeated, 0) as n_repeated
-    from told t left join kept k using (doc_id, pos) where coalesce(n_repeated, 0) = 0 or n_repeated / n < 0.3)"""
+    from told t left join kept_sentences k using (req_id, doc_id, pos) where coalesce(n_repeated, 0) = 0 or n_repeated / n < 0.3)"""
 SQL_TURNS = "said as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations where role = 'user')"
 SQL_EVENTS = """ev as (select event_id, ts as moment, user_id, 't' || (user_id % 10) as tenant, event_type as layer,
   case when event_type in ('view', 'signup') then 'small' when event_type in ('purchase', 'error') then 'large' else 'judge' end as model,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
-from tallyspark.operators import cache, traffic
+from tallyspark.operators import cache, models, traffic
 from tallyspark.plans.tables import SQL_EVENTS, events, table
 
 PERCENTILES = (50.0, 95.0, 99.0)
@@ -16,26 +16,53 @@ def request_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("tenant", "layer", "model").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"))
 
 
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as result records: errors fail their stage, purchases are judged, clicks were turned down by guards."""
+    rows, layer = _costs(spark, sf_dir), F.col("layer")
+    grade = lambda k: F.element_at(F.array(*map(F.lit, ("wrong", "partial", "correct"))), (F.pmod(k, F.lit(3)) + 1).cast("int"))
+    return rows.select(
+        "event_id",
+        "tenant",
+        "layer",
+        "model",
+        F.when(layer == "purchase", models.quality_verdict(grade(F.col("event_id")), grade(F.col("user_id")))).alias("verdict"),
+        traffic.micros(F.col("cost")).alias("cost_micros"),
+        traffic.micros(F.col("base")).alias("baseline_micros"),
+        F.coalesce("tokens", F.lit(0)).alias("input_tokens"),
+        F.lit(120).alias("output_tokens"),
+        F.when(layer == "click", F.when(F.col("user_id") % 2 == 0, F.array(F.lit("numbers_mismatch"))).otherwise(F.array(F.lit("low_cosine"), F.lit("numbers_mismatch")))).alias("rejections"),
+        F.when(layer == "error", F.when(F.col("user_id") % 3 == 0, "window").otherwise("answer")).alias("failed_stage"),
+    )
+
+
+def counter_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traffic.counters(_records(spark, sf_dir))
+
+
+def quality_preserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traffic.preserved(_records(spark, sf_dir))
+
+
 def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cost of each request by its model, and of the large model with twice the tokens as a baseline."""
     rows = events(spark, sf_dir)
-    used = F.bround(traffic.cost(F.col("model"), F.col("tokens"), F.lit(120)), 6)
-    return rows.withColumn("cost", used).withColumn("base", F.bround(traffic.cost(F.lit("large"), F.col("tokens") * 2, F.lit(120)), 6))
+    used = traffic.billed(F.col("model"), F.col("tokens"), F.lit(120))
+    return rows.withColumn("cost", used).withColumn("base", traffic.billed(F.lit("large"), F.col("tokens") * 2, F.lit(120)))
 
 
 def cost_by_tenant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _costs(spark, sf_dir).groupBy("tenant").agg(F.count("*").alias("n"), F.bround(F.sum("cost"), 4).alias("cost"), F.bround(F.sum("base"), 4).alias("base"))
+    sums = _costs(spark, sf_dir).groupBy("tenant").agg(F.count("*").alias("n"), traffic.dollars(F.col("cost")).alias("cost"), traffic.dollars(F.col("base")).alias("base"))
     return sums.select("tenant", "n", "cost", "base", traffic.savings(F.col("cost"), F.col("base"))["savings_pct"].alias("savings_pct"))
 
 
 def savings_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs per layer and model, per layer, and in all."""
     rows = _costs(spark, sf_dir)
-    return rows.rollup("layer", "model").agg(F.count("*").alias("n"), F.bround(F.sum("cost"), 4).alias("cost")).select(F.coalesce("layer", F.lit("all")).alias("layer"), F.coalesce("model", F.lit("all")).alias("model"), "n", "cost")
+    return rows.rollup("layer", "model").agg(F.count("*").alias("n"), traffic.dollars(F.col("cost")).alias("cost")).select(F.coalesce("layer", F.lit("all")).alias("layer"), F.coalesce("model", F.lit("all")).alias("model"), "n", "cost")
 
 
 def layers_vs_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = _costs(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"), F.bround(F.sum("cost") / F.count("*") * 1000, 4).alias("per_1k"), F.bround(F.avg("tokens"), 2).alias("mean_tokens"))
+    sums = _costs(spark, sf_dir).groupBy("layer").agg(F.count("*").alias("n"), (F.sum(traffic.micros(F.col("cost"))) / (F.count("*") * F.lit(1000.0))).alias("per_1k"), F.bround(F.avg("tokens"), 2).alias("mean_tokens"))
     return traffic.ratio_to_base(sums, "per_1k", F.col("layer") == "purchase")
 
 
@@ -126,9 +153,9 @@ def value_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shadow_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A measured baseline, where a shadow run gave one, replaces the estimate."""
     rows = _costs(spark, sf_dir)
-    shadow = rows.where("event_id % 4 = 0").select("event_id", F.bround(F.col("base") * 0.9, 6).alias("measured"))
+    shadow = rows.where("event_id % 4 = 0").select("event_id", (F.rint(traffic.micros(F.col("base")) * F.lit(0.9)) / F.lit(1e6)).alias("measured"))
     told = rows.join(shadow, "event_id", "left").withColumn("source", F.when(F.col("measured").isNotNull(), "measured").otherwise("estimated"))
-    return told.groupBy("source").agg(F.count("*").alias("n"), F.bround(F.sum(F.coalesce("measured", "base")), 4).alias("base"), F.bround(F.sum("cost"), 4).alias("cost"))
+    return told.groupBy("source").agg(F.count("*").alias("n"), traffic.dollars(F.coalesce("measured", "base")).alias("base"), traffic.dollars(F.col("cost")).alias("cost"))
 
 
 def trace_vs_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,17 +168,28 @@ def trace_vs_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (request_counters, cost_by_tenant, savings_rollup, layers_vs_baseline, cache_share, stage_histogram, histogram_quantiles, latency_percentiles, requests_per_minute, sliding_requests, cumulative_tokens, spend_cap, last_request, recent_requests, single_flight, tenant_slugs, tenant_values, stage_spans, parsed_verdicts, value_tally, shadow_baseline, trace_vs_offline)
+    for f in (request_counters, counter_families, quality_preserved, cost_by_tenant, savings_rollup, layers_vs_baseline, cache_share, stage_histogram, histogram_quantiles, latency_percentiles, requests_per_minute, sliding_requests, cumulative_tokens, spend_cap, last_request, recent_requests, single_flight, tenant_slugs, tenant_values, stage_spans, parsed_verdicts, value_tally, shadow_baseline, trace_vs_offline)
 }
 
 
 def _cost(model: str, tokens: str) -> str:
-    return f"round_even(({tokens} * case {model} when 'small' then 0.10::double when 'large' then 2.00::double else 1.00::double end + 120 * case {model} when 'small' then 0.50::double when 'large' then 10.00::double else 5.00::double end) / 1e6, 6)"
+    return f"round_even({tokens} * case {model} when 'small' then 0.10::double when 'large' then 2.00::double else 1.00::double end + 120 * case {model} when 'small' then 0.50::double when 'large' then 10.00::double else 5.00::double end, 0) / 1e6::double"
+
+
+def sql_dollars(amount: str) -> str:
+    return f"sum(round_even({amount} * 1e6, 0)::bigint)::bigint / 1e6::double"
 
 
 _COSTS = f"{SQL_EVENTS}, co as (select *, {_cost('model', 'tokens')} as cost, {_cost(chr(39) + 'large' + chr(39), 'tokens * 2')} as base from ev)"
 
 
+_RECORDS = f"""{_COSTS}, gr as (select *, event_id % 3 - user_id % 3 as ahead, round_even(cost * 1e6, 0)::bigint as cm, round_even(base * 1e6, 0)::bigint as bm from co),
+  rc as (select *, case when layer = 'purchase' then case when ahead = 0 then 'equivalent' when ahead > 0 then 'better' else 'worse' end end as verdict from gr),
+  fam as (select tenant, 'requests' as counter, layer as label, model as other, 1 as value from rc union all select tenant, 'cost', 'spent', '', cm from rc union all select tenant, 'cost', 'baseline', '', bm from rc union all select tenant, 'overhead', 'saved', '', bm - cm from rc
+    union all select tenant, 'tokens', 'input', '', coalesce(tokens, 0) from rc union all select tenant, 'tokens', 'output', '', 120 from rc union all select tenant, 'quality', verdict, layer, 1 from rc where verdict is not null
+    union all select tenant, 'errors', case when user_id % 3 = 0 then 'window' else 'answer' end, '', 1 from rc where layer = 'error' union all select tenant, 'rejects', 'numbers_mismatch', '', 1 from rc where layer = 'click' union all select tenant, 'rejects', 'low_cosine', '', 1 from rc where layer = 'click' and user_id % 2 <> 0)"""
+
+
 def _buckets(bounds: tuple[float, ...]) -> str:
     return ", ".join(f"({b}::double)" for b in bounds)
 
@@ -169,9 +207,11 @@ def _quantile(q: float) -> str:
 
 ORACLE_SQL = {
     "request_counters": f"with {SQL_EVENTS} select tenant, layer, model, count(*) as requests, sum(tokens)::bigint as tokens from ev group by 1, 2, 3",
-    "cost_by_tenant": f"with {_COSTS}, s as (select tenant, count(*) as n, round_even(sum(cost), 4) as cost, round_even(sum(base), 4) as base from co group by 1) select *, case when base = 0 then 0 else round_even(1 - cost / base, 4) end as savings_pct from s",
-    "savings_rollup": f"with {_COSTS} select coalesce(layer, 'all') as layer, coalesce(model, 'all') as model, count(*) as n, round_even(sum(cost), 4) as cost from co group by rollup (layer, model)",
-    "layers_vs_baseline": f"""with {_COSTS}, s as (select layer, count(*) as n, round_even(sum(cost) / count(*) * 1000, 4) as per_1k, round_even(avg(tokens), 2) as mean_tokens from co group by 1)
+    "counter_families": f"with {_RECORDS} select tenant, counter, label, other, sum(value)::bigint as value from fam group by 1, 2, 3, 4",
+    "quality_preserved": f"with {_RECORDS} select tenant, round_even(count(*) filter (verdict in ('equivalent', 'better')) / count(*), 4) as preserved from rc where verdict is not null group by 1",
+    "cost_by_tenant": f"with {_COSTS}, s as (select tenant, count(*) as n, {sql_dollars('cost')} as cost, {sql_dollars('base')} as base from co group by 1) select *, case when base = 0 then 0 else round_even(1 - cost / base, 4) end as savings_pct from s",
+    "savings_rollup": f"with {_COSTS} select coalesce(layer, 'all') as layer, coalesce(model, 'all') as model, count(*) as n, {sql_dollars('cost')} as cost from co group by rollup (layer, model)",
+    "layers_vs_baseline": f"""with {_COSTS}, s as (select layer, count(*) as n, sum(round_even(cost * 1e6, 0)::bigint)::bigint / (count(*) * 1000::double) as per_1k, round_even(avg(tokens), 2) as mean_tokens from co group by 1)
         select *, round_even(per_1k / nullif((select per_1k from s where layer = 'purchase'), 0), 4) as vs_base from s""",
     "cache_share": f"with {SQL_EVENTS} select tenant, round_even(count(*) filter (regexp_full_match(layer, 'view|sign.*')) / count(*), 4) as cached, round_even(count(*) filter (regexp_full_match(layer, 'err')) / count(*), 4) as unmatched from ev where regexp_full_match(tenant, 't[0-4]') group by 1",
     "stage_histogram": f"with {SQL_EVENTS}, b(le) as (values {_buckets(traffic.STAGE_BOUNDS)}) select layer, le, count(*) filter (seconds <= le) as n from ev cross join b group by 1, 2",
@@ -193,8 +233,8 @@ ORACLE_SQL = {
     "stage_spans": f"with {SQL_EVENTS} select event_id, 'lookup' as stage, round_even(seconds * 0.25, 6) as took from ev where seconds is not null union all select event_id, 'answer', round_even(seconds * 0.75, 6) from ev where seconds is not null",
     "parsed_verdicts": f"with {SQL_EVENTS}, v as (select tenant, case json_extract_string(props, '$.k')::int % 4 when 0 then 'equivalent' when 2 then 'worse' else 'unparsed' end as verdict from ev) select tenant, verdict, count(*) as n from v group by 1, 2",
     "value_tally": "select lang, count(n_chars) as n, min(n_chars) as least, max(n_chars) as most, list_sort(list(n_chars))[count(n_chars) // 2 + 1] as median from documents where n_chars is not null group by 1",
-    "shadow_baseline": f"""with {_COSTS}, t as (select *, case when event_id % 4 = 0 then round_even(base * 0.9, 6) end as measured from co)
-        select case when measured is not null then 'measured' else 'estimated' end as source, count(*) as n, round_even(sum(coalesce(measured, base)), 4) as base, round_even(sum(cost), 4) as cost from t group by 1""",
+    "shadow_baseline": f"""with {_COSTS}, t as (select *, case when event_id % 4 = 0 then round_even(round_even(base * 1e6, 0) * 0.9::double, 0) / 1e6::double end as measured from co)
+        select case when measured is not null then 'measured' else 'estimated' end as source, count(*) as n, {sql_dollars('coalesce(measured, base)')} as base, {sql_dollars('cost')} as cost from t group by 1""",
     "trace_vs_offline": f"""with {SQL_EVENTS}, t as (select layer, case when event_id % 10 <> 0 then case when event_id % 7 = 0 then 'view' else layer end end as offline from ev)
         select layer, count(*) as n, count(offline) as compared, count(*) filter (layer = offline) as matches from t group by 1""",
 }

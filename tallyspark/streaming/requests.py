@@ -16,25 +16,28 @@ CACHE_OUTPUT = "tenant string, key string, event_id long, hit boolean, served_fr
 
 
 class CacheState(StatefulProcessor):
-    """One tenant's exact cache: an entry lives a set time from its write, by event time, and reads don't refresh it."""
+    """One key's exact cache entry of a tenant: it lives a set time from its write, by event time, and reads don't refresh
+    it. Keys of a tenant are apart, so a busy tenant is spread over tasks."""
 
     def __init__(self, ttl_seconds: int = TTL_SECONDS):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # State that event time has outlived is also dropped by the store, in processing time.
-        self.entries = handle.getMapState("entries", "key string", "event_id long, written double", ttlDurationMs=self.ttl * 1000)
+        self.entry = handle.getValueState("entry", "event_id long, written double", ttlDurationMs=self.ttl * 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.entry.get() if self.entry.exists() else None
         for frame in rows:
             out = []
-            for row in frame.sort_values(["at", "event_id"]).itertuples(index=False):
-                at, name = row.at.timestamp(), (row.key,)
-                held = self.entries.getValue(name) if self.entries.containsKey(name) else None
+            frame = frame.sort_values(["at", "event_id"])
+            for event_id, moment in zip(frame["event_id"], frame["at"], strict=True):
+                at = moment.timestamp()
                 hit = held is not None and at - held[1] < self.ttl
                 if not hit:
-                    self.entries.updateValue(name, (int(row.event_id), at))
-                out.append((key[0], row.key, int(row.event_id), hit, int(held[0]) if hit else None))
+                    held = (int(event_id), at)
+                    self.entry.update(held)
+                out.append((key[0], key[1], int(event_id), hit, int(held[0]) if hit else None))
             yield pd.DataFrame(out, columns=["tenant", "key", "event_id", "hit", "served_from"]).astype({"served_from": "Int64"})
 
     def close(self) -> None:
@@ -43,7 +46,7 @@ class CacheState(StatefulProcessor):
 
 def cached(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """A stream (tenant, key, event_id, at) with the cache's answer to each row; needs the RocksDB state store."""
-    return requests.groupBy("tenant").transformWithStateInPandas(CacheState(ttl_seconds), outputStructType=CACHE_OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return requests.groupBy("tenant", "key").transformWithStateInPandas(CacheState(ttl_seconds), outputStructType=CACHE_OUTPUT, outputMode="Append", timeMode="ProcessingTime")
 
 
 def rates(requests: DataFrame, late: str = "10 minutes", length: str = "1 minute", slide: str | None = None) -> DataFrame:

@@ -46,21 +46,23 @@ def test_histograms_and_single_flight_run(stream, tmp_path):
     assert once.count() == rows.select("layer").distinct().count()
 
 
-class Held(dict):
-    """A map state in memory."""
+class Held:
+    """A value state in memory."""
 
-    def containsKey(self, key):
-        return key in self
+    value = None
 
-    def getValue(self, key):
-        return self[key]
+    def exists(self):
+        return self.value is not None
 
-    def updateValue(self, key, value):
-        self[key] = value
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
 
 
 class Handle:
-    def getMapState(self, name, key, value, ttlDurationMs=None):
+    def getValueState(self, name, value, ttlDurationMs=None):
         return Held()
 
 
@@ -68,11 +70,11 @@ def test_cache_state_equals_the_fold(spark, sf_dir):
     """The processor's own steps, batch by batch; the store that keeps its state on a cluster is not started here."""
     rows = events(spark, sf_dir).where("event_id < 600").select("tenant", F.col("layer").alias("key"), "event_id", F.col("event_id").cast("timestamp").alias("at")).toPandas()
     got, want, entries = {}, {}, {}
-    for tenant, mine in rows.groupby("tenant"):
+    for (tenant, key), mine in rows.groupby(["tenant", "key"]):
         state = requests.CacheState(ttl_seconds=100)
         state.init(Handle())
         for _, batch in mine.groupby(mine.event_id // 200):
-            for out in state.handleInputRows((tenant,), iter([batch.sample(frac=1, random_state=1)]), None):
+            for out in state.handleInputRows((tenant, key), iter([batch.sample(frac=1, random_state=1)]), None):
                 got |= {r.event_id: (r.hit, None if pd.isna(r.served_from) else int(r.served_from)) for r in out.itertuples()}
     for r in rows.sort_values("event_id").itertuples():
         held = entries.get((r.tenant, r.key))
