@@ -61,9 +61,9 @@ def near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mean_doc_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Summed in the order of sections: another order may round the other way.
-    each = scored(spark, sf_dir).groupBy("req_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "score"))).alias("s"))
-    return each.select("req_id", "doc_id", F.bround(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["score"]) / F.size("s"), 4).alias("doc_score"))
+    # In whole millionths, so that neither the order of rows nor a tie decides the last digit.
+    each = scored(spark, sf_dir).groupBy("req_id", "doc_id").agg((F.sum(F.rint(F.col("score") * 1e6).cast("long")) / F.count("*")).alias("s"))
+    return each.select("req_id", "doc_id", (F.rint(F.col("s") / 100) / 10000 + F.lit(0.0)).alias("doc_score"))
 
 
 def gold_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,7 +144,7 @@ ORACLE_SQL = {
     "near_documents": f"""with {SQL_SCORED}, ds as (select req_id, doc_id, max(score) as doc_score, min(pos) as first from scored group by 1, 2),
         r as (select *, row_number() over (partition by req_id order by doc_score desc, first)::int as rank, max(doc_score) over (partition by req_id) as best from ds)
         select req_id, doc_id, doc_score, rank from r where rank <= 3 and doc_score >= best - 0.1""",
-    "mean_doc_scores": f"with {SQL_SCORED} select req_id, doc_id, round_even(avg(score), 4) + 0 as doc_score from scored group by 1, 2",
+    "mean_doc_scores": f"with {SQL_SCORED} select req_id, doc_id, round_even(sum(round_even(score * 1e6, 0)::bigint)::bigint / count(*) / 100::double, 0) / 10000::double + 0 as doc_score from scored group by 1, 2",
     "gold_rank": f"with {SQL_SCORED}, r as (select *, row_number() over (partition by req_id order by score desc, pos)::int as k from scored) select req_id, min(k) filter (doc_id % 10 = 2) as gold_rank from r group by 1",
     "sentence_prune": f"""with {SQL_CHUNKS}, e as (select req_id, pos, unnest(range(len(ss)))::int as i from (select req_id, pos, {sql_sentences('body')} as ss from chunks)),
         s as (select *, ((req_id * 7919 + pos * 104729 + i::bigint * 1299709) % 1009) / 1009 as score from e),
