@@ -149,10 +149,9 @@ def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
             view.fit(train if told is None else train.unionByName(told))
         if turn + 1 < rounds:
             said = scratch.stage(model.views[1].says(model.views[0].says(pool)), "co-training")
-            lessons = [scratch.stage(lesson(said, teacher, share, model.prior), "lesson") for teacher in ("meta", "text")]
+            spent, lessons = lessons, [scratch.stage(lesson(said, teacher, share, model.prior), "lesson") for teacher in ("meta", "text")]
             model.exchanged.append({teacher: {int(r["y"]): r["count"] for r in told.groupBy("y").count().collect()} for teacher, told in zip(("meta", "text"), lessons, strict=True)})
-        if turn + 1 < rounds:
-            scratch.drop(said)
+            scratch.drop(said, *(x for x in spent if x is not None))
     for view in model.views:
         view.calibrate(check)
     scratch.drop(marked, taught, *(x for x in lessons if x is not None))
