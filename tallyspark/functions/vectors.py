@@ -55,7 +55,11 @@ def similar_pairs(vectors: DataFrame, ident: str, vector: str, group: str, thres
 def knn(queries: DataFrame, entries: DataFrame, ident: str, vector: str, group: str, k: int, block: int = BLOCK) -> DataFrame:
     """(a, b, cos, rank): the k nearest other entries of each query among those of its group, ties to the smaller id."""
     sides = [_blocks(t.select(F.col(group).alias("grp"), F.col(ident).alias("id"), F.col(vector).alias("v")), block) for t in (queries, entries)]
-    duos = sides[0].select("grp", F.col("rows").alias("left")).join(sides[1].select("grp", F.col("rows").alias("right")), "grp").select("left", "right", F.lit(False).alias("same"))
+    # Pairs of blocks are keys of their own, so that a large group is spread over tasks.
+    counts = [side.select("grp", F.col("n_blocks").alias(name)).distinct() for side, name in zip(sides, ("n_left", "n_right"), strict=True)]
+    left = sides[0].join(counts[1], "grp").select("grp", F.col("b").alias("p"), F.explode(F.expr("sequence(0, n_right - 1)")).alias("q"), F.col("rows").alias("left"))
+    right = sides[1].join(counts[0], "grp").select("grp", F.explode(F.expr("sequence(0, n_left - 1)")).alias("p"), F.col("b").alias("q"), F.col("rows").alias("right"))
+    duos = left.join(right, ["grp", "p", "q"]).select("left", "right", F.lit(False).alias("same"))
 
     def emit(x: np.ndarray, y: np.ndarray, cos: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         cos = np.where(x[:, None] == y[None, :], -np.inf, cos)

@@ -80,6 +80,11 @@ def boilerplate(sections: DataFrame, least_docs: int = 3) -> DataFrame:
     return each.distinct().groupBy("sentence").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
 
 
+def united_boilerplate(corpus: DataFrame, pasted: DataFrame) -> DataFrame:
+    """The repeated sentences of the corpus and those of a request's own documents, each once."""
+    return corpus.select("sentence").union(pasted.select("sentence")).distinct()
+
+
 def strip_boilerplate(sections: DataFrame, repeated: DataFrame, drop_ratio: float = 0.3, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """Sections (``keys`` and body) without repeated sentences; ones that mostly consisted of them are dropped.
 
