@@ -283,7 +283,8 @@ def classes(docs: DataFrame) -> DataFrame:
     columns are ignored; an empty table gives an empty result.
     """
     rows, joined = _grouped(docs)
-    named = joined.groupBy("root").agg(F.min("least").alias("class_id"))
+    # Written, so that the join has shuffles of its own and a class of very many sets can be split.
+    named = scratch.stage(joined.groupBy("root").agg(F.min("least").alias("class_id")), "classes")
     told = joined.join(named, "root").select("digest", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     return rows.select("doc_id", "digest").join(told, "digest").select("doc_id", "class_id", "n_links")
 
@@ -296,11 +297,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows, joined = _grouped(docs)
     each = rows.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "content", "digest").agg(F.count("*").alias("n"))
-    each = each.join(joined.select("digest", "root"), "digest").withColumn("rank", F.struct((F.col("id") == _NO_ID).alias("last"), "id", "content"))
-    first = each.groupBy("root").agg(F.min("rank").alias("first"))
+    each = each.join(joined.select("digest", "root"), "digest").select("id", "content", "n", "root", F.struct((F.col("id") == _NO_ID).alias("last"), "id", "content").alias("rank"))
+    each = scratch.stage(each, "each")
+    # Written, so that the join has shuffles of its own and a class of very many rows can be split.
+    first = scratch.stage(each.groupBy("root").agg(F.min("rank").alias("first")), "first")
     told = each.join(first, "root").withColumn("stays", F.col("rank") == F.col("first"))
     # Rows that this doesn't name are the only ones of their classes.
     told = scratch.stage(told.where("not stays or n > 1").select("id", "content", "stays"), "told")
+    scratch.drop(rows, joined, each, first)
     sent = F.broadcast(told) if told.count() <= MAX_BROADCAST_ROWS else told
     keyed = docs.select(whole_row(docs)).withColumn("id", F.coalesce("row.doc_id", F.lit(_NO_ID))).withColumn("content", F.xxhash64("row.text"))
     alone = keyed.join(sent, ["id", "content"], "left_anti")
