@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.llm import chat, decontam, ngram_join, packing, quality, tokencount, topk, toxicity, urlfilter, warc
+from tallyspark.llm import anchors, chat, decontam, ngram_join, packing, quality, repair, spelling, tokencount, topk, toxicity, urlfilter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +76,43 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.read_back(chat.format_windows(turns.union(hostile))))
 
 
+def _typo(doc_id: Column, run: Column) -> Column:
+    """One run in 199 loses a code point; a null id counts as an empty one."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.left(run, at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(_table(spark, sf_dir, "documents"), change=_typo))
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Rows lost, emptied, cut short, repeated or told by the wrong side, by a checksum of conversation and turn."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    damage = F.crc32(key.cast("binary")) % 20
+    text = F.coalesce("text", F.lit(" "))
+    text = F.when(damage == 1, "").when(damage == 2, F.translate(text, ".!?", "")).otherwise(text)
+    role = F.when(damage == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    copies = F.explode(F.when(damage == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return turns.where(damage != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversation that lost all its rows has nothing to repair."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ids = turns.select("conv_id").distinct()
+    told = repair.report(_damaged(turns)).withColumnRenamed("conv_id", "id")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit(""), 256)
+    return ids.join(told, ids.conv_id.eqNullSafe(told.id), "left").select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = anchors.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk_search": op1_topk_search,
     "op2_toxicity": op2_toxicity,
@@ -87,8 +124,44 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_chat_windows": op10_chat_windows,
+    "op11_spelling": op11_spelling,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
+#: A column ``crc`` for the text ``key``: steps over its bytes with a table made from the polynomial.
+_CRC_TABLE = """
+          select list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t
+          from range(256) r(i)"""
+_CRC = """xor(4294967295, list_reduce(
+            list_prepend(4294967295, list_transform(range(0, octet_length(encode({key}))), lambda j: ('0x' || substr(hex(encode({key})), (2 * j + 1)::int, 2))::bigint)),
+            lambda c, b: xor(c // 256, t[(xor(c, b) % 256 + 1)::int])))"""
+_RANKED = "list_min(list_filter([{}], lambda z: z is not null))"
+#: What a repair has cost, its letters and what it leaves, for each state after the rows so far.
+_PATH = "struct_pack(cost := {}, audit := {}, body := {})"
+
+def _step(origin: str, cost: str, letters: str, text: str, where: str = "true") -> str:
+    """The path that an edit makes of another: null where there is none."""
+    return f"case when {origin} is not null and {where} then {_PATH.format(f'{origin}.cost + {cost}', f'{origin}.audit || {letters!r}', f'{origin}.body || {text}')} end"
+
+
+def _repair_sql(sql: str) -> str:
+    """Rows are inserted before each row and at the end, at most two at a time; then a row is deleted, kept or retyped."""
+    user, both = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    inserts = {"i20": _step("s0", "2", "I", user), "i21": _step("s1", "2", "I", user), "i23": _step("s3", "2", "I", user)}
+    inserts |= {"i32": _step("s2", "2", "I", both), "i30": _step("s0", "4", "II", f"{user} || {both}"), "i31": _step("s1", "4", "II", f"{user} || {both}")}
+    open_, more = "fault not in ('b', 'd')", "(fault = 't')::bigint"
+    kept = "chr(10) || role || ':' || text"
+    rows = {f"d{q}": _step(s, "3", "D", "''") for q, s in enumerate(("s0", "s1", "z2", "z3"))}
+    for name, origin, initial in (("k1", "s0", "s"), ("k2a", "s0", "u"), ("k2b", "s1", "u"), ("k2c", "z3", "u"), ("k3", "z2", "a")):
+        rows[name] = _step(origin, more, "K", kept, f"{open_} and k = '{initial}'")
+    for name, origin, text in (("r2a", "s0", user), ("r2b", "s1", user), ("r2c", "z3", user), ("r3", "z2", both)):
+        rows[name] = _step(origin, f"2 + {more}", "R", f"{text} || text", open_)
+    for mark, steps in (("{after_inserts}", inserts), ("{after_row}", rows)):
+        sql = sql.replace(mark, ", ".join(f"{step} as {name}" for name, step in steps.items()))
+    return sql
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_topk_search": """
         with v as (
@@ -111,4 +184,66 @@ ORACLE_SQL: dict[str, str] = {
           select p.n, u.rule, u.verdict, row_number() over (partition by p.n order by length(u.rule) desc, length(u.host) desc) as k
           from parts p join rules u on (p.host = u.host or ends_with(p.host, '.' || u.host)) and starts_with(p.path, u.path))
         select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join (select * from fits where k = 1) using (n)""",
+    "op11_spelling": rf"""
+        with recursive tab as ({_CRC_TABLE}),
+        runs as (
+          select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{spelling.UPPER}', '{spelling.LOWER}') as run
+          from documents where text is not null),
+        each as (select id || ':' || run as key, run, count(*) as n from runs group by id, run),
+        hashed as (select run, n, {_CRC.format(key="key")} as h from each, tab),
+        changed as (select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run) + 2)::int) else run end as word, n from hashed),
+        words as (
+          select word, sum(n)::bigint as n,
+            -- Levenshtein counts bytes: each letter beyond ASCII stands for one of the 64 characters that no word holds.
+            translate(word, (select string_agg(chr(i::int), '' order by i) from range(192, 256) r(i)),
+              (select string_agg(chr(i::int), '' order by i) from range(32, 127) r(i) where i < 97 or i > 122)) as plain
+          from changed where length(word) >= 6 group by word having sum(n) >= 5),
+        near as (
+          select a.word, b.word as other, b.n as m, row_number() over (partition by a.word order by b.n desc, b.word) as k, count(*) over (partition by a.word) as n_near
+          from words a join words b on a.word <> b.word and abs(length(a.word) - length(b.word)) <= 1 and levenshtein(a.plain, b.plain) = 1),
+        told as (
+          select w.word, w.n, coalesce(x.n_near, 0)::bigint as n_near, case when x.m >= 5 * w.n then x.other end as form, case when x.m >= 5 * w.n then x.m end as form_n
+          from words w left join (select * from near where k = 1) x using (word)),
+        up(word, root) as (select word, form from told where form is not null union all select u.word, t.form from up u join told t on t.word = u.root where t.form is not null)
+        select word, n, n_near, form, form_n, coalesce((select u.root from up u join told t on t.word = u.root where u.word = told.word and t.form is null), word) as root from told""",
+    "op12_conversation_repair": _repair_sql(rf"""
+        with recursive tab as ({_CRC_TABLE}),
+        keyed as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+        hurt as (select *, {_CRC.format(key="key")} % 20 as damage from keyed, tab),
+        dealt as (
+          select conv_id, turn, case when damage = 4 then 'user' else role end as role,
+            case when damage = 1 then '' when damage = 2 then translate(text, '.!?', '') else text end as text, unnest(case when damage = 3 then [0, 1] else [0] end) as copy
+          from hurt where damage <> 0),
+        ordered as (
+          select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i, left(role, 1) as k, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as tail,
+            row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as seen,
+            lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, md5(text)) as before
+          from dealt),
+        turns as (select *, case when tail = '' then 'b' when seen then 'd' when tail not in ('.', '!', '?') then 't' else '-' end as fault from ordered),
+        facts as (
+          select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count_if(fault = 'b')::bigint as blank, count_if(fault = 'd')::bigint as duplicate,
+            count_if(fault = 't')::bigint as truncated, count_if(before is not null and before || k not in ('su', 'ua', 'au'))::bigint as illegal, max(i) as last
+          from turns group by conv_id),
+        paths(conv_id, i, s0, s1, s2, s3) as (
+          select conv_id, 0::bigint, {_PATH.format("0::bigint", "''", "''")}, null::struct(cost bigint, audit varchar, body varchar), null::struct(cost bigint, audit varchar, body varchar),
+            null::struct(cost bigint, audit varchar, body varchar) from facts
+          union all
+          select p.conv_id, t.i, {_RANKED.format("d0")}, {_RANKED.format("d1, k1")}, {_RANKED.format("d2, k2a, k2b, k2c, r2a, r2b, r2c")}, {_RANKED.format("d3, k3, r3")}
+          from (select *, {_RANKED.format("s2, i20, i21, i23")} as z2, {_RANKED.format("s3, i32, i30, i31")} as z3 from (
+            select *, {{after_inserts}} from paths)) p
+          join turns t on t.conv_id is not distinct from p.conv_id and t.i = p.i + 1, lateral (select {{after_row}}) x),
+        ends as (
+          select p.conv_id, {_RANKED.format("s0, s3, i32, i30, i31")} as best from (select *, {{after_inserts}} from paths) p join facts f on f.conv_id is not distinct from p.conv_id and f.last = p.i)
+        select o.conv_id, coalesce(f.gaps, 0) as gaps, coalesce(f.blank, 0) as blank, coalesce(f.duplicate, 0) as duplicate, coalesce(f.truncated, 0) as truncated, coalesce(f.illegal, 0) as illegal,
+          coalesce(e.best.cost, 0)::bigint as cost, coalesce(e.best.audit, '') as audit, sha256(coalesce(substr(e.best.body, 2), '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join facts f on f.conv_id is not distinct from o.conv_id left join ends e on e.conv_id is not distinct from o.conv_id"""),
+    "op13_substring_dedup": r"""
+        with texts as (select row_number() over () as d, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        windows as (select d, words, unnest(range(1, len(words) - 33)) as i from texts where len(words) >= 35),
+        spelt as (select d, i, array_to_string(words[i:i + 34], ' ') as w from windows),
+        twice as (select w from spelt group by w having count(*) > 1),
+        gone as (select distinct d, unnest(range(i, i + 35)) as k from spelt join twice using (w)),
+        each as (select d, unnest(words) as word, generate_subscripts(words, 1) as k from texts),
+        left_ as (select d, string_agg(word, ' ' order by k) as kept, count(*) as n from each anti join gone using (d, k) group by d)
+        select doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from texts left join left_ using (d)""",
 }
