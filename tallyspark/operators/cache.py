@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
@@ -20,6 +23,8 @@ GUARDS: list[Guard] = [("numbers", text.numbers_match), ("negation", text.negati
 
 TTL_SECONDS = 604_800
 KNN, THRESHOLD = 5, 0.90
+#: Rows of a replay that one task decides in order.
+SWEEP_ROWS = 2048
 
 
 def cache_key(query: Column, case: Column, doc_hashes: Column) -> Column:
@@ -69,31 +74,84 @@ def reject_reason(new: Column, cached: Column, covered: Column, guards: Sequence
     return found
 
 
-def greedy_replay(rows: DataFrame, edges: DataFrame, seq: str = "seq") -> DataFrame:
-    """(seq, hit): a row is a hit iff an earlier row that became an entry, a miss, would be served to it.
+#: Candidates of a row as a task judges them: whether each is an entry (None: not known), passes, its id and its cosine.
+Seen = list[tuple[bool | None, bool, int, float]]
+#: What is found: hit, served_from, cosine; None where too little is known.
+Judge = Callable[[Seen], tuple[bool, int | None, float | None] | None]
+_DECIDED = pa.schema([("seq", pa.int64()), ("hit", pa.bool_()), ("served_from", pa.int64()), ("cosine", pa.float64())])
+
+
+def _swept(judge: Judge) -> Callable[[pa.Table], pa.Table]:
+    """Goes through the open rows of a block in order; what it decides is known to the rows after it."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("dst", "ascending"), ("r", "ascending")])
+        told, found = {}, []
+        rows = zip(*(block[c].to_pylist() for c in ("dst", "entry", "passes", "src", "cos")), strict=True)
+        for dst, mine in groupby(rows, key=itemgetter(0)):
+            answer = judge([(told.get(src) if entry is None else entry, passes, src, cos) for _, entry, passes, src, cos in mine])
+            if answer:
+                told[dst] = not answer[0]
+                found.append((dst, *answer))
+        return pa.table([pa.array([f[k] for f in found], t) for k, t in enumerate(_DECIDED.types)], schema=_DECIDED)
 
-    ``edges`` holds (src, dst), src < dst. Misses are the first maximal independent set in row order. Each round decides
-    the rows whose sources are decided enough, and writes them and the edges that are still open, so lineage stays short
-    and rounds shrink; there are as many as the longest chain of dependent rows has.
+    return run
+
+
+def _in_order(rows: DataFrame, candidates: DataFrame, judge: Judge, outside: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """(seq, hit, served_from, cosine) of rows (seq), in order, whose candidates (src, dst, r, cos, passes) are rows before them.
+
+    Rows are cut into blocks in their order. In each round a task goes through the open rows of a block and decides those
+    of which it knows enough, from rounds before or from the rows just before them. The first block that is open gets
+    decided whole, so there are no more rounds than blocks, however long a chain of rows that depend on each other is.
+    A task holds the candidates within its block, at most block squared, and what ``outside`` leaves of a row's others.
     """
-    open_ = scratch.stage(edges.select("src", "dst"), "replay-edges")
-    fresh = scratch.stage(rows.select(seq).join(open_.select(F.col("dst").alias(seq)), seq, "left_anti").select(seq, F.lit(False).alias("hit")), "replay-decided")
-    decided = fresh
+    home = scratch.stage(traffic.places(rows, "seq").select("seq", F.floor(F.col("place") / block).alias("block")), "replay-blocks")
+    sided = candidates.join(home.select(F.col("seq").alias("dst"), "block"), "dst").join(home.select(F.col("seq").alias("src"), F.col("block").alias("from")), "src")
+    open_ = scratch.stage(sided.select("src", "dst", "r", "cos", "passes", "block", (F.col("block") == F.col("from")).alias("inside"), F.lit(None).cast("boolean").alias("entry")), "replay-open")
+    alone = rows.select("seq").join(open_.select(F.col("dst").alias("seq")), "seq", "left_anti")
+    fresh = scratch.stage(alone.select("seq", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("served_from"), F.lit(None).cast("double").alias("cosine")), "replay-decided")
+    decided, spent = fresh, [open_, home]
     while open_.limit(1).count():
-        known = open_.join(fresh.select(F.col(seq).alias("src"), F.col("hit").alias("src_hit")), "src", "left")
-        # A row with an entry among its sources is a hit; one whose sources are all hits is a miss.
-        state = known.groupBy("dst").agg(F.coalesce(F.bool_or(~F.col("src_hit")), F.lit(False)).alias("hit"), F.count_if(F.col("src_hit").isNull()).alias("left"))
-        fresh = scratch.stage(state.where("hit or left = 0").select(F.col("dst").alias(seq), "hit"), "replay-decided")
+        now = open_.join(fresh.select(F.col("seq").alias("src"), (~F.col("hit")).alias("now")), "src", "left")
+        known = scratch.stage(now.withColumn("entry", F.coalesce("entry", "now")).drop("now"), "replay-known")
+        scratch.drop(*spent)
+        shown = known.where("inside").drop("inside").unionByName(outside(known.where("not inside").drop("inside")))
+        fresh = scratch.stage(shown.groupBy("block").applyInArrow(_swept(judge), "seq long, hit boolean, served_from long, cosine double"), "replay-decided")
         decided = decided.union(fresh)
-        open_ = scratch.stage(known.where("src_hit is null").select("src", "dst").join(fresh.select(F.col(seq).alias("dst")), "dst", "left_anti"), "replay-edges")
+        open_, spent = known.join(fresh.select(F.col("seq").alias("dst")), "dst", "left_anti"), [known]
+    scratch.drop(*spent)
     return decided
 
 
-def semantic_replay(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def _any_entry(seen: Seen) -> tuple[bool, None, None] | None:
+    states = [entry for entry, *_ in seen]
+    if any(states):
+        return True, None, None
+    return None if None in states else (False, None, None)
+
+
+def _summed(others: DataFrame) -> DataFrame:
+    """One row that stands for all: an entry if one is, not known if one isn't."""
+    entry = F.when(F.bool_or("entry"), True).when(F.count_if(F.col("entry").isNull()) == 0, False)
+    return others.groupBy("block", "dst").agg(F.min("src").alias("src"), F.min("r").alias("r"), F.min("cos").alias("cos"), F.bool_or("passes").alias("passes"), entry.alias("entry"))
+
+
+def greedy_replay(rows: DataFrame, edges: DataFrame, seq: str = "seq", block: int = SWEEP_ROWS) -> DataFrame:
+    """(seq, hit): a row is a hit iff an earlier row that became an entry, a miss, would be served to it.
+
+    ``edges`` holds (src, dst), src < dst. Misses are the first maximal independent set in row order.
+    """
+    named = edges.select("src", "dst", F.col("src").alias("r"), F.lit(0.0).alias("cos"), F.lit(True).alias("passes"))
+    return _in_order(rows.select(F.col(seq).alias("seq")), named, _any_entry, _summed, block).select(F.col("seq").alias(seq), "hit")
+
+
+def semantic_replay(rows: DataFrame, candidates: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
     """(seq, hit, served_from, cosine, miss_reason) for rows (seq) and candidates (src, dst, cos, reason).
 
     ``candidates`` are earlier rows within the threshold; ``reason`` is null where all checks pass. A hit is served by
     the closest passing entry, a miss reports the closest entry's reason, or low_cosine; ties go to the earlier row.
+    ``firsts`` (seq) are rows that meet an empty cache, the first one if it isn't given.
     """
     candidates = scratch.stage(candidates.select("src", "dst", "cos", "reason"), "replay-candidates")
     done = scratch.stage(greedy_replay(rows, candidates.where("reason is null")), "replay-done")
@@ -103,13 +161,62 @@ def semantic_replay(rows: DataFrame, candidates: DataFrame) -> DataFrame:
         F.max(F.struct("cos", (-F.col("src")).alias("minus"), "reason")).alias("close"),
     )
     found = done.join(near.withColumnRenamed("dst", "seq"), "seq", "left")
-    first = rows.agg(F.min("seq").alias("first"))
-    return found.crossJoin(F.broadcast(first)).select(
+    firsts = rows.agg(F.min("seq").alias("seq")) if firsts is None else firsts
+    return found.join(firsts.select("seq", F.lit(True).alias("first")), "seq", "left").select(
         "seq",
         "hit",
         F.when(F.col("hit"), -F.col("best.minus")).alias("served_from"),
         F.when(F.col("hit"), F.col("best.cos")).otherwise(F.col("close.cos")).alias("cosine"),
-        F.when(~F.col("hit"), F.when(F.col("seq") == F.col("first"), "empty").otherwise(F.coalesce("close.reason", F.lit("low_cosine")))).alias("miss_reason"),
+        F.when(~F.col("hit"), F.when(F.col("first"), "empty").otherwise(F.coalesce("close.reason", F.lit("low_cosine")))).alias("miss_reason"),
+    )
+
+
+def replay_grid(rows: DataFrame, candidates: DataFrame, modes: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
+    """(mode, threshold, seq, hit, served_from, cosine, miss_reason): ``semantic_replay`` under each mode and threshold.
+
+    ``candidates`` has (src, dst, cos) within the least threshold and a reason column for each mode. Pairs are scored
+    once; those within a threshold are within all lower ones. All replays run together, each over numbers of its own.
+    """
+    places = scratch.stage(traffic.places(rows, "seq"), "grid-places")
+    n = max(1, places.count())
+    numbers = F.array(*(F.struct(F.lit(i).alias("config"), F.lit(m).alias("mode"), F.lit(t).alias("threshold")) for i, (m, t) in enumerate((m, t) for m in modes for t in thresholds)))
+    each = places.select("seq", "place", F.inline(numbers)).withColumn("number", F.col("config") * F.lit(n) + F.col("place"))
+    placed = candidates.join(places.toDF("src", "p"), "src").join(places.toDF("dst", "q"), "dst")
+    reasons = F.array(*(F.struct(F.lit(k).alias("k"), F.col(m).alias("reason")) for k, m in enumerate(modes)))
+    within = F.filter(F.sequence(F.lit(0), F.lit(len(thresholds) - 1)), lambda i: F.col("cos") >= F.array(*map(F.lit, thresholds))[i])
+    told = placed.select("p", "q", "cos", F.inline(reasons), within.alias("within")).select("p", "q", "cos", "reason", "k", F.explode("within").alias("i")).withColumn("config", F.col("k") * len(thresholds) + F.col("i"))
+    told = told.select((F.col("config") * F.lit(n) + F.col("p")).alias("src"), (F.col("config") * F.lit(n) + F.col("q")).alias("dst"), "cos", "reason")
+    found = semantic_replay(each.select(F.col("number").alias("seq")), told, each.where("place = 0").select(F.col("number").alias("seq")))
+    named = found.withColumnRenamed("seq", "number").withColumn("source", F.pmod("served_from", F.lit(n))).drop("served_from")
+    return each.join(named, "number").join(places.toDF("served_from", "source"), "source", "left").select("mode", "threshold", "seq", "hit", "served_from", "cosine", "miss_reason")
+
+
+def sweep_summary(told: DataFrame, by: Sequence[str], variants: Sequence[str], reasons: Sequence[str]) -> DataFrame:
+    """Per ``by``: how rows were served, and which traps and paraphrases were not.
+
+    ``told`` has (layer, expected_cache, outcome, variant, miss_reason, tokens); tokens count as saved by correct hits.
+    """
+    expected = lambda kind: F.col("expected_cache") == kind
+    outcome = lambda kind: F.col("outcome") == kind
+    stopped = lambda kind, name: [F.count_if(expected(kind) & (F.col("miss_reason") == r)).alias(f"{name}_{r}") for r in reasons]
+    caught, saved = F.count_if(expected("semantic_hit") & outcome("correct_hit")), F.sum(F.when(outcome("correct_hit"), F.col("tokens")).otherwise(0))
+    return told.groupBy(*by).agg(
+        F.count("*").alias("queries"),
+        F.count_if(F.col("layer") == "exact").alias("exact_hits"),
+        F.count_if(F.col("layer") == "semantic").alias("semantic_hits"),
+        caught.alias("paraphrases_caught"),
+        F.count_if(expected("semantic_hit")).alias("paraphrases_total"),
+        F.bround(caught / F.nullif(F.count_if(expected("semantic_hit")), F.lit(0)), 4).alias("paraphrase_recall"),
+        F.count_if(outcome("wrong_hit")).alias("wrong_hits"),
+        F.count_if(outcome("wrong_hit") & expected("miss")).alias("wrong_hits_on_traps"),
+        F.count_if(expected("miss")).alias("traps_total"),
+        F.count_if(outcome("wrong_hit") & expected("cold")).alias("wrong_hits_on_cold"),
+        *(F.count_if(outcome("wrong_hit") & (F.col("variant") == v)).alias(f"wrong_{v}") for v in variants),
+        *stopped("miss", "traps_stopped_by"),
+        *stopped("semantic_hit", "paraphrases_blocked_by"),
+        F.count_if(outcome("missed_hit")).alias("missed_hits"),
+        saved.alias("tokens_saved"),
+        F.bround(saved / F.nullif(F.sum("tokens"), F.lit(0)), 4).alias("tokens_saved_pct"),
     )
 
 
@@ -173,41 +280,45 @@ def live_replay(requests: DataFrame, threshold: float = THRESHOLD, k: int = KNN)
     return named.select("seq", "tenant", "hit", F.col("source").alias("served_from"), "cosine")
 
 
-def nearest_replay(rows: DataFrame, candidates: DataFrame, k: int = KNN) -> DataFrame:
+def _nearest(k: int) -> Judge:
+    def judge(seen: Seen) -> tuple[bool, int | None, float | None] | None:
+        n, near = 0, None
+        for entry, passes, src, cos in seen:
+            if entry is None:
+                return None
+            if entry:
+                near = cos if not n else near
+                n += 1
+                if passes:
+                    return True, src, cos
+                if n == k:
+                    break
+        return False, None, near
+
+    return judge
+
+
+def _foremost(k: int) -> Callable[[DataFrame], DataFrame]:
+    """Of each row's candidates the first k entries, up to the first of which nothing is known."""
+
+    def run(others: DataFrame) -> DataFrame:
+        before = Window.partitionBy("dst").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+        counted = others.withColumn("unknown", F.count_if(F.col("entry").isNull()).over(before)).withColumn("entries", F.count_if("entry").over(before))
+        # A row's nearest candidate stays even if it is no entry, so that a row without any other is judged, too.
+        told = F.col("entry").isNull() | F.col("entry") | (F.col("r") == 1)
+        return counted.where((F.coalesce("unknown", F.lit(0)) == 0) & (F.coalesce("entries", F.lit(0)) < k) & told).drop("unknown", "entries")
+
+    return run
+
+
+def nearest_replay(rows: DataFrame, candidates: DataFrame, k: int = KNN, block: int = SWEEP_ROWS) -> DataFrame:
     """(seq, hit, served_from, cosine) for rows (seq) and candidates (src, dst, cos, passes), src an earlier row within
     the threshold of dst: each row sees its k nearest entries of the moment, ties to the earlier one.
 
-    Which rows are entries depends on all before. In rounds, a row is decided as soon as its nearest candidates are
-    known to be entries or not, as far as it takes to fix the k nearest; the rest, ever fewer, is written for the next.
+    Which rows are entries depends on all before: rows are decided block by block, as in ``greedy_replay``.
     """
-    order = Window.partitionBy("dst").orderBy("r")
-    open_ = candidates.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("cos"), "src"))).withColumn("entry", F.lit(None).cast("boolean"))
-    open_ = scratch.stage(open_, "live-open")
-    waiting = scratch.stage(open_.select("dst").distinct(), "live-waiting")
-    fresh = rows.join(waiting.select(F.col("dst").alias("seq")), "seq", "left_anti")
-    fresh = scratch.stage(fresh.select("seq", F.lit(False).alias("hit"), F.lit(None).cast("long").alias("served_from"), F.lit(None).cast("double").alias("cosine")), "live-decided")
-    decided = fresh
-    while waiting.limit(1).count():
-        known = open_.join(fresh.select(F.col("seq").alias("src"), (~F.col("hit")).alias("now")), "src", "left")
-        known = known.withColumn("entry", F.coalesce("entry", "now")).drop("now").where("entry is null or entry")
-        known = scratch.stage(known, "live-known")
-        counted = known.withColumn("e", F.count_if("entry").over(order))
-        state = counted.groupBy("dst").agg(
-            F.min(F.when(F.col("entry").isNull(), F.col("r"))).alias("unknown"),
-            F.min(F.when(F.col("entry") & F.col("passes") & (F.col("e") <= k), F.struct("r", "src", "cos"))).alias("served"),
-            F.min(F.when(F.col("entry") & (F.col("e") >= k), F.col("r"))).alias("full"),
-            F.min(F.when(F.col("entry"), F.struct("r", "cos"))).alias("near"),
-        )
-        state = waiting.join(state, "dst", "left")
-        hit = F.col("served").isNotNull() & (F.col("unknown").isNull() | (F.col("served.r") < F.col("unknown")))
-        miss = F.col("unknown").isNull() | (F.col("full") < F.col("unknown"))
-        told = state.withColumn("hit", hit).where(F.col("hit") | F.coalesce(miss, F.lit(False)))
-        fresh = scratch.stage(told.select(F.col("dst").alias("seq"), "hit", F.when(F.col("hit"), F.col("served.src")).alias("served_from"), F.when(F.col("hit"), F.col("served.cos")).otherwise(F.col("near.cos")).alias("cosine")), "live-decided")
-        decided = decided.union(fresh)
-        gone = fresh.select(F.col("seq").alias("dst"))
-        waiting = scratch.stage(waiting.join(gone, "dst", "left_anti"), "live-waiting")
-        open_ = known.join(gone, "dst", "left_anti")
-    return decided
+    ranked = candidates.withColumn("r", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("cos"), "src")))
+    return _in_order(rows.select("seq"), ranked.select("src", "dst", "r", "cos", "passes"), _nearest(k), _foremost(k), block)
 
 
 def latest_per_key(writes: DataFrame, keys: list[str], order: Column) -> DataFrame:

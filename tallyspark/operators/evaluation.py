@@ -26,8 +26,8 @@ METHODS = ("max", "mean")
 #: 5 + 14 + 10 configurations.
 WINDOWS = (
     [Config("section_first", "", b, 0.0) for b in range(400, 1201, 200)]
-    + [Config("doc_first", m, 0, g) for m in METHODS for g in (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4)]
-    + [Config("hybrid", m, b, 0.0) for m in METHODS for b in (500, 700, 900, 1100, 1300)]
+    + [Config("doc_first", m, 0, g) for m in METHODS for g in (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15)]
+    + [Config("hybrid", m, b, 0.0) for m in METHODS for b in (600, 700, 800, 1000, 1200)]
 )
 MAX_DOCS = 3
 

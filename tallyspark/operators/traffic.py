@@ -110,6 +110,19 @@ def _parts(rows: DataFrame) -> int:
     return max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def places(rows: DataFrame, ident: str) -> DataFrame:
+    """(ident, place): each distinct id that isn't null and its place among all of them, from 0.
+
+    Ids are cut into ranges; a place is the id's number within its range and the ids of the ranges before it.
+    """
+    ids = rows.select(ident).where(F.col(ident).isNotNull()).distinct()
+    ranged = ids.repartitionByRange(_parts(rows), ident).sortWithinPartitions(ident)
+    # The low 33 bits count the rows of a partition.
+    cut = scratch.stage(ranged.select(ident, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_row")), "places")
+    before = cut.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    return cut.join(before, "_part").select(ident, (F.col("_row") + F.coalesce("_before", F.lit(0))).alias("place"))
+
+
 def running_total(rows: DataFrame, labels: list[str], order: list[str], value: Column, parts: int | None = None) -> DataFrame:
     """Adds ``total``: the sum up to and including each row, per label.
 

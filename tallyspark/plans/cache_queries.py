@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tallyspark import scratch
 from tallyspark.functions import text, vectors
 from tallyspark.operators import cache, traffic
-from tallyspark.plans.tables import SQL_EVENTS, SQL_TURNS, events, sql_tokens, table, turns
+from tallyspark.plans.tables import SQL_EVENTS, SQL_REQUESTS, SQL_TURNS, events, requests, sql_tokens, table, turns
 
 #: The embeddings of the tables are nearly orthogonal: the library's 0.90 would find nothing.
 THETA = 0.30
-GRID = (0.30, 0.34, 0.38, 0.42)
+GRID = tuple(round(THETA + 0.01 * i, 2) for i in range(30))
+MODES = ("cosine", "context", "guards")
+#: What traps are made of, by the document's number.
+TRAPS = ("tricky_number", "tricky_negation", "tricky_intent", "tricky_case", "tricky_state", "edge")
+REASONS = ("low_cosine", "context_mismatch", "numbers_mismatch", "negation_mismatch", "empty")
 
 
 def exact_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,11 +97,6 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("threshold").agg(F.count("*").alias("n_pairs"), F.countDistinct("b").alias("n_rows"), F.bround(F.avg("cos"), 4).alias("mean_cos"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
-    return table(spark, sf_dir, "embeddings").join(docs, "vec_id").select(F.col("vec_id").alias("seq"), "label", "embedding", F.col("text").alias("query"), "lang")
-
-
 def compared(rows: DataFrame) -> DataFrame:
     """Earlier rows within the threshold, with what stops them in each guard mode; pairs are scored once for all."""
     pairs = vectors.similar_pairs(rows, "seq", "embedding", "label", THETA)
@@ -143,6 +142,26 @@ def semantic_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def semantic_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All modes under all thresholds. Exact repeats are served by the exact cache and never reach the semantic one; of the
+    other requests every fourth is a paraphrase, every fourth a trap; requests with the same rest by 7 have one answer."""
+    rows = scratch.stage(requests(spark, sf_dir), "requests")
+    exact = cache.exact_replay(rows.select("seq", F.sha2(F.concat_ws("|", "lang", "query"), 256).alias("key")), "key", "seq")
+    exact = scratch.stage(exact.select("seq", "hit", "served_from"), "exact")
+    asked = rows.join(exact.where("not hit"), "seq", "left_semi")
+    near = cache.replay_grid(asked.select("seq"), compared(asked), MODES, GRID)
+    grid = spark.range(1).select(F.explode(F.array(*map(F.lit, MODES))).alias("mode")).withColumn("threshold", F.explode(F.array(*map(F.lit, GRID))))
+    none = F.lit(None).cast("string")
+    repeats = exact.where("hit").join(grid).select("mode", "threshold", "seq", F.lit("exact").alias("layer"), "served_from", none.alias("miss_reason"))
+    told = repeats.union(near.select("mode", "threshold", "seq", F.when(F.col("hit"), "semantic").otherwise("llm").alias("layer"), "served_from", "miss_reason"))
+    kind = F.col("seq") % 4
+    expected = F.when(kind == 1, "semantic_hit").when(kind == 2, "miss").otherwise("cold")
+    variant = F.when(kind == 2, F.array(*map(F.lit, TRAPS))[(F.col("seq") % 6).cast("int")])
+    labels = rows.select("seq", expected.alias("expected_cache"), variant.alias("variant"), text.approx_tokens(F.col("query")).alias("tokens"))
+    outcome = cache.semantic_outcome(F.col("layer") != "llm", F.col("seq") % 7 == F.col("served_from") % 7, F.col("expected_cache") == "semantic_hit")
+    return cache.sweep_summary(told.join(labels, "seq").withColumn("outcome", outcome), ["mode", "threshold"], TRAPS, REASONS)
+
+
 def ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events(spark, sf_dir).select("event_id", "at", "tenant", "layer")
     found = cache.ttl_replay(rows, ["tenant", "layer"], "at", "event_id", 3600)
@@ -161,7 +180,7 @@ def latest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tenant", "layer", "event_id", "tokens", (F.col("at") + cache.TTL_SECONDS).alias("expires"))
 
 
-QUERIES = {f.__name__: f for f in (exact_cache_replay, exact_cache_summary, cache_key_orders, numbers_guard, numbers_guard_all, negation_guard, query_jaccard, similar_pairs, knn_by_tenant, threshold_sweep, semantic_modes, ttl_cache, live_cache, latest_entries)} | {"semantic_replay": semantic_replay}
+QUERIES = {f.__name__: f for f in (exact_cache_replay, exact_cache_summary, cache_key_orders, numbers_guard, numbers_guard_all, negation_guard, query_jaccard, similar_pairs, knn_by_tenant, threshold_sweep, semantic_modes, semantic_sweep, ttl_cache, live_cache, latest_entries)} | {"semantic_replay": semantic_replay}
 
 _EXACT = f"""out as (
   select doc_id, row_number() over w > 1 as hit, case when row_number() over w > 1 then first_value(doc_id) over w end as served_from, {sql_tokens('text')} as tokens
@@ -169,37 +188,73 @@ _EXACT = f"""out as (
 _NUMBERS = r"list_sort(list_transform(regexp_extract_all({0}, '[$€£]?[A-Za-z0-9]*\d[A-Za-z0-9.,:/-]*'), lambda x: regexp_replace(x, '[.,:/-]+$', '')))"
 _NEGATIONS = r"list_filter(regexp_extract_all(replace(lower({0}), '’', ''''), '[a-z]+(?:''[a-z]+)?'), lambda w: w in ('not','no','never','none','nothing','nobody','nowhere','neither','nor','cannot','without') or w like '%n''t')"
 _SURPLUS = "coalesce(list_sum(list_transform(list_distinct({0}), lambda w: greatest(0, len(list_filter({0}, lambda x: x = w)) - len(list_filter({1}, lambda x: x = w))))), 0)"
+_NEAR = f"{SQL_REQUESTS}, near as (select a.seq as a, b.seq as b, list_dot_product(a.embedding, b.embedding) as cos, a.query as cached, b.query as new, a.lang as cached_lang, b.lang as new_lang from requests a join requests b on a.label = b.label and a.seq < b.seq where list_dot_product(a.embedding, b.embedding) >= {THETA})"
 _WORDS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 _PAIRS = f"pairs as (select a.vec_id as a, b.vec_id as b, list_dot_product(a.embedding::double[], b.embedding::double[]) as cos from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_dot_product(a.embedding::double[], b.embedding::double[]) >= {THETA})"
 
 
+_REASON = {
+    "cosine": "null",
+    "context": "case when cached_lang <> new_lang then 'context_mismatch' end",
+    "guards": f"case when cached_lang <> new_lang then 'context_mismatch' when {_NUMBERS.format('cached')} <> {_NUMBERS.format('new')} then 'numbers_mismatch' when {_SURPLUS.format(_NEGATIONS.format('cached'), _NEGATIONS.format('new'))} <> {_SURPLUS.format(_NEGATIONS.format('new'), _NEGATIONS.format('cached'))} then 'negation_mismatch' end",
+}
+
+
 def _replay_sql(mode: str, name: str) -> str:
     """Common table expressions for one mode; the misses are folded in row order."""
-    reason = {
-        "cosine": "null",
-        "context": "case when x.lang <> y.lang then 'context_mismatch' end",
-        "guards": f"case when x.lang <> y.lang then 'context_mismatch' when {_NUMBERS.format('x.text')} <> {_NUMBERS.format('y.text')} then 'numbers_mismatch' when {_SURPLUS.format(_NEGATIONS.format('x.text'), _NEGATIONS.format('y.text'))} <> {_SURPLUS.format(_NEGATIONS.format('y.text'), _NEGATIONS.format('x.text'))} then 'negation_mismatch' end",
-    }[mode]
     return f"""
-  cand_{name} as (select a as src, b as dst, round_even(cos, 6) as cos, {reason} as reason from pairs join documents x on x.doc_id = a join documents y on y.doc_id = b),
+  cand_{name} as (select a as src, b as dst, round_even(cos, 6) as cos, {_REASON[mode]} as reason from near),
   {_fold_sql(name)}"""
 
 
 def _fold_sql(name: str) -> str:
     """Which of the requests are hits, over the candidates cand_<name>."""
     return f"""
-  req_{name} as (select vec_id as seq, row_number() over (order by vec_id) as n from embeddings join documents on doc_id = vec_id),
+  req_{name} as (select seq, row_number() over (order by seq) as n from requests),
   src_{name} as (select r.n, r.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js from req_{name} r left join (select * from cand_{name} where reason is null) c on c.dst = r.seq group by 1, 2),
   fold_{name} as (select 0::bigint as n, []::bigint[] as m union all
     select f.n + 1, case when list_has_any(f.m, s.js) then f.m else list_append(f.m, s.seq) end from fold_{name} f join src_{name} s on s.n = f.n + 1),
   miss_{name} as (select unnest(m) as seq from (select m from fold_{name} order by n desc limit 1)),
-  near_{name} as (select c.*, c.src in (select seq from miss_{name}) as entry from cand_{name} c),
-  best_{name} as (select dst, arg_max(src, (cos, -src)) filter (where reason is null) as src, max(cos) filter (where reason is null) as cos, max(cos) as close, arg_max(coalesce(reason, ''), (cos, -src)) as why from near_{name} where entry group by 1),
+  told_{name} as (select c.*, c.src in (select seq from miss_{name}) as entry from cand_{name} c),
+  best_{name} as (select dst, arg_max(src, (cos, -src)) filter (where reason is null) as src, max(cos) filter (where reason is null) as cos, max(cos) as close, arg_max(coalesce(reason, ''), (cos, -src)) as why from told_{name} where entry group by 1),
   out_{name} as (select r.seq, m.seq is null as hit, case when m.seq is null then b.src end as served_from, case when m.seq is null then b.cos else b.close end as cosine,
     case when m.seq is not null then case when r.n = 1 then 'empty' else coalesce(b.why, 'low_cosine') end end as miss_reason
     from req_{name} r left join miss_{name} m on m.seq = r.seq left join best_{name} b on b.dst = r.seq)"""
 
 
+#: The folds of all modes and thresholds together; tenants share no entries, so each is folded by itself.
+_SWEEP = f"""with recursive {_NEAR},
+  once as (select *, min(seq) over (partition by query, lang) as leader from requests),
+  asked as (select seq, label, row_number() over (partition by label order by seq) as n from once where seq = leader),
+  grid as (select m.mode, t.threshold from (select unnest({list(MODES)}) as mode) m cross join (select unnest({list(GRID)}::double[]) as threshold) t),
+  cand as (select near.a as src, near.b as dst, x.label, round_even(cos, 6) as cos, {_REASON['context']} as context, {_REASON['guards']} as guards
+    from near join asked x on x.seq = a join asked y on y.seq = b),
+  each as (select mode, threshold, label, src, dst, cos, case mode when 'context' then context when 'guards' then guards end as reason from cand join grid on cos >= threshold),
+  srcs as (select g.mode, g.threshold, a.label, a.n, a.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js
+    from asked a cross join grid g left join (select * from each where reason is null) c on c.dst = a.seq and c.mode = g.mode and c.threshold = g.threshold group by all),
+  fold as (select mode, threshold, label, 0::bigint as n, []::bigint[] as m from grid, (select distinct label from asked) union all
+    select f.mode, f.threshold, f.label, s.n, case when list_has_any(f.m, s.js) then f.m else list_append(f.m, s.seq) end
+    from fold f join srcs s on s.mode = f.mode and s.threshold = f.threshold and s.label = f.label and s.n = f.n + 1),
+  miss as (select mode, threshold, unnest(m) as seq from (select mode, threshold, label, arg_max(m, n) as m from fold group by all)),
+  seen as (select c.* from each c join miss m on m.mode = c.mode and m.threshold = c.threshold and m.seq = c.src),
+  best as (select mode, threshold, dst, arg_max(src, (cos, -src)) filter (reason is null) as src, arg_max(coalesce(reason, ''), (cos, -src)) as why from seen group by all),
+  out as (select g.mode, g.threshold, a.seq, m.seq is null as hit, case when m.seq is null then b.src end as served_from,
+      case when m.seq is not null then case when a.seq = (select min(seq) from asked) then 'empty' else coalesce(b.why, 'low_cosine') end end as miss_reason
+    from asked a cross join grid g left join miss m on m.mode = g.mode and m.threshold = g.threshold and m.seq = a.seq left join best b on b.mode = g.mode and b.threshold = g.threshold and b.dst = a.seq),
+  told as (select mode, threshold, seq, 'exact' as layer, leader as served_from, null as miss_reason from once cross join grid where seq > leader
+    union all select mode, threshold, seq, case when hit then 'semantic' else 'llm' end, served_from, miss_reason from out),
+  named as (select t.*, case t.seq % 4 when 1 then 'semantic_hit' when 2 then 'miss' else 'cold' end as expected, case when t.seq % 4 = 2 then {list(TRAPS)}[t.seq % 6 + 1] end as variant,
+      layer <> 'llm' and t.seq % 7 = served_from % 7 as good, layer <> 'llm' and t.seq % 7 <> served_from % 7 as bad, {sql_tokens('query')} as tokens from told t join requests using (seq))
+  select mode, threshold, count(*) as queries, count(*) filter (layer = 'exact') as exact_hits, count(*) filter (layer = 'semantic') as semantic_hits,
+    count(*) filter (expected = 'semantic_hit' and good) as paraphrases_caught, count(*) filter (expected = 'semantic_hit') as paraphrases_total,
+    round_even(count(*) filter (expected = 'semantic_hit' and good) / nullif(count(*) filter (expected = 'semantic_hit'), 0), 4) as paraphrase_recall,
+    count(*) filter (bad) as wrong_hits, count(*) filter (bad and expected = 'miss') as wrong_hits_on_traps, count(*) filter (expected = 'miss') as traps_total, count(*) filter (bad and expected = 'cold') as wrong_hits_on_cold,
+    {', '.join(f"count(*) filter (bad and variant = '{v}') as wrong_{v}" for v in TRAPS)},
+    {', '.join(f"count(*) filter (expected = 'miss' and miss_reason = '{r}') as traps_stopped_by_{r}" for r in REASONS)},
+    {', '.join(f"count(*) filter (expected = 'semantic_hit' and miss_reason = '{r}') as paraphrases_blocked_by_{r}" for r in REASONS)},
+    count(*) filter (expected = 'semantic_hit' and layer = 'llm') as missed_hits, sum(case when good then tokens else 0 end)::bigint as tokens_saved,
+    round_even(sum(case when good then tokens else 0 end) / nullif(sum(tokens), 0), 4) as tokens_saved_pct from named group by 1, 2"""
+
 _MODE = f"""select '{{0}}' as mode, count(*) as queries, count(*) filter (hit) as hits,
   count(*) filter (hit and o.seq % 7 = served_from % 7) as correct_hit, count(*) filter (hit and o.seq % 7 <> served_from % 7) as wrong_hit,
   count(*) filter (not hit and o.seq % 2 = 0) as missed_hit, count(*) filter (not hit and o.seq % 2 <> 0) as true_miss,
@@ -233,18 +288,19 @@ ORACLE_SQL = {
         r as (select *, row_number() over (partition by a order by cos desc, b)::int as rank from p) select a, b, round_even(cos, 6) as cos, rank from r where rank <= {cache.KNN}""",
     "threshold_sweep": f"""with {_PAIRS}, g(threshold) as (values {', '.join(f'({t}::double)' for t in GRID)})
         select threshold, count(*) as n_pairs, count(distinct b) as n_rows, round_even(avg(round_even(cos, 6)), 4) as mean_cos from pairs join g on round_even(cos, 6) >= threshold group by 1""",
-    "semantic_replay": f"with recursive {_PAIRS}, {_replay_sql('guards', 'guards')} select * from out_guards",
-    "semantic_modes": f"with recursive {_PAIRS}, {_replay_sql('cosine', 'cosine')}, {_replay_sql('context', 'context')}, {_replay_sql('guards', 'guards')} {' union all '.join(_MODE.format(m) for m in ('cosine', 'context', 'guards'))}",
-    "live_cache": f"""with recursive {_PAIRS},
-        cd as (select b as dst, a as src, round_even(cos, 6) as cos, {_NUMBERS.format('x.text')} = {_NUMBERS.format('y.text')} and {_NEGATIONS.format('x.text')} = {_NEGATIONS.format('y.text')} as passes from pairs join documents x on x.doc_id = a join documents y on y.doc_id = b),
-        rq as (select vec_id as seq, label::int as tenant, row_number() over (order by vec_id) as n from embeddings join documents on doc_id = vec_id),
+    "semantic_replay": f"with recursive {_NEAR}, {_replay_sql('guards', 'guards')} select * from out_guards",
+    "semantic_modes": f"with recursive {_NEAR}, {_replay_sql('cosine', 'cosine')}, {_replay_sql('context', 'context')}, {_replay_sql('guards', 'guards')} {' union all '.join(_MODE.format(m) for m in ('cosine', 'context', 'guards'))}",
+    "live_cache": f"""with recursive {_NEAR},
+        cd as (select b as dst, a as src, round_even(cos, 6) as cos, {_NUMBERS.format('cached')} = {_NUMBERS.format('new')} and {_NEGATIONS.format('cached')} = {_NEGATIONS.format('new')} as passes from near),
+        rq as (select seq, label::int as tenant, row_number() over (order by seq) as n from requests),
         sr as (select r.n, r.seq, coalesce(list({{'src': c.src, 'cos': c.cos, 'passes': c.passes}} order by c.cos desc, c.src) filter (c.src is not null), []) as cs from rq r left join cd c on c.dst = r.seq group by 1, 2),
         fo as (select 0::bigint as n, []::bigint[] as m union all
           select f.n + 1, case when len(list_filter(list_filter(s.cs, lambda c: list_contains(f.m, c.src))[1:{cache.KNN}], lambda c: c.passes)) > 0 then f.m else list_append(f.m, s.seq) end from fo f join sr s on s.n = f.n + 1),
         mi as (select m from fo order by n desc limit 1),
-        near as (select s.seq, list_filter(s.cs, lambda c: list_contains(mi.m, c.src)) as es, list_contains(mi.m, s.seq) as miss from sr s, mi),
-        best as (select seq, not miss as hit, list_filter(es[1:{cache.KNN}], lambda c: c.passes)[1] as served, es[1] as close from near)
+        seen as (select s.seq, list_filter(s.cs, lambda c: list_contains(mi.m, c.src)) as es, list_contains(mi.m, s.seq) as miss from sr s, mi),
+        best as (select seq, not miss as hit, list_filter(es[1:{cache.KNN}], lambda c: c.passes)[1] as served, es[1] as close from seen)
         select b.seq, tenant, hit, case when hit then served.src end as served_from, case when hit then served.cos else close.cos end as cosine from best b join rq using (seq)""",
+    "semantic_sweep": _SWEEP,
     "ttl_cache": f"""with recursive {SQL_EVENTS}, o as (select event_id, moment, tenant, layer, row_number() over (partition by tenant, layer order by moment, event_id) as n from ev),
         f as (select event_id, tenant, layer, n, moment, false as hit, moment as written from o where n = 1 union all
           select o.event_id, o.tenant, o.layer, o.n, o.moment, o.moment - f.written < interval 3600 second, case when o.moment - f.written < interval 3600 second then f.written else o.moment end

@@ -19,7 +19,7 @@ GOLD, FACTS, FACT_WORDS = 2, 3, 4
 #: What the semantic cache's judge costs in all, in dollars.
 JUDGE_COST = 0.0123
 #: Pipelines of the cost summary: name and window configuration.
-PIPELINES = {"section_800": "section_first(budget=800)", "hybrid_900": "hybrid(max,budget=900)", "hybrid_1300": "hybrid(max,budget=1300)", "near_docs": "doc_first(max,gap=0.1)"}
+PIPELINES = {"section_800": "section_first(budget=800)", "hybrid_800": "hybrid(max,budget=800)", "hybrid_1200": "hybrid(max,budget=1200)", "near_docs": "doc_first(max,gap=0.1)"}
 SEEDS = 5
 
 
@@ -102,9 +102,9 @@ def router_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per seed five strategies on the test clusters: the router's threshold comes from out-of-fold probabilities of the
     training clusters."""
     rows = router_rows(spark, sf_dir)
-    splits = scratch.stage(evaluation.splits(rows.select(F.col("source").alias("cluster_id")), 2).withColumnRenamed("cluster_id", "source"), "splits")
+    splits = scratch.stage(evaluation.splits(rows.select(F.col("source").alias("cluster_id")), SEEDS).withColumnRenamed("cluster_id", "source"), "splits")
     found = None
-    for seed in range(2):
+    for seed in range(SEEDS):
         mine = F.broadcast(splits.where(F.col("seed") == seed))
         train, test = (scratch.stage(rows.join(mine.where(F.col("split") == s).select("source"), "source"), s) for s in ("train", "test"))
         part = routing.compare_strategies(train, test, "source", "embedding", "needs_large").withColumn("seed", F.lit(seed))

@@ -34,12 +34,12 @@ def decide(requests: DataFrame, threshold: float) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
-    """(seq, context_tokens, n_attached, kept_tokens, docs_kept, sent_sha) of requests with scored sections (req_id, ...).
+    """(seq, kept_tokens, n_docs, sent_sha) of requests with scored sections (req_id, ...).
 
-    Contexts that are large enough are cut to the best document and what else fits; others are sent whole.
+    Contexts that are large enough are cut to the best document and what else fits; others are left out, as they are
+    sent whole.
     """
     rows = scratch.stage(scored, "request-sections")
-    totals = rows.groupBy("req_id").agg(F.sum("tokens").alias("context_tokens"), F.countDistinct("doc_id").cast("int").alias("n_attached"))
     large = rows.join(context.eligible(rows).select("req_id"), "req_id", "left_semi")
     repeated = context.boilerplate(tables.sections(spark, sf_dir))
     bare = scratch.stage(context.strip_boilerplate(large.select("req_id", "doc_id", "pos", "header", "body"), repeated, keys=("req_id", "doc_id", "pos")), "bare-sections")
@@ -47,8 +47,7 @@ def windows(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:
     kept = packed.select("req_id", F.explode("kept").alias("pos")).join(bare.select("req_id", "pos", "header", "body"), ["req_id", "pos"])
     shown = kept.groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("pos", "header", "body"))).alias("s"))
     sent = shown.select("req_id", F.sha2(context.optimised(F.lit(None).cast("string"), F.col("s")), 256).alias("sent_sha"))
-    found = totals.join(packed.select("req_id", F.col("used").alias("kept_tokens"), "n_docs"), "req_id", "left").join(sent, "req_id", "left")
-    return found.select(F.col("req_id").alias("seq"), F.col("context_tokens").cast("long").alias("context_tokens"), F.col("kept_tokens").cast("long").alias("kept_tokens"), F.coalesce("n_docs", "n_attached").alias("docs_kept"), "sent_sha")
+    return packed.select("req_id", F.col("used").cast("long").alias("kept_tokens"), "n_docs").join(sent, "req_id", "left").withColumnRenamed("req_id", "seq")
 
 
 def account(decided: DataFrame, requests: DataFrame) -> DataFrame:
@@ -70,22 +69,27 @@ def account(decided: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def request_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a vector as requests: the text is the query, it and the next document are attached."""
-    docs = tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("query"), "lang")
-    vecs = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("label").cast("int").alias("tenant"), F.col("embedding").alias("vec"))
-    rows = docs.join(vecs, "seq").select(
+    """Documents as requests: the text is the query, it and the next document are attached.
+
+    Only what no cache answers gets its sections scored and its window cut.
+    """
+    rows = tables.requests(spark, sf_dir).select(
         "seq",
-        "tenant",
-        "vec",
+        F.col("label").cast("int").alias("tenant"),
+        F.col("embedding").alias("vec"),
         "query",
         F.array("lang").alias("context"),
         cache.cache_key(F.col("query"), F.lit(None).cast("string"), F.array("lang")).alias("key"),
     )
     rows = scratch.stage(rows, "requests")
-    asked = tables.pair_chunks(spark, sf_dir).join(rows.select(F.col("seq").alias("req_id")), "req_id", "left_semi")
+    decided = scratch.stage(decide(rows, THETA), "decided-requests")
+    sections = scratch.stage(tables.pair_chunks(spark, sf_dir), "attached-sections")
+    totals = sections.groupBy("req_id").agg(F.sum("tokens").cast("long").alias("context_tokens"), F.countDistinct("doc_id").cast("int").alias("n_attached"))
+    asked = sections.join(decided.where("layer = 'llm'").select(F.col("seq").alias("req_id")), "req_id", "left_semi")
     cut = windows(spark, sf_dir, tables.scored(spark, sf_dir, asked))
-    told = rows.select("seq", "tenant", "query").join(cut, "seq", "left").withColumn("context_tokens", F.coalesce("context_tokens", F.lit(0))).withColumn("docs_kept", F.coalesce("docs_kept", F.lit(0)))
-    told = account(decide(rows, THETA), told)
+    told = rows.select("seq", "tenant", "query").join(totals.withColumnRenamed("req_id", "seq"), "seq", "left").join(cut, "seq", "left")
+    told = told.withColumn("context_tokens", F.coalesce("context_tokens", F.lit(0))).withColumn("docs_kept", F.coalesce("n_docs", "n_attached", F.lit(0)))
+    told = account(decided, told)
     sent = F.when(F.col("windowed"), F.col("sent_sha"))
     return told.select("seq", "tenant", "layer", "served_from", "model", "windowed", "input_tokens", "cost_usd", "baseline_usd", F.col("saved.savings_usd").alias("savings_usd"), F.col("saved.savings_pct").alias("savings_pct"), sent.alias("sent_sha"))
 
@@ -101,11 +105,11 @@ QUERIES = {"request_pipeline": request_pipeline, "request_pipeline_summary": pip
 
 def _sql() -> str:
     from tallyspark.plans.cache_queries import _NEGATIONS, _NUMBERS, _SURPLUS
-    from tallyspark.plans.tables import SQL_PAIR_SCORED, SQL_STRIPPED, sql_tokens
+    from tallyspark.plans.tables import SQL_PAIR_SCORED, SQL_REQUESTS, SQL_STRIPPED, sql_tokens
 
     reason = f"case when x.lang <> y.lang then 'c' when {_NUMBERS.format('x.query')} <> {_NUMBERS.format('y.query')} then 'n' when {_SURPLUS.format(_NEGATIONS.format('x.query'), _NEGATIONS.format('y.query'))} <> {_SURPLUS.format(_NEGATIONS.format('y.query'), _NEGATIONS.format('x.query'))} then 'g' end"
     right = r"regexp_replace(lower(query), '\s+$', '') like '%right?'"
-    return rf"""with recursive {SQL_PAIR_SCORED}, {SQL_STRIPPED},
+    return rf"""with recursive {SQL_PAIR_SCORED}, {SQL_STRIPPED}, {SQL_REQUESTS},
       ds as (select req_id, doc_id, max(score) as s, min(pos) as first from scored group by 1, 2),
       tops as (select req_id, arg_max(doc_id, (s, -first)) as top from ds group by 1),
       tot as (select req_id, sum(tokens)::bigint as ct, count(*) as n, count(distinct doc_id)::int as nd from scored group by 1),
@@ -115,8 +119,8 @@ def _sql() -> str:
       fit as (select req_id, own, list_reduce(l, lambda a, c: case when a.used + c.used > 800 then a else {{'used': a.used + c.used, 'kept': list_concat(a.kept, c.kept), 'docs': list_concat(a.docs, c.docs)}} end, {{'used': whole, 'kept': []::int[], 'docs': []::bigint[]}}) as r from grp),
       win as (select req_id, r.used as kt, list_concat(own, r.kept) as kept, (len(list_distinct(r.docs)) + case when len(own) > 0 then 1 else 0 end)::int as nk from fit),
       shown as (select w.req_id, sha256(string_agg('## ' || p.header || chr(10) || p.body, chr(10) || chr(10) order by p.pos)) as sent_sha from win w join parts p on p.req_id = w.req_id and list_contains(w.kept, p.pos) group by 1),
-      req as (select doc_id as seq, label::int as tenant, text as query, lang, embedding::double[] as e, coalesce(tot.ct, 0) as ct, win.kt, coalesce(win.nk, tot.nd, 0) as dk, shown.sent_sha, min(doc_id) over (partition by text, lang) as first
-        from documents join embeddings on vec_id = doc_id left join tot on tot.req_id = doc_id left join win on win.req_id = doc_id left join shown on shown.req_id = doc_id),
+      req as (select r.seq, r.label::int as tenant, r.query, r.lang, r.embedding as e, coalesce(tot.ct, 0) as ct, win.kt, coalesce(win.nk, tot.nd, 0) as dk, shown.sent_sha, min(r.seq) over (partition by r.query, r.lang) as first
+        from requests r left join tot on tot.req_id = r.seq left join win on win.req_id = r.seq left join shown on shown.req_id = r.seq),
       asked as (select *, row_number() over (order by seq) as n from req where seq = first),
       cand as (select x.seq as src, y.seq as dst, round_even(list_dot_product(x.e, y.e), 6) as cos from asked x join asked y on x.tenant = y.tenant and x.seq < y.seq where list_dot_product(x.e, y.e) >= {THETA} and ({reason}) is null),
       s as (select a.n, a.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js from asked a left join cand c on c.dst = a.seq group by 1, 2),

@@ -100,7 +100,7 @@ ORACLE_SQL = {
           when doc_id % 4 = 3 then 'unknown mode' when doc_id % 5 <> 0 and doc_id % 7 = 0 then 'at least one document' end as reason from documents""",
     "jsonl_round_trip": "select 'q' || lpad((conv_id * 100 + turn)::varchar, 12, '0') as id, conv_id * 100 + turn as seq, sha256(text) as query_sha, conv_id::varchar as attached from conversations where role = 'user'",
     "csv_round_trip": "select p_partkey::varchar as p_partkey, p_name, 'a \"quoted\", ' || p_brand || chr(10) || 'line' as note, p_brand || '|' || p_type as tags from part",
-    "judged_replay": f"""with recursive {cache_queries._PAIRS}, {cache_queries._replay_sql('guards', 'raw')},
+    "judged_replay": f"""with recursive {cache_queries._NEAR}, {cache_queries._replay_sql('guards', 'raw')},
         cand_judged as (select c.src, c.dst, c.cos, case when c.reason is null and sha256(x.text) >= '8' then 'judge_mismatch' else c.reason end as reason, c.reason is null as asked, case when sha256(x.text) < '8' then length('  same, I think') else length('Different: SAME words only') end as said
           from cand_raw c join documents x on x.doc_id = c.src), {cache_queries._fold_sql('judged')},
         seen as (select c.*, row_number() over (partition by dst order by cos desc, src) as r, min(case when reason is null then -cos end) over (partition by dst) as hit_at from cand_judged c where asked and src in (select seq from miss_judged)),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import vectors
-from tallyspark.operators import context
+from tallyspark.operators import context, traffic
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +30,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered(rows: DataFrame, ident: str) -> tuple[DataFrame, int]:
     """Rows with the place of their id among all ids, from 0, and the number of ids."""
-    places = rows.select(ident).where(F.col(ident).isNotNull()).distinct().orderBy(ident).rdd.map(lambda r: r[0]).zipWithIndex().toDF(f"{ident} long, place long")
+    places = traffic.places(rows, ident)
     return rows.join(places, ident), max(1, places.count())
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a request (seq, label, embedding, query, lang); its vector and tenant by the place of its id."""
+    vecs, n = numbered(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "vec_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.col("text").alias("query"), "lang", F.pmod("doc_id", F.lit(n)).alias("place"))
+    return docs.join(vecs, "place").select("seq", "label", "embedding", "query", "lang")
+
+
 def pair_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and the one with the next id as a request's attachments."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("req_id"), F.posexplode(F.array(F.col("doc_id"), F.col("doc_id") + 1)).alias("att_pos", "doc_id"))
@@ -110,6 +117,9 @@ SQL_STRIPPED = SQL_BOILERPLATE + f""",
     from marked m left join repeated r using (sentence) group by 1, 2, 3),
   stripped as (select t.req_id, t.doc_id, t.pos, case when coalesce(n_repeated, 0) = 0 then t.body else coalesce(rest, '') end as body, coalesce(n_repeated, 0) as n_repeated
     from told t left join kept_sentences k using (req_id, doc_id, pos) where coalesce(n_repeated, 0) = 0 or n_repeated / n < 0.3)"""
+SQL_REQUESTS = """
+  places as (select *, row_number() over (order by vec_id) - 1 as place from embeddings),
+  requests as (select d.doc_id as seq, v.label, v.embedding::double[] as embedding, d.text as query, d.lang from documents d join places v on v.place = d.doc_id % (select count(*) from embeddings))"""
 SQL_TURNS = "said as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations where role = 'user')"
 SQL_EVENTS = """ev as (select event_id, ts as moment, user_id, 't' || (user_id % 10) as tenant, event_type as layer,
   case when event_type in ('view', 'signup') then 'small' when event_type in ('purchase', 'error') then 'large' else 'judge' end as model,

@@ -1,9 +1,13 @@
 """Cache entries, keys, memo hooks and small selections on a few rows."""
 
 import hashlib
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
 from tallyspark.functions import vectors
 from tallyspark.operators import cache, context, models, traffic
 from tallyspark.sources import records
@@ -103,3 +107,79 @@ def test_a_lazy_judge_looks_no_further_than_the_first_yes(spark):
     done = [(1, False), (2, False), (3, False), (4, True), (5, True), (6, False)]
     got = cache.consulted(spark.createDataFrame(pairs, "src long, dst long, cos double, passes boolean"), spark.createDataFrame(done, "seq long, hit boolean"))
     assert sorted((r.src, r.dst) for r in got.collect()) == [(1, 5), (1, 6), (2, 5)]
+
+
+def chained(n, seed):
+    draw = random.Random(seed)
+    edges = {(j, i) for i in range(n) for j in draw.sample(range(i), min(i, draw.randint(0, 3)))}
+    return sorted(edges)
+
+
+def test_rows_that_all_depend_on_each_other_take_as_many_rounds_as_blocks(spark, monkeypatch):
+    rounds = []
+    written = scratch.stage
+    monkeypatch.setattr(scratch, "stage", lambda df, name: rounds.append(name) or written(df, name))
+    n = 10_000
+    rows = spark.range(n).withColumnRenamed("id", "seq")
+    got = cache.greedy_replay(rows, rows.where(F.col("seq") > 0).select((F.col("seq") - 1).alias("src"), F.col("seq").alias("dst")))
+    assert got.where(F.col("hit") != (F.col("seq") % 2 == 1)).count() == 0 and got.count() == n
+    assert rounds.count("replay-known") <= -(-n // cache.SWEEP_ROWS)
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_replays_in_blocks_equal_the_folds(spark, block):
+    draw = random.Random(block)
+    pairs = [(j, i, round(draw.random(), 2), draw.random() < 0.5) for j, i in chained(90, block)]
+    rows = spark.range(90).withColumnRenamed("id", "seq")
+    entries, want = [], {}
+    for i in range(90):
+        if not any(j in entries for j, k, _, _ in pairs if k == i):
+            entries.append(i)
+        want[i] = i not in entries
+    edges = spark.createDataFrame(pairs, "src long, dst long, cos double, passes boolean")
+    assert {r.seq: r.hit for r in cache.greedy_replay(rows, edges, block=block).collect()} == want
+    entries, want = [], {}
+    for i in range(90):
+        near = sorted((-c, j, p) for j, k, c, p in pairs if k == i and j in entries)[:2]
+        served = next(((j, -c) for c, j, p in near if p), None)
+        if not served:
+            entries.append(i)
+        want[i] = (True, *served) if served else (False, None, -near[0][0] if near else None)
+    assert {r.seq: (r.hit, r.served_from, r.cosine) for r in cache.nearest_replay(rows, edges, 2, block=block).collect()} == want
+
+
+def clustered(seed, n):
+    """Vectors around a few directions, at many lengths."""
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(12, 16))
+    return [(i, i % 2, (centres[i % 12] * (1 + 0.05 * draw.normal(size=16)) / np.linalg.norm(centres[i % 12])).tolist()) for i in range(n)] + [(n, 0, [0.0] * 16)]
+
+
+def test_cones_drop_pairs_of_blocks_but_no_pair_of_vectors(spark):
+    rows = clustered(1, 700)
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    got = {(r.a, r.b) for r in vectors.similar_pairs(df, "id", "v", "g", 0.9, block=8).collect()}
+    v, g = np.array([r[2] for r in rows]), np.array([r[1] for r in rows])
+    a, b = np.nonzero(np.triu((v @ v.T >= 0.9) & (g[:, None] == g[None, :]), 1))
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True)) and len(got) > 1000
+    blocks, pairs = vectors.facing_blocks(df, "id", "v", "g", 0.9, block=8)
+    per_group = [r["count"] for r in blocks.cones.groupBy("grp").count().collect()]
+    assert pairs.count() < 0.5 * sum(n * (n + 1) // 2 for n in per_group)
+
+
+def test_nearest_entries_among_cones(spark):
+    rows = clustered(2, 400)
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    got = {}
+    for r in vectors.knn(df.where("id % 7 = 0"), df, "id", "v", "g", 4, block=8).collect():
+        got.setdefault(r.a, []).append((r.rank, r.b))
+    v = np.array([r[2] for r in rows])
+    for i, g, _ in rows[::7]:
+        near = sorted((-float(v[i] @ v[j]), j) for j, h, _ in rows if h == g and j != i)[:4]
+        assert [b for _, b in sorted(got[i])] == [j for _, j in near]
+
+
+def test_places_over_many_ranges(spark):
+    df = spark.createDataFrame([(i * 7919 % 1009 - 300,) for i in range(1009)] + [(5,), (None,)], "k long")
+    got = {r.k: r.place for r in traffic.places(df, "k").collect()}
+    assert got == {k: i for i, k in enumerate(sorted({i * 7919 % 1009 - 300 for i in range(1009)} | {5}))}
