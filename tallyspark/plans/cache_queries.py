@@ -241,7 +241,7 @@ _SWEEP = f"""with recursive {_NEAR},
   out as (select g.mode, g.threshold, a.seq, m.seq is null as hit, case when m.seq is null then b.src end as served_from,
       case when m.seq is not null then case when a.seq = (select min(seq) from asked) then 'empty' else coalesce(b.why, 'low_cosine') end end as miss_reason
     from asked a cross join grid g left join miss m on m.mode = g.mode and m.threshold = g.threshold and m.seq = a.seq left join best b on b.mode = g.mode and b.threshold = g.threshold and b.dst = a.seq),
-  told as (select mode, threshold, seq, 'exact' as layer, leader as served_from, null as miss_reason from once cross join grid where seq > leader
+  told as (select mode, threshold, seq, 'exact' as layer, leader as served_from, null::varchar as miss_reason from once cross join grid where seq > leader
     union all select mode, threshold, seq, case when hit then 'semantic' else 'llm' end, served_from, miss_reason from out),
   named as (select t.*, case t.seq % 4 when 1 then 'semantic_hit' when 2 then 'miss' else 'cold' end as expected, case when t.seq % 4 = 2 then {list(TRAPS)}[t.seq % 6 + 1] end as variant,
       layer <> 'llm' and t.seq % 7 = served_from % 7 as good, layer <> 'llm' and t.seq % 7 <> served_from % 7 as bad, {sql_tokens('query')} as tokens from told t join requests using (seq))

@@ -17,36 +17,76 @@ CACHE_OUTPUT = "tenant string, key string, event_id long, hit boolean, served_fr
 
 class CacheState(StatefulProcessor):
     """One key's exact cache entry of a tenant: it lives a set time from its write, by event time, and reads don't refresh
-    it. Keys of a tenant are apart, so a busy tenant is spread over tasks."""
+    it. Keys of a tenant are apart, so a busy tenant is spread over tasks.
+
+    Rows wait, in the order of event time, until the watermark has passed them: no earlier one can come any more, so each
+    is answered as if all had arrived in order. A timer at the earliest waiting row, or else at the entry's end, wakes the
+    key; then due rows are answered and an entry that has outlived its time is deleted.
+    """
 
     def __init__(self, ttl_seconds: int = TTL_SECONDS):
-        self.ttl = ttl_seconds
+        self.ttl = ttl_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # State that event time has outlived is also dropped by the store, in processing time.
-        self.entry = handle.getValueState("entry", "event_id long, written double", ttlDurationMs=self.ttl * 1000)
+        self.handle = handle
+        self.entry = handle.getValueState("entry", "event_id long, written long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long")
+        self.alarm = handle.getValueState("alarm", "at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.entry.get() if self.entry.exists() else None
         for frame in rows:
-            out = []
-            frame = frame.sort_values(["at", "event_id"])
-            for event_id, moment in zip(frame["event_id"], frame["at"], strict=True):
-                at = moment.timestamp()
-                hit = held is not None and at - held[1] < self.ttl
-                if not hit:
-                    held = (int(event_id), at)
-                    self.entry.update(held)
-                out.append((key[0], key[1], int(event_id), hit, int(held[0]) if hit else None))
-            yield pd.DataFrame(out, columns=["tenant", "key", "event_id", "hit", "served_from"]).astype({"served_from": "Int64"})
+            moments = frame["at"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+            self.waiting.appendList(list(zip(moments, frame["event_id"].tolist(), strict=True)))
+            self._wake_at(min(moments))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        self.alarm.clear()
+        held = tuple(self.entry.get()) if self.entry.exists() else None
+        rows = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= passed]
+        out = []
+        for at, event_id in due:
+            hit = held is not None and 0 <= at - held[1] < self.ttl
+            if not hit:
+                held = (event_id, at)
+            out.append((*key, event_id, hit, held[0] if hit else None))
+        left = rows[len(due) :]
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        if held is not None and (left or passed - held[1] < self.ttl):
+            self.entry.update(held)
+            self._wake_at(left[0][0] if left else held[1] + self.ttl)
+        else:
+            self.entry.clear()
+            if left:
+                self._wake_at(left[0][0])
+        yield pd.DataFrame(out, columns=["tenant", "key", "event_id", "hit", "served_from"]).astype({"served_from": "Int64"})
+
+    def _wake_at(self, at: int) -> None:
+        """A timer at the first whole millisecond from ``at`` on, unless one is set for then or before."""
+        millis = -(-at // 1000)
+        now = self.alarm.get()[0] if self.alarm.exists() else None
+        if now is None or millis < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(millis)
+            self.alarm.update((millis,))
 
     def close(self) -> None:
         pass
 
 
-def cached(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """A stream (tenant, key, event_id, at) with the cache's answer to each row; needs the RocksDB state store."""
-    return requests.groupBy("tenant", "key").transformWithStateInPandas(CacheState(ttl_seconds), outputStructType=CACHE_OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+def cached(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """A stream (tenant, key, event_id, at) with the cache's answer to each row; needs the RocksDB state store.
+
+    A row is answered once the watermark has passed it; rows later than ``late`` are dropped. Output is in append mode.
+    """
+    rows = requests.select("tenant", "key", "event_id", "at").withWatermark("at", late)
+    return rows.groupBy("tenant", "key").transformWithStateInPandas(CacheState(ttl_seconds), outputStructType=CACHE_OUTPUT, outputMode="Append", timeMode="EventTime")
 
 
 def rates(requests: DataFrame, late: str = "10 minutes", length: str = "1 minute", slide: str | None = None) -> DataFrame:

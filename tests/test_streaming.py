@@ -1,10 +1,13 @@
 """Streams fed from files, against the batch operators."""
 
-import pandas as pd
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
 from tallyspark.operators import traffic
+from tallyspark.plans import stream_queries
 from tallyspark.plans.tables import events
 from tallyspark.streaming import requests
 
@@ -46,40 +49,32 @@ def test_histograms_and_single_flight_run(stream, tmp_path):
     assert once.count() == rows.select("layer").distinct().count()
 
 
-class Held:
-    """A value state in memory."""
+def moment(second):
+    return datetime.datetime.fromtimestamp(second, datetime.UTC).replace(tzinfo=None)
 
-    value = None
 
-    def exists(self):
-        return self.value is not None
+def arriving(spark, batches):
+    """A stream of one file a batch: rows are (tenant, key, event_id, second)."""
+    schema = "tenant string, key string, event_id long, at timestamp"
+    path = scratch.fresh(spark, "arriving")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(t, k, e, moment(s)) for t, k, e, s in rows], schema).coalesce(1).write.parquet(f"{path}/{i}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
 
-    def get(self):
-        return self.value
 
-    def update(self, value):
-        self.value = value
+def answers(spark, batches, ttl, late, tmp_path):
+    with stream_queries._state_store(spark):
+        stream_queries._run(requests.cached(arriving(spark, batches), ttl, late), f"{tmp_path}/out", f"{tmp_path}/ck")
+    return {r.event_id: (r.hit, r.served_from) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
 
 
-class Handle:
-    def getValueState(self, name, value, ttlDurationMs=None):
-        return Held()
+def test_an_early_row_that_comes_late_is_not_served_from_the_future(spark, tmp_path):
+    batches = [[("a", "k", 2, 1000)], [("a", "k", 1, 10), ("a", "k", 3, 1050), ("a", "k", 3, 1050)], [("end", "end", 9, 10**6)]]
+    assert answers(spark, batches, 100, "1 hour", tmp_path) == {1: (False, None), 2: (False, None), 3: (True, 2)}
 
 
-def test_cache_state_equals_the_fold(spark, sf_dir):
-    """The processor's own steps, batch by batch; the store that keeps its state on a cluster is not started here."""
-    rows = events(spark, sf_dir).where("event_id < 600").select("tenant", F.col("layer").alias("key"), "event_id", F.col("event_id").cast("timestamp").alias("at")).toPandas()
-    got, want, entries = {}, {}, {}
-    for (tenant, key), mine in rows.groupby(["tenant", "key"]):
-        state = requests.CacheState(ttl_seconds=100)
-        state.init(Handle())
-        for _, batch in mine.groupby(mine.event_id // 200):
-            for out in state.handleInputRows((tenant, key), iter([batch.sample(frac=1, random_state=1)]), None):
-                got |= {r.event_id: (r.hit, None if pd.isna(r.served_from) else int(r.served_from)) for r in out.itertuples()}
-    for r in rows.sort_values("event_id").itertuples():
-        held = entries.get((r.tenant, r.key))
-        hit = held is not None and r.event_id - held < 100
-        if not hit:
-            entries[r.tenant, r.key] = r.event_id
-        want[r.event_id] = (hit, held if hit else None)
-    assert got == want
+def test_rows_behind_the_watermark_are_dropped_and_entries_end(spark, tmp_path):
+    batches = [[("a", "k", 1, 100), ("a", "k", 2, 150)], [("b", "k", 3, 1000)], [("a", "k", 4, 120), ("a", "k", 5, 1001)], [("end", "end", 9, 10**6)]]
+    got = answers(spark, batches, 100, "10 seconds", tmp_path)
+    # Row 4 is 880 seconds old when the watermark stands at 990.
+    assert got == {1: (False, None), 2: (True, 1), 3: (False, None), 5: (False, None)}
