@@ -7,6 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.functions import text
 from tallyspark.operators import context
 
 
@@ -29,6 +30,7 @@ WINDOWS = (
     + [Config("doc_first", m, 0, g) for m in METHODS for g in (0.0, 0.02, 0.04, 0.06, 0.08, 0.1, 0.15)]
     + [Config("hybrid", m, b, 0.0) for m in METHODS for b in (600, 700, 800, 1000, 1200)]
 )
+BUDGETS = [Config("section_first", "", b, 0.0) for b in (100, 200, 300, 400, 500, 600, 800, 1000, 1200)]
 MAX_DOCS = 3
 
 
@@ -117,6 +119,21 @@ def score_windows(results: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+def sweep_budgets(results: DataFrame) -> DataFrame:
+    """Per configuration of ``window_results``, joined with a difficulty: what is kept, in all and by difficulty."""
+    n = F.count("*")
+    share = lambda d: F.bround(F.count_if(F.col("all_facts") & (F.col("difficulty") == d)) / F.greatest(F.lit(1), F.count_if(F.col("difficulty") == d)), 4)
+    return results.groupBy("config").agg(
+        n.alias("queries"),
+        F.bround(F.count_if("gold_kept") / n, 4).alias("gold_docs_kept"),
+        F.bround(F.count_if("all_facts") / n, 4).alias("all_facts_kept"),
+        *(share(d).alias(f"all_facts_kept_{d}") for d in ("easy", "complex")),
+        F.bround(F.sum("before") / n, 0).alias("avg_tokens_before"),
+        F.bround(F.sum("after") / n, 0).alias("avg_tokens_after"),
+        F.bround(1 - F.sum("after") / F.sum("before"), 4).alias("tokens_saved"),
+    )
+
+
 def chosen_windows(scores: DataFrame) -> DataFrame:
     """Per seed and approach the configuration that is best in training, with its scores on the test clusters."""
     order = Window.partitionBy("seed", "approach").orderBy(F.desc("all_facts_kept"), "mean_tokens", "place")
@@ -126,6 +143,82 @@ def chosen_windows(scores: DataFrame) -> DataFrame:
     return best.join(test, ["seed", "config"], "left")
 
 
+class Pruning(NamedTuple):
+    ratio: float
+    neighbours: int
+
+    @property
+    def name(self) -> str:
+        return "none" if self.ratio >= 1 else f"keep={self.ratio:g},neighbours={self.neighbours}"
+
+
+#: 13 ways of pruning, under each window budget.
+PRUNINGS = [Pruning(1.0, 0)] + [Pruning(k, n) for k in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9) for n in (0, 1)]
+WINDOW_BUDGETS = (800, 1200)
+#: A pruning may lose this share of the requests that keep all facts without one.
+MARGIN = 0.02
+
+
+def pruned_results(windows: DataFrame, sentences: DataFrame, facts: DataFrame, prunings: list[Pruning] = PRUNINGS) -> DataFrame:
+    """(req_id, budget, config, place, all_facts, windowed, after) of each request, window budget and pruning.
+
+    ``windows`` has the sections (req_id, budget, pos, body, tokens) that a window kept, ``sentences`` their sentences
+    (req_id, budget, pos, i, sentence, score), ``facts`` (req_id, facts: array of (k, fact)), in lower case.
+
+    Sentences are ranked once for all prunings. The best one of a section always stays and gets rank 0; a share of a
+    request's sentences is a rank that others must reach, and with neighbours the least rank next to one counts.
+    """
+    request, section = Window.partitionBy("req_id", "budget"), Window.partitionBy("req_id", "budget", "pos")
+    best = F.row_number().over(section.orderBy(F.desc("score"), "i")) == 1
+    ranked = sentences.withColumn("n", F.count("*").over(request)).withColumn("r", F.when(best, 0).otherwise(F.row_number().over(request.orderBy(F.desc("score"), "pos", "i"))))
+    widths = sorted({p.neighbours for p in prunings})
+    near = [F.min("r").over(section.orderBy("i").rowsBetween(-w, w)).alias(f"r{w}") for w in widths]
+    told = ranked.select("req_id", "budget", "pos", "i", text.clean(F.col("sentence")).alias("sentence"), "n", *near)
+    each = told.groupBy("req_id", "budget", "pos").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "sentence", *(f"r{w}" for w in widths)))).alias("s"))
+    rows = windows.join(each, ["req_id", "budget", "pos"], "left").join(facts, "req_id").withColumn("s", F.coalesce("s", F.array().cast(each.schema["s"].dataType)))
+
+    def body(p: Pruning) -> Column:
+        if p.ratio >= 1:
+            return F.col("body")
+        least = F.greatest(F.lit(1), F.ceil(F.lit(float(p.ratio)) * F.col("n")))
+        return F.array_join(F.transform(F.filter("s", lambda x: x[f"r{p.neighbours}"] <= least), lambda x: x.sentence), " ")
+
+    bodies = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(p.name).alias("config"), body(p).alias("kept")) for i, p in enumerate(prunings)))
+    pruned = rows.select("req_id", "budget", "tokens", "facts", F.inline(bodies))
+    holds = F.transform(F.filter("facts", lambda f: F.contains(F.lower(F.col("kept")), f.fact)), lambda f: f.k)
+    counted = pruned.select("req_id", "budget", "tokens", F.size("facts").alias("n_facts"), "place", "config", text.approx_tokens(F.col("kept")).alias("after"), holds.alias("holds"))
+    return counted.groupBy("req_id", "budget", "place", "config").agg(
+        (F.size(F.array_distinct(F.flatten(F.collect_list("holds")))) == F.max("n_facts")).alias("all_facts"), F.sum("tokens").alias("windowed"), F.sum("after").alias("after")
+    )
+
+
+def score_prunings(results: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Per seed, split, window budget and pruning: the share with all facts, mean tokens, and what is saved of the window's
+    tokens and of the original ones. ``results`` has cluster_id and original, too."""
+    n = F.count("*")
+    return results.join(clusters, "cluster_id").groupBy("seed", "split", "budget", "config", "place").agg(
+        n.alias("queries"),
+        F.bround(F.count_if("all_facts") / n, 4).alias("all_facts_kept"),
+        F.bround(F.sum("windowed") / n, 0).alias("avg_tokens_after_window"),
+        F.bround(F.sum("after") / n, 0).alias("avg_tokens_after_compression"),
+        F.bround(1 - F.sum("after") / F.nullif(F.sum("windowed"), F.lit(0)), 4).alias("saved_of_windowed"),
+        F.bround(1 - F.sum("after") / F.nullif(F.sum("original"), F.lit(0)), 4).alias("saved_of_original"),
+    )
+
+
+def chosen_prunings(scores: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Per seed and window budget the pruning with the fewest tokens among those that in training keep all facts nearly as
+    often as none (ties to the first in the list), with its scores on the test clusters and none's beside them."""
+    train, test = (scores.where(F.col("split") == s) for s in ("train", "test"))
+    none = train.where("config = 'none'").select("seed", "budget", F.col("all_facts_kept").alias("train_without"))
+    order = Window.partitionBy("seed", "budget").orderBy("avg_tokens_after_compression", "place")
+    able = train.join(none, ["seed", "budget"]).where(F.col("all_facts_kept") >= F.col("train_without") - F.lit(margin))
+    best = able.withColumn("r", F.row_number().over(order)).where("r = 1").select("seed", "budget", "config", "train_without", F.col("all_facts_kept").alias("train_chosen"))
+    told = test.select("seed", "budget", "config", F.col("queries").alias("test_queries"), F.col("all_facts_kept").alias("test_chosen"), F.col("avg_tokens_after_compression").alias("test_tokens"), "saved_of_windowed", "saved_of_original")
+    before = test.where("config = 'none'").select("seed", "budget", F.col("all_facts_kept").alias("test_without"))
+    return best.join(told, ["seed", "budget", "config"], "left").join(before, ["seed", "budget"], "left")
+
+
 def cost_summary(answers: DataFrame, judge_cost: float, base: str = "baseline") -> DataFrame:
     """Per pipeline: cost, grades and how requests were served.
 

@@ -9,7 +9,7 @@ from tallyspark.functions import text
 from tallyspark.operators import context
 from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_SCORED, SQL_STRIPPED, chunks, joined, numbered, scored, sections, sql_sentences, sql_tokens, table
 
-BUDGETS = (200, 400, 800, 1200)
+BUDGETS = (100, 200, 300, 400, 500, 600, 800, 1000, 1200)
 
 
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
