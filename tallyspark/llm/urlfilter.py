@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A trie goes to every executor only up to this many bytes of rule text; beyond it the rules are joined.
+#: A trie goes to every executor only up to this many bytes in memory; beyond it the rules are joined.
 MAX_BROADCAST_BYTES = 64 << 20
+#: At most so many bytes for each label and segment of a rule, and one more for what the rule itself takes.
+NODE_BYTES = 600
 
 
 class Rule(NamedTuple):
@@ -79,6 +81,12 @@ class Trie:
         return best
 
 
+def trie_bytes(rules: Iterable[Rule]) -> int:
+    """A bound of what a trie of these rules takes: nodes of their labels and segments, and their texts at up to four bytes a
+    character."""
+    return sum(NODE_BYTES * (r.entry.count(".") + r.entry.count("/") + 3) + 4 * len(r.entry) for r in rules)
+
+
 def _order(rule: Rule) -> tuple[int, int]:
     return len(rule.entry), len(rule.host)
 
@@ -86,8 +94,8 @@ def _order(rule: Rule) -> tuple[int, int]:
 def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", default: str = "allow", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict`` to every row.
 
-    ``rules`` is a list of rules, or a table (entry, verdict) of any size: where it is larger than max_broadcast_bytes
-    pages and rules are joined. Null urls and urls without ``://`` have an empty host and path, which no rule fits: they get ``default``.
+    ``rules`` is a list of rules, or a table (entry, verdict) of any size: where its trie might take more than
+    max_broadcast_bytes in memory pages and rules are joined. Null urls and urls without ``://`` have an empty host and path, which no rule fits: they get ``default``.
     Repeated rows are judged each for itself, an empty table gives an empty one, and columns of the input that are
     named like one of the four new ones are replaced.
     """
@@ -95,11 +103,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url",
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     if isinstance(rules, DataFrame):
         rules = rules.select("entry", "verdict").where("entry is not null and verdict is not null")
-        size = rules.agg(F.sum(F.length("entry") + F.length("verdict"))).first()[0] or 0
+        nodes = F.length(F.regexp_replace("entry", "[^./]", "")) + 3
+        size = rules.agg(F.sum(NODE_BYTES * nodes + 4 * F.length("entry"))).first()[0] or 0
         listed = rules if size > max_broadcast_bytes else [Rule(*r) for r in rules.collect()]
     else:
         listed = [Rule(*r) for r in rules]
-        if sum(len(r.entry) + len(r.verdict) for r in listed) > max_broadcast_bytes:
+        if trie_bytes(listed) > max_broadcast_bytes:
             listed = pages.sparkSession.createDataFrame(listed, "entry string, verdict string")
     if isinstance(listed, DataFrame):
         found = _joined(parts, listed)
@@ -127,13 +136,16 @@ def _joined(parts: DataFrame, rules: DataFrame) -> DataFrame:
     rest = F.substring_index("path", "/", -1)
     known = rules.select(F.substring_index("entry", "/", 1).alias("suffix"), path.alias("path"), F.col("entry").alias("rule"), "verdict")
     known = known.withColumn("rest", rest).withColumn("folder", F.expr("left(path, length(path) - length(rest))")).drop("path")
+    # Only as many labels and segments as some rule has: a deep path makes no more rows than there are depths of rules.
+    depths = known.agg(F.collect_set(F.size(F.split("suffix", r"\."))).alias("l"), F.collect_set(F.size(F.split("folder", "/")) - 1).alias("s")).first()
+    labels, segments = (F.array(*map(F.lit, sorted(found))).cast("array<int>") for found in (depths.l, depths.s))
     places = parts.select("host", "path").distinct()
     keys = (
         places.withColumn("labels", F.split("host", r"\."))
-        .withColumn("i", F.explode(F.sequence(F.lit(1), F.size("labels"))))
+        .withColumn("i", F.explode(F.filter(labels, lambda i: i <= F.size("labels"))))
         .withColumn("suffix", F.expr("array_join(slice(labels, -i, i), '.')"))
         .withColumn("segments", F.split("path", "/"))
-        .withColumn("j", F.explode(F.expr("sequence(0, size(segments) - 1)")))
+        .withColumn("j", F.explode(F.filter(segments, lambda j: j < F.size("segments"))))
         .withColumn("folder", F.expr("concat(array_join(slice(segments, 1, j), '/'), if(j > 0, '/', ''))"))
     )
     best = (

@@ -1,7 +1,9 @@
+import sys
+
 import pytest
 
 from tallyspark.llm.queries import RULES
-from tallyspark.llm.urlfilter import Rule, judge
+from tallyspark.llm.urlfilter import Rule, Trie, judge, trie_bytes
 
 CASES = [
     ("http://a.example.com/en/1?x=1", "a.example.com", "/en/1", "example.com/en/", "block"),
@@ -52,3 +54,24 @@ def test_equal_entries_block(spark, limit):
     df = spark.createDataFrame([("http://a.b/",)], "url string")
     for rules in ([Rule("a.b/", "allow"), Rule("a.b/", "block")], [Rule("a.b/", "block"), Rule("a.b/", "allow")]):
         assert judge(df, rules, max_broadcast_bytes=limit).first().verdict == "block"
+
+
+def test_tries_stay_within_the_bound_of_their_rules():
+    rules = [Rule(f"a{i}.b{i % 97}.example.org/p{i}/q{i % 7}/r", "block") for i in range(4000)] + [Rule("x.y/", "allow")]
+    trie, seen, size = Trie(rules), set(), 0
+    heap = [trie.root]
+    while heap:
+        x = heap.pop()
+        if id(x) not in seen:
+            seen.add(id(x))
+            size += sys.getsizeof(x)
+            heap += [*x.keys(), *x.values()] if isinstance(x, dict) else list(x) if isinstance(x, tuple | set) else []
+    assert size < trie_bytes(rules)
+
+
+@pytest.mark.parametrize("limit", [1 << 30, 0], ids=["trie", "join"])
+def test_five_thousand_segments(spark, limit):
+    df = spark.createDataFrame([("http://a.b.big.org/" + "seg/" * 5000,), ("http://" + "a." * 3000 + "org/x/y/",)], "url string")
+    rules = [Rule("org/", "allow"), Rule("org/x/y/", "block"), Rule("big.org/seg/seg/seg/s", "block")]
+    got = {r.url[:20]: r.rule for r in judge(df, rules, max_broadcast_bytes=limit).collect()}
+    assert sorted(got.values()) == ["big.org/seg/seg/seg/s", "org/x/y/"]
