@@ -241,7 +241,9 @@ def _judged(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct("part", "seg")
     bounds = segments.groupBy("conv").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.count("*").alias("segments"))
     placed = segments.join(bounds, "conv").select("conv", "part", "seg", "kinds", "segments", (place == F.col("least")).alias("is_first"), (place == F.col("most")).alias("is_last"))
-    placed = scratch.stage(placed, "placed-segments")
+    # Auctions take long for the bytes that they read: segments are dealt to as many tasks as shuffles have.
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.stage(placed.repartition(tasks, "conv", "seg"), "placed-segments")
     solved = scratch.stage(placed.mapInArrow(_solved, _SOLVED_DDL), "solved-segments")
     several = placed.where("segments > 1").select("conv", "part", "seg", "kinds", "is_first", "is_last")
     priced = solved.join(several.select("conv", "part", "seg"), ["conv", "part", "seg"]).groupBy("conv").applyInArrow(_priced, "conv string, part int, seg long, prices array<bigint>")
