@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,65 @@ def repeated(rows: DataFrame, ident: str, rule: str = "repeated id") -> DataFram
     return rows.groupBy(F.col(ident).alias("id")).count().where("count > 1").select("id", F.lit(rule).alias("rule"))
 
 
+class Row(NamedTuple):
+    """``holds`` must be true of each row."""
+
+    name: str
+    holds: Column
+
+
+class Unique(NamedTuple):
+    """No two rows have equal values in these columns."""
+
+    name: str
+    columns: tuple[str, ...]
+
+
+class Known(NamedTuple):
+    """Each value of ``keys``, an array that may be null or empty, is a key of the table of that name."""
+
+    name: str
+    keys: Column
+    table: str
+
+
+class Pair(NamedTuple):
+    """``holds`` must be true of each row whose ``link`` names another one, which it sees as the struct ``other``."""
+
+    name: str
+    link: str
+    holds: Column
+
+
+Rule = Row | Unique | Known | Pair
+
+
+def audit(rows: DataFrame, ident: str, rules: Iterable[Rule], tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(id, rule) for each row and rule that it breaks; what can't be decided counts as broken.
+
+    Rules are compiled by what they need: all row rules are one pass; all references into a table (key) meet it in one
+    join, each distinct key once; all rules along a link share one join of the rows with themselves. A link that leads
+    nowhere breaks each rule along it.
+    """
+    rules = list(rules)
+    found = [violations(rows, ident, {r.name: r.holds for r in rules if isinstance(r, Row)})]
+    for r in rules:
+        if isinstance(r, Unique):
+            # Only keys that occur twice go back to the rows.
+            twice = rows.groupBy(*r.columns).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+            same = reduce(lambda a, b: a & b, (F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in r.columns))
+            found.append(rows.alias("x").join(twice.alias("y"), same, "left_semi").select(F.col(ident).alias("id"), F.lit(r.name).alias("rule")))
+    for name in dict.fromkeys(r.table for r in rules if isinstance(r, Known)):
+        asked = F.array(*(F.struct(F.lit(r.name).alias("rule"), r.keys.alias("keys")) for r in rules if isinstance(r, Known) and r.table == name))
+        each = rows.select(F.col(ident).alias("id"), F.inline(asked)).select("id", "rule", F.explode("keys").alias("key"))
+        found.append(each.join(tables[name].select("key").distinct(), "key", "left_anti").select("id", "rule").distinct())
+    for link in dict.fromkeys(r.link for r in rules if isinstance(r, Pair)):
+        other = rows.select(F.col(ident).alias("_other_id"), F.struct(*rows.columns).alias("other"))
+        pairs = rows.where(F.col(link).isNotNull()).join(other, F.col(link) == F.col("_other_id"), "left")
+        found.append(violations(pairs, ident, {r.name: r.holds for r in rules if isinstance(r, Pair) and r.link == link}))
+    return reduce(DataFrame.union, found)
+
+
 def gates(metrics: DataFrame, bounds: list[tuple[str, str, float]]) -> DataFrame:
     """(name, value, bound, ok) from one row of metrics; a bound is (metric, 'min' or 'max', value)."""
 
