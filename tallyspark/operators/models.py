@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import text
+from tallyspark.operators import sampling
 
 MOCK_OUTPUT_TOKENS = 120
 
@@ -51,3 +52,27 @@ def quality_verdict(own: Column, base: Column) -> Column:
     order = lambda g: F.when(g == "wrong", 0).when(g == "partial", 1).when(g == "correct", 2)
     a, b = order(own), order(base)
     return F.when(a == b, "equivalent").when(a > b, "better").when(a < b, "worse")
+
+
+def graded(rows: DataFrame, grades: DataFrame, base: str = "baseline") -> DataFrame:
+    """Adds own_grade, base_grade and verdict to rows (query_id, pipeline): offline grades (query_id, pipeline, grade) of the
+    row's own pipeline and of the base one. A grade that is missing leaves the verdict null."""
+    own = grades.select("query_id", "pipeline", F.col("grade").alias("own_grade"))
+    first = grades.where(F.col("pipeline") == base).select("query_id", F.col("grade").alias("base_grade"))
+    found = rows.join(own, ["query_id", "pipeline"], "left").join(first, "query_id", "left")
+    return found.withColumn("verdict", quality_verdict(F.col("own_grade"), F.col("base_grade")))
+
+
+def blinded(answers: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """What a grader sees of answers (query_id, pipeline, answer): (query_id, slot, answer), and the key (query_id, slot,
+    pipeline) to it. Slots stand in an order that follows from seed, query and pipeline alone, so nothing tells pipelines
+    apart, and a grader that is asked again sees the same."""
+    order = sampling.keyed(F.lit(seed), F.col("query_id"), F.col("pipeline"))
+    told = answers.withColumn("slot", F.row_number().over(Window.partitionBy("query_id").orderBy(order, "pipeline")))
+    return told.select("query_id", "slot", "answer"), told.select("query_id", "slot", "pipeline")
+
+
+def blind_grades(answers: DataFrame, grader: Callable[[DataFrame], DataFrame], seed: int) -> DataFrame:
+    """(query_id, pipeline, grade): ``grader`` maps (query_id, slot, answer) to (query_id, slot, grade)."""
+    shown, key = blinded(answers, seed)
+    return key.join(grader(shown).select("query_id", "slot", "grade"), ["query_id", "slot"]).select("query_id", "pipeline", "grade")

@@ -155,6 +155,18 @@ def spend_cap(calls: DataFrame, labels: list[str], order: list[str], spend: str,
     return summed.withColumn("allowed", F.bround(F.col("total") - F.col(spend), 6) < cap).drop("total")
 
 
+def with_shadow(requests: DataFrame, shadows: DataFrame, within: str = "20 minutes") -> DataFrame:
+    """Adds measured, base and source: a baseline that a shadow run measured replaces the estimate.
+
+    ``requests`` has (event_id, at, estimate), ``shadows`` (event_id, at, measured). Results that come later than
+    ``within`` after their request don't count. The same on two streams with watermarks.
+    """
+    told = shadows.select(F.col("event_id").alias("_of"), F.col("at").alias("_came"), "measured")
+    in_time = (F.col("_came") >= F.col("at")) & (F.col("_came") <= F.col("at") + F.expr(f"interval {within}"))
+    found = requests.join(told, (F.col("event_id") == F.col("_of")) & in_time, "left").drop("_of", "_came")
+    return found.withColumn("base", F.coalesce("measured", "estimate")).withColumn("source", F.when(F.col("measured").isNotNull(), "measured").otherwise("estimated"))
+
+
 def single_flight(calls: DataFrame, key: list[str], order: str) -> DataFrame:
     """One call per key, the first; the others wait for its answer."""
     return calls.groupBy(*key).agg(F.min(order).alias("leader"), (F.count("*") - 1).alias("waiting"))

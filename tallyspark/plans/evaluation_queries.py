@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import scratch
 from tallyspark.functions import text, vectors
-from tallyspark.operators import cache, context, evaluation, routing, traffic
+from tallyspark.operators import cache, context, evaluation, models, routing, traffic
 from tallyspark.plans import check_queries
 from tallyspark.plans.context_queries import stripped_chunks
 from tallyspark.plans.routing_queries import router_rows
@@ -145,6 +145,31 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.labelled_pairs(told)
 
 
+def offline_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a request of the small pipeline, with its offline grade and the baseline's, both from labels: a good
+    text counts as correct, a toxic one as wrong; the baseline is wrong about toxic texts only."""
+    labels = table(spark, sf_dir, "labels")
+    own = F.when(F.col("toxic") == 1, "wrong").when(F.col("quality") == 1, "correct").when(F.col("quality") == 0, "partial")
+    base = F.when(F.col("toxic") == 1, "wrong").when(F.col("toxic") == 0, "correct")
+    grades = labels.select(F.col("doc_id").alias("query_id"), F.inline(F.array(F.struct(F.lit("small").alias("pipeline"), own.alias("grade")), F.struct(F.lit("baseline").alias("pipeline"), base.alias("grade")))))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.lit("small").alias("pipeline"))
+    return models.graded(rows, grades).select("query_id", "own_grade", "base_grade", "verdict")
+
+
+def blind_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pipelines' answers, graded without knowing whose they are: the whole text, its first half and its first words.
+    An answer that holds a document's last three words is correct, one that holds the middle ones is partly so."""
+    w = F.split("text", " ")
+    docs = table(spark, sf_dir, "documents").withColumn("w", w).where(F.size("w") >= 6)
+    some = lambda a, n: F.array_join(F.slice("w", a, n), " ")
+    half = F.floor(F.size("w") / 2).cast("int")
+    answers = docs.select(F.col("doc_id").alias("query_id"), F.inline(F.array(*(F.struct(F.lit(name).alias("pipeline"), answer.alias("answer")) for name, answer in (("whole", F.col("text")), ("half", some(1, half)), ("head", some(1, 3)))))))
+    keys = docs.select(F.col("doc_id").alias("query_id"), some(F.size("w") - 2, F.lit(3)).alias("last"), some(half - 2, F.lit(3)).alias("middle"))
+    grade = F.when(F.contains("answer", F.col("last")), "correct").when(F.contains("answer", F.col("middle")), "partial").otherwise("wrong")
+    found = models.blind_grades(answers, lambda shown: shown.join(keys, "query_id").withColumn("grade", grade), seed=11)
+    return found.groupBy("pipeline", "grade").agg(F.count("*").alias("n"))
+
+
 def router_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each labelled document's probability by a router that its source had no part in."""
     rows = router_rows(spark, sf_dir)
@@ -165,7 +190,7 @@ def router_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (window_split_eval, window_split_chosen, pruning_split_eval, pruning_split_chosen, fact_sweep, cost_vs_quality, quality_by_layer, labelled_pairs, router_out_of_fold, router_strategies)}
+QUERIES = {f.__name__: f for f in (window_split_eval, window_split_chosen, pruning_split_eval, pruning_split_chosen, fact_sweep, offline_verdicts, blind_grades, cost_vs_quality, quality_by_layer, labelled_pairs, router_out_of_fold, router_strategies)}
 
 _ADDED = "{'used': a.used + c.used, 'docs': list_distinct(list_concat(a.docs, c.docs)), 'holds': list_distinct(list_concat(a.holds, c.holds))}"
 _EMPTY = "{'used': 0::bigint, 'docs': []::bigint[], 'holds': []::int[]}"
@@ -259,6 +284,13 @@ ORACLE_SQL = {
         select config, count(*) as queries, round_even(count(*) filter (gold_kept) / count(*), 4) as gold_docs_kept, round_even(count(*) filter (all_facts) / count(*), 4) as all_facts_kept,
           {', '.join(f"round_even(count(*) filter (all_facts and difficulty = '{d}') / greatest(1, count(*) filter (difficulty = '{d}')), 4) as all_facts_kept_{d}" for d in ('easy', 'complex'))},
           round_even(sum(before) / count(*), 0) as avg_tokens_before, round_even(sum(after) / count(*), 0) as avg_tokens_after, round_even(1 - sum(after) / sum(before), 4) as tokens_saved from res join lv using (req_id) group by 1""",
+    "offline_verdicts": """with g as (select doc_id, case when toxic = 1 then 'wrong' when quality = 1 then 'correct' when quality = 0 then 'partial' end as own_grade, case when toxic = 1 then 'wrong' when toxic = 0 then 'correct' end as base_grade from labels)
+        select d.doc_id as query_id, own_grade, base_grade, case when own_grade is null or base_grade is null then null when own_grade = base_grade then 'equivalent'
+          when list_position(['wrong', 'partial', 'correct'], own_grade) > list_position(['wrong', 'partial', 'correct'], base_grade) then 'better' else 'worse' end as verdict from documents d left join g using (doc_id)""",
+    "blind_grades": """with w as (select text, string_split(text, ' ') as w from documents where len(string_split(text, ' ')) >= 6),
+        k as (select text, w, array_to_string(w[-3:], ' ') as last, array_to_string(w[len(w) // 2 - 2:len(w) // 2], ' ') as middle from w),
+        a as (select last, middle, unnest(['whole', 'half', 'head']) as pipeline, unnest([text, array_to_string(w[1:len(w) // 2], ' '), array_to_string(w[1:3], ' ')]) as answer from k)
+        select pipeline, case when contains(answer, last) then 'correct' when contains(answer, middle) then 'partial' else 'wrong' end as grade, count(*) as n from a group by 1, 2""",
     "pruning_split_eval": f"with {_PRUNED_SCORES} select * exclude (place) from sc",
     "pruning_split_chosen": f"""with {_PRUNED_SCORES}, none as (select seed, split, budget, all_facts_kept as without from sc where config = 'none'),
         b as (select s.*, n.without, row_number() over (partition by s.seed, s.budget order by s.avg_tokens_after_compression, s.place) as r from sc s join none n on n.seed = s.seed and n.budget = s.budget and n.split = 'train'

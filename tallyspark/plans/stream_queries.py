@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
+from tallyspark.operators import traffic
 from tallyspark.plans.tables import SQL_EVENTS, events
 from tallyspark.streaming import requests
 
@@ -71,9 +72,44 @@ def stream_ttl_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("event_id >= 0")
 
 
-QUERIES = {f.__name__: f for f in (stream_ttl_cache,)}
+def _shadow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests with an estimated baseline, and for every fourth what the large model took, some time later."""
+    rows = events(spark, sf_dir)
+    spent = F.greatest(F.lit(0), F.col("tokens") * 2 - F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)))
+    asked = rows.select(F.lit("request").alias("kind"), "event_id", "at", traffic.billed(F.lit("large"), F.col("tokens") * 2, F.lit(120)).alias("amount"))
+    came = F.col("at") + F.make_dt_interval(mins=F.pmod("event_id", F.lit(28)))
+    shadows = rows.where("event_id % 4 = 0").select(F.lit("shadow").alias("kind"), "event_id", came.alias("at"), traffic.billed(F.lit("large"), spent, F.lit(120)).alias("amount"))
+    return asked.union(shadows)
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Requests and shadow results out of one stream or table."""
+    return rows.where("kind = 'request'").select("event_id", "at", F.col("amount").alias("estimate")), rows.where("kind = 'shadow'").select("event_id", "at", F.col("amount").alias("measured"))
+
+
+def shadow_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's baseline, measured where a shadow result came in time."""
+    return traffic.with_shadow(*_sides(_shadow_rows(spark, sf_dir))).select("event_id", "measured", "base", "source")
+
+
+def stream_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as results arrive, shuffled, in a stream that is stopped and resumed."""
+    rows = _shadow_rows(spark, sf_dir)
+    last = rows.agg((F.max("at") + F.expr("interval 4000 days")).alias("at")).select(F.explode(F.array(F.lit("request"), F.lit("shadow"))).alias("kind"), F.lit(-1).cast("long").alias("event_id"), "at", F.lit(0.0).alias("amount"))
+    found = resumed(spark, rows, "event_id", "at", last, lambda live: requests.shadowed(*_sides(live), late="3650 days").select("event_id", "measured", "base", "source"))
+    return found.where("event_id >= 0")
+
+
+QUERIES = {f.__name__: f for f in (stream_ttl_cache, shadow_measured, stream_shadow)}
+
+_MEASURED = f"""with {SQL_EVENTS}, r as (select event_id, moment, tokens, round_even(tokens * 2 * 2.00::double + 120 * 10.00::double, 0) / 1e6::double as estimate from ev),
+    s as (select event_id, moment + to_minutes(event_id % 28) as came, round_even(greatest(0, tokens * 2 - coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0)) * 2.00::double + 120 * 10.00::double, 0) / 1e6::double as measured from ev where event_id % 4 = 0)
+    select r.event_id, s.measured, coalesce(s.measured, estimate) as base, case when s.measured is null then 'estimated' else 'measured' end as source
+    from r left join s on s.event_id = r.event_id and s.came >= r.moment and s.came <= r.moment + interval 20 minute"""
 
 ORACLE_SQL = {
+    "shadow_measured": _MEASURED,
+    "stream_shadow": _MEASURED,
     "stream_ttl_cache": f"""with recursive {SQL_EVENTS}, o as (select event_id, moment, tenant, layer, row_number() over (partition by tenant, layer order by moment, event_id) as n from ev),
         f as (select event_id, tenant, layer, n, false as hit, moment as written, event_id as writer from o where n = 1 union all
           select o.event_id, o.tenant, o.layer, o.n, o.moment - f.written < interval {TTL_SECONDS} second, case when o.moment - f.written < interval {TTL_SECONDS} second then f.written else o.moment end,

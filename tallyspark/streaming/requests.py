@@ -112,6 +112,12 @@ def sessions(requests: DataFrame, late: str = "10 minutes", gap: str = "5 minute
     return rows.groupBy(F.session_window("at", gap).alias("w"), "tenant").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "tenant", "n")
 
 
+def shadowed(requests: DataFrame, shadows: DataFrame, within: str = "20 minutes", late: str = "10 minutes") -> DataFrame:
+    """Requests with what shadow runs measured, as results arrive: a request without one is given out, estimated, once the
+    watermarks have passed the time in which one may come."""
+    return traffic.with_shadow(requests.withWatermark("at", late), shadows.withWatermark("at", late), within)
+
+
 def first_of_each(requests: DataFrame, key: list[str], late: str = "10 minutes") -> DataFrame:
     """Single flight on a stream: of identical calls within the watermark only one goes on to the model."""
     return requests.withWatermark("at", late).dropDuplicatesWithinWatermark(key)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import cache, checks, context, models, routing, traffic
+from tallyspark.operators import cache, checks, context, models, routing, sampling, traffic
 
 
 def packed(spark, tokens, budget=800):
@@ -126,3 +126,43 @@ def test_memo_is_asked_once_and_offline_fails(spark):
     assert models.memoised(rows.where("i = 3"), ["query"], memo)[0].first()["answer"] == "B"
     verdicts = spark.createDataFrame([("wrong", "partial"), ("correct", "correct"), (None, "wrong")], "a string, b string")
     assert [r.v for r in verdicts.select(models.quality_verdict(F.col("a"), F.col("b")).alias("v")).collect()] == ["worse", "equivalent", None]
+
+
+def test_blind_grades_do_not_depend_on_order_and_slots_do_not_tell_pipelines(spark):
+    rows = [(q, p, f"{p} says {q * k}") for q in range(60) for k, p in enumerate(("a", "b", "c"))]
+    df = spark.createDataFrame(rows, "query_id int, pipeline string, answer string")
+    grader = lambda shown: shown.withColumn("grade", F.length("answer"))
+    one, two = (sorted(map(tuple, models.blind_grades(d, grader, seed=1).collect())) for d in (df, df.orderBy(F.desc("answer"))))
+    assert one == two == sorted((q, p, len(a)) for q, p, a in rows)
+    shown, key = models.blinded(df, seed=1)
+    assert shown.columns == ["query_id", "slot", "answer"]
+    first = [r.pipeline for r in key.where("slot = 1").collect()]
+    assert all(8 < first.count(p) < 32 for p in "abc")
+    other = [tuple(r) for r in models.blinded(df, seed=2)[1].collect()]
+    assert sorted(other) != sorted(tuple(r) for r in key.collect())
+
+
+def test_bundles_hold_what_is_required_and_no_document_twice(spark):
+    pool = spark.range(0, 230, 10).withColumnRenamed("id", "doc")
+    rows = spark.createDataFrame([(1, [10, 20]), (2, []), (3, None), (4, [10, 10, 999]), (5, list(range(0, 100, 10)))], "id long, need array<long>")
+    got = {r.id: r.bundle for r in sampling.bundles(rows, "id", "need", pool, "doc", 8, seed=1).collect()}
+    assert all(len(b) == len(set(b)) == (10 if i == 5 else 8) for i, b in got.items()) and {10, 20} <= set(got[1]) and 10 in got[4] and 999 not in got[4] and set(got[5]) == set(range(0, 100, 10))
+    assert got == {r.id: r.bundle for r in sampling.bundles(rows.repartition(3), "id", "need", pool, "doc", 8, seed=1).collect()}
+    assert len({tuple(b) for b in got.values()}) == 5
+    small = {r.id: r.bundle for r in sampling.bundles(rows, "id", "need", pool.limit(3), "doc", 8, seed=1).collect()}
+    assert all(len(b) == 3 for b in small.values())
+
+
+def test_audit_compiles_rules_by_what_they_need(spark):
+    rows = spark.createDataFrame([(1, "a", [1, 9], None, 5), (2, "b", None, 1, 5), (2, "b", [], 1, 5), (3, None, [1], 7, 2), (4, "a", [9, 9], 1, 1)], "id int, k string, refs array<int>, link int, v int")
+    rules = [
+        checks.Row("has k", F.col("k").isNotNull()),
+        checks.Unique("one id", ("id",)),
+        checks.Unique("k and v", ("k", "v")),
+        checks.Known("ref", F.col("refs"), "t"),
+        checks.Known("link", F.array_compact(F.array("link")), "t"),
+        checks.Pair("same v", "link", F.col("v") == F.col("other.v")),
+    ]
+    got = sorted(map(tuple, checks.audit(rows, "id", rules, {"t": spark.createDataFrame([(1,), (2,)], "key int")}).collect()))
+    want = [(3, "has k"), (2, "one id"), (2, "one id"), (2, "k and v"), (2, "k and v"), (1, "ref"), (4, "ref"), (3, "link"), (3, "same v"), (4, "same v")]
+    assert got == sorted(want)
