@@ -55,18 +55,16 @@ def negations(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(low, F.lit(r"[a-z]+(?:'[a-z]+)?"), 0), lambda w: w.isin(NEGATIONS) | w.endswith("n't"))
 
 
-def _surplus(a: Column, b: Column) -> Column:
-    """How many elements of multiset a are left once those of b are taken out."""
-    def extra(w: Column) -> Column:
-        return F.greatest(F.lit(0), F.size(F.filter(a, lambda x: x == w)) - F.size(F.filter(b, lambda x: x == w)))
-
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + extra(w))
+def negation_match(a: Column, b: Column) -> Column:
+    """As many negations among the words that only one text has as among those of the other. Shared ones cancel out, so
+    the texts have equally many in all."""
+    return F.size(negations(a)) == F.size(negations(b))
 
 
-def negation_match(a: Column, b: Column) -> Column:
-    """As many negations among the words that only one text has as among those of the other; shared ones cancel out."""
-    left, right = negations(a), negations(b)
-    return _surplus(left, right) == _surplus(right, left)
+def guard_signs(text: Column) -> Column:
+    """What guards compare of a text: a digest of its numbers and how many negations it has. Taken once a row, so that pairs
+    of rows carry no texts."""
+    return F.struct(F.sha2(F.array_join(numbers(text), "\n"), 256).alias("numbers"), F.size(negations(text)).alias("negations"))
 
 
 def content_words(text: Column) -> Column:

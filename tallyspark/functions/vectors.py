@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ def _cones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             centres.append(centre.tolist())
             radii.append(float(_angles(units[here > 0], centre).max(initial=0.0)))
             norms.append(float(here.max()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(norms, pa.float64())], [*batch.schema.names, "centre", "radius", "norm"])
+        told = [pa.array(centres, pa.list_(pa.float64())), pa.array(radii, pa.float64()), pa.array(norms, pa.float64())]
+        yield pa.RecordBatch.from_arrays([batch["no"], batch["grp"], batch["cell"], *told], ["no", "grp", "cell", "centre", "radius", "norm"])
 
 
 def _around(cell: pa.Table) -> pa.Table:
@@ -87,25 +89,39 @@ class Blocks:
 
     def __init__(self, rows: DataFrame, block: int):
         sizes = rows.groupBy("grp").agg(F.count("*").alias("n"), F.ceil(F.count("*") / block).cast("int").alias("packs"))
+        kinds, each = dict(rows.dtypes), F.collect_list(F.struct("id", "v")).alias("rows")
+        self.single = not sizes.where("packs > 1").limit(1).count()
+        if self.single:
+            # A block per group: there is nothing to choose between.
+            self.rows = scratch.stage(rows.groupBy("grp").agg(each).select("grp", F.lit(0).alias("cell"), "rows", F.monotonically_increasing_id().alias("no")), "blocks")
+            return
         cells = F.ceil(F.sqrt("packs"))
         picked = rows.join(sizes.where("packs > 1"), "grp").where(F.pmod(F.xxhash64("id"), "n") < 2 * cells)
         pivots = picked.groupBy("grp").agg(F.collect_list("v").alias("pivots"))
-        packs = rows.join(sizes, "grp").withColumn("pack", F.pmod(F.hash("id"), "packs")).groupBy("grp", "pack").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        kinds = dict(rows.dtypes)
+        packs = rows.join(sizes, "grp").withColumn("pack", F.pmod(F.hash("id"), "packs")).groupBy("grp", "pack").agg(each)
         dealt = packs.join(pivots, "grp", "left").select("grp", "rows", "pivots").mapInArrow(_assigned, f"grp {kinds['grp']}, id {kinds['id']}, v {kinds['v']}, cell int")
         dealt = scratch.stage(dealt, "cells")
         counts = dealt.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
-        blocks = dealt.join(counts, ["grp", "cell"]).groupBy("grp", "cell", F.pmod(F.xxhash64("id"), "parts").alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-        coned = blocks.mapInArrow(_cones, f"grp {kinds['grp']}, cell int, part long, rows array<struct<id: {kinds['id']}, v: {kinds['v']}>>, centre array<double>, radius double, norm double")
-        self.rows = scratch.stage(coned.withColumn("no", F.monotonically_increasing_id()), "blocks")
-        self.cones = self.rows.select("no", "grp", "cell", "centre", "radius", "norm")
-        around = self.cones.groupBy("grp", "cell").applyInArrow(_around, f"grp {kinds['grp']}, cell int, centre array<double>, radius double, norm double")
-        self.cells = scratch.stage(around, "around")
+        blocks = dealt.join(counts, ["grp", "cell"]).groupBy("grp", "cell", F.pmod(F.xxhash64("id"), "parts").alias("part")).agg(each)
+        self.rows = scratch.stage(blocks.select("grp", "cell", "rows", F.monotonically_increasing_id().alias("no")), "blocks")
         scratch.drop(dealt)
 
+    @cached_property
+    def cones(self) -> DataFrame:
+        kind = dict(self.rows.dtypes)["grp"]
+        return scratch.stage(self.rows.mapInArrow(_cones, f"no long, grp {kind}, cell int, centre array<double>, radius double, norm double"), "cones")
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        kind = dict(self.rows.dtypes)["grp"]
+        return scratch.stage(self.cones.groupBy("grp", "cell").applyInArrow(_around, f"grp {kind}, cell int, centre array<double>, radius double, norm double"), "around")
+
 
 def _facing(left: Blocks, right: Blocks, least: Column) -> DataFrame:
-    """(p, q, most): pairs of blocks of a group, and of cells before, whose bound reaches ``least``, a column of p's or a constant."""
+    """(p, q, most): pairs of blocks of a group, and of cells before, whose bound reaches ``least``."""
+    if left.single and right.single:
+        p, q = left.rows.select("grp", F.col("no").alias("p")), right.rows.select(F.col("grp").alias("theirs"), F.col("no").alias("q"))
+        return p.join(q, F.col("grp").eqNullSafe(F.col("theirs"))).select("p", "q", F.lit(float("inf")).alias("most"))
     p, q = left.cells.alias("p"), right.cells.alias("q")
     cells = p.join(q, F.col("p.grp").eqNullSafe(F.col("q.grp"))).select(F.col("p.grp").alias("grp"), F.col("p.cell").alias("c"), F.col("q.cell").alias("d"), bound("p", "q").alias("most"))
     p, q = left.cones.alias("p"), right.cones.alias("q")
@@ -139,8 +155,10 @@ def _multiplied(pairs: DataFrame, left: Blocks, right: Blocks, emit: Emit, alike
 def facing_blocks(vectors: DataFrame, ident: str, vector: str, group: str, threshold: float, block: int = BLOCK) -> tuple[Blocks, DataFrame]:
     """Blocks of vectors, and the pairs (p, q), p <= q, of them that may hold a product of ``threshold`` or more."""
     blocks = Blocks(vectors.select(F.col(group).alias("grp"), F.col(ident).alias("id"), F.col(vector).alias("v")), block)
-    others = _facing(blocks, blocks, F.lit(float(threshold))).where("p < q").select("p", "q")
-    return blocks, others.union(blocks.cones.select(F.col("no").alias("p"), F.col("no").alias("q")))
+    own = blocks.rows.select(F.col("no").alias("p"), F.col("no").alias("q"))
+    if blocks.single:
+        return blocks, own
+    return blocks, own.union(_facing(blocks, blocks, F.lit(float(threshold))).where("p < q").select("p", "q"))
 
 
 def similar_pairs(vectors: DataFrame, ident: str, vector: str, group: str, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -170,6 +188,10 @@ def knn(queries: DataFrame, entries: DataFrame, ident: str, vector: str, group:
         real = cos[i, j] > -np.inf
         return x[i[real]], y[j[real]], cos[i[real], j[real]]
 
+    nearest = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
+    if asked.single and told.single:
+        found = _multiplied(_facing(asked, told, F.lit(-1.0)).select("p", "q"), asked, told, emit, alike=False).drop("p")
+        return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
     pairs = scratch.stage(_facing(asked, told, F.lit(-1.0)), "facing")
     first = scratch.stage(pairs.groupBy("p").agg(F.max_by("q", F.struct("most", "q")).alias("q")), "nearest-blocks")
     found = scratch.stage(_multiplied(first, asked, told, emit, alike=False), "near")
@@ -179,5 +201,4 @@ def knn(queries: DataFrame, entries: DataFrame, ident: str, vector: str, group:
     reached = sizes.join(kth, "p", "left").select("p", F.when(F.col("answered") == F.col("size"), F.col("least")).alias("least"))
     rest = pairs.join(first, ["p", "q"], "left_anti").join(reached, "p").where("least is null or most >= least").select("p", "q")
     found = found.union(_multiplied(rest, asked, told, emit, alike=False)).drop("p")
-    nearest = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)

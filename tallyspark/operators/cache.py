@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType, TimestampType
 
 from tallyspark import scratch
-from tallyspark.functions import text, vectors
+from tallyspark.functions import vectors
 from tallyspark.operators import traffic
 
-#: A guard compares a new query with a cached one; the first that fails names the reason.
+#: A guard compares the signs (``text.guard_signs``) of a new query with those of a cached one; the first that fails names
+#: the reason.
 Guard = tuple[str, Callable[[Column, Column], Column]]
-GUARDS: list[Guard] = [("numbers", text.numbers_match), ("negation", text.negation_match)]
+GUARDS: list[Guard] = [("numbers", lambda a, b: a["numbers"] == b["numbers"]), ("negation", lambda a, b: a["negations"] == b["negations"])]
 
 TTL_SECONDS = 604_800
 KNN, THRESHOLD = 5, 0.90

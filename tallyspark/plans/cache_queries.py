@@ -100,7 +100,7 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compared(rows: DataFrame) -> DataFrame:
     """Earlier rows within the threshold, with what stops them in each guard mode; pairs are scored once for all."""
     pairs = vectors.similar_pairs(rows, "seq", "embedding", "label", THETA)
-    told = rows.select("seq", "query", "lang")
+    told = scratch.stage(rows.select("seq", text.guard_signs(F.col("query")).alias("signs"), "lang"), "signs")
     both = pairs.join(told.toDF("a", "cached", "cached_lang"), "a").join(told.toDF("b", "new", "new_lang"), "b")
     covered = cache.context_covers(F.array("cached_lang"), F.array("new_lang"))
     reasons = [cache.reject_reason(F.col("new"), F.col("cached"), c, g).alias(m) for m, c, g in (("cosine", F.lit(True), []), ("context", covered, []), ("guards", covered, cache.GUARDS))]

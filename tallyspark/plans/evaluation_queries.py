@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tallyspark import scratch
 from tallyspark.functions import text, vectors
-from tallyspark.operators import cache, context, evaluation, models, routing, traffic
-from tallyspark.plans import check_queries
+from tallyspark.operators import cache, checks, context, evaluation, models, routing, traffic
+from tallyspark.plans import cache_queries, check_queries
 from tallyspark.plans.context_queries import stripped_chunks
 from tallyspark.plans.routing_queries import router_rows
 from tallyspark.plans.tables import SQL_SCORED, SQL_STRIPPED, numbered, scored, sql_sentences, sql_tokens, table
@@ -145,6 +145,19 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.labelled_pairs(told)
 
 
+#: What each layer must keep to: metric, kind of bound, value.
+GATES = [("false_hit", "max", 0), ("wrong_hit", "max", 400), ("correct_hit", "min", 1), ("all_facts_kept", "min", 0.25), ("avg_tokens_after", "max", 800)]
+
+
+def layer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates over the exact cache, the guarded semantic cache and the window of 800 tokens."""
+    exact = cache_queries.exact_cache_summary(spark, sf_dir).select("false_hit")
+    semantic = cache_queries.semantic_modes(spark, sf_dir).where("mode = 'guards'").select("wrong_hit", "correct_hit")
+    window = fact_sweep(spark, sf_dir).where("config = 'section_first(budget=800)'").select("all_facts_kept", "avg_tokens_after")
+    # Each has one row.
+    return checks.gates(exact.join(semantic).join(window), GATES)
+
+
 def offline_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a request of the small pipeline, with its offline grade and the baseline's, both from labels: a good
     text counts as correct, a toxic one as wrong; the baseline is wrong about toxic texts only."""
@@ -190,7 +203,7 @@ def router_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-QUERIES = {f.__name__: f for f in (window_split_eval, window_split_chosen, pruning_split_eval, pruning_split_chosen, fact_sweep, offline_verdicts, blind_grades, cost_vs_quality, quality_by_layer, labelled_pairs, router_out_of_fold, router_strategies)}
+QUERIES = {f.__name__: f for f in (window_split_eval, window_split_chosen, pruning_split_eval, pruning_split_chosen, fact_sweep, layer_gates, offline_verdicts, blind_grades, cost_vs_quality, quality_by_layer, labelled_pairs, router_out_of_fold, router_strategies)}
 
 _ADDED = "{'used': a.used + c.used, 'docs': list_distinct(list_concat(a.docs, c.docs)), 'holds': list_distinct(list_concat(a.holds, c.holds))}"
 _EMPTY = "{'used': 0::bigint, 'docs': []::bigint[], 'holds': []::int[]}"
@@ -306,3 +319,7 @@ ORACLE_SQL = {
         p as (select id, query, case when expected_cache = 'semantic_hit' then 'paraphrase' else 'trap' end as kind, case expected_cache when 'semantic_hit' then semantic_of when 'miss' then confusable_with end as other_id from r)
         select p.id, p.kind, p.other_id, p.query, r.query as other_query from p join r on r.id = p.other_id""",
 }
+
+ORACLE_SQL["layer_gates"] = f"""with m as (select * from (select false_hit from ({cache_queries.ORACLE_SQL['exact_cache_summary']})), (select wrong_hit, correct_hit from ({cache_queries.ORACLE_SQL['semantic_modes']}) where mode = 'guards'),
+    (select all_facts_kept, avg_tokens_after from ({ORACLE_SQL['fact_sweep']}) where config = 'section_first(budget=800)'))
+    {' union all '.join(f"select '{m}_{k}' as name, {m}::double as value, {v}::double as bound, {m} {'<=' if k == 'max' else '>='} {v} as ok from m" for m, k, v in GATES)}"""

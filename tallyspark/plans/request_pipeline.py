@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.functions import vectors
+from tallyspark.functions import text, vectors
 from tallyspark.operators import cache, context, models, routing, traffic
 from tallyspark.plans import tables
 from tallyspark.plans.traffic_queries import sql_dollars
@@ -23,7 +23,7 @@ def decide(requests: DataFrame, threshold: float) -> DataFrame:
     rows = requests.join(exact.where("not hit").select("seq"), "seq", "left_semi")
     rows = scratch.stage(rows, "asked")
     pairs = vectors.similar_pairs(rows, "seq", "vec", "tenant", threshold)
-    told = rows.select("seq", "query", "context")
+    told = scratch.stage(rows.select("seq", text.guard_signs(F.col("query")).alias("signs"), "context"), "signs")
     both = pairs.join(told.toDF("a", "cached", "depends_on"), "a").join(told.toDF("b", "new", "context"), "b")
     reason = cache.reject_reason(F.col("new"), F.col("cached"), cache.context_covers(F.col("depends_on"), F.col("context")))
     semantic = cache.semantic_replay(rows.select("seq"), both.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.bround("cos", 6).alias("cos"), reason.alias("reason")))
