@@ -216,10 +216,9 @@ ORACLE_SQL: dict[str, str] = {
           from hurt where damage <> 0),
         ordered as (
           select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text)) as i, left(role, 1) as k, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as tail,
-            row_number() over (partition by conv_id, role, text order by turn nulls first) > 1 as seen,
             lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, md5(text)) as before
           from dealt),
-        turns as (select *, case when tail = '' then 'b' when seen then 'd' when tail not in ('.', '!', '?') then 't' else '-' end as fault from ordered),
+        turns as (select *, case when tail = '' then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd' when tail not in ('.', '!', '?') then 't' else '-' end as fault from ordered),
         facts as (
           select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count_if(fault = 'b')::bigint as blank, count_if(fault = 'd')::bigint as duplicate,
             count_if(fault = 't')::bigint as truncated, count_if(before is not null and before || k not in ('su', 'ua', 'au'))::bigint as illegal, max(i) as last
