@@ -208,13 +208,13 @@ def _replay_sql(mode: str, name: str) -> str:
 
 
 def _fold_sql(name: str) -> str:
-    """Which of the requests are hits, over the candidates cand_<name>."""
+    """Which of the requests are hits, over the candidates cand_<name>; tenants share none, so each is folded by itself."""
     return f"""
-  req_{name} as (select seq, row_number() over (order by seq) as n from requests),
-  src_{name} as (select r.n, r.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js from req_{name} r left join (select * from cand_{name} where reason is null) c on c.dst = r.seq group by 1, 2),
-  fold_{name} as (select 0::bigint as n, []::bigint[] as m union all
-    select f.n + 1, case when list_has_any(f.m, s.js) then f.m else list_append(f.m, s.seq) end from fold_{name} f join src_{name} s on s.n = f.n + 1),
-  miss_{name} as (select unnest(m) as seq from (select m from fold_{name} order by n desc limit 1)),
+  req_{name} as (select seq, label, row_number() over (order by seq) as n, row_number() over (partition by label order by seq) as k from requests),
+  src_{name} as (select r.label, r.k, r.seq, coalesce(list(c.src) filter (where c.src is not null), []) as js from req_{name} r left join (select * from cand_{name} where reason is null) c on c.dst = r.seq group by all),
+  fold_{name} as (select label, 0::bigint as k, []::bigint[] as m from (select distinct label from requests) union all
+    select f.label, s.k, case when list_has_any(f.m, s.js) then f.m else list_append(f.m, s.seq) end from fold_{name} f join src_{name} s on s.label = f.label and s.k = f.k + 1),
+  miss_{name} as (select unnest(m) as seq from (select label, arg_max(m, k) as m from fold_{name} group by label)),
   told_{name} as (select c.*, c.src in (select seq from miss_{name}) as entry from cand_{name} c),
   best_{name} as (select dst, arg_max(src, (cos, -src)) filter (where reason is null) as src, max(cos) filter (where reason is null) as cos, max(cos) as close, arg_max(coalesce(reason, ''), (cos, -src)) as why from told_{name} where entry group by 1),
   out_{name} as (select r.seq, m.seq is null as hit, case when m.seq is null then b.src end as served_from, case when m.seq is null then b.cos else b.close end as cosine,
