@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import scratch
 from tallyspark.functions import text
-from tallyspark.operators import routing
+from tallyspark.operators import routing, traffic
 from tallyspark.plans.tables import table
 
 
@@ -88,7 +88,7 @@ def router_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with the router's features over their whole text, and the vector at the place of their id,
     modulo the number of vectors, in the order of vectors' ids."""
     vecs = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    places = vecs.select("vec_id").distinct().orderBy("vec_id").rdd.map(lambda r: r[0]).zipWithIndex().toDF("vec_id long, place long")
+    places = traffic.places(vecs, "vec_id")
     docs = table(spark, sf_dir, "documents").withColumn("docs", F.lit(1))
     # Features before the join, so that no text is shuffled.
     told = routing.route_table(docs, "text", "docs", "n_chars").select("doc_id", "lang", "source", *routing.FEATURES).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
