@@ -18,6 +18,8 @@ from tallyspark.llm.batches import sliced, small_batches
 REMEMBERED = 200_000
 #: Texts per call of the tokenizer.
 SLICE = 256
+#: Words of 64 bits in the filter of missing digests: rows of a broadcast table, at most, however many digests miss.
+FILTER_WORDS = 1 << 18
 
 
 def tokenizer_digest(path: str) -> str:
@@ -114,14 +116,39 @@ def _keyed(text: str) -> tuple[Column, Column]:
     return content, F.unhex(F.sha2(content, 256)).alias("digest")
 
 
+def _signed(rows: DataFrame) -> DataFrame:
+    """Rows with the filter's ``word`` for their digest and a ``mask`` of up to three bits in it."""
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(_h, {k}) & 63 as int))" for k in (40, 46, 52))
+    signed = rows.withColumn("_h", F.xxhash64("digest"))
+    return signed.withColumn("word", F.pmod("_h", F.lit(FILTER_WORDS))).withColumn("mask", F.expr(bits)).drop("_h")
+
+
+def may_miss(rows: DataFrame, missing: DataFrame) -> DataFrame:
+    """The rows whose digests may be among the missing ones: all that are, and few others."""
+    words = _signed(missing).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    return _signed(rows).join(F.broadcast(words), "word").where("bits & mask = mask").select(*rows.columns)
+
+
+def missing_texts(docs: DataFrame, stored: DataFrame | None, text: str = "text") -> DataFrame:
+    """(digest, packed): the texts that ``stored`` lacks, all rows of a digest in one partition (repeats are possible).
+
+    Digests meet the cache first. Those it lacks fill a filter of bits, a table of FILTER_WORDS rows at most that is
+    broadcast, so of the texts that the cache has nearly none is shuffled; the join after it is exact. At 4 missing
+    digests a word 1 in 150 of the others passes; the more are missing, the less the filter can spare.
+    """
+    content, digest = _keyed(text)
+    whole = docs.select(digest, content.alias("text"))
+    if stored is None:
+        return whole.mapInArrow(_packed, "digest binary, packed binary").repartition("digest")
+    missing = scratch.stage(docs.select(digest).distinct().join(stored.hint("merge"), "digest", "left_anti"), "missing")
+    return may_miss(whole, missing).mapInArrow(_packed, "digest binary, packed binary").join(missing.hint("merge"), "digest", "left_semi")
+
+
 def add_misses(docs: DataFrame, cache: str, tokenizer: str, text: str = "text") -> str:
     """Encode the distinct texts that the cache lacks and append their counts; returns the version's table."""
     spark = docs.sparkSession
     small_batches(spark)
     table = f"{cache.rstrip('/')}/tokenizer={tokenizer_digest(tokenizer)}"
-    content, digest = _keyed(text)
-    misses = docs.select(digest, content.alias("text")).mapInArrow(_packed, "digest binary, packed binary")
-    stored = _stored(spark, table)
-    misses = misses.repartition("digest") if stored is None else misses.join(stored.hint("merge"), "digest", "left_anti")
+    misses = missing_texts(docs, _stored(spark, table), text)
     misses.sortWithinPartitions("digest").mapInArrow(_encoder(tokenizer), "digest binary, n_tokens long").write.mode("append").parquet(table)
     return table

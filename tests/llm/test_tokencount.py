@@ -40,6 +40,28 @@ def test_only_misses_are_encoded_and_appended(spark):
     assert spark.read.parquet(f"{other}/tokenizer={tokencount.tokenizer_digest(MODEL)}").count() == 3
 
 
+def test_texts_of_hits_stay_where_they_are(spark):
+    """Of 3,000 stored texts hardly one passes the filter that lets all 50 missing ones through."""
+    docs = spark.range(3050).selectExpr("id as doc_id", "concat('text ', id) as text").repartition(4)
+    digests = docs.selectExpr("doc_id", "unhex(sha2(text, 256)) as digest", "0L as n_tokens")
+    stored = digests.where("doc_id < 3000").drop("doc_id")
+    texts = tokencount.missing_texts(docs, stored)
+    assert {bytes(r.digest) for r in texts.collect()} == {bytes(r.digest) for r in digests.where("doc_id >= 3000").collect()}
+    passed = tokencount.may_miss(docs.selectExpr("unhex(sha2(text, 256)) as digest", "text"), digests.where("doc_id >= 3000"))
+    assert 50 <= passed.count() <= 60
+    assert tokencount.missing_texts(docs.where("doc_id < 3000"), stored).count() == 0
+
+
+def test_one_digest_of_a_third_of_the_rows(spark):
+    rows = [(i, "the hot text" if i % 3 == 0 else f"text {i}") for i in range(900)]
+    cache = scratch.fresh(spark, "cache")
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    tokencount.count_tokens(df.where("doc_id < 400 and doc_id % 3 > 0"), cache, MODEL).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, cache, MODEL).collect()}
+    assert got == {i: len(model.encode(t)) for i, t in rows}
+
+
 def test_empty_table(spark):
     assert tokencount.count_tokens(spark.createDataFrame([], "doc_id long, text string"), scratch.fresh(spark, "cache"), MODEL).count() == 0
 
