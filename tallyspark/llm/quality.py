@@ -81,8 +81,12 @@ class View:
     def calibrate(self, rows: DataFrame) -> None:
         self.curve = IsotonicRegression(featuresCol=f"says_{self.name}", labelCol="y", predictionCol=f"{self.name}_score").fit(self.says(rows))
 
+    def judge(self, rows: DataFrame) -> DataFrame:
+        """Rows with ``says_<name>`` and ``<name>_score``, the calibrated probability."""
+        return PipelineModel([self.curve]).transform(self.says(rows))
+
     def score(self, rows: DataFrame) -> DataFrame:
-        return PipelineModel([self.curve]).transform(self.says(rows)).drop(f"says_{self.name}")
+        return self.judge(rows).drop(f"says_{self.name}")
 
 
 class Model:
@@ -106,17 +110,18 @@ def lesson(said: DataFrame, teacher: str, share: float, prior: float) -> DataFra
     """The rows that a view is most sure of, by class, with their labels ``y``.
 
     Each class gets its rate of the share. Equal probabilities are told apart by a hash, so that a view of few values
-    passes on no more. A label weighs as much as the view's odds differ from the class rate's: a view that knows
-    little teaches little.
+    passes on no more. A label weighs as much as the view's calibrated odds (``<teacher>_score``) differ from the class
+    rate's: a view that knows little teaches little, however sure it is of itself.
     """
     p = F.col(f"says_{teacher}")
     ranked = said.withColumn("_p", p + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.lit(2.0**-50))
     cuts = ranked.agg(F.percentile_approx("_p", [share * (1 - prior), 1 - share * prior], 10_000)).first()[0]
+    views = ("_p", "says_text", "says_meta", "text_score", "meta_score")
     if cuts is None:
-        return ranked.limit(0).withColumn("y", F.lit(1.0)).withColumn("weight", F.lit(1.0)).drop("_p", "says_text", "says_meta")
-    weight = F.least(F.lit(1.0), F.abs(_logit(p) - _logit(F.lit(prior))) / 4)
+        return ranked.limit(0).withColumn("y", F.lit(1.0)).withColumn("weight", F.lit(1.0)).drop(*views)
+    weight = F.least(F.lit(1.0), F.abs(_logit(F.col(f"{teacher}_score")) - _logit(F.lit(prior))) / 4)
     chosen = ranked.where((F.col("_p") <= cuts[0]) | (F.col("_p") >= cuts[1]))
-    return chosen.withColumn("y", (F.col("_p") >= cuts[1]).cast("double")).withColumn("weight", F.greatest(F.lit(0.01), weight)).drop("_p", "says_text", "says_meta")
+    return chosen.withColumn("y", (F.col("_p") >= cuts[1]).cast("double")).withColumn("weight", F.greatest(F.lit(0.01), weight)).drop(*views)
 
 
 def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS, share: float = SHARE) -> Model:
@@ -147,13 +152,12 @@ def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ro
     for turn in range(rounds):
         for view, told in zip(model.views, lessons, strict=True):
             view.fit(train if told is None else train.unionByName(told))
+            view.calibrate(check)
         if turn + 1 < rounds:
-            said = scratch.stage(model.views[1].says(model.views[0].says(pool)), "co-training")
+            said = scratch.stage(model.views[1].judge(model.views[0].judge(pool)), "co-training")
             spent, lessons = lessons, [scratch.stage(lesson(said, teacher, share, model.prior), "lesson") for teacher in ("meta", "text")]
             model.exchanged.append({teacher: {int(r["y"]): r["count"] for r in told.groupBy("y").count().collect()} for teacher, told in zip(("meta", "text"), lessons, strict=True)})
             scratch.drop(said, *(x for x in spent if x is not None))
-    for view in model.views:
-        view.calibrate(check)
     scratch.drop(marked, taught, *(x for x in lessons if x is not None))
     return model
 

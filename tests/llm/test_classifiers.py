@@ -81,7 +81,7 @@ def test_each_view_teaches_the_other_both_classes_in_each_round(spark, corpus):
 
 
 def test_a_lesson_is_the_surest_share_of_each_class(spark):
-    said = spark.createDataFrame([(i, i / 1000, 0.8) for i in range(1000)], "doc_id long, says_text double, says_meta double")
+    said = spark.createDataFrame([(i, i / 1000, 0.8, i / 1000, 0.8) for i in range(1000)], "doc_id long, says_text double, says_meta double, text_score double, meta_score double")
     told = {r.doc_id: r for r in quality.lesson(said, "text", 0.1, 0.7).collect()}
     assert set(told) <= set(range(31)) | set(range(929, 1000)) and set(told) >= set(range(29)) | set(range(931, 1000))
     assert all(r.y == (i > 500) and 0 < r.weight <= 1 for i, r in told.items()) and told[0].weight == told[999].weight == 1
@@ -89,3 +89,8 @@ def test_a_lesson_is_the_surest_share_of_each_class(spark):
     told = quality.lesson(said, "meta", 0.1, 0.7).collect()
     assert 90 <= len(told) <= 110 and {r.y for r in told} == {0.0, 1.0} and all(r.weight < 0.2 for r in told)
     assert quality.lesson(said.limit(0), "meta", 0.1, 0.7).count() == 0
+
+
+def test_an_overconfident_view_teaches_by_its_calibrated_odds(spark):
+    said = spark.createDataFrame([(i, i / 1000, 0.7 + i / 10**6) for i in range(1000)], "doc_id long, says_text double, text_score double")
+    assert max(r.weight for r in quality.lesson(said, "text", 0.1, 0.7).collect()) < 0.02
