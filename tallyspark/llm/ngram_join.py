@@ -8,13 +8,14 @@ row per pair.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
@@ -170,6 +171,18 @@ def _linked(x: _Chunk, y: _Chunk, p: slice, q: slice, same: bool) -> tuple[np.nd
     return ii[linked] + p.start, jj[linked] + q.start
 
 
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots after the links a - b: the higher root of each link points to the lower one, then all jump to the end."""
+    while True:
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return root
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two chunks at a time: per member the links it gains and a member that it is connected with."""
     for batch in batches:
@@ -178,24 +191,16 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             y = x if same else _Chunk(right.as_py())
             shift = 0 if same else len(x.keys)
             keys = x.keys if same else x.keys + y.keys
-            links, root = np.zeros(len(keys), dtype=np.int64), list(range(len(keys)))
-
-            def find(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = i = root[root[i]]
-                return i
-
+            links, root = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
             for i in range(0, len(x.keys), BLOCK):
                 for j in range(i if same else 0, len(y.keys), BLOCK):
                     ii, jj = _linked(x, y, slice(i, i + BLOCK), slice(j, j + BLOCK), same and i == j)
                     np.add.at(links, ii, y.copies[jj])
                     np.add.at(links, jj + shift, x.copies[ii])
-                    for a, b in zip(ii.tolist(), (jj + shift).tolist(), strict=True):
-                        if (p := find(a)) != (q := find(b)):
-                            root[max(p, q)] = min(p, q)
+                    root = _united(root, ii, jj + shift)
             hit = np.nonzero(links)[0].tolist()
             if hit:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array([keys[find(i)] for i in hit], pa.int64())], ["key", "links", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.int64()), pa.array(links[hit], pa.int64()), pa.array([keys[root[i]] for i in hit], pa.int64())], ["key", "links", "other"])
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -214,6 +219,12 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def size_class(n: Column) -> Column:
+    """Sets of n and m members can be similar at the threshold only if their classes differ by one at most."""
+    # Classes are wider than the threshold by far more than the logarithm's error, which could part two sets right at it.
+    return F.floor(F.log(n.cast("double")) / (math.log(DENOMINATOR / NUMERATOR) * (1 + 1e-9))).cast("int")
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, content, digest) of each row, and (key, digest, root, least, copies, links) of each distinct set: the key of
     its component, the least id among its copies, how many there are and how many rows of other sets they are linked with.
@@ -230,9 +241,12 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A set in large buckets is at home in its largest, and there in one of as many chunks as the bucket's sets fill.
     at_home = shared.where(F.col("m") > BIG).groupBy("key").agg(F.max(F.struct("m", "band")).alias("top")).select("key", F.col("top.band").alias("home"))
     at_home = scratch.stage(at_home.join(reps.select("key", "n"), "key"), "at-home")
+    # Sets whose sizes differ by more than the threshold can't be linked, so chunks keep to a class of sizes, and meet
+    # those of their own class and of its neighbours only.
+    at_home = at_home.withColumn("size", size_class(F.col("n")))
     slots = F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_SHINGLES))
-    slots = at_home.groupBy("home").agg(slots.alias("slots"))
-    homes = scratch.stage(at_home.join(slots, "home").select("key", "home", F.pmod(F.xxhash64("key"), "slots").alias("slot")), "homes")
+    slots = at_home.groupBy("home", "size").agg(slots.alias("slots"))
+    homes = scratch.stage(at_home.join(slots, ["home", "size"]).select("key", "home", "size", F.pmod(F.xxhash64("key"), "slots").alias("slot")), "homes")
     placed = scratch.stage(shared.join(homes, "key", "left"), "placed")
     scratch.drop(shared, at_home)
 
@@ -256,10 +270,10 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     links = likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "key long, links long, other long")
 
-    chunk = F.struct("home", "slot").alias("chunk")
+    chunk = F.struct("home", "size", "slot").alias("chunk")
     blocks = scratch.stage(sets.join(homes, "key").groupBy(chunk).agg(F.collect_list(F.struct("key", "copies", "sig", "hashes")).alias("members")), "chunks")
     met = placed.where("home is not null").select("band", chunk).distinct()
-    duos = met.select("band", F.col("chunk").alias("p")).join(met.select("band", F.col("chunk").alias("q")), "band").where("p <= q").select("p", "q").distinct()
+    duos = met.select("band", F.col("chunk").alias("p")).join(met.select("band", F.col("chunk").alias("q")), "band").where("p <= q and abs(p.size - q.size) <= 1").select("p", "q").distinct()
     duos = duos.join(blocks.select(F.col("chunk").alias("p"), F.col("members").alias("left")), "p").join(blocks.select(F.col("chunk").alias("q"), F.col("members").alias("right")), "q")
     duos = duos.select("left", F.when(F.expr("p < q"), F.col("right")).alias("right"), F.expr("p = q").alias("same"))
     links = scratch.stage(links.union(duos.mapInArrow(_compared, "key long, links long, other long")), "links")

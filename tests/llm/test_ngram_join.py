@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tallyspark.llm import ngram_join, queries
 
@@ -74,6 +75,33 @@ def test_a_large_group_goes_through_chunks(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_a_large_group_of_many_sizes(spark):
+    """Chunks keep to a class of sizes: prefixes of one text, each similar to those within a quarter of its length."""
+    words = [f"s{i}" for i in range(400)]
+    rows = [(i, " ".join(words[: 40 + i])) for i in range(0, 360, 2)]
+    assert found(spark, rows) == brute(rows)
+
+
+def test_similar_sizes_are_in_neighbouring_classes(spark):
+    n = np.unique(np.concatenate([np.arange(1, 3000), np.arange(1, 400) * 1000]))
+    made = spark.createDataFrame([(int(x), int(y)) for x in n for y in (x, x * 5 // 4)], "a long, b long")
+    gaps = made.select((ngram_join.size_class(F.col("b")) - ngram_join.size_class(F.col("a"))).alias("gap"))
+    assert {r.gap for r in gaps.distinct().collect()} <= {0, 1}
+
+
+def test_roots_of_links():
+    draw = np.random.default_rng(8)
+    for n in (1, 7, 90):
+        root, plain = np.arange(n), list(range(n))
+        for _ in range(4):
+            a, b = draw.integers(0, n, n // 3), draw.integers(0, n, n // 3)
+            root = ngram_join._united(root, a, b)
+            for x, y in zip(a, b, strict=True):
+                old, new = max(plain[x], plain[y]), min(plain[x], plain[y])
+                plain = [new if r == old else r for r in plain]
+            assert root.tolist() == plain
+
+
 def test_pruning_keeps_pairs_at_the_threshold():
     draw = np.random.default_rng(4)
     n = ngram_join.BANDS * ngram_join.ROWS
