@@ -69,6 +69,13 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.get(ordered, at)
 
 
+def _meet(rows: DataFrame, told: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join by keys in which null is a key like others, so that rows without a label aren't lost."""
+    named = told.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_of_{key}")) for key in keys]
+    return rows.join(named, same, how).drop(*(f"_of_{key}" for key in keys))
+
+
 def _counted(rows: DataFrame, labels: list[str], value: str) -> DataFrame:
     """(labels, value, upto, n): how many values of a label there are up to each one, and in all.
 
@@ -77,8 +84,7 @@ def _counted(rows: DataFrame, labels: list[str], value: str) -> DataFrame:
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(*labels, value).agg(F.count("*").alias("c"))
     summed = running_total(counted, labels, [value], F.col("c")).withColumnRenamed("total", "upto")
-    sizes = summed.groupBy(*labels).agg(F.max("upto").alias("n"))
-    return summed.join(F.broadcast(sizes), labels)
+    return _meet(summed, summed.groupBy(*labels).agg(F.max("upto").alias("n")), labels)
 
 
 def nearest_ranks(rows: DataFrame, labels: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
@@ -88,6 +94,19 @@ def nearest_ranks(rows: DataFrame, labels: list[str], value: str, ps: tuple[floa
     return ranked.groupBy(*labels).agg(F.max("n").alias("n"), *picks)
 
 
+def load_summary(rows: DataFrame, label: str, value: str, at: str, ok: str, ps: tuple[float, ...]) -> DataFrame:
+    """(label, n, n_ok, wall, per_second, percentiles of ``value``) by label, and over all rows under the label ``all``.
+
+    ``wall`` is the seconds between the first and the last row, ``per_second`` the sound rows (``ok``) by it: null where
+    there is no such time. Rows without a value count as requests, but in no percentile. No rows give no label.
+    """
+    both = rows.withColumn(label, F.explode(F.array(F.col(label), F.lit("all"))))
+    wall = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / F.lit(1e6)
+    sums = both.groupBy(label).agg(F.count("*").alias("n"), F.count_if(F.col(ok)).alias("n_ok"), wall.alias("wall"))
+    sums = sums.withColumn("per_second", F.bround(F.col("n_ok") / F.nullif(F.col("wall"), F.lit(0.0)), 4))
+    return _meet(sums, nearest_ranks(both, [label], value, ps).drop("n"), [label], "left")
+
+
 def upper_median(rows: DataFrame, labels: list[str], value: str) -> DataFrame:
     """(labels, n, least, most, median): the element at position n // 2 of the sorted values."""
     ranked = _counted(rows, labels, value)
@@ -133,7 +152,7 @@ def running_total(rows: DataFrame, labels: list[str], order: list[str], value: C
     sums = cut.groupBy(*labels, "_part").agg(F.sum("_value").alias("_sum"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy(*labels).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
     inside = F.sum("_value").over(Window.partitionBy(*labels, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("_inside", inside).join(before, [*labels, "_part"]).withColumn("total", F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_part", "_value", "_inside", "_before")
+    return cut.withColumn("_inside", inside).transform(_meet, before, [*labels, "_part"]).withColumn("total", F.col("_inside") + F.coalesce("_before", F.lit(0))).drop("_part", "_value", "_inside", "_before")
 
 
 def previous(rows: DataFrame, labels: list[str], order: list[str], value: str, name: str, parts: int | None = None) -> DataFrame:
@@ -145,7 +164,7 @@ def previous(rows: DataFrame, labels: list[str], order: list[str], value: str, n
     last = cut.groupBy(*labels, "_part").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
     earlier = last.withColumn("_earlier", F.lag("_last").over(Window.partitionBy(*labels).orderBy("_part"))).drop("_last")
     inside = F.lag(F.struct(value)).over(Window.partitionBy(*labels, "_part").orderBy(*order))
-    found = cut.withColumn("_inside", inside).join(earlier, [*labels, "_part"])
+    found = _meet(cut.withColumn("_inside", inside), earlier, [*labels, "_part"])
     return found.withColumn("_inside", F.coalesce("_inside", "_earlier")).drop("_part", "_earlier").withColumn(name, F.col("_inside")[value]).drop("_inside")
 
 

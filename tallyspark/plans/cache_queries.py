@@ -16,6 +16,8 @@ GRID = tuple(round(THETA + 0.01 * i, 2) for i in range(30))
 MODES = ("cosine", "context", "guards")
 #: What traps are made of, by the document's number.
 TRAPS = ("tricky_number", "tricky_negation", "tricky_intent", "tricky_case", "tricky_state", "edge")
+#: Documents of a source and language that agree in so many first characters are expected to give one answer.
+CLUSTER_CHARS = 40
 REASONS = ("low_cosine", "context_mismatch", "numbers_mismatch", "negation_mismatch", "empty")
 
 
@@ -26,9 +28,16 @@ def exact_cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_cache_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_cache_replay(spark, sf_dir)
-    expected = F.col("doc_id") % 3 == 0
-    out = out.withColumn("outcome", cache.exact_outcome(F.col("hit"), expected, F.col("served_from"), F.col("served_from")))
+    """What the cache did against what is expected: later documents of a cluster (those of a source and language that
+    begin alike) should be served from its first one. Edited copies miss or come from a wrong source, and copies from
+    other sources hit where nothing is expected."""
+    docs = table(spark, sf_dir, "documents")
+    cluster = F.sha2(F.concat_ws("|", F.col("source"), F.col("lang"), F.left(F.col("text"), F.lit(CLUSTER_CHARS))), 256)
+    rows = docs.select("doc_id", cache.cache_key(F.col("text"), F.lit(None).cast("string"), F.array(F.col("lang"))).alias("key"), cluster.alias("cluster"), text.approx_tokens(F.col("text")).alias("tokens"))
+    rows = cache.exact_replay(rows, "cluster", "doc_id").withColumnsRenamed({"hit": "expected", "served_from": "expected_source"})
+    out = cache.exact_replay(rows, "key", "doc_id").withColumn("tokens_saved", F.when(F.col("hit"), F.col("tokens")).otherwise(0))
+    expected = F.col("expected")
+    out = out.withColumn("outcome", cache.exact_outcome(F.col("hit"), expected, F.col("served_from"), F.col("expected_source")))
     hits, total = F.count_if("hit"), F.count("*")
     return out.agg(
         total.alias("queries"),
@@ -265,13 +274,12 @@ _MODE = f"""select '{{0}}' as mode, count(*) as queries, count(*) filter (hit) a
 
 ORACLE_SQL = {
     "exact_cache_replay": f"with {_EXACT} select doc_id, hit, served_from, case when hit then tokens else 0 end as tokens_saved, tokens from out",
-    "exact_cache_summary": f"""with {_EXACT} select count(*) as queries, count(*) filter (hit) as hits, count(*) filter (not hit) as misses,
-        count(*) filter (hit and doc_id % 3 = 0) as true_hit, count(*) filter (hit and doc_id % 3 <> 0) as false_hit, 0::bigint as wrong_source,
-        count(*) filter (not hit and doc_id % 3 = 0) as missed_hit, count(*) filter (not hit and doc_id % 3 <> 0) as true_miss,
-        round_even(count(*) filter (hit and doc_id % 3 = 0) / nullif(count(*) filter (doc_id % 3 = 0), 0), 4) as recall,
-        round_even(count(*) filter (hit and doc_id % 3 = 0) / nullif(count(*) filter (hit), 0), 4) as precision,
-        round_even(count(*) filter (hit) / count(*), 4) as hit_rate, sum(tokens)::bigint as context_tokens_total,
-        sum(case when hit then tokens else 0 end)::bigint as context_tokens_saved, round_even(sum(case when hit then tokens else 0 end) / sum(tokens), 4) as tokens_saved_pct from out""",
+    "exact_cache_summary": f"""with {_EXACT}, e as (select doc_id, row_number() over w > 1 as expected, first_value(doc_id) over w as source_doc from documents window w as (partition by source, lang, left(text, {CLUSTER_CHARS}) order by doc_id)),
+        o as (select *, case when hit and expected and served_from = source_doc then 'true_hit' when hit and expected then 'wrong_source' when hit then 'false_hit' when expected then 'missed_hit' else 'true_miss' end as outcome from out join e using (doc_id)),
+        t as (select count(*) as queries, count(*) filter (hit) as hits, count(*) filter (not hit) as misses, {', '.join(f"count(*) filter (outcome = '{x}') as {x}" for x in ('true_hit', 'false_hit', 'wrong_source', 'missed_hit', 'true_miss'))},
+          count(*) filter (expected) as due, sum(tokens)::bigint as context_tokens_total, sum(case when hit then tokens else 0 end)::bigint as context_tokens_saved from o)
+        select * exclude (due), round_even(true_hit / nullif(due, 0), 4) as recall, round_even(true_hit / nullif(hits, 0), 4) as precision, round_even(hits / queries, 4) as hit_rate,
+          round_even(context_tokens_saved / context_tokens_total, 4) as tokens_saved_pct from t""",
     "cache_key_orders": """with p as (select l_orderkey, list_sort(list(sha256(l_partkey::varchar))) as docs from lineitem group by 1)
         select o_orderkey, sha256(concat_ws('|', o_orderpriority, o_orderstatus, array_to_string(docs, ','))) as key, len(docs)::int as n_docs from orders join p on l_orderkey = o_orderkey""",
     "numbers_guard": f"""with d as (select *, lag(text) over (partition by source, lang order by doc_id) as before from documents)

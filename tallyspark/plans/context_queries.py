@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import text
 from tallyspark.operators import context
-from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_SCORED, SQL_STRIPPED, chunks, joined, numbered, scored, sections, sql_sentences, sql_tokens, table
+from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_SCORED, SQL_STRIPPED, chunks, joined, numbered, scored, sections, sql_sentences, sql_tokens, table, attachments
 
 BUDGETS = (100, 200, 300, 400, 500, 600, 800, 1000, 1200)
 
@@ -21,6 +21,13 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).select("req_id", "doc_id", "pos", "section", "tokens", F.length("body").alias("chars"))
 
 
+def wanted_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attachments that name the sections they want (every third), name none, or leave it open."""
+    wanted = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("s0"), F.lit("s2"))).when(F.col("doc_id") % 3 == 1, F.array().cast("array<string>"))
+    found = context.chunks(attachments(spark, sf_dir).withColumn("wanted", wanted), sections(spark, sf_dir).select("doc_id", "title", "section_pos", "section", "body"))
+    return found.select(F.col("req_id").cast("long"), "doc_id", "pos", "section", "tokens")
+
+
 def eligible_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.eligible(chunks(spark, sf_dir)).select("req_id", "tokens", "n")
 
@@ -109,7 +116,7 @@ def context_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("o_orderkey", F.sha2(context.prompt(F.lit("What is open?"), F.col("context")), 256).alias("prompt_sha"), text.approx_tokens(F.col("context")).alias("tokens"))
 
 
-QUERIES = {f.__name__: f for f in (token_estimates, section_chunks, eligible_requests, boilerplate_sentences, strip_boilerplate, window_section_first, budget_sweep, window_hybrid, near_documents, mean_doc_scores, gold_rank, sentence_prune, fact_coverage, case_render, context_assemble)}
+QUERIES = {f.__name__: f for f in (token_estimates, section_chunks, wanted_sections, eligible_requests, boilerplate_sentences, strip_boilerplate, window_section_first, budget_sweep, window_hybrid, near_documents, mean_doc_scores, gold_rank, sentence_prune, fact_coverage, case_render, context_assemble)}
 
 _PACK = "list_reduce({0}, lambda a, c: case when {1}a.used + c.used > {2} then a else {{'used': a.used + c.used, 'kept': list_concat(a.kept, c.kept)}} end, {{'used': {3}, 'kept': []::int[]}})"
 _ORDERED = "list({'used': tokens::bigint, 'kept': [pos]} order by score desc, pos)"
@@ -125,6 +132,8 @@ def _loose(fact: str, body: str) -> str:
 ORACLE_SQL = {
     "token_estimates": rf"select doc_id, len(regexp_extract_all(text, '\S+'))::int as n_words, {sql_tokens('text')} as tokens, len({sql_sentences('text')})::int as n_sentences, length(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'))::int as clean_chars from documents",
     "section_chunks": f"with {SQL_CHUNKS} select req_id, doc_id, pos, section, tokens, length(body)::int as chars from chunks",
+    "wanted_sections": f"""with {SQL_CHUNKS}, w as (select doc_id // 10 as req_id, doc_id, section, section_pos, body from sections where doc_id % 3 <> 0 or section in ('s0', 's2'))
+        select req_id, doc_id, (row_number() over (partition by req_id order by doc_id, section_pos) - 1)::int as pos, section, {sql_tokens('body')} as tokens from w""",
     "eligible_requests": f"with {SQL_CHUNKS} select req_id, sum(tokens)::bigint as tokens, count(*) as n from chunks group by 1 having sum(tokens) >= 1500 and count(*) > 1",
     "boilerplate_sentences": f"with {SQL_CHUNKS}, {SQL_BOILERPLATE} select * from repeated",
     "strip_boilerplate": f"with {SQL_CHUNKS}, {SQL_STRIPPED} select req_id, doc_id, pos, n_repeated, {sql_tokens('body')} as tokens, sha256(body) as body_sha from stripped",

@@ -7,11 +7,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from tallyspark import scratch
-from tallyspark.operators import traffic
-from tallyspark.plans.tables import SQL_EVENTS, events
-from tallyspark.streaming import requests
+from tallyspark.operators import context, traffic
+from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_EVENTS, events, sections, sql_sentences, table
+from tallyspark.streaming import requests, sentences
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Files that the rows arrive in, half of them before the stream is stopped; state partitions; seconds a run may take.
@@ -40,7 +41,11 @@ def _arrivals(rows: DataFrame, order: str) -> list[DataFrame]:
 
 def _run(live: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """What is there now, then an end: the next run goes on from the checkpoint."""
-    query = live.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    _end(live.writeStream.format("parquet").outputMode(mode).option("path", out), checkpoint)
+
+
+def _end(writer: DataStreamWriter, checkpoint: str) -> None:
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         if not query.awaitTermination(SECONDS):
             raise TimeoutError("the stream did not end")
@@ -100,7 +105,23 @@ def stream_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("event_id >= 0")
 
 
-QUERIES = {f.__name__: f for f in (stream_ttl_cache, shadow_measured, stream_shadow)}
+def stream_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated sentences of documents that arrive over several runs of a stream, with those of pasted documents (every
+    hundredth), which need no repetition; n_docs is null where only a pasted one holds the sentence."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    source, place, checkpoint = (scratch.fresh(spark, f"sentences-{n}") for n in ("in", "counts", "checkpoint"))
+    live = spark.readStream.schema(docs.schema).parquet(f"{source}/*")
+    lines = live.select("doc_id", F.explode(F.split("text", "\n")).alias("body")).where("body <> ''")
+    for i, part in enumerate(_arrivals(docs, "doc_id")):
+        part.write.parquet(f"{source}/{i}")
+        # Each run is a new reader of the folder, as after a restart.
+        _end(lines.writeStream.foreachBatch(sentences.SentenceCounts(spark, place).merge), checkpoint)
+    pasted = context.boilerplate(sections(spark, sf_dir).where("doc_id % 100 = 1"), least_docs=1)
+    repeated = sentences.SentenceCounts(spark, place).repeated()
+    return context.united_boilerplate(repeated, pasted).join(repeated, "sentence", "left")
+
+
+QUERIES = {f.__name__: f for f in (stream_ttl_cache, shadow_measured, stream_shadow, stream_boilerplate)}
 
 _MEASURED = f"""with {SQL_EVENTS}, r as (select event_id, moment, tokens, round_even(tokens * 2 * 2.00::double + 120 * 10.00::double, 0) / 1e6::double as estimate from ev),
     s as (select event_id, moment + to_minutes(event_id % 28) as came, round_even(greatest(0, tokens * 2 - coalesce(try_cast(json_extract_string(props, '$.k') as bigint), 0)) * 2.00::double + 120 * 10.00::double, 0) / 1e6::double as measured from ev where event_id % 4 = 0)
@@ -108,6 +129,8 @@ _MEASURED = f"""with {SQL_EVENTS}, r as (select event_id, moment, tokens, round_
     from r left join s on s.event_id = r.event_id and s.came >= r.moment and s.came <= r.moment + interval 20 minute"""
 
 ORACLE_SQL = {
+    "stream_boilerplate": f"""with {SQL_CHUNKS}, {SQL_BOILERPLATE}, pasted as (select distinct unnest({sql_sentences('body')}) as sentence from sections where doc_id % 100 = 1)
+        select coalesce(r.sentence, p.sentence) as sentence, n_docs from repeated r full join pasted p on r.sentence = p.sentence""",
     "shadow_measured": _MEASURED,
     "stream_shadow": _MEASURED,
     "stream_ttl_cache": f"""with recursive {SQL_EVENTS}, o as (select event_id, moment, tenant, layer, row_number() over (partition by tenant, layer order by moment, event_id) as n from ev),

@@ -88,6 +88,12 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.nearest_ranks(events(spark, sf_dir), ["layer"], "seconds", PERCENTILES)
 
 
+def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latencies and throughput by layer and over all: an error takes its time, but isn't served."""
+    rows = events(spark, sf_dir).withColumn("served", F.col("layer") != "error")
+    return traffic.load_summary(rows, "layer", "seconds", "at", "served", PERCENTILES)
+
+
 def requests_per_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = traffic.per_window(events(spark, sf_dir), "at", ["layer"], "1 minute")
     return found.select(F.unix_timestamp("start").alias("start"), "layer", "n")
@@ -168,7 +174,7 @@ def trace_vs_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (request_counters, counter_families, quality_preserved, cost_by_tenant, savings_rollup, layers_vs_baseline, cache_share, stage_histogram, histogram_quantiles, latency_percentiles, requests_per_minute, sliding_requests, cumulative_tokens, spend_cap, last_request, recent_requests, single_flight, tenant_slugs, tenant_values, stage_spans, parsed_verdicts, value_tally, shadow_baseline, trace_vs_offline)
+    for f in (request_counters, counter_families, quality_preserved, cost_by_tenant, savings_rollup, layers_vs_baseline, cache_share, stage_histogram, histogram_quantiles, latency_percentiles, load_summary, requests_per_minute, sliding_requests, cumulative_tokens, spend_cap, last_request, recent_requests, single_flight, tenant_slugs, tenant_values, stage_spans, parsed_verdicts, value_tally, shadow_baseline, trace_vs_offline)
 }
 
 
@@ -220,6 +226,9 @@ ORACLE_SQL = {
         h as (select layer, start, total, list_append(list(le order by le), null) as les, list_append(list(n order by le), total) as ns from c join t using (layer, start) group by 1, 2, 3)
         {_quantile(0.5)} union all {_quantile(0.95)}""",
     "latency_percentiles": f"with {SQL_EVENTS} select layer, count(seconds) as n, {_rank(50)} as p50, {_rank(95)} as p95, {_rank(99)} as p99 from ev group by 1",
+    "load_summary": f"""with {SQL_EVENTS}, b as (select layer, moment, seconds, layer <> 'error' as served from ev union all select 'all', moment, seconds, layer <> 'error' from ev),
+        s as (select layer, count(*) as n, count(*) filter (served) as n_ok, (epoch_us(max(moment)) - epoch_us(min(moment))) / 1e6::double as wall, {_rank(50)} as p50, {_rank(95)} as p95, {_rank(99)} as p99 from b group by 1)
+        select *, round_even(n_ok / nullif(wall, 0), 4) as per_second from s""",
     "requests_per_minute": f"with {SQL_EVENTS} select floor(epoch(moment) / 60)::bigint * 60 as start, layer, count(*) as n from ev group by 1, 2",
     "sliding_requests": f"with {SQL_EVENTS} select (floor(epoch(moment) / 300)::bigint - k) * 300 as start, tenant, count(*) as n from ev cross join (values (0), (1), (2)) o(k) group by 1, 2",
     "cumulative_tokens": f"with {SQL_EVENTS} select event_id, tenant, sum(tokens) over (partition by tenant order by moment, event_id)::bigint as total from ev",

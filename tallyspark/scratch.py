@@ -43,11 +43,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table by its path; without Spark's own file system calls it stays."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the tables in a folder that have been written to their end; none if the folder isn't there."""
+    marks = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*/_SUCCESS")
+    found = marks.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(marks)
+    return sorted(mark.getPath().getParent().getName() for mark in found or [])
+
+
 def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that no result is still to be read from; without Spark's own file system calls they stay."""
+    """Delete staged tables that no result is still to be read from."""
     for table in tables:
         path = _PLACES.pop(table, None)
-        jvm = getattr(table.sparkSession, "_jvm", None)
-        if path and jvm:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        if path:
+            remove(table.sparkSession, path)

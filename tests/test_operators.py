@@ -166,3 +166,24 @@ def test_audit_compiles_rules_by_what_they_need(spark):
     got = sorted(map(tuple, checks.audit(rows, "id", rules, {"t": spark.createDataFrame([(1,), (2,)], "key int")}).collect()))
     want = [(3, "has k"), (2, "one id"), (2, "one id"), (2, "k and v"), (2, "k and v"), (1, "ref"), (4, "ref"), (3, "link"), (3, "same v"), (4, "same v")]
     assert got == sorted(want)
+
+
+def test_load_summary_of_gaps_single_rows_and_nothing(spark):
+    schema = "layer string, seconds double, second int, ok boolean"
+    rows = spark.createDataFrame([("a", 1.0, 0, True), ("a", None, 10, False), (None, 3.0, 5, True), ("b", None, 7, True)], schema).withColumn("at", F.timestamp_seconds("second"))
+    got = {r.layer: (r.n, r.n_ok, r.wall, r.per_second, r.p50) for r in traffic.load_summary(rows, "layer", "seconds", "at", "ok", (50,)).collect()}
+    assert got == {"a": (2, 1, 10.0, 0.1, 1.0), None: (1, 1, 0.0, None, 3.0), "b": (1, 1, 0.0, None, None), "all": (4, 3, 10.0, 0.3, 1.0)}
+    assert traffic.load_summary(rows.limit(0), "layer", "seconds", "at", "ok", (50,)).count() == 0
+
+
+def test_a_wrong_source_is_an_expected_hit_from_elsewhere(spark):
+    rows = spark.createDataFrame([(True, True, 1, 1), (True, True, 2, 1), (True, False, 1, None), (False, True, None, 1), (False, False, None, None)], "hit boolean, due boolean, src int, want int")
+    got = [r.o for r in rows.select(cache.exact_outcome(F.col("hit"), F.col("due"), F.col("src"), F.col("want")).alias("o")).collect()]
+    assert got == ["true_hit", "wrong_source", "false_hit", "missed_hit", "true_miss"]
+
+
+def test_totals_and_rows_before_keep_null_labels(spark):
+    rows = spark.createDataFrame([(None, 1, 5), ("a", 2, 7), (None, 3, 2), ("a", 4, 1), (None, 5, 1)], "k string, i int, v int")
+    for parts in (1, 3):
+        assert sorted((r.i, r.total) for r in traffic.running_total(rows, ["k"], ["i"], F.col("v"), parts).collect()) == [(1, 5), (2, 7), (3, 7), (4, 8), (5, 8)]
+        assert sorted((r.i, r.before) for r in traffic.previous(rows, ["k"], ["i"], "v", "before", parts).collect()) == [(1, None), (2, None), (3, 5), (4, 7), (5, 2)]

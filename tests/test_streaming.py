@@ -1,15 +1,18 @@
 """Streams fed from files, against the batch operators."""
 
 import datetime
+import functools
+import random
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark import scratch
-from tallyspark.operators import traffic
+from tallyspark.operators import context, traffic
 from tallyspark.plans import stream_queries
 from tallyspark.plans.tables import events
-from tallyspark.streaming import requests
+from tallyspark.streaming import requests, sentences
 
 
 @pytest.fixture
@@ -78,3 +81,36 @@ def test_rows_behind_the_watermark_are_dropped_and_entries_end(spark, tmp_path):
     got = answers(spark, batches, 100, "10 seconds", tmp_path)
     # Row 4 is 880 seconds old when the watermark stands at 990.
     assert got == {1: (False, None), 2: (True, 1), 3: (False, None), 5: (False, None)}
+
+
+def sentence_batches(spark, n, seed=5):
+    """Sections of whole documents in batches; sentences recur across them, and a third of all rows hold the same one."""
+    draw = random.Random(seed)
+    said = [f"Sentence number {i}." for i in range(30)]
+    rows = [[(b * 100 + d, " ".join(draw.sample(said, 3) + ["Common one."] * (draw.random() < 0.4))) for d in range(20) for _ in range(draw.choice((1, 2)))] for b in range(n)]
+    rows[1] += [(900, None), (901, ""), (None, "Nobody's. Common one.")]
+    return [spark.createDataFrame(r, "doc_id long, body string") for r in rows]
+
+
+def test_runs_cover_all_batches_and_carry_like_a_counter():
+    for n in range(1, 40):
+        spans = [b for first, last in sentences.runs(n) for b in range(first, last + 1)]
+        assert spans == list(range(n))
+        assert len(sentences.runs(n)) == n.bit_count()
+
+
+def test_sentences_are_counted_after_each_batch_as_over_all_rows(spark):
+    kept = sentences.SentenceCounts(spark, scratch.fresh(spark, "counts"))
+    assert kept.n_batches() == 0 and kept.counts().count() == 0
+    batches = sentence_batches(spark, 6) + [spark.createDataFrame([], "doc_id long, body string")]
+    for i, batch in enumerate(batches):
+        kept.merge(batch, i)
+        if i in (1, 3, 4):
+            # A batch that failed after its table was written comes again.
+            kept.merge(batch, i)
+        every = functools.reduce(DataFrame.union, batches[: i + 1])
+        again = sentences.SentenceCounts(spark, kept.path)
+        assert again.n_batches() == i + 1
+        assert {tuple(r) for r in again.repeated().collect()} == {tuple(r) for r in context.boilerplate(every).collect()}
+    # Tables of batches that are settled are gone: what is left is read, or was carried by the last batch.
+    assert len(scratch.finished(spark, kept.path)) <= len(set(sentences.runs(7)) | set(sentences.runs(6)))
