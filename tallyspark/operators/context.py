@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,13 @@ def chunks(attachments: DataFrame, sections: DataFrame) -> DataFrame:
     ``attachments`` has (req_id, att_pos, doc_id, wanted): a null or empty ``wanted`` attaches all sections.
     """
     every = attachments.join(sections, "doc_id").where(F.coalesce(F.size("wanted"), F.lit(0)).isin(0, -1) | F.array_contains("wanted", F.col("section")))
+    return in_order(every)
+
+
+def in_order(attached: DataFrame) -> DataFrame:
+    """The same for sections that have their request already: (req_id, att_pos, doc_id, title, section_pos, section, body)."""
     order = Window.partitionBy("req_id").orderBy("att_pos", "section_pos")
-    return every.select(
+    return attached.select(
         "req_id",
         "doc_id",
         (F.row_number().over(order) - 1).alias("pos"),
@@ -85,24 +92,36 @@ def united_boilerplate(corpus: DataFrame, pasted: DataFrame) -> DataFrame:
     return corpus.select("sentence").union(pasted.select("sentence")).distinct()
 
 
+def boilerplate_hashes(sections: DataFrame, least_docs: int = 3) -> DataFrame:
+    """(h): the hashes of ``boilerplate``; no sentence is shuffled."""
+    each = sections.select("doc_id", F.explode(F.array_distinct(F.transform(text.sentences(F.col("body")), lambda s: F.xxhash64(s)))).alias("h"))
+    return each.distinct().groupBy("h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs).select("h")
+
+
+def repeated_places(sections: DataFrame, repeated: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, i): the places of repeated sentences in their sections. ``repeated`` has sentences, or their hashes (h)."""
+    # Sentences meet by hash, so that no text is compared with a key that is frequent by definition.
+    each = sections.select(*keys, F.posexplode(F.transform(text.sentences(F.col("body")), lambda s: F.xxhash64(s))).alias("i", "h"))
+    known = repeated.select("h" if "h" in repeated.columns else F.xxhash64("sentence").alias("h")).distinct()
+    return each.join(known, "h").drop("h")
+
+
+def bared(body: Column, at: Column, drop_ratio: float = 0.3) -> Column:
+    """The body without the sentences at some places (null: none); null if those are too many."""
+    told, n = text.sentences(body), F.coalesce(F.size(at), F.lit(0))
+    rest = F.array_join(F.filter(told, lambda s, i: ~F.array_contains(at, i)), " ")
+    return F.when(at.isNull(), body).when(n / F.size(told) < drop_ratio, rest)
+
+
 def strip_boilerplate(sections: DataFrame, repeated: DataFrame, drop_ratio: float = 0.3, keys: tuple[str, ...] = ("doc_id", "pos")) -> DataFrame:
     """Sections (``keys`` and body) without repeated sentences; ones that mostly consisted of them are dropped.
 
     A section without any keeps its body as it is; others get their sentences joined by a blank.
     """
-    # Sentences meet by hash, so that no text is compared with a key that is frequent by definition.
-    each = sections.select(*keys, F.posexplode(text.sentences(F.col("body"))).alias("i", "sentence"))
-    known = repeated.select(F.xxhash64("sentence").alias("h")).distinct().withColumn("repeated", F.lit(True))
-    marked = each.withColumn("h", F.xxhash64("sentence")).join(known, "h", "left")
-    kept = marked.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.count("repeated").alias("n_repeated"),
-        F.array_sort(F.collect_list(F.when(F.col("repeated").isNull(), F.struct("i", "sentence")))).alias("rest"),
-    )
-    found = sections.join(kept, list(keys), "left").withColumn("n_repeated", F.coalesce("n_repeated", F.lit(0)))
-    found = found.where((F.col("n_repeated") == 0) | (F.col("n_repeated") / F.col("n") < drop_ratio))
-    body = F.when(F.col("n_repeated") == 0, F.col("body")).otherwise(F.array_join("rest.sentence", " "))
-    return found.withColumn("body", body).drop("rest", "n").withColumn("tokens", text.approx_tokens(F.col("body")))
+    at = repeated_places(sections, repeated, keys).groupBy(*keys).agg(F.collect_list("i").alias("_at"))
+    found = sections.join(at, list(keys), "left").withColumn("n_repeated", F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).cast("long"))
+    found = found.withColumn("_bare", bared(F.col("body"), F.col("_at"), drop_ratio)).where(F.col("_at").isNull() | F.col("_bare").isNotNull())
+    return found.withColumn("body", F.col("_bare")).drop("_at", "_bare").withColumn("tokens", text.approx_tokens(F.col("body")))
 
 
 def pack_sections(ordered: Column, budget: int = BUDGET) -> Column:

@@ -37,7 +37,7 @@ def boilerplate_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stripped_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context.strip_boilerplate(chunks(spark, sf_dir).select("req_id", "doc_id", "pos", "body"), context.boilerplate(sections(spark, sf_dir)))
+    return context.strip_boilerplate(chunks(spark, sf_dir).select("req_id", "doc_id", "pos", "body"), context.boilerplate_hashes(sections(spark, sf_dir)), keys=("req_id", "doc_id", "pos"))
 
 
 def strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
