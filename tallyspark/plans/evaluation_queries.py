@@ -12,7 +12,7 @@ from tallyspark.operators import cache, checks, context, evaluation, models, rou
 from tallyspark.plans import cache_queries, check_queries
 from tallyspark.plans.context_queries import stripped_chunks
 from tallyspark.plans.routing_queries import router_rows
-from tallyspark.plans.tables import SQL_SCORED, SQL_STRIPPED, numbered, scored, sql_sentences, sql_tokens, table
+from tallyspark.plans.tables import SQL_SCORED, SQL_STRIPPED, chunks, numbered, scored, sections, sql_sentences, sql_tokens, table
 from tallyspark.plans.traffic_queries import sql_dollars
 
 #: The third document of each request's ten is the one that answers it; its facts are the beginnings of its first lines.
@@ -28,11 +28,12 @@ def _holds(facts: str, body: str):
     return F.transform(F.filter(facts, lambda f: F.contains(F.lower(F.col(body)), f.fact)), lambda f: f.k)
 
 
-def _facts(rows: DataFrame) -> DataFrame:
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(req_id, gold_doc, facts: array of (k, fact)): the beginnings of the first lines of each request's gold document."""
+    rows = sections(spark, sf_dir).withColumn("req_id", F.floor(F.col("doc_id") / 10).cast("long"))
     own = rows.where((F.col("doc_id") % 10 == GOLD) & (F.col("section") != context.REMINDER_SECTION)).withColumn("w", F.split("body", " ")).where(F.size("w") >= FACT_WORDS)
-    facts = own.select("req_id", "doc_id", "pos", F.lower(F.array_join(F.slice("w", 1, FACT_WORDS), " ")).alias("fact"))
-    facts = facts.withColumn("k", F.row_number().over(Window.partitionBy("req_id").orderBy("pos"))).where(F.col("k") <= FACTS)
+    facts = own.select("req_id", "doc_id", "section_pos", F.lower(F.array_join(F.slice("w", 1, FACT_WORDS), " ")).alias("fact"))
+    facts = facts.withColumn("k", F.row_number().over(Window.partitionBy("req_id").orderBy("section_pos"))).where(F.col("k") <= FACTS)
     return facts.groupBy("req_id").agg(F.min("doc_id").alias("gold_doc"), F.collect_list(F.struct("k", "fact")).alias("facts"))
 
 
@@ -44,12 +45,15 @@ def _clusters(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str, configs: list[evaluation.Config] = evaluation.WINDOWS) -> DataFrame:
     """What each window configuration keeps of each large request."""
-    rows = scratch.stage(scored(spark, sf_dir), "scored")
-    facts = _facts(rows)
+    facts = scratch.stage(_facts(spark, sf_dir), "facts")
     gold = _clusters(spark, sf_dir, facts)
-    bare = stripped_chunks(spark, sf_dir).select("req_id", "pos", F.col("body").alias("bare_body"), F.col("tokens").alias("bare_tokens"))
-    told = rows.join(facts.select("req_id", "facts"), "req_id").join(bare, ["req_id", "pos"], "left")
-    told = told.select("req_id", "doc_id", "pos", "section", "tokens", "score", _holds("facts", "body").alias("holds"), "bare_tokens", _holds("facts", "bare_body").alias("bare_holds"))
+    rows = chunks(spark, sf_dir)
+    places = context.repeated_places(rows, context.boilerplate_hashes(sections(spark, sf_dir)), ["req_id", "pos"])
+    # What is known of a request's sections comes to them as one row, so that texts move once, to their request.
+    at = places.groupBy("req_id", "pos").agg(F.collect_list("i").alias("at")).groupBy("req_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "at"))).alias("repeated"))
+    told = scored(spark, sf_dir, rows).join(facts.select("req_id", "facts"), "req_id").join(at, "req_id", "left")
+    told = told.withColumn("bare_body", context.bared(F.col("body"), F.col("repeated")[F.col("pos")]))
+    told = told.select("req_id", "doc_id", "pos", "section", "tokens", "score", _holds("facts", "body").alias("holds"), text.approx_tokens(F.col("bare_body")).alias("bare_tokens"), _holds("facts", "bare_body").alias("bare_holds"))
     return evaluation.window_results(told, gold, configs)
 
 
@@ -70,7 +74,7 @@ def _pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all prunings of hybrid windows; a sentence's vector is picked from all ``embeddings`` by its place."""
     rows = scratch.stage(scored(spark, sf_dir), "scored")
     bare = scratch.stage(stripped_chunks(spark, sf_dir).select("req_id", "pos", "body", "tokens"), "bare")
-    facts = scratch.stage(_facts(rows), "facts")
+    facts = scratch.stage(_facts(spark, sf_dir), "facts")
     large = rows.groupBy("req_id").agg(F.sum("tokens").alias("original")).where(F.col("original") >= context.LEAST_TOKENS)
     large = scratch.stage(large.join(_clusters(spark, sf_dir, facts), "req_id"), "large-requests")
     asked = rows.join(large.select("req_id"), "req_id", "left_semi")
