@@ -156,7 +156,7 @@ GATES = [("false_hit", "max", 0), ("wrong_hit", "max", 400), ("correct_hit", "mi
 def layer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates over the exact cache, the guarded semantic cache and the window of 800 tokens."""
     exact = cache_queries.exact_cache_summary(spark, sf_dir).select("false_hit")
-    semantic = cache_queries.semantic_modes(spark, sf_dir).where("mode = 'guards'").select("wrong_hit", "correct_hit")
+    semantic = cache_queries.semantic_modes(spark, sf_dir, ["guards"]).select("wrong_hit", "correct_hit")
     window = fact_sweep(spark, sf_dir).where("config = 'section_first(budget=800)'").select("all_facts_kept", "avg_tokens_after")
     # Each has one row.
     return checks.gates(exact.join(semantic).join(window), GATES)
