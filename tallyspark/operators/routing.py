@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, StandardScalerModel, VectorAssembler
@@ -16,6 +20,9 @@ from tallyspark.functions import text
 from tallyspark.operators import traffic
 
 SMALL, LARGE = "small", "large"
+T = TypeVar("T")
+#: Fits that run at once: each is a row of short jobs, which leave most cores idle.
+PARALLEL = 6
 FEATURES = ["n_words", "n_sentences", "n_questions", "n_numbers", "n_connectives", "ends_right", "docs_kept", "log_tokens"]
 
 
@@ -90,6 +97,12 @@ def load_or_fit(spark: SparkSession, path: str, rows: DataFrame, embedding: str,
     return router
 
 
+def together(spark: SparkSession, tasks: list[Callable[[], T]], parallel: int = PARALLEL) -> list[T]:
+    """What the tasks return, in their order; their Spark jobs run side by side, as in a cross-validator."""
+    with ThreadPool(max(1, min(parallel, len(tasks)))) as pool:
+        return pool.map(lambda task: task(), [inheritable_thread_target(spark)(task) for task in tasks], chunksize=1)
+
+
 def fit_router(rows: DataFrame, embedding: str, label: str) -> Router:
     """A balanced logistic regression (C = 1) over the embedding and the standardised features.
 
@@ -119,9 +132,11 @@ def out_of_fold(rows: DataFrame, group: str, embedding: str, label: str, folds:
     spark = rows.sparkSession
     places = spark.createDataFrame(list(dealt.items()), "_group string, fold int")
     rows = scratch.stage(rows.withColumn("_group", F.col(group).cast("string")).join(F.broadcast(places), "_group").drop("_group"), "folds")
+    used = sorted(set(dealt.values()))
+    routers = together(spark, [lambda fold=fold: fit_router(rows.where(F.col("fold") != fold), embedding, label) for fold in used])
     found = None
-    for fold in sorted(set(dealt.values())):
-        part = fit_router(rows.where(F.col("fold") != fold), embedding, label)(rows.where(F.col("fold") == fold))
+    for fold, router in zip(used, routers, strict=True):
+        part = router(rows.where(F.col("fold") == fold))
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -132,9 +147,13 @@ def compare_strategies(train: DataFrame, test: DataFrame, group: str, embedding:
 
     Rows have the router's features, its embedding and label, ``text`` features of FEATURES and ``log_tokens``.
     """
-    told = out_of_fold(train, group, embedding, label).select((F.col(label) == 1).alias("complex"), "p_large", F.lit(0).alias("all"))
-    threshold = safe_threshold(told, ["all"], target).first()["threshold"]
-    rows = fit_router(train, embedding, label)(test).withColumn("complex", F.col(label) == 1)
+
+    def safe() -> float:
+        told = out_of_fold(train, group, embedding, label).select((F.col(label) == 1).alias("complex"), "p_large", F.lit(0).alias("all"))
+        return safe_threshold(told, ["all"], target).first()["threshold"]
+
+    threshold, router = together(train.sparkSession, [safe, lambda: fit_router(train, embedding, label)])
+    rows = router(test).withColumn("complex", F.col(label) == 1)
     small, large = F.lit(SMALL), F.lit(LARGE)
     hard = (F.col("n_questions") > 1) | (F.col("ends_right") == 1) | (F.col("docs_kept") > 1)
     each = {

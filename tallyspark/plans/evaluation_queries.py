@@ -198,11 +198,15 @@ def router_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     training clusters."""
     rows = router_rows(spark, sf_dir)
     splits = scratch.stage(evaluation.splits(rows.select(F.col("source").alias("cluster_id")), SEEDS).withColumnRenamed("cluster_id", "source"), "splits")
-    found = None
-    for seed in range(SEEDS):
+
+    def compared(seed: int) -> DataFrame:
         mine = F.broadcast(splits.where(F.col("seed") == seed))
         train, test = (scratch.stage(rows.join(mine.where(F.col("split") == s).select("source"), "source"), s) for s in ("train", "test"))
-        part = routing.compare_strategies(train, test, "source", "embedding", "needs_large").withColumn("seed", F.lit(seed))
+        # The strategies of a seed are a few rows, but their plan goes over the test rows: it runs here, beside the others.
+        return scratch.stage(routing.compare_strategies(train, test, "source", "embedding", "needs_large").withColumn("seed", F.lit(seed)), "strategies")
+
+    found = None
+    for part in routing.together(spark, [lambda seed=seed: compared(seed) for seed in range(SEEDS)], parallel=SEEDS):
         found = part if found is None else found.union(part)
     return found
 
