@@ -15,15 +15,15 @@ from tallyspark.plans.tables import SQL_BOILERPLATE, SQL_CHUNKS, SQL_EVENTS, eve
 from tallyspark.streaming import requests, sentences
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Files that the rows arrive in, half of them before the stream is stopped; state partitions; seconds a run may take.
+#: Parts that the rows arrive in, half of them before the stream is stopped; least state partitions; seconds a run may take.
 FILES, PARTITIONS, SECONDS = 4, 8, 1800
 TTL_SECONDS = 3600
 
 
 @contextmanager
 def _state_store(spark: SparkSession) -> Iterator[None]:
-    """The session with the store that timers need and few partitions of state; its own settings afterwards."""
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(min(PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))))}
+    """The session with the store that timers need and a partition of state for each core; its own settings afterwards."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.shuffle.partitions": str(min(max(PARTITIONS, spark.sparkContext.defaultParallelism), int(spark.conf.get("spark.sql.shuffle.partitions"))))}
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         spark.conf.set(k, v)
@@ -56,12 +56,15 @@ def _end(writer: DataStreamWriter, checkpoint: str) -> None:
 def resumed(spark: SparkSession, rows: DataFrame, order: str, ts: str, last: DataFrame, stream: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What ``stream`` makes of rows that arrive shuffled over two runs; ``last`` moves the watermark past all of them."""
     source, out, checkpoint = (scratch.fresh(spark, f"stream-{n}") for n in ("in", "out", "checkpoint"))
-    parts = _arrivals(scratch.stage(rows, "arrivals"), order)
+    staged = scratch.stage(rows, "arrivals")
+    # As many files arrive at once as the table has: each part is written by all tasks and read in one batch.
+    files = max(1, len(staged.inputFiles()))
+    parts = _arrivals(staged, order)
     with _state_store(spark):
         # The path is a pattern, so that files can be added under it.
-        live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+        live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{source}/*")
         for i, part in enumerate(parts):
-            part.coalesce(1).write.parquet(f"{source}/{i}")
+            part.write.parquet(f"{source}/{i}")
             if i == len(parts) // 2 - 1:
                 _run(stream(live), out, checkpoint)
         last.coalesce(1).write.parquet(f"{source}/last")
