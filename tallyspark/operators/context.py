@@ -13,6 +13,8 @@ REMINDER_SECTION = "repeated_reminders"
 #: Below so many tokens a context is passed whole.
 LEAST_TOKENS = 1500
 BUDGET = 800
+#: Words of 64 bits in the filter of wanted sentences: rows of a broadcast table, at most, however many are wanted.
+FILTER_WORDS = 1 << 18
 
 
 def render_case(order_id: Column, customer: Column, fields: Column) -> Column:
@@ -98,6 +100,29 @@ def boilerplate_hashes(sections: DataFrame, least_docs: int = 3) -> DataFrame:
     return each.distinct().groupBy("h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs).select("h")
 
 
+def hashed_sentences(sections: DataFrame) -> DataFrame:
+    """(doc_id, h, g, sentence): each section's sentences with 96 bits of hashes, which stand for the text where it is counted."""
+    each = sections.select("doc_id", F.explode(F.array_distinct(text.sentences(F.col("body")))).alias("sentence"))
+    return each.select("doc_id", F.xxhash64("sentence").alias("h"), F.hash("sentence").alias("g"), "sentence")
+
+
+def _signed(rows: DataFrame) -> DataFrame:
+    """Rows with the filter's ``word`` for their hash and a ``mask`` of up to three bits in it."""
+    bits = " | ".join(f"shiftleft(1L, cast(shiftrightunsigned(h, {k}) & 63 as int))" for k in (40, 46, 52))
+    return rows.withColumn("word", F.pmod("h", F.lit(FILTER_WORDS))).withColumn("mask", F.expr(bits))
+
+
+def told(counted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sentence, n_docs) of counts (h, g, n_docs), each hash once, from texts (h, g, sentence) that may repeat.
+
+    The counts are read twice. A filter of bits lets few texts pass whose hashes aren't counted, so few are shuffled, each
+    once a task; the join after it is exact.
+    """
+    words = _signed(counted).groupBy("word").agg(F.bit_or("mask").alias("bits"))
+    near = _signed(texts).join(F.broadcast(words), "word").where("bits & mask = mask")
+    return near.select("h", "g", "sentence").distinct().join(counted, ["h", "g"]).select("sentence", "n_docs")
+
+
 def repeated_places(sections: DataFrame, repeated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, i): the places of repeated sentences in their sections. ``repeated`` has sentences, or their hashes (h)."""
     # Sentences meet by hash, so that no text is compared with a key that is frequent by definition.

@@ -120,7 +120,8 @@ def stream_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
         # Each run is a new reader of the folder, as after a restart.
         _end(lines.writeStream.foreachBatch(sentences.SentenceCounts(spark, place).merge), checkpoint)
     pasted = context.boilerplate(sections(spark, sf_dir).where("doc_id % 100 = 1"), least_docs=1)
-    repeated = sentences.SentenceCounts(spark, place).repeated()
+    # Read twice: staged, so that texts are looked up once.
+    repeated = scratch.stage(sentences.SentenceCounts(spark, place).repeated(), "repeated")
     return context.united_boilerplate(repeated, pasted).join(repeated, "sentence", "left")
 
 
