@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark import scratch
 from tallyspark.functions import text
 
 REMINDER_SECTION = "repeated_reminders"
@@ -84,9 +85,13 @@ def eligible(sections: DataFrame, cases: DataFrame | None = None) -> DataFrame:
 
 def boilerplate(sections: DataFrame, least_docs: int = 3) -> DataFrame:
     """(sentence, n_docs) of sentences that at least ``least_docs`` documents hold."""
-    each = sections.select("doc_id", F.explode(F.array_distinct(text.sentences(F.col("body")))).alias("sentence"))
+    each = hashed_sentences(sections)
     # Each document's sentences are counted once, then partial sums meet per sentence: a hot sentence is one row a task.
-    return each.distinct().groupBy("sentence").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least_docs)
+    if least_docs > 1:
+        # Only hashes are counted, as most texts are not wanted.
+        counted = each.select("doc_id", "h", "g").distinct().groupBy("h", "g").agg(F.count("*").alias("n_docs"))
+        return told(counted.where(F.col("n_docs") >= least_docs), each)
+    return each.select("doc_id", "sentence").distinct().groupBy("sentence").agg(F.count("*").alias("n_docs"))
 
 
 def united_boilerplate(corpus: DataFrame, pasted: DataFrame) -> DataFrame:
@@ -115,9 +120,11 @@ def _signed(rows: DataFrame) -> DataFrame:
 def told(counted: DataFrame, texts: DataFrame) -> DataFrame:
     """(sentence, n_docs) of counts (h, g, n_docs), each hash once, from texts (h, g, sentence) that may repeat.
 
-    The counts are read twice. A filter of bits lets few texts pass whose hashes aren't counted, so few are shuffled, each
-    once a task; the join after it is exact.
+    A filter of bits lets few texts pass whose hashes aren't counted, so few are shuffled, each once a task; the join after
+    it is exact.
     """
+    # Read twice.
+    counted = scratch.stage(counted, "counted-sentences")
     words = _signed(counted).groupBy("word").agg(F.bit_or("mask").alias("bits"))
     near = _signed(texts).join(F.broadcast(words), "word").where("bits & mask = mask")
     return near.select("h", "g", "sentence").distinct().join(counted, ["h", "g"]).select("sentence", "n_docs")

@@ -76,8 +76,7 @@ class SentenceCounts:
         found = self._read(self.spark, runs(n))
         if len(runs(n)) > 1:
             found = found.groupBy("h", "g").agg(F.sum("n_docs").alias("n_docs"))
-        wanted = scratch.stage(found.where(F.col("n_docs") >= least_docs), "wanted-sentences")
-        return context.told(wanted, self.spark.read.schema(TEXTS).parquet(*map(self._texts, range(n))))
+        return context.told(found.where(F.col("n_docs") >= least_docs), self.spark.read.schema(TEXTS).parquet(*map(self._texts, range(n))))
 
     def repeated(self, least_docs: int = 3) -> DataFrame:
         """As ``context.boilerplate`` over all rows that have arrived."""
