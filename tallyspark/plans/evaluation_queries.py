@@ -156,7 +156,7 @@ GATES = [("false_hit", "max", 0), ("wrong_hit", "max", 400), ("correct_hit", "mi
 def layer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates over the exact cache, the guarded semantic cache and the window of 800 tokens."""
     exact = cache_queries.exact_cache_summary(spark, sf_dir).select("false_hit")
-    semantic = cache_queries.semantic_modes(spark, sf_dir, ["guards"]).select("wrong_hit", "correct_hit")
+    semantic = cache_queries.guarded_hits(spark, sf_dir)
     window = fact_sweep(spark, sf_dir).where("config = 'section_first(budget=800)'").select("all_facts_kept", "avg_tokens_after")
     # Each has one row.
     return checks.gates(exact.join(semantic).join(window), GATES)
@@ -328,6 +328,6 @@ ORACLE_SQL = {
         select p.id, p.kind, p.other_id, p.query, r.query as other_query from p join r on r.id = p.other_id""",
 }
 
-ORACLE_SQL["layer_gates"] = f"""with m as (select * from (select false_hit from ({cache_queries.ORACLE_SQL['exact_cache_summary']})), (select wrong_hit, correct_hit from ({cache_queries.ORACLE_SQL['semantic_modes']}) where mode = 'guards'),
+ORACLE_SQL["layer_gates"] = f"""with m as (select * from (select false_hit from ({cache_queries.ORACLE_SQL['exact_cache_summary']})), (select wrong_hit, correct_hit from ({cache_queries.HITS_SQL}) where mode = 'guards'),
     (select all_facts_kept, avg_tokens_after from ({ORACLE_SQL['fact_sweep']}) where config = 'section_first(budget=800)'))
     {' union all '.join(f"select '{m}_{k}' as name, {m}::double as value, {v}::double as bound, {m} {'<=' if k == 'max' else '>='} {v} as ok from m" for m, k, v in GATES)}"""

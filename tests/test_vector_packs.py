@@ -76,8 +76,8 @@ def test_a_group_is_sieved_in_slices(many):
     draw = np.random.default_rng(many)
     v = draw.normal(size=(many, 6))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    rows = [{"seq": i, "v": x.tolist(), "open": 3} for i, x in enumerate(v)]
-    kind = pa.list_(pa.struct([("seq", pa.int64()), ("v", pa.list_(pa.float64())), ("open", pa.int64())]))
+    rows = [{"seq": i, "v": x.tolist(), "key": i, "open": 3} for i, x in enumerate(v)]
+    kind = pa.list_(pa.struct([("seq", pa.int64()), ("v", pa.list_(pa.float64())), ("key", pa.int64()), ("open", pa.int64())]))
     (got,) = signed._entries_of([0.6, 0.9])(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([rows], kind)], ["g", "rows"])]))
     want, near = {}, np.round(v @ v.T, 6)
     for i in range(many):
